@@ -6,8 +6,10 @@ partitions, so any such pair agrees on at least m whole partitions, and each par
 signature.  Empty partitions are no signatures, unless a set has at least m of them: a set with fewer
 empty partitions agrees with every partner on one that isn't empty.  So no link can be missed.
 
-Each signature's documents are compared with one pivot first; then, where a signature's documents still
-belong to several components, across these components.  Pairs inside one component need no comparison.
+Each signature's documents are paired with one pivot; of these pairs each document's nearest is compared
+first.  Then, where a signature's documents still belong to several components, the pairs across these
+components are.  Pairs inside one component need no comparison.  A parity sketch of one bit an element
+bounds how far two sets differ from below, and rules out most pairs before their sets are fetched.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from tidemark.llm.shared import components, cut
 _SEED, _EMPTY = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 #: Widest ratio of sizes within a band.  Wider bands put fewer sets in two bands but ask for more signatures.
 BAND_RATIO = 1.5
+#: Rows of a broadcast filter on hashed ids, at most.
+FILTER_BUCKETS = 1 << 20
 
 
 def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,6 +102,41 @@ def signatures(doc: np.ndarray, value: np.ndarray, sizes: np.ndarray, percent: i
     return np.concatenate([x for x, _ in outs]), np.concatenate([x for _, x in outs])
 
 
+def sketches(value: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Per set, the parity of its elements in each of 2 ** j buckets, at least one bucket an element.
+
+    Two sets differ in at least as many elements as their parities differ in buckets."""
+    out = []
+    for part in np.split(value, np.cumsum(sizes)[:-1]):
+        bits = 1 << max(6, int(len(part)).bit_length())
+        out.append(np.packbits(np.bincount((part & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes())
+    return out
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """The number of buckets in which two sketches differ; the longer one is folded to the other's length."""
+    p, q = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    bits, least = max(len(x), len(y)) * 8, min(len(x), len(y)) * 8
+    p, q = (p, q) if len(x) >= len(y) else (q, p)
+    while bits > least:
+        bits //= 2
+        p = (p >> bits) ^ (p & ((1 << bits) - 1))
+    return (p ^ q).bit_count()
+
+
+def _near(percent: int):
+    """Pairs that the sketches don't rule out, with their distance."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            far = np.array([apart(x, y) for x, y in zip(batch["sa"], batch["sb"])], np.int64)
+            small, large = batch[["na", "nb"]].min(axis=1), batch[["na", "nb"]].max(axis=1)
+            keep = (far <= (100 - percent) * (small + large) // (100 + percent)) & (100 * small >= percent * large)
+            yield batch.assign(far=far)[keep][["a", "b", "far"]]
+
+    return run
+
+
 def _emit(words: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -109,7 +148,7 @@ def _emit(words: int, percent: int):
                 begin = np.concatenate([[0], np.cumsum(sizes)])
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(value), dtype=np.uint64)])
                 prints = K.mix(sums[begin[1:]] - sums[begin[:-1]] + sizes.astype(np.uint64) * K._GOLDEN)
-                yield pd.DataFrame({"kind": np.zeros(z - a, np.int8), "sig": prints.view(np.int64), "rank": sizes.astype(np.int32), "doc_id": here})
+                yield pd.DataFrame({"kind": np.zeros(z - a, np.int8), "sig": prints.view(np.int64), "rank": sizes.astype(np.int32), "doc_id": here, "sketch": sketches(value, sizes)})
                 # equal sets of one batch send their signatures once
                 first = np.ones(z - a, bool)
                 for i, key in enumerate(zip(prints.tolist(), sizes.tolist())):
@@ -117,7 +156,7 @@ def _emit(words: int, percent: int):
                     seen.add(key)
                 at, sig = signatures(doc[first[doc]], value[first[doc]], np.where(first, sizes, 0), percent)
                 rank = (K.mix(here[at].view(np.uint64) ^ ((sig & np.uint64(3)) * _SEED)) >> np.uint64(33)).astype(np.int32)
-                yield pd.DataFrame({"kind": np.ones(len(at), np.int8), "sig": sig.view(np.int64), "rank": rank, "doc_id": here[at]})
+                yield pd.DataFrame({"kind": np.ones(len(at), np.int8), "sig": sig.view(np.int64), "rank": rank, "doc_id": here[at], "sketch": None})
 
     return run
 
@@ -140,7 +179,7 @@ def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pivot = np.where(lead >= 0, ids[np.maximum(lead, 0)], last[3] if last is not None else 0)
         last = (kind[-1], sig[-1], size[-1], pivot[-1])
         keep = (kind == 0) | (~fresh & (pivot != ids))
-        yield pd.DataFrame({"kind": kind[keep], "sig": sig[keep], "pivot": pivot[keep], "doc_id": ids[keep], "n": size[keep]})
+        yield pd.DataFrame({"kind": kind[keep], "sig": sig[keep], "pivot": pivot[keep], "doc_id": ids[keep], "n": size[keep], "sketch": batch["sketch"][keep]})
 
 
 def _sets(words: int):
@@ -156,12 +195,16 @@ def _sets(words: int):
 
 def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose sets are similar enough, by exact comparison."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(docs.join(ids, "doc_id", "left_semi").mapInPandas(_sets(words), "doc_id long, items array<long>"), "sets")
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    # A first semi-join by hash bucket, of at most FILTER_BUCKETS rows, keeps most other texts out of the shuffle
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BUCKETS)).cast("int").alias("bucket")
+    near = docs.withColumn("bucket", bucket).join(F.broadcast(ids.select(bucket).distinct()), "bucket", "left_semi")
+    sets = cut(near.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInPandas(_sets(words), "doc_id long, items array<long>"), "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     shared = F.size(F.array_intersect("x", "y")).cast("long")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", shared.alias("same"), (F.size("x") + F.size("y")).cast("long").alias("both")).where(F.lit(100) * F.col("same") >= F.lit(percent) * (F.col("both") - F.col("same"))).select("a", "b")
+    both = (F.size("x") + F.size("y")).cast("long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", shared.alias("same"), both.alias("both")).where(F.lit(100) * F.col("same") >= F.lit(percent) * (F.col("both") - F.col("same"))).select("a", "b").distinct()
 
 
 def ngram_jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -175,18 +218,27 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id is not null")
-    rows = known.mapInPandas(_emit(words, percent), "kind byte, sig long, rank int, doc_id long").repartition("sig").sortWithinPartitions("kind", "sig", "rank", "doc_id")
-    rows = cut(rows.mapInPandas(_gather, "kind byte, sig long, pivot long, doc_id long, n int"), "buckets")
+    rows = known.mapInPandas(_emit(words, percent), "kind byte, sig long, rank int, doc_id long, sketch binary").repartition("sig").sortWithinPartitions("kind", "sig", "rank", "doc_id")
+    rows = cut(rows.mapInPandas(_gather, "kind byte, sig long, pivot long, doc_id long, n int, sketch binary"), "buckets")
     members = rows.where("kind = 0").select("doc_id", F.col("pivot").alias("rep"), F.col("n").cast("long").alias("n_shingles"))
     copies = members.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    shapes = rows.where("kind = 0 and doc_id = pivot").select("doc_id", "n", "sketch")
 
     def to_rep(frame: DataFrame, column: str) -> DataFrame:
         known_rep = copies.select(F.col("doc_id").alias(column), F.col("rep").alias("_rep"))
         return frame.join(known_rep, column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
 
+    def likely(pairs: DataFrame) -> DataFrame:
+        one = shapes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+        two = shapes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        return pairs.join(one, "a").join(two, "b").mapInPandas(_near(percent), "a long, b long, far long").groupBy("a", "b").agg(F.min("far").alias("far"))
+
     met = rows.where("kind = 1").select("sig", F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
     first = to_rep(to_rep(met.select("a", "b").distinct(), "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    tried = cut(first, "pairs")
+    first = cut(likely(first), "pairs")
+    ends = first.select("a", "b", "far", F.explode(F.array("a", "b")).alias("node"))
+    nearest = ends.groupBy("node").agg(F.min(F.struct("far", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+    tried = cut(nearest, "tried")
     edges = cut(_linked(known, tried, words, percent), "edges")
     label = cut(components(edges), "labels")
 
@@ -194,14 +246,13 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) ->
     inside = met.select("sig", F.explode(F.array("a", "b")).alias("node")).distinct()
     inside = to_rep(inside, "node").distinct().join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     inside = cut(inside, "inside")
-    open_sig = inside.groupBy("sig").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("m > 2 and lo <> hi").select("sig")
+    open_sig = inside.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
     left = inside.join(open_sig, "sig", "left_semi")
     one, two = left.select("sig", F.col("node").alias("a"), F.col("component").alias("ca")), left.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"))
-    across = one.join(two, "sig").where("a < b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    across = cut(across, "pairs")
-    more = cut(_linked(known, across, words, percent), "edges")
-    # Labels stand for what the first round joined
-    label = components(edges.unionByName(more)) if not more.isEmpty() else label
+    across = one.join(two, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
+    across = cut(likely(across).join(tried, ["a", "b"], "left_anti").select("a", "b"), "pairs")
+    if not across.isEmpty():
+        label = components(edges.unionByName(cut(_linked(known, across, words, percent), "edges")))
     out = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     nameless = docs.where("doc_id is null").mapInPandas(_counts(words), "doc_id long, n_shingles long, component_id long")
     return out.unionByName(nameless)

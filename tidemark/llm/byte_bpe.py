@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, through
 
 #: The longest look-ahead of the pattern, in characters.
 LOOK_AHEAD = 4
@@ -82,10 +82,8 @@ def byte_bpe_encode(docs: DataFrame, path: str, pattern: str, chunk: int = 1 <<
     ``overlap`` may not exceed ``chunk``.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    whole = f"doc_id {kind}, ids binary"
     long_text = F.coalesce(F.length("text"), F.lit(0)) > chunk
-    out = docs.where(~long_text).mapInPandas(_encode(path, pattern), whole)
+    out = through(docs.where(~long_text), _encode(path, pattern), "doc_id", "ids binary")
     long_docs = cut(docs.where(long_text).withColumn("rid", F.monotonically_increasing_id()), "long")
     if long_docs.isEmpty():
         return out
@@ -103,7 +101,7 @@ def byte_bpe_encode(docs: DataFrame, path: str, pattern: str, chunk: int = 1 <<
     joined = parts.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts")).select("rid", F.expr("unhex(array_join(transform(parts, p -> hex(p.ids)), ''))").alias("ids"))
     joined = long_docs.drop("text").join(joined, "rid").select("doc_id", "ids")
     lost = marked.where("lost").select("rid").distinct()
-    lost = long_docs.join(lost, "rid", "left_semi").select("doc_id", "text").mapInPandas(_encode(path, pattern), whole)
+    lost = through(long_docs.join(lost, "rid", "left_semi").select("doc_id", "text"), _encode(path, pattern), "doc_id", "ids binary")
     return out.unionByName(joined).unionByName(lost)
 
 
@@ -119,8 +117,7 @@ def _decode(path: str, pattern: str):
 
 def byte_bpe_decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, raw): the bytes of each token, one after another.  No ids give no bytes."""
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "ids").mapInPandas(_decode(path, pattern), f"doc_id {kind}, ids binary, raw binary")
+    return through(tokens.select("doc_id", "ids"), _decode(path, pattern), "doc_id", "ids binary, raw binary")
 
 
 def _digest(path: str, pattern: str):
@@ -145,5 +142,4 @@ def byte_bpe_round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = 1
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): the digest of the ids of ``byte_bpe_encode``, joined by
     commas, and of the bytes that they decode to."""
     tokens = byte_bpe_encode(docs, path, pattern, chunk, overlap)
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.mapInPandas(_digest(path, pattern), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return through(tokens, _digest(path, pattern), "doc_id", "n_tokens long, ids_sha256 string, decoded_sha256 string")

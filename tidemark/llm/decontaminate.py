@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, through
 
 BUCKET_BITS = 22
 _SHIFT = np.uint64(64 - BUCKET_BITS)
@@ -101,7 +101,7 @@ def _extend(k: int, window: int):
                     right += 1
                 if left + right >= window:
                     out.append((rid, item, pos - left, pos + right))
-            yield pd.DataFrame(out, columns=["rid", "item_id", "begin", "end"]).drop_duplicates()
+            yield pd.DataFrame(out, columns=["rid", "item_id", "begin", "end"]).drop_duplicates()[["item_id", "rid", "begin", "end"]]
 
     return run
 
@@ -119,8 +119,7 @@ def benchmark_overlap(docs: DataFrame, items: DataFrame, window: int = 10, k: in
     """
     spark = docs.sparkSession
     items = items.select(F.col("item_id").alias("id"), F.col("text").cast("string").alias("text"))
-    kind = items.schema["id"].dataType.simpleString()
-    prints = cut(items.mapInPandas(_scan(k, window, None, None), f"id {kind}, n_words long, hits {_HIT}"), "items")
+    prints = cut(through(items, _scan(k, window, None, None), "id", f"n_words long, hits {_HIT}"), "items")
     lengths = [r[0] for r in prints.where(f"n_words between 1 and {window - 1}").select("n_words").distinct().collect()]  # fewer than window
     prints = prints.select(F.col("id").alias("item_id"), F.when(F.col("n_words") < window, F.col("n_words")).otherwise(0).cast("int").alias("short"), F.explode("hits").alias("h"))
     prints = prints.select("item_id", "short", F.col("h.fp").alias("fp"), F.col("h.lead").alias("item_lead"), F.col("h.context").alias("item_context")).distinct()
@@ -128,12 +127,10 @@ def benchmark_overlap(docs: DataFrame, items: DataFrame, window: int = 10, k: in
     buckets = prints.select(F.shiftrightunsigned("fp", 64 - BUCKET_BITS).cast("int").alias("bucket")).distinct()  # 2 ** BUCKET_BITS at most
     flags[buckets.toPandas()["bucket"].to_numpy(np.int64)] = True
     docs = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    kind = docs.schema["id"].dataType.simpleString()
-    scanned = docs.mapInPandas(_scan(k, window, lengths, spark.sparkContext.broadcast(flags)), f"id {kind}, n_words long, hits {_HIT}")
+    scanned = through(docs, _scan(k, window, lengths, spark.sparkContext.broadcast(flags)), "id", f"n_words long, hits {_HIT}")
     scanned = cut(scanned.withColumn("rid", F.monotonically_increasing_id()), "scanned")
     hits = scanned.select("rid", F.explode("hits").alias("h")).select("rid", "h.*").join(prints, "fp")
-    item_kind = prints.schema["item_id"].dataType.simpleString()
-    runs = cut(hits.mapInPandas(_extend(k, window), f"rid long, item_id {item_kind}, begin long, end long"), "runs")
+    runs = cut(through(hits, _extend(k, window), "item_id", "rid long, begin long, end long"), "runs")
     words = runs.select("rid", F.explode(F.sequence("begin", F.col("end") - 1)).alias("word")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
     named = runs.groupBy("rid").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("found"))
     none = F.array().cast("array<string>")

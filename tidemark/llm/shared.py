@@ -29,6 +29,12 @@ def cut(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def through(frame: DataFrame, function, key: str, schema: str) -> DataFrame:
+    """mapInPandas, with the column ``key`` carried as text: beside nulls, pandas would make integers floats."""
+    kind = frame.schema[key].dataType
+    return frame.withColumn(key, F.col(key).cast("string")).mapInPandas(function, f"{key} string, {schema}").withColumn(key, F.col(key).cast(kind))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) edges: (node, component), the smallest node of each.
 

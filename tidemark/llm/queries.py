@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.byte_bpe import byte_bpe_round_trip
 from tidemark.llm.decontaminate import benchmark_overlap
 from tidemark.llm.jaccard import ngram_jaccard_classes
+from tidemark.llm.pii import personal_digest
+from tidemark.llm.quality import quality_rules
 from tidemark.llm.secrets import secret_digest
 from tidemark.llm.token_files import read_token_files, write_token_files
 from tidemark.llm.toxicity import toxicity_scores
@@ -29,6 +31,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, action string"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -41,6 +47,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -56,9 +66,11 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_quality_rules": op2_quality_rules,
     "op4_secret_scans": op4_secret_scans,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op7_pii": op7_pii,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_token_output": op10_token_output,

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
+from tidemark.llm.samples import held_out, labelled_sample
 from tidemark.llm.shared import through
 
 WINDOW, STRIDE, HIDDEN, INPUTS = 32, 24, 8, 4
@@ -294,26 +295,10 @@ class Scorer:
         return np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best - self.model.shift, -30, 30))), out)
 
 
-def held_out(doc_id) -> F.Column:
-    """Rows that no training sees: crc32 of the id as text is divisible by 5."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
-
-
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Train on at most TRAIN_ROWS rows of each label and TRAIN_CHARS characters: the first by a hash of the id."""
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
-    order = F.xxhash64("doc_id")
-    chosen = [ids.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(TRAIN_ROWS) for y in (0, 1)]
-    picked = chosen[0].unionByName(chosen[1])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic", order.alias("h"), F.length("text").alias("n"), "doc_id")
-    texts = texts.where("text is not null and n <= 1000000")
-    seen, budget, rows = set(), TRAIN_CHARS, []
-    for row in texts.orderBy("h", "doc_id", "text").limit(2 * TRAIN_ROWS).toLocalIterator():
-        if row.text not in seen and row.n <= budget:
-            seen.add(row.text)
-            budget -= row.n
-            rows.append(row)
-    return ToxicityModel().fit([r.text for r in rows], [r.toxic for r in rows])
+    """Train on at most TRAIN_ROWS rows of each label and TRAIN_CHARS characters; see ``labelled_sample``."""
+    rows = labelled_sample(docs, labels, "toxic", TRAIN_ROWS, TRAIN_CHARS)
+    return ToxicityModel().fit([r.text for r in rows], [r.label for r in rows])
 
 
 def _score(model):

@@ -7,9 +7,11 @@ signature.  Empty partitions are no signatures, unless a set has at least m of t
 empty partitions agrees with every partner on one that isn't empty.  So no link can be missed.
 
 Each signature's documents are paired with one pivot; of these pairs each document's nearest is compared
-first.  Then, where a signature's documents still belong to several components, the pairs across these
-components are.  Pairs inside one component need no comparison.  A parity sketch of one bit an element
-bounds how far two sets differ from below, and rules out most pairs before their sets are fetched.
+first.  Documents that are joined by such pairs, near or not, form a cluster, so that any two that share a
+signature are in one cluster.  Where a cluster's documents still belong to several components, the pairs
+across these are compared, tile by tile: clusters are cut into blocks, and a tile holds two of them.  Pairs
+inside one component need no comparison.  A parity sketch of one bit an element bounds how far two sets
+differ from below, and rules out most pairs before their sets are fetched.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ _SEED, _EMPTY = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 BAND_RATIO = 1.5
 #: Rows of a broadcast filter on hashed ids, at most.
 FILTER_BUCKETS = 1 << 20
+#: Documents of a block, about; a tile holds two blocks of a cluster.
+BLOCK_ROWS = 2048
 
 
 def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,6 +197,61 @@ def _sets(words: int):
     return run
 
 
+def _banded(percent: int):
+    """Each row in the band of its size; again in the next one, marked ``up``, if a partner may be there."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = batch["n"].to_numpy(np.int64)
+            low = bands(percent, int(n.max(initial=0)) * 100 // percent)[0]
+            own, up = np.searchsorted(low, n, "right") - 1, np.searchsorted(low, n * 100 // percent, "right") - 1
+            batch = batch[["cluster", "node", "label", "n", "sketch"]]
+            yield batch.assign(band=own, up=False)
+            yield batch.assign(band=up, up=True)[up > own]
+
+    return run
+
+
+def _tile_pairs(tile: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs of a tile that are of different labels, not both from the band below, and not ruled out."""
+    node, label, n, up, block = (tile[c].to_numpy() for c in ("node", "label", "n", "up", "block"))
+    n = n.astype(np.int64)
+    width = min(map(len, tile["sketch"]))
+    folded = np.zeros((len(tile), width), np.uint8)
+    for i, sketch in enumerate(tile["sketch"]):
+        folded[i] = np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, width), 0)
+    bits = folded.view(np.uint64)
+    same_block = tile["one"].iat[0] == tile["two"].iat[0]
+    out = []
+    for i in np.flatnonzero(block == tile["one"].iat[0]):
+        fits = (label != label[i]) & ~(up & up[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        fits &= (node > node[i]) if same_block else (block != block[i])
+        at = np.flatnonzero(fits)
+        far = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
+        at = at[far <= (100 - percent) * (n[at] + n[i]) // (100 + percent)]
+        out.append(np.stack([np.minimum(node[at], node[i]), np.maximum(node[at], node[i])]))
+    pairs = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+    return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+
+
+def _across(percent: int):
+    """Rows sorted by tile; one tile, of about two blocks, is held at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch])
+            key = held[["cluster", "band", "one", "two"]].to_numpy()
+            edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            for a, z in zip(np.append(0, edge), edge):
+                yield _tile_pairs(held.iloc[a:z], percent)
+            held = held.iloc[edge[-1] :] if len(edge) else held
+        if held is not None and len(held):
+            yield _tile_pairs(held, percent)
+
+    return run
+
+
 def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose sets are similar enough, by exact comparison."""
     ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
@@ -235,22 +294,26 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) ->
 
     met = rows.where("kind = 1").select("sig", F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
     first = to_rep(to_rep(met.select("a", "b").distinct(), "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    first = cut(likely(first), "pairs")
+    stars = cut(first, "stars")
+    first = cut(likely(stars), "pairs")
     ends = first.select("a", "b", "far", F.explode(F.array("a", "b")).alias("node"))
     nearest = ends.groupBy("node").agg(F.min(F.struct("far", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
     tried = cut(nearest, "tried")
     edges = cut(_linked(known, tried, words, percent), "edges")
     label = cut(components(edges), "labels")
 
-    # Where a signature's documents are in several components, compare across these
-    inside = met.select("sig", F.explode(F.array("a", "b")).alias("node")).distinct()
-    inside = to_rep(inside, "node").distinct().join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    inside = cut(inside, "inside")
-    open_sig = inside.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    left = inside.join(open_sig, "sig", "left_semi")
-    one, two = left.select("sig", F.col("node").alias("a"), F.col("component").alias("ca")), left.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"))
-    across = one.join(two, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
-    across = cut(likely(across).join(tried, ["a", "b"], "left_anti").select("a", "b"), "pairs")
+    inside = components(stars).withColumnRenamed("component", "cluster").join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    inside = cut(inside, "clusters")
+    split = inside.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster")
+    rows = inside.join(split, "cluster", "left_semi").join(shapes.withColumnRenamed("doc_id", "node"), "node")
+    banded = cut(rows.mapInPandas(_banded(percent), "cluster long, node long, label long, n int, sketch binary, band long, up boolean"), "banded")
+    blocks = banded.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    dealt = banded.join(blocks, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = dealt.withColumn("other", other).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    tile = ["cluster", "band", "one", "two"]
+    across = dealt.repartition(*tile).sortWithinPartitions(*tile, "node").mapInPandas(_across(percent), "a long, b long").distinct()
+    across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
     if not across.isEmpty():
         label = components(edges.unionByName(cut(_linked(known, across, words, percent), "edges")))
     out = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

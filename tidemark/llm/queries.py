@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import byte_bpe_round_trip
 from tidemark.llm.decontaminate import benchmark_overlap
+from tidemark.llm.html_extract import extract_articles
 from tidemark.llm.jaccard import ngram_jaccard_classes
 from tidemark.llm.pii import personal_digest
 from tidemark.llm.quality import quality_rules
@@ -35,6 +36,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_articles(table(spark, sf_dir, "pages"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_rules": op2_quality_rules,
+    "op3_html_extraction": op3_html_extraction,
     "op4_secret_scans": op4_secret_scans,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_toxicity": op6_toxicity,

@@ -133,13 +133,13 @@ def _digest(path: str, pattern: str):
                 counts.append(len(found))
                 ids_sha.append(hashlib.sha256(",".join(names[found]).encode()).hexdigest())
                 raw_sha.append(hashlib.sha256(codec.decode_bytes(found.tolist())).hexdigest())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": counts, "ids_sha256": ids_sha, "decoded_sha256": raw_sha})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": counts, "ids_sha256": ids_sha, "decoded_sha256": raw_sha, "ids": batch["ids"]})
 
     return run
 
 
 def byte_bpe_round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = 1 << 16, overlap: int = 1 << 10) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the digest of the ids of ``byte_bpe_encode``, joined by
-    commas, and of the bytes that they decode to."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): the ids of ``byte_bpe_encode``, and the digests of
+    them, joined by commas, and of the bytes that they decode to."""
     tokens = byte_bpe_encode(docs, path, pattern, chunk, overlap)
-    return through(tokens, _digest(path, pattern), "doc_id", "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return through(tokens, _digest(path, pattern), "doc_id", "n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")

@@ -15,8 +15,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, split_by
 
 #: Named in the ledger; a change of the rules below asks for a new one.
 RULE_VERSION = "2026-11-r1"
@@ -107,17 +108,16 @@ def secret_digest(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame
     return found.select("doc_id", *(count(k) for k in BASE), F.sha2(listed(F.col("spans"), list(BASE)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def _redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch["text"], batch["spans"]):
-            done, parts = 0, []
-            for s in spans:
-                if s["end"] > done:
-                    parts += [text[done : max(done, s["start"])], "<secret>" if s["start"] >= done else ""]
-                    done = s["end"]
-            out.append("".join(parts) + text[done:])
-        yield batch.drop(columns="spans").assign(text=out)
+def _redacted(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for text, found in zip(texts, spans):
+        done, parts = 0, []
+        for s in found:
+            if s["end"] > done:
+                parts += [text[done : max(done, s["start"])], "<secret>" if s["start"] >= done else ""]
+                done = s["end"]
+        out.append("".join(parts) + text[done:])
+    return pd.Series(out)
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
@@ -125,9 +125,11 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
 
     Rows without findings are as they were, null texts included.  Overlapping spans give one mark.
     """
-    findings = scan_blobs(docs)[0].where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
+    _, added = scan_blobs(docs)
+    found = cut(added.where(F.size("spans") > 0).select("blob", "spans"), "findings")
     marked = docs.withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    marked = marked.join(cut(findings, "findings"), "blob", "left").drop("blob")
-    clean = marked.where("spans is null").drop("spans")
-    hit = marked.where("spans is not null").mapInPandas(_redact, docs.schema).select(docs.columns)
-    return clean.unionByName(hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)))
+    near, clean = split_by(marked, found, "blob")
+    near = near.join(found, "blob", "left")
+    hit = near.where("spans is not null").withColumn("text", F.pandas_udf(_redacted, StringType())("text", "spans"))
+    hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else hit
+    return clean.select(docs.columns).unionByName(near.where("spans is null").select(docs.columns)).unionByName(hit.select(docs.columns))

@@ -35,6 +35,28 @@ def through(frame: DataFrame, function, key: str, schema: str) -> DataFrame:
     return frame.withColumn(key, F.col(key).cast("string")).mapInPandas(function, f"{key} string, {schema}").withColumn(key, F.col(key).cast(kind))
 
 
+#: Rows of a broadcast filter on hashed keys, at most.
+FILTER_BUCKETS = 1 << 20
+
+
+def split_by(frame: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``frame`` whose key may be among ``keys``, and rows whose key surely isn't (null keys too).
+
+    A filter of at most FILTER_BUCKETS hash buckets is broadcast, so that a join with few keys needn't move
+    all the rows of ``frame``.  With many keys it lets more rows through; the join that follows is exact.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(FILTER_BUCKETS)).cast("int")
+    marks = F.broadcast(keys.where(F.col(key).isNotNull()).select(bucket.alias("_bucket")).distinct())
+    tagged = frame.withColumn("_bucket", F.when(F.col(key).isNotNull(), bucket).otherwise(-1))
+    return tagged.join(marks, "_bucket", "left_semi").drop("_bucket"), tagged.join(marks, "_bucket", "left_anti").drop("_bucket")
+
+
+def without(frame: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``frame`` whose key isn't among ``keys``; rows with a null key stay."""
+    near, rest = split_by(frame, keys, key)
+    return near.join(keys.select(key).distinct(), key, "left_anti").select(frame.columns).unionByName(rest.select(frame.columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) edges: (node, component), the smallest node of each.
 

@@ -324,3 +324,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     scored = through(docs, _score(model), "doc_id", "score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of docs whose text scores below 0.5; see ``toxicity_scores``.  All columns stay as they are."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels))
+
+    @F.pandas_udf("double")
+    def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = model.value.scorer()
+        for texts in series:
+            listed = texts.tolist()
+            yield pd.Series([x for a, z in K.blocks(listed) for x in scorer(listed[a:z])], dtype=float)
+
+    return docs.withColumn("_score", score(F.col("text"))).where("_score < 0.5").select(docs.columns)

@@ -1,12 +1,59 @@
-"""The corpus pipeline, built from the operators of tidemark.llm."""
+"""The corpus pipeline, built from the operators of tidemark.llm.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and returns what it
+keeps; all but the last return the columns of documents.  Between stages the rows are written as Parquet and
+read again.  A decision names documents by doc_id: a row whose doc_id is null is judged by its text in the
+toxicity and secret stages, and kept by the other two.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tidemark.llm.byte_bpe import byte_bpe_round_trip
+from tidemark.llm.decontaminate import benchmark_overlap
+from tidemark.llm.jaccard import ngram_jaccard_classes
+from tidemark.llm.secrets import redact_secrets
+from tidemark.llm.shared import cut, without
+from tidemark.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network doesn't reject."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each class of five-word shingles of similarity 0.8 or more."""
+    classes = ngram_jaccard_classes(docs, words=5, percent=80)
+    return without(docs, cut(classes.where("doc_id <> component_id").select("doc_id"), "copies"), "doc_id")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    overlap = benchmark_overlap(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, cut(overlap.where("contaminated").select("doc_id"), "leaks"), "doc_id")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts masked."""
+    return redact_secrets(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): token ids, and the digests of a round trip."""
+    return byte_bpe_round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens)]
+
+#: A trained network can't be written as SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return docs

@@ -10,8 +10,8 @@ Each signature's documents are paired with one pivot; of these pairs each docume
 first.  Documents that are joined by such pairs, near or not, form a cluster, so that any two that share a
 signature are in one cluster.  Where a cluster's documents still belong to several components, the pairs
 across these are compared, tile by tile: clusters are cut into blocks, and a tile holds two of them.  Pairs
-inside one component need no comparison.  A parity sketch of one bit an element bounds how far two sets
-differ from below, and rules out most pairs before their sets are fetched.
+inside one component need no comparison.  A parity sketch of a few bits an element bounds how far two
+sets differ from below, and rules out most pairs before their sets are fetched.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ BAND_RATIO = 1.5
 FILTER_BUCKETS = 1 << 20
 #: Documents of a block, about; a tile holds two blocks of a cluster.
 BLOCK_ROWS = 2048
+#: Buckets of a sketch for each element, at least.  More tell closer pairs apart.
+SKETCH_BITS = 4
 
 
 def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,12 +109,12 @@ def signatures(doc: np.ndarray, value: np.ndarray, sizes: np.ndarray, percent: i
 
 
 def sketches(value: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Per set, the parity of its elements in each of 2 ** j buckets, at least one bucket an element.
+    """Per set, the parity of its elements in each of 2 ** j buckets, over SKETCH_BITS buckets an element.
 
     Two sets differ in at least as many elements as their parities differ in buckets."""
     out = []
     for part in np.split(value, np.cumsum(sizes)[:-1]):
-        bits = 1 << max(6, int(len(part)).bit_length())
+        bits = 1 << max(6, (SKETCH_BITS * len(part)).bit_length())
         out.append(np.packbits(np.bincount((part & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes())
     return out
 

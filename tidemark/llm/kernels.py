@@ -118,3 +118,14 @@ def within(words: Words, n: int) -> np.ndarray:
     """Which of the runs of n words lie in one text."""
     m = len(words) - n + 1
     return words.doc[:m] == words.doc[n - 1 :] if m > 0 else np.zeros(0, bool)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, an index of each, and each key's place among them."""
+    order = np.argsort(keys)
+    placed = keys[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = placed[1:] != placed[:-1]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(fresh) - 1
+    return placed[fresh], order[fresh], inverse

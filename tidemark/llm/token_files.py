@@ -44,6 +44,17 @@ def _classes() -> np.ndarray:
     return out
 
 
+def _plain(text: str) -> bool:
+    """Whether all characters are below FAST_BELOW."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return max(text) < chr(FAST_BELOW)
+    return True
+
+
 class WordTokenizer:
     """Ids of whole texts as the tokenizers library gives them, each distinct piece encoded once."""
 
@@ -54,6 +65,8 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.classes = _classes()
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -64,22 +77,35 @@ class WordTokenizer:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after another, and each one's number of ids.
+
+        One text holds all pieces: a piece's last token, and no other, ends a word."""
+        ids = np.array(self._library([" ".join(texts)])[0], np.uint32)
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) == len(texts) and last[-1] == len(ids):
+            return ids, np.diff(last, prepend=0)
+        each = self._library(texts)
+        return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
+
     def _remember(self, keys: list[int], texts: list[str]) -> None:
-        for key, ids in zip(keys, self._library(texts)):
-            if self.count == len(self.begin):
-                self.begin, self.length = np.resize(self.begin, 2 * self.count), np.resize(self.length, 2 * self.count)
-            while self.size + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.slots[key] = self.count
-            self.begin[self.count], self.length[self.count] = self.size, len(ids)
-            self.flat[self.size : self.size + len(ids)] = ids
-            self.count += 1
-            self.size += len(ids)
+        if not keys:
+            return
+        ids, length = self._pieces(texts)
+        here, there = self.count + len(keys), self.size + len(ids)
+        if here > len(self.begin):
+            self.begin, self.length = np.resize(self.begin, 2 * here), np.resize(self.length, 2 * here)
+        if there > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * there)
+        self.begin[self.count : here], self.length[self.count : here] = self.size + np.cumsum(length) - length, length
+        self.flat[self.size : there] = ids
+        self.slots.update(zip(keys, range(self.count, here)))
+        self.count, self.size = here, there
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text of a block."""
         lowered = [(text or "").lower() for text in texts]
-        plain = [i for i, text in enumerate(lowered) if text.isascii() or max(text) < chr(FAST_BELOW)]
+        plain = [i for i, text in enumerate(lowered) if _plain(text)]
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         rest = sorted({*range(len(texts))} - {*plain})
         for i, ids in zip(rest, self._library([texts[i] for i in rest])):
@@ -107,7 +133,7 @@ class WordTokenizer:
         at = np.flatnonzero(start)
         stop = np.flatnonzero((here > 0) & (start[1:] | (kind[2:-2] == 0))) + 1
         keys = K.SpanHash(codes)(at, stop)
-        distinct, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        distinct, index, inverse = K.distinct(keys)
         if self.count > MEMO:
             self._forget()
         listed = distinct.tolist()

@@ -261,7 +261,7 @@ class Scorer:
         self.model, self.slots, self.table = model, {}, np.zeros((1024, 6 * HIDDEN), np.float32)
 
     def _slots(self, words: K.Words) -> np.ndarray:
-        keys, one, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        keys, one, place = K.distinct(words.hashes())
         if len(self.slots) > MEMO:
             self.slots = {}
         listed = keys.tolist()

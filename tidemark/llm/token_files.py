@@ -179,11 +179,11 @@ def _write(path: str, end_id: int, directory: str, width: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, shard, sequence = WordTokenizer(path), None, 0
         for batch in batches:
-            texts, ids = batch["text"].tolist(), batch["doc_id"].astype("Int64").tolist()
+            texts, ids = batch["text"].tolist(), [None if x is None else int(x) for x in batch["doc_id"]]
             for a, z in K.blocks(texts):
                 for doc_id, tokens in zip(ids[a:z], encode(texts[a:z])):
                     shard = shard or _Shard(directory, sequence)
-                    shard.add(None if doc_id is pd.NA else doc_id, np.append(tokens, end_id).astype(width))
+                    shard.add(doc_id, np.append(tokens, end_id).astype(width))
                     if shard.total >= SHARD_TOKENS:
                         yield pd.DataFrame(shard.close())
                         shard, sequence = None, sequence + 1
@@ -204,7 +204,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, vocabulary: int =
     spark = docs.sparkSession
     width = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
-    ordered = docs.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    ordered = docs.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # as text: beside nulls, pandas has no integers
     shards = ordered.mapInPandas(_write(path, end_id, directory or new_path(spark, "tokens"), width), "partition int, sequence int, shard string, n_docs long, n_tokens long")
     order = Window.orderBy("partition", "sequence").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     return cut(shards, "shards").select("shard", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).cast("long").alias("base"), F.lit(width).alias("width"))

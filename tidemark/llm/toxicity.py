@@ -24,6 +24,7 @@ WINDOW, STRIDE, HIDDEN, INPUTS = 32, 24, 8, 4
 TRAIN_ROWS, TRAIN_CHARS = 1200, 8_000_000
 #: Windows of a training text that may become its highest.
 CANDIDATES = 4
+RARE = 2.0
 MEMO = 1 << 19
 _KINDS = {"word": np.uint64(0x51), "head": np.uint64(0x52), "inner": np.uint64(0x53)}
 
@@ -172,7 +173,7 @@ class ToxicityModel:
     def fit(self, texts: list[str | None], labels: list[int], epochs: int = 30) -> ToxicityModel:
         y = np.array(labels, np.int64)
         self.prior = float(y.mean()) if len(y) else 0.0
-        if y.min(initial=1) == y.max(initial=0):
+        if len({*labels}) < 2:
             return self
         per_text, pairs = [], []
         for a, z in K.blocks(texts):
@@ -218,6 +219,8 @@ class ToxicityModel:
         texts, step, draw = np.unique(owner), 0, np.random.default_rng(11)
         begin = np.searchsorted(owner, texts)
         final = np.full(len(texts), -9.0)
+        # the rarer label 1 counts up to RARE times as much
+        weight = np.where(y[texts] == 1, np.clip((y[texts] == 0).sum() / max(1, y[texts].sum()), 1, RARE), 1.0)
         for epoch in range(epochs):
             order = draw.permutation(len(texts))
             for part in np.array_split(order, max(1, len(order) // 128)):
@@ -230,7 +233,7 @@ class ToxicityModel:
                     for i, s, t in zip(edge, size, part):
                         top = i + int(np.argmax(logits[i : i + s]))
                         final[t] = logits[top]
-                        d[top] = (_sigmoid(logits[top]) - y[texts[t]]) / len(part)
+                        d[top] = weight[t] * (_sigmoid(logits[top]) - y[texts[t]]) / len(part)
                     return d
 
                 _, grad = gradients(self.net, x[:, at], mask[:, at], slope)
@@ -241,10 +244,11 @@ class ToxicityModel:
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
                     self.net[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) + 1e-5 * self.net[k]
-        # 0.5 becomes the threshold of least training error
+        # 0.5 becomes the threshold of least weighted training error
         order = np.argsort(final)
-        wrong = (y[texts] == 0).sum() - np.cumsum(np.where(y[texts][order] == 0, 1, -1))
-        best = np.flatnonzero(np.append((y[texts] == 0).sum(), wrong) == min((y[texts] == 0).sum(), wrong.min()))
+        clean = float((y[texts] == 0).sum())
+        wrong = np.append(clean, clean + np.cumsum(np.where(y[texts][order] == 0, -1.0, weight[order])))
+        best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
         ends = np.concatenate([[final[order[0]] - 2], final[order], [final[order[-1]] + 2]])
         middle = best[len(best) // 2]
         self.shift = float(np.clip((ends[middle] + ends[middle + 1]) / 2, -3, 3))

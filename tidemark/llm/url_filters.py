@@ -78,7 +78,7 @@ def _sweep(default: str):
                     continue
                 best, verdict = None, default
                 for _, rule_host, paths, sizes in reversed(stack):
-                    fits = max((n for n in sizes if path[:n] in paths), default=None)
+                    fits = max((n for n in sizes if n <= len(path) and path[:n] in paths), default=None)
                     if fits is not None and (best is None or len(rule_host) + fits > len(best)):
                         best, verdict = rule_host + path[:fits], paths[path[:fits]]
                 rules.append(best)

@@ -240,4 +240,5 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document of the manifest's shards; start counts the ids of all
     documents before it, and ids are little-endian unsigned 32-bit integers."""
-    return manifest.repartition("shard").mapInPandas(_read, "doc_id long, start long, n_tokens long, ids binary")
+    shards = max(1, manifest.count())  # a number of its own: rows are small, and Spark would put them all in one task
+    return manifest.repartition(shards, "shard").mapInPandas(_read, "doc_id long, start long, n_tokens long, ids binary")

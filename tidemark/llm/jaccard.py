@@ -32,7 +32,7 @@ BAND_RATIO = 1.5
 #: Rows of a broadcast filter on hashed ids, at most.
 FILTER_BUCKETS = 1 << 20
 #: Documents of a block, about; a tile holds two blocks of a cluster.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
 #: Buckets of a sketch for each element, at least.  More tell closer pairs apart.
 SKETCH_BITS = 4
 
@@ -154,33 +154,31 @@ def _emit(words: int, percent: int):
                 begin = np.concatenate([[0], np.cumsum(sizes)])
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(value), dtype=np.uint64)])
                 prints = K.mix(sums[begin[1:]] - sums[begin[:-1]] + sizes.astype(np.uint64) * K._GOLDEN)
-                yield pd.DataFrame({"kind": np.zeros(z - a, np.int8), "sig": prints.view(np.int64), "rank": sizes.astype(np.int32), "doc_id": here, "sketch": sketches(value, sizes)})
+                yield pd.DataFrame({"kind": np.zeros(z - a, np.int8), "sig": prints.view(np.int64), "n": sizes.astype(np.int32), "doc_id": here, "sketch": sketches(value, sizes)})
                 # equal sets of one batch send their signatures once
                 first = np.ones(z - a, bool)
                 for i, key in enumerate(zip(prints.tolist(), sizes.tolist())):
                     first[i] = key not in seen
                     seen.add(key)
                 at, sig = signatures(doc[first[doc]], value[first[doc]], np.where(first, sizes, 0), percent)
-                rank = (K.mix(here[at].view(np.uint64) ^ ((sig & np.uint64(3)) * _SEED)) >> np.uint64(33)).astype(np.int32)
-                yield pd.DataFrame({"kind": np.ones(len(at), np.int8), "sig": sig.view(np.int64), "rank": rank, "doc_id": here[at], "sketch": None})
+                yield pd.DataFrame({"kind": np.ones(len(at), np.int8), "sig": sig.view(np.int64), "n": np.zeros(len(at), np.int32), "doc_id": here[at], "sketch": None})
 
     return run
 
 
 def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by kind, sig, rank, doc_id.  Kind 0: every document with the first of its equal sets.
+    """Rows sorted by kind, sig, n, doc_id.  Kind 0: every document with the first of its equal sets.
     Kind 1: every further document of a signature, with the signature's first."""
     last = None
     for batch in batches:
-        kind, sig, rank, ids = (batch[c].to_numpy() for c in ("kind", "sig", "rank", "doc_id"))
+        kind, sig, size, ids = (batch[c].to_numpy() for c in ("kind", "sig", "n", "doc_id"))
         if not len(sig):
             continue
-        size = np.where(kind == 0, rank, 0)
         fresh = np.ones(len(sig), bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (kind[1:] != kind[:-1]) | (size[1:] != size[:-1])
         if last is not None and last[:3] == (kind[0], sig[0], size[0]):
             fresh[0] = False
-        fresh |= (kind == 0) & (rank == 0)
+        fresh |= (kind == 0) & (size == 0)
         lead = np.maximum.accumulate(np.where(fresh, np.arange(len(sig)), -1))
         pivot = np.where(lead >= 0, ids[np.maximum(lead, 0)], last[3] if last is not None else 0)
         last = (kind[-1], sig[-1], size[-1], pivot[-1])
@@ -279,7 +277,7 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id is not null")
-    rows = known.mapInPandas(_emit(words, percent), "kind byte, sig long, rank int, doc_id long, sketch binary").repartition("sig").sortWithinPartitions("kind", "sig", "rank", "doc_id")
+    rows = known.mapInPandas(_emit(words, percent), "kind byte, sig long, n int, doc_id long, sketch binary").repartition("sig").sortWithinPartitions("kind", "sig", "n", "doc_id")
     rows = cut(rows.mapInPandas(_gather, "kind byte, sig long, pivot long, doc_id long, n int, sketch binary"), "buckets")
     members = rows.where("kind = 0").select("doc_id", F.col("pivot").alias("rep"), F.col("n").cast("long").alias("n_shingles"))
     copies = members.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
@@ -290,8 +288,9 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) ->
         return frame.join(known_rep, column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
 
     def likely(pairs: DataFrame) -> DataFrame:
-        one = shapes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        two = shapes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        one, two = shapes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), shapes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+        pairs = pairs.join(one, "a").join(two, "b").where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
+        one, two = shapes.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), shapes.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
         return pairs.join(one, "a").join(two, "b").mapInPandas(_near(percent), "a long, b long, far long").groupBy("a", "b").agg(F.min("far").alias("far"))
 
     met = rows.where("kind = 1").select("sig", F.col("pivot").alias("a"), F.col("doc_id").alias("b"))

@@ -74,16 +74,24 @@ def _boundaries(chunk: int, overlap: int, pattern: str):
     return run
 
 
-def byte_bpe_encode(docs: DataFrame, path: str, pattern: str, chunk: int = 1 << 16, overlap: int = 1 << 10) -> DataFrame:
+def _chained(first, second):
+    """Both functions in one worker, batch by batch."""
+    return lambda batches: second(first(batches))
+
+
+def byte_bpe_encode(docs: DataFrame, path: str, pattern: str, chunk: int = 1 << 16, overlap: int = 1 << 10, then=None, schema: str = "ids binary") -> DataFrame:
     """(doc_id, ids) of every row of docs(doc_id, text): token ids as little-endian unsigned 32-bit integers.
 
     ``path``: a file of base64 tokens and ranks; each match of ``pattern`` is merged by itself.  Null and
     empty texts have no ids.  Repeated rows and null doc_ids are kept as they are; other columns are ignored.
-    ``overlap`` may not exceed ``chunk``.
+    ``overlap`` may not exceed ``chunk``.  ``then`` maps batches (doc_id, ids) on to ``schema`` in the workers
+    that encode.
     """
+    encode = _encode(path, pattern)
+    whole = _chained(encode, then) if then else encode
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     long_text = F.coalesce(F.length("text"), F.lit(0)) > chunk
-    out = through(docs.where(~long_text), _encode(path, pattern), "doc_id", "ids binary")
+    out = through(docs.where(~long_text), whole, "doc_id", schema)
     long_docs = cut(docs.where(long_text).withColumn("rid", F.monotonically_increasing_id()), "long")
     if long_docs.isEmpty():
         return out
@@ -97,11 +105,12 @@ def byte_bpe_encode(docs: DataFrame, path: str, pattern: str, chunk: int = 1 <<
     marked = cut(marked, "chunks")
     own = F.col("begin") - F.col("part") * chunk
     pieces = marked.where("not lost").select("rid", "part", F.when(F.col("last"), F.expr(f"substring(piece, cast(begin - part * {chunk} as int) + 1)")).otherwise(F.substring("piece", own.cast("int") + 1, (F.col("end") - F.col("begin")).cast("int"))).alias("text"))
-    parts = pieces.repartition("rid", "part").mapInPandas(_encode(path, pattern), "rid long, part int, ids binary")
+    parts = pieces.repartition("rid", "part").mapInPandas(encode, "rid long, part int, ids binary")
     joined = parts.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts")).select("rid", F.expr("unhex(array_join(transform(parts, p -> hex(p.ids)), ''))").alias("ids"))
     joined = long_docs.drop("text").join(joined, "rid").select("doc_id", "ids")
+    joined = through(joined, then, "doc_id", schema) if then else joined
     lost = marked.where("lost").select("rid").distinct()
-    lost = through(long_docs.join(lost, "rid", "left_semi").select("doc_id", "text"), _encode(path, pattern), "doc_id", "ids binary")
+    lost = through(long_docs.join(lost, "rid", "left_semi").select("doc_id", "text"), whole, "doc_id", schema)
     return out.unionByName(joined).unionByName(lost)
 
 
@@ -141,5 +150,5 @@ def _digest(path: str, pattern: str):
 def byte_bpe_round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = 1 << 16, overlap: int = 1 << 10) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): the ids of ``byte_bpe_encode``, and the digests of
     them, joined by commas, and of the bytes that they decode to."""
-    tokens = byte_bpe_encode(docs, path, pattern, chunk, overlap)
-    return through(tokens, _digest(path, pattern), "doc_id", "n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
+    return byte_bpe_encode(docs, path, pattern, chunk, overlap, _digest(path, pattern), schema)

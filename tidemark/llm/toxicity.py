@@ -21,11 +21,11 @@ from tidemark.llm.shared import through
 
 WINDOW, STRIDE, HIDDEN, INPUTS = 32, 24, 8, 4
 #: Labelled rows for training, of each label at most, by hash order; and their characters in all.
-TRAIN_ROWS, TRAIN_CHARS = 1200, 8_000_000
+TRAIN_ROWS, TRAIN_CHARS = 1200, 5_000_000
 #: Windows of a training text that may become its highest.
 CANDIDATES = 4
 RARE = 2.0
-MEMO = 1 << 19
+MEMO = 1 << 17
 _KINDS = {"word": np.uint64(0x51), "head": np.uint64(0x52), "inner": np.uint64(0x53)}
 
 
@@ -277,7 +277,7 @@ class Scorer:
             odds = np.where(model.keys[at] == value, model.odds[at], 0).astype(np.float32) if len(model.keys) else np.zeros(len(value), np.float32)
             x = word_inputs(index, column, odds, len(new))
             if have + len(new) > len(self.table):
-                self.table = np.resize(self.table, (2 * (have + len(new)), 6 * HIDDEN))
+                self.table = np.resize(self.table, (have + len(new) + (have + len(new)) // 4, 6 * HIDDEN))
             self.table[have : have + len(new)] = np.concatenate([x @ model.net["Wf"] + model.net["bf"], x @ model.net["Wb"] + model.net["bb"]], 1)
             self.slots.update(zip((listed[j] for j in new), range(have, have + len(new))))
         return np.fromiter(map(self.slots.__getitem__, listed), np.int64, len(listed))[place]
@@ -292,10 +292,10 @@ class Scorer:
         slots = self._slots(words)
         text, at = windows(words.counts())
         best = np.full(len(texts), -np.inf)
-        for a in range(0, len(text), 4096):
-            steps, mask = _steps(words.first, text[a : a + 4096], at[a : a + 4096])
+        for a in range(0, len(text), 2048):
+            steps, mask = _steps(words.first, text[a : a + 2048], at[a : a + 2048])
             gates = self.table[slots[steps]]
-            np.maximum.at(best, text[a : a + 4096], forward(self.model.net, gates[..., : 3 * HIDDEN], gates[..., 3 * HIDDEN :], mask))
+            np.maximum.at(best, text[a : a + 2048], forward(self.model.net, gates[..., : 3 * HIDDEN], gates[..., 3 * HIDDEN :], mask))
         return np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best - self.model.shift, -30, 30))), out)
 
 

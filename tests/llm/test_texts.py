@@ -127,6 +127,24 @@ def test_site_tree_removes_what_repeats(make):
     assert all(r.text.startswith("Every page") for r in html_extract.extract_articles(other).collect())
 
 
+def test_site_tree_decides_inside_articles(make):
+    rng = random.Random(2)
+    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(40))
+    story = [[prose() for _ in range(rng.randrange(1, 5))] for _ in range(12)]
+    deep, shut = "<div>" * 12, "</div>" * 12
+    page = lambda i, paragraphs: f"<article id=p{i}><h1>Title {i}</h1>" + "".join(f"<p>{x} by <b>Staff</b></p>" for x in paragraphs) + f"{deep}<div class=more>Read more here</div>{shut}<p>No warranty<br>of any kind</p></article>"
+    text = lambda i, paragraphs: "\n".join([f"Title {i}", *(f"{x} by Staff" for x in paragraphs)])
+    frame = make([(i, page(i, x)) for i, x in enumerate(story)], "page_id", "html").withColumn("url", F.lit("http://a.b/c"))
+    assert {r.page_id: r.text for r in html_extract.extract_articles(frame).collect()} == {i: text(i, x) for i, x in enumerate(story)}
+    # Copies and near copies of one article aren't boilerplate, and few pages aren't judged
+    whole = lambda i, paragraphs: text(i, paragraphs) + "\nRead more here\nNo warranty of any kind"
+    copies = [[*story[0], "an end"][: len(story[0]) + (i > 4)] for i in range(8)]
+    frame = make([(i, page(0, x)) for i, x in enumerate(copies)], "page_id", "html").withColumn("url", F.lit("http://a.b/c"))
+    assert {r.page_id: r.text for r in html_extract.extract_articles(frame).collect()} == {i: whole(0, x) for i, x in enumerate(copies)}
+    frame = make([(i, page(i, x)) for i, x in enumerate(story[:3])], "page_id", "html").withColumn("url", F.lit("http://a.b/c"))
+    assert {r.page_id: r.text for r in html_extract.extract_articles(frame).collect()} == {i: whole(i, x) for i, x in enumerate(story[:3])}
+
+
 def test_extraction_of_odd_rows(make):
     got = html_extract.extract_articles(make([*ODD, (2**60 + 1, "<p>x")], "page_id", "html").withColumn("url", F.lit(None).cast("string"))).collect()
     assert len(got) == len(ODD) + 1 and all(r.n_chars == len(r.text) for r in got) and {r.page_id for r in got} >= {None, 2**60 + 1}

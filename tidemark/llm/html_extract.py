@@ -1,13 +1,18 @@
 """HTML extraction with a site style tree (after Yi, Liu and Li 2003).
 
-The pages of a host are merged: branches of the same tags and attributes, on the same path from the root, are
-one node of the host's tree.  A node's presentation importance is the entropy of its children's styles over
-the pages, its content importance that of its contents, both divided by the most that so many pages could
-have.  Branches where both are low repeat from page to page and are removed from each page.
-
-Entropy alone can't tell menus, adverts and footers that change with each page from text, nor copies of one
-article on one host from boilerplate.  So branches whose tags, roles or class names say what they are have no
-importance, and the page's own article or main element has full importance.
+The pages of a host are merged: branches of the same tags and attributes, on the same path, are one node of the
+host's tree, at every level.  Paths begin at the page, and anew at an article or main element, so that layouts
+and ids around articles don't matter inside them.  A node's presentation importance is the entropy of its
+children's styles over the pages, its content importance that of its contents, both divided by the most that so
+many pages could have.  Branches where both are low repeat from page to page and are removed; inside an article
+only from pages whose content there is itself a repeated one.
+
+Copies are told from boilerplate first.  Inside articles, pages on which all but the branch has the same longest
+run of text count once for it, so copies and near copies of one article aren't evidence; outside, equal pages do.
+
+Entropy alone can't tell menus, adverts and footers that change with each page from text.  So branches whose
+tags, roles or class names say what they are have no importance, and the page's own article or main element
+itself is never removed.
 """
 
 from __future__ import annotations
@@ -26,8 +31,12 @@ from tidemark.llm.url_filters import url_parts
 
 #: A node seen on fewer pages is never judged by its entropy; below LEAST_IMPORTANCE it is noise.
 LEAST_PAGES, LEAST_IMPORTANCE = 4, 0.3
-#: Levels of the tree that are merged.
-DEPTH = 8
+#: Stands for any content of a node.
+ANY = 0
+#: Inside articles: elements that are also judged by their place among siblings of one style, from either end;
+#: and those directly in which inline elements are judged too, unless they hold running text of their own.
+_PLACED = frozenset("blockquote div ol p section ul".split())
+_HOLDERS = frozenset("article div main section".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.S)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -41,14 +50,15 @@ _CLOSES_P = _BLOCK - {"body", "html"}
 
 
 class Node:
-    """One element: its style, what is inside in order (texts and elements), and its parent."""
+    """One element: its style, what is inside in order (texts and elements), its parent; and, once placed, the
+    key of its path and the keys of the tree's nodes that it is judged by."""
 
-    __slots__ = ("tag", "style", "inside", "parent", "noise", "root")
+    __slots__ = ("tag", "style", "inside", "parent", "noise", "root", "key", "judged")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         found = {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
         names, role = f"{found.get('class', '')} {found.get('id', '')}", found.get("role", "").lower()
-        self.tag, self.inside, self.parent = tag, [], parent
+        self.tag, self.inside, self.parent, self.key, self.judged = tag, [], parent, 0, ()
         self.style = tag + "".join(f".{x}" for x in sorted(found.get("class", "").split())) + (f"#{found['id']}" if found.get("id") else "")
         self.root = tag in ("article", "main") or role in ("main", "article")
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
@@ -124,9 +134,13 @@ def _inside(node: Node, other: Node) -> bool:
     return False
 
 
-def main_text(page: str | None, noise_paths: frozenset[str] = frozenset()) -> str:
-    """The page's article: blocks in page order, white space as one space, joined by line feeds."""
+def main_text(page: str | None, noise: frozenset[tuple[int, int]] = frozenset()) -> str:
+    """The page's article: blocks in page order, white space as one space, joined by line feeds.
+
+    noise: (key, content) of the host's nodes without importance, as signed numbers.
+    """
     top = parse(page or "")
+    dropped = {key for key, _, _, content, _ in branches(top) if (_signed(key), ANY) in noise or (_signed(key), _signed(content)) in noise} if noise else frozenset()
     roots = _roots(top, [])
     blocks: list[str] = []
     open_block: list[str] = []
@@ -137,10 +151,10 @@ def main_text(page: str | None, noise_paths: frozenset[str] = frozenset()) -> st
         open_block.clear()
 
     for root in roots or [top]:
-        # (node, position inside, path); an explicit stack, as pages may nest deeply
-        stack: list[list] = [[root, 0, None if roots else ""]]
+        # (node, position inside); an explicit stack, as pages may nest deeply
+        stack: list[list] = [[root, 0]]
         while stack:
-            node, i, path = stack[-1]
+            node, i = stack[-1]
             if i == len(node.inside):
                 if node.tag in _BLOCK:
                     flush()
@@ -151,9 +165,8 @@ def main_text(page: str | None, noise_paths: frozenset[str] = frozenset()) -> st
             if isinstance(child, str):
                 open_block.append(child)
                 continue
-            here = None if path is None else f"{path}/{child.style}"
             header = child.tag == "header" and not roots
-            if child.noise or header or here is not None and here in noise_paths:
+            if child.noise or header or dropped and not dropped.isdisjoint(child.judged):
                 if child.tag in _BLOCK:
                     flush()
                 continue
@@ -161,7 +174,7 @@ def main_text(page: str | None, noise_paths: frozenset[str] = frozenset()) -> st
                 flush()
             elif child.tag in ("br", "td", "th", "img"):
                 open_block.append(" ")
-            stack.append([child, 0, here])
+            stack.append([child, 0])
         flush()
     return "\n".join(blocks)
 
@@ -170,45 +183,105 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def branches(page: str | None) -> Iterator[tuple[str, int, int]]:
-    """(path, hash of the children's styles, hash of the content) of the page's branches, down to its articles."""
-    stack = [(parse(page or ""), "", 0)]
+def _hash(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed)
+
+
+def _place(node: Node, within: int) -> None:
+    """Keys of the elements in ``node``, which is outside (0), in a main (1) or in an article element (2)."""
+    children = [x for x in node.inside if isinstance(x, Node) and not x.noise]
+    placed: dict[str, list[Node]] = {}
+    inline = within and node.tag in _HOLDERS and not any(isinstance(x, str) and x.strip() for x in node.inside)
+    for child in children:
+        if child.root and within < 2:
+            child.key, child.judged = _hash(child.tag, 1), ()
+            continue
+        child.key = _hash(child.style, node.key)
+        child.judged = (child.key,) if not within or child.tag in _BLOCK or inline and child.tag not in ("td", "th") else ()
+        if within and child.tag in _PLACED:
+            placed.setdefault(child.style, []).append(child)
+    for style, same in placed.items():
+        if len(same) > 1:
+            for i, child in enumerate(same):
+                child.judged += (_hash(f"{style} {i}", node.key), _hash(f"{style} {i - len(same)}", node.key))
+
+
+def branches(top: Node) -> list[tuple[int, bool, int, int, int]]:
+    """(key, whether in an article, hash of the children's styles, hash of the content, hash of what else the page
+    has) of each of the tree's nodes that the page has with any text; elements of one node count together.
+
+    What else the page has is inside articles its longest run of article text elsewhere, outside its whole content.
+    """
+    runs: list[tuple[int, int]] = []
+    found: dict[int, list] = {}
+    whole = 0
+    # node, position inside, where it is (see _place), first run, hashes of what it holds
+    stack: list[list] = [[top, 0, 0, 0, []]]
+    _place(top, 0)
     while stack:
-        node, path, depth = stack.pop()
-        for child in node.inside:
-            if isinstance(child, str) or child.noise or depth == DEPTH:
-                continue
-            here = f"{path}/{child.style}"
-            content = xxhash.xxh64()
-            inner = [child]
-            while inner:
-                x = inner.pop()
-                for y in x.inside:
-                    content.update(y.encode("utf-8", "surrogatepass")) if isinstance(y, str) else inner.append(y)
-            children = "|".join(y.style for y in child.inside if isinstance(y, Node))
-            yield here, _signed(xxhash.xxh64_intdigest(children)), _signed(content.intdigest())
-            if not child.root:
-                stack.append((child, here, depth + 1))
+        node, i, within, begin, held = frame = stack[-1]
+        if i < len(node.inside):
+            frame[1] += 1
+            x = node.inside[i]
+            if isinstance(x, str):
+                if text := " ".join(x.split()):
+                    held.append(_hash(text))
+                    if within:
+                        runs.append((len(text), held[-1]))
+            elif not x.noise:
+                inner = 2 if x.tag == "article" and x.root else max(within, int(x.root))
+                _place(x, inner)
+                stack.append([x, 0, inner, len(runs), []])
+            continue
+        stack.pop()
+        if not held:
+            continue
+        content = held[0] if len(held) == 1 else _hash(" ".join(map(str, held)))
+        if stack:
+            stack[-1][4].append(content)
+        else:
+            whole = content
+        if node.judged:
+            style = _hash("|".join(y.style for y in node.inside if isinstance(y, Node) and not y.noise))
+            for key in node.judged:
+                if (seen := found.get(key)) is None:
+                    found[key] = [within > 0, begin, len(runs), style, content]
+                else:
+                    seen[1:] = min(seen[1], begin), len(runs), _hash(str(style), seen[3]), _hash(str(content), seen[4])
+    before, after = [(0, 0)], [(0, 0)]
+    for run in runs:
+        before.append(max(before[-1], run))
+    for run in reversed(runs):
+        after.append(max(after[-1], run))
+    last = len(runs)
+    return [(key, inside, style, content, max(before[begin], after[last - end])[1] if inside else whole) for key, (inside, begin, end, style, content) in found.items()]
 
 
 def _branches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = [(host, path, kind, h) for host, page in zip(batch["host"], batch["html"]) for path, style, content in branches(page) for kind, h in ((0, style), (1, content))]
-        yield pd.DataFrame(out, columns=["host", "path", "kind", "hash"])
+        out = [(host, _signed(key), inside, _signed(style), _signed(content), _signed(rest)) for host, page in zip(batch["host"], batch["html"]) for key, inside, style, content, rest in branches(parse(page or ""))]
+        yield pd.DataFrame(out, columns=["host", "key", "inside", "style", "content", "rest"])
 
 
 def site_noise(pages: DataFrame) -> DataFrame:
-    """(host, paths): paths of each host's style tree whose presentation and content both hardly vary."""
-    seen = pages.select("host", "html").mapInPandas(_branches, "host string, path string, kind byte, hash long")
-    variants = seen.groupBy("host", "path", "kind", "hash").agg(F.count("*").alias("c"))
-    spread = variants.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s")).where(F.col("m") >= LEAST_PAGES)
-    nodes = spread.groupBy("host", "path").agg(F.max(F.lit(1.0) - F.col("s") / (F.col("m") * F.log("m"))).alias("importance"))
-    return cut(nodes.where(F.col("importance") < LEAST_IMPORTANCE).groupBy("host").agg(F.collect_list("path").alias("paths")), "noise")
+    """(host, keys, contents), two arrays of one length: nodes of each host's style tree whose presentation and
+    content both hardly vary.  Outside articles a content is ANY; inside, each that LEAST_PAGES different pages have.
+    """
+    seen = pages.select("host", "html").mapInPandas(_branches, "host string, key long, inside boolean, style long, content long, rest long").distinct()
+    kinds = seen.select("host", "key", "inside", F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(name).alias("hash")) for kind, name in enumerate(("style", "content"))))).alias("k"))
+    variants = kinds.groupBy("host", "key", "inside", F.col("k.kind").alias("kind"), F.col("k.hash").alias("hash")).agg(F.count("*").alias("c"))
+    often = F.collect_list(F.when(F.expr(f"inside AND kind = 1 AND c >= {LEAST_PAGES}"), F.col("hash"))).alias("often")
+    spread = variants.groupBy("host", "key", "inside", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"), often).where(F.col("m") >= LEAST_PAGES)
+    nodes = spread.groupBy("host", "key", "inside").agg(F.max(F.lit(1.0) - F.col("s") / (F.col("m") * F.log("m"))).alias("importance"), F.flatten(F.collect_list("often")).alias("often"))
+    noise = nodes.where(F.col("importance") < LEAST_IMPORTANCE).select("host", "key", F.explode(F.when(F.col("inside"), F.col("often")).otherwise(F.array(F.lit(ANY)))).alias("content"))
+    noise = noise.groupBy("host").agg(F.collect_list(F.struct("key", "content")).alias("noise"))
+    return cut(noise.select("host", F.col("noise.key").alias("keys"), F.col("noise.content").alias("contents")), "noise")
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        texts = [main_text(page, frozenset(paths) if paths is not None else frozenset()) for page, paths in zip(batch.pop("html"), batch.pop("paths"))]
+        noise = (frozenset(zip(keys, contents)) if keys is not None else frozenset() for keys, contents in zip(batch.pop("keys"), batch.pop("contents")))
+        texts = [main_text(*x) for x in zip(batch.pop("html"), noise)]
         yield batch.assign(text=texts)
 
 
@@ -217,11 +290,11 @@ def extract_articles(pages: DataFrame) -> DataFrame:
 
     The text is the page's article element, or its main element, or else its body, without branches that are
     menus, page headers, footers, sidebars, notices, adverts, forms, comments or hidden, scripts and styles,
-    and without those that the host's style tree finds unimportant.  A null or empty page has an empty text.
+    and without those that the host's style tree finds unimportant, inside the article as well.  A null or empty page has an empty text.
     Pages of a null URL are one host.  Repeated rows and null ids are kept; other columns are ignored.
     """
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     pages = pages.withColumn("host", url_parts(F.col("url"))[0])
-    joined = pages.join(site_noise(pages), "host", "left").select("page_id", "url", "html", "paths")
+    joined = pages.join(site_noise(pages), "host", "left").select("page_id", "url", "html", "keys", "contents")
     out = through(joined, _extract, "page_id", "url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

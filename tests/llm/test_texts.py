@@ -266,6 +266,14 @@ def test_contexts_find_unseen_identifiers(make):
     assert got[20] == [("context", 14, 25)] and got[21] == [] and all(got[i][0][0] == "phone" for i in range(8))
 
 
+def test_contexts_reach_over_earlier_matches(make):
+    rows = [(i, f"desk 7 at +1 555 000 1{i:03d}") for i in range(8)] + [(10 + i, f"write u{i}@b.cc and v{i}@b.cc today") for i in range(8)]
+    rows += [(20 + i, f"{'a' + 'x' * 80} on +1 555 000 2{i:03d}") for i in range(8)] + [(30 + i, f"ids are: +1-555-000-3{i:03d} tel +1-555-000-4{i:03d}") for i in range(8)]
+    rows += [(40, "desk 12 at 0049-777-12 now"), (41, "u5@b.cc\tAND 0049-777-13"), (42, f"{'b' + 'x' * 80} on 0049-777-14"), (43, f"{'A' + 'X' * 80} ON 0049-777-15"), (44, "+0-000-000-0 tel 0049-777-16"), (45, "by +1-555-000-9999 tel 0049-777-17"), (46, "1234," * 3000)]
+    got = {r.doc_id: [(s["kind"], s["start"]) for s in r.spans if s["kind"] == "context"] for r in personal_spans(make(rows)).collect()}
+    assert [got[i] for i in range(40, 47)] == [[("context", 11)], [("context", 12)], [], [("context", 85)], [("context", 17)], [("context", 23)], []]
+
+
 # 8. Byte-level BPE
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

@@ -16,8 +16,8 @@ from tidemark.llm.shared import cut
 ROUNDS = 3
 #: A pattern needs so many different seeds, and at last this confidence.
 LEAST_SEEDS, LEAST_CONFIDENCE = 5, 0.6
-#: Characters before a match in which its pattern is looked for.
-CONTEXT = 64
+#: A longer pattern is named by its MD5 (which has no space, as patterns have), so that rows stay short.
+LONGEST = 64
 KINDS = ["email", "ip", "card", "phone", "context"]
 
 # The base kinds.  Each begins where no earlier character could belong to the match, or where the
@@ -32,29 +32,38 @@ _BASE = {
 }
 #: Runs of sign, letter and digit with a digit among them; of these, the ones with four digits are candidates.
 _TOKEN = (r"(?:(?<![A-Za-z0-9_.@+/-])|\G)(?=[A-Za-z_.@+/-]*+[0-9])[A-Za-z0-9_.@+/-]++", "text rlike '[0-9]'", "length(regexp_replace(v.s, '[^0-9]', '')) >= 4")
-_MATCH = "array<struct<start: bigint, end: bigint, s: string, before: string>>"
+_MATCH = "array<struct<start: bigint, end: bigint, s: string, pattern: string>>"
+
+
+def _plain(text: str) -> str:
+    """SQL: lower-cased, runs of digits as 0 and of white space as one space.  No match begins or ends inside such
+    a run, so pieces may be treated one by one (a final sigma is a sigma for that reason)."""
+    return f"regexp_replace(regexp_replace(translate(lower({text}), 'ς', 'σ'), '[0-9]+', '0'), '\\\\s+', ' ')"
+
+
+def _pattern(before: str) -> str:
+    """SQL: the two words before a match, of the plain text before it; empty if there are fewer."""
+    words = f"substring_index(trim({before}), ' ', -2)"
+    return f"CASE WHEN instr({words}, ' ') = 0 THEN '' WHEN length({words}) > {LONGEST} THEN md5({words}) ELSE {words} END"
 
 
 def _matches(rule: tuple[str, str, str]) -> str:
-    """SQL for the matches of a pattern in ``text``, with their code points and the text before each.
+    """SQL for the matches of a pattern in ``text``, with their code points and the two words before each.
 
     The pieces between the matches and the matches themselves alternate, so their lengths add up to positions.
+    The last words are carried over all of them, matches included, so that none of a list loses its context.
     """
     pattern, worth, valid = rule
     quoted = "r'" + pattern + "'"
     return f"""
-    CASE WHEN {worth} THEN filter(aggregate(
-      zip_with(split(text, {quoted}, -1), regexp_extract_all(text, {quoted}, 0), (p, s) -> struct(length(p) AS n, right(p, {CONTEXT}) AS before, s AS s)),
-      struct(0L AS at, cast(array() AS {_MATCH}) AS found),
-      (a, x) -> CASE WHEN x.s IS NULL THEN a ELSE struct(
-        a.at + x.n + length(x.s) AS at,
-        array_append(a.found, struct(a.at + x.n AS start, a.at + x.n + length(x.s) AS end, x.s AS s, x.before AS before)) AS found) END,
-      a -> a.found), v -> {valid}) ELSE cast(array() AS {_MATCH}) END"""
-
-
-def _pattern(before: str) -> str:
-    """SQL: the two words before a match, lower-cased, any digits as 0; empty if there are fewer."""
-    return f"regexp_replace(regexp_extract(lower({before}), r'(\\S+\\s+\\S+)\\s*$', 1), '[0-9]+|\\\\s+', '0')"
+    CASE WHEN {worth} THEN aggregate(
+      zip_with(split(text, {quoted}, -1), regexp_extract_all(text, {quoted}, 0), (p, s) -> struct(length(p) AS n, CASE WHEN s IS NOT NULL THEN {_plain("p")} END AS before, s AS s)),
+      struct(0L AS at, '' AS words, cast(array() AS {_MATCH}) AS found),
+      (a, v) -> CASE WHEN v.s IS NULL THEN a ELSE struct(
+        a.at + v.n + length(v.s) AS at,
+        substring_index(concat(a.words, v.before, {_plain("v.s")}), ' ', -3) AS words,
+        CASE WHEN {valid} THEN array_append(a.found, struct(a.at + v.n AS start, a.at + v.n + length(v.s) AS end, v.s AS s, {_pattern("concat(a.words, v.before)")} AS pattern)) ELSE a.found END AS found) END,
+      a -> a.found) ELSE cast(array() AS {_MATCH}) END"""
 
 
 def personal_spans(docs: DataFrame) -> DataFrame:
@@ -65,13 +74,13 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     ignored; no rows give no rows.  A text's seeds count once for each pattern, value and corpus.
     """
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    tagged = [f"transform({_matches(rule)}, m -> struct(m.start AS start, {rank} AS rank, m.end AS end, '{kind}' AS kind, m.s AS s, m.before AS before))" for rank, (kind, rule) in enumerate(_BASE.items())]
+    tagged = [f"transform({_matches(rule)}, m -> struct(m.start AS start, {rank} AS rank, m.end AS end, '{kind}' AS kind, m.s AS s, m.pattern AS pattern))" for rank, (kind, rule) in enumerate(_BASE.items())]
     found = texts.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.expr(f"concat({', '.join(tagged)})").alias("base"), F.expr(_matches(_TOKEN)).alias("tokens"))
     found = found.withColumn("tokens", F.expr("filter(tokens, t -> NOT exists(base, b -> b.start < t.end AND t.start < b.end))"))
     found = cut(found, "matches")
 
-    seeds = found.select(F.explode("base").alias("b")).select(F.expr(_pattern("b.before")).alias("pattern"), F.col("b.s").alias("value"), F.lit(1).alias("seed"))
-    places = found.select("rid", F.explode("tokens").alias("t")).select("rid", "t.start", "t.end", F.expr(_pattern("t.before")).alias("pattern"), F.col("t.s").alias("value")).where("pattern <> ''")
+    seeds = found.select(F.explode("base").alias("b")).select("b.pattern", F.col("b.s").alias("value"), F.lit(1).alias("seed"))
+    places = found.select("rid", F.explode("tokens").alias("t")).select("rid", "t.start", "t.end", "t.pattern", F.col("t.s").alias("value")).where("pattern <> ''")
     edges = seeds.where("pattern <> ''").unionByName(places.select("pattern", "value", F.lit(0).alias("seed"))).groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     # Only patterns with seeds enough can ever be confident, so the graph keeps theirs alone
     able = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS).select("pattern")

@@ -274,6 +274,14 @@ def test_contexts_reach_over_earlier_matches(make):
     assert [got[i] for i in range(40, 47)] == [[("context", 11)], [("context", 12)], [], [("context", 85)], [("context", 17)], [("context", 23)], []]
 
 
+def test_contexts_discover_further_contexts(make):
+    rows = [(i, f"please call me at +1 555 000 1{i:03d} today") for i in range(8)] + [(20 + i, f"or call me at M-4000{i} now") for i in range(6)]
+    rows += [(30 + i, f"my member number M-4000{i}") for i in range(6)] + [(40 + i, f"my member number M-7000{i}") for i in range(5)]
+    rows += [(50 + i, f"the holder is M-7000{i}") for i in range(5)] + [(60, "the holder is M-99999"), (61, "see part M-40000"), (62, "see part 12345")]
+    got = {r.doc_id: [s["kind"] for s in r.spans] for r in personal_spans(make(rows)).collect()}
+    assert {i for i, kinds in got.items() if kinds == ["context"]} == {*range(20, 26), *range(30, 36), *range(40, 45), *range(50, 55), 60} and got[61] == got[62] == []
+
+
 # 8. Byte-level BPE
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")

@@ -3,7 +3,8 @@
 Seeds are the matches of four fixed kinds.  The two words before a seed are a lexical pattern; identifier-like
 tokens after the same words are its further instances.  Patterns and instances form a graph that is scored
 in turns: a pattern by the mean score of its instances, an instance by how surely some pattern leads to it.
-Tokens after patterns of high confidence are unseen identifiers, and become spans of kind ``context``.
+Tokens after patterns of high confidence are unseen identifiers, and become spans of kind ``context``; they
+count like seeds for further patterns, until no new one becomes confident.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import cut
 
 ROUNDS = 3
-#: A pattern needs so many different seeds, and at last this confidence.
+#: A pattern needs so many different seeds or accepted instances, and at last this confidence.
 LEAST_SEEDS, LEAST_CONFIDENCE = 5, 0.6
 #: A longer pattern is named by its MD5 (which has no space, as patterns have), so that rows stay short.
 LONGEST = 64
@@ -66,6 +67,34 @@ def _matches(rule: tuple[str, str, str]) -> str:
       a -> a.found) ELSE cast(array() AS {_MATCH}) END"""
 
 
+def trusted_patterns(edges: DataFrame) -> DataFrame:
+    """(pattern) of every pattern of edges(pattern, value, seed) that becomes confident.
+
+    Each turn takes the patterns with LEAST_SEEDS instances that are seeds or were accepted in earlier turns (after
+    a trusted pattern), scores their graph in ROUNDS rounds from these, and ends the search if no pattern is new.
+    """
+    start, trusted = edges.withColumn("score", F.col("seed").cast("double")), None
+    while True:
+        # Patterns with fewer can't be confident in this turn, so the graph keeps the others alone
+        able = start.groupBy("pattern").agg(F.count_if(F.col("score") > 0).alias("known")).where(F.col("known") >= LEAST_SEEDS).select("pattern")
+        scored = graph = cut(start.join(able, "pattern", "left_semi"), "graph")
+        for _ in range(ROUNDS):
+            confident = scored.groupBy("pattern").agg(F.avg("score").alias("confidence"))
+            sure = graph.join(confident, "pattern")
+            instances = sure.groupBy("value").agg(F.max("score").alias("known"), (F.lit(1.0) - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("reached"))
+            scored = graph.drop("score").join(instances.select("value", F.greatest("known", "reached").alias("score")), "value")
+            scored = cut(scored.select("pattern", "value", "seed", "score"), "scored")
+        found = scored.groupBy("pattern").agg(F.avg("score").alias("confidence")).where(F.col("confidence") >= LEAST_CONFIDENCE).select("pattern")
+        if trusted is not None:
+            found = found.join(trusted, "pattern", "left_anti")
+        found = cut(found, "trusted")
+        if found.isEmpty():
+            return found if trusted is None else trusted
+        trusted = found if trusted is None else cut(trusted.unionByName(found), "trusted")
+        accepted = scored.join(trusted, "pattern", "left_semi").groupBy("value").agg(F.max("score").alias("accepted"))
+        start = edges.join(accepted, "value", "left").select("pattern", "value", "seed", F.greatest(F.col("seed").cast("double"), F.coalesce("accepted", F.lit(0.0))).alias("score"))
+
+
 def personal_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) of every row of docs(doc_id, text): spans is an array of (start, rank, end, kind), in code
     points with the end exclusive, by start and then by kind as listed.
@@ -82,17 +111,8 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     seeds = found.select(F.explode("base").alias("b")).select("b.pattern", F.col("b.s").alias("value"), F.lit(1).alias("seed"))
     places = found.select("rid", F.explode("tokens").alias("t")).select("rid", "t.start", "t.end", "t.pattern", F.col("t.s").alias("value")).where("pattern <> ''")
     edges = seeds.where("pattern <> ''").unionByName(places.select("pattern", "value", F.lit(0).alias("seed"))).groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    # Only patterns with seeds enough can ever be confident, so the graph keeps theirs alone
-    able = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS).select("pattern")
-    edges = cut(edges.join(able, "pattern", "left_semi"), "edges")
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
-    for _ in range(ROUNDS):
-        confident = scored.groupBy("pattern").agg(F.avg("score").alias("confidence"))
-        sure = edges.join(confident, "pattern")
-        instances = sure.groupBy("value").agg(F.max("seed").alias("known"), (F.lit(1.0) - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("reached"))
-        scored = edges.join(instances.select("value", F.greatest(F.col("known").cast("double"), "reached").alias("score")), "value")
-        scored = cut(scored.select("pattern", "value", "seed", "score"), "scored")
-    trusted = scored.groupBy("pattern").agg(F.avg("score").alias("confidence")).where(F.col("confidence") >= LEAST_CONFIDENCE).select("pattern")
+    edges = cut(edges, "edges")
+    trusted = trusted_patterns(edges)
     unseen = places.join(trusted, "pattern", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("start", F.lit(len(_BASE)).alias("rank"), "end", F.lit("context").alias("kind"))).alias("more"))
     plain = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["rank"].alias("rank"), b["end"].alias("end"), b["kind"].alias("kind")))
     none = F.array().cast("array<struct<start: bigint, rank: int, end: bigint, kind: string>>")

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Text bytes handled at once; a text longer than this forms a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -35,12 +35,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    if len(_powers.get(base, ())) < n:
-        steps = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64.  Those of a block are kept, those of a longer text aren't."""
+    kept = _powers.get(base)
+    if kept is None or len(kept) < n:
+        steps = np.full(max(n, BLOCK_BYTES + 2), base, np.uint64)
         steps[0] = 1
-        _powers[base] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[base][:n]
+        kept = np.cumprod(steps, dtype=np.uint64)
+        if n <= BLOCK_BYTES + 2:
+            _powers[base] = kept
+    return kept[:n]
 
 
 class SpanHash:

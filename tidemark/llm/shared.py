@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a batch that goes to a Python worker, at most: batches hold whole texts.
+BATCH_ROWS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests on one machine), a new local one."""
+    """The folder of spark.checkpoint.dir; where that is unset on a single machine, a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,12 +32,34 @@ def new_path(spark: SparkSession, name: str) -> str:
 def cut(frame: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: computed once, and safe when executors are lost."""
     spark = frame.sparkSession
+    small_batches(spark)
     frame.write.parquet(path := new_path(spark, name))
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def fresh(frame: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the frame doesn't have, whatever the case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(frame: DataFrame, name: str) -> DataFrame:
+    """The same rows with a column ``name`` that tells each from all others, written so that it stays as it is."""
+    return cut(frame.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def through(frame: DataFrame, function, key: str, schema: str) -> DataFrame:
     """mapInPandas, with the column ``key`` carried as text: beside nulls, pandas would make integers floats."""
+    small_batches(frame.sparkSession)
     kind = frame.schema[key].dataType
     return frame.withColumn(key, F.col(key).cast("string")).mapInPandas(function, f"{key} string, {schema}").withColumn(key, F.col(key).cast(kind))
 
@@ -45,10 +74,11 @@ def split_by(frame: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, Da
     A filter of at most FILTER_BUCKETS hash buckets is broadcast, so that a join with few keys needn't move
     all the rows of ``frame``.  With many keys it lets more rows through; the join that follows is exact.
     """
+    name = fresh(frame, "_bucket")
     bucket = F.pmod(F.xxhash64(key), F.lit(FILTER_BUCKETS)).cast("int")
-    marks = F.broadcast(keys.where(F.col(key).isNotNull()).select(bucket.alias("_bucket")).distinct())
-    tagged = frame.withColumn("_bucket", F.when(F.col(key).isNotNull(), bucket).otherwise(-1))
-    return tagged.join(marks, "_bucket", "left_semi").drop("_bucket"), tagged.join(marks, "_bucket", "left_anti").drop("_bucket")
+    marks = F.broadcast(keys.where(F.col(key).isNotNull()).select(bucket.alias(name)).distinct())
+    tagged = frame.withColumn(name, F.when(F.col(key).isNotNull(), bucket).otherwise(-1))
+    return tagged.join(marks, name, "left_semi").drop(name), tagged.join(marks, name, "left_anti").drop(name)
 
 
 def without(frame: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -61,16 +91,19 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) edges: (node, component), the smallest node of each.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014), so that long chains take few
-    rounds.  Neighbour lists are never gathered: each step is a minimum by node and a join back.
+    rounds.  Neighbour lists are never gathered: each step is a minimum by node, partly taken where the rows are,
+    and a join back.  The minima are written before they are joined, so that both sides of the join are plain
+    exchanges and Spark can split the rows of a node that has very many neighbours.
     Edges from a node to itself and repeated edges are harmless; no edges give no rows.
     """
     links = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     before = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large, "large")
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u")
         links = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

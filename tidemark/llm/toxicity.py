@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
 from tidemark.llm.samples import held_out, labelled_sample
-from tidemark.llm.shared import through
+from tidemark.llm.shared import fresh, small_batches, through
 
 WINDOW, STRIDE, HIDDEN, INPUTS = 32, 24, 8, 4
 #: Labelled rows for training, of each label at most, by hash order; and their characters in all.
@@ -331,7 +331,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of docs whose text scores below 0.5; see ``toxicity_scores``.  All columns stay as they are."""
+    """Rows of docs whose text scores below 0.5; see ``toxicity_scores``.  All columns stay as they are, repeated
+    rows too; a null text has no words and stays.  Without labels of both kinds all rows stay, or none do where
+    half or more of the labels are 1."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels))
 
     @F.pandas_udf("double")
@@ -341,4 +344,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             listed = texts.tolist()
             yield pd.Series([x for a, z in K.blocks(listed) for x in scorer(listed[a:z])], dtype=float)
 
-    return docs.withColumn("_score", score(F.col("text"))).where("_score < 0.5").select(docs.columns)
+    name = fresh(docs, "_score")
+    return docs.withColumn(name, score(F.col("text").cast("string"))).where(F.col(name) < 0.5).select(docs.columns)

@@ -13,7 +13,7 @@ from tidemark.llm.html_extract import extract_articles
 from tidemark.llm.jaccard import ngram_jaccard_classes
 from tidemark.llm.pii import personal_digest
 from tidemark.llm.quality import quality_rules
-from tidemark.llm.secrets import secret_digest
+from tidemark.llm.secrets import ledger_path, secret_digest
 from tidemark.llm.token_files import read_token_files, write_token_files
 from tidemark.llm.toxicity import toxicity_scores
 from tidemark.llm.url_filters import judge_urls
@@ -41,7 +41,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_digest(table(spark, sf_dir, "documents"))
+    return secret_digest(table(spark, sf_dir, "documents"), ledger_path(spark, sf_dir))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,24 +3,27 @@
 A text is a blob, named by the SHA-256 of its bytes.  The ledger holds one row for each (blob, rule version)
 that was ever scanned, with its findings.  A run scans only blobs that the ledger lacks, each once however
 many paths and versions hold it, appends them, and joins the findings back to all paths.
+
+Texts are scanned where they lie: only their hashes are shuffled, to find the blobs that occur more than once or
+are in the ledger, and only the texts that may be such blobs are moved.
 """
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidemark.llm.shared import cut, split_by
-
-#: Named in the ledger; a change of the rules below asks for a new one.
-RULE_VERSION = "2026-11-r1"
+from tidemark.llm.shared import cut, fresh, shared_dir, split_by
 
 # The base kinds, in the order in which they are listed.
 BASE = {
@@ -58,36 +61,36 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
+#: Named in the ledger: a digest of the rules, so that texts are scanned anew once a rule changes.
+RULE_VERSION = hashlib.sha256(repr((BASE, MORE, _DENSE, DENSE_BITS, inspect.getsource(find))).encode()).hexdigest()[:16]
+_SPANS = "array<struct<kind: string, start: long, end: long>>"
+LEDGER = f"blob binary, spans {_SPANS}, rule_version string"
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [[{"kind": k, "start": s, "end": e} for s, e, k in find(text)] for text in batch["text"]]
         yield pd.DataFrame({"blob": batch["blob"], "spans": found})
 
 
-def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """Scan docs(doc_id, text) against ``ledger`` (blob, rule_version, spans; none: empty).
+def blob_of(text) -> F.Column:
+    """The name of a text's blob; a null text is an empty one."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
 
-    Returns (findings, added): (doc_id, blob, spans) for every row of docs, and the rows to append to the
-    ledger, written to the shared folder.  A null text is an empty one.  Repeated rows and null doc_ids are
-    kept; equal texts are scanned once.  An empty table scans nothing.  Other columns are ignored.
-    """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.select("doc_id", text.alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
-    unseen = docs.select("blob", "text")
-    if ledger is not None:
-        known = ledger.where(F.col("rule_version") == rule_version)
-        unseen = unseen.join(known.select("blob"), "blob", "left_anti")
-    unseen = unseen.groupBy("blob").agg(F.first("text").alias("text"))
-    schema = "blob binary, spans array<struct<kind: string, start: long, end: long>>"
-    added = cut(unseen.mapInPandas(_scan, schema).withColumn("rule_version", F.lit(rule_version)), "ledger")
-    spans = added.select("blob", "spans")
-    if ledger is not None:
-        spans = spans.unionByName(known.select("blob", "spans"))
-    # Few blobs have findings; the rest needn't be joined
-    some = spans.where(F.size("spans") > 0)
-    none = F.array().cast("array<struct<kind: string, start: long, end: long>>")
-    findings = docs.select("doc_id", "blob").join(some, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
-    return findings, added
+
+def ledger_path(spark: SparkSession, corpus: str) -> str:
+    """The ledger of a corpus, below the folder that all runs share."""
+    return f"{shared_dir(spark)}/tidemark/ledgers/secrets-{hashlib.sha256(corpus.encode()).hexdigest()[:16]}"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """(blob, spans, rule_version) of every scan so far; no rows before the first."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
 
 
 def append_ledger(added: DataFrame, path: str) -> None:
@@ -95,15 +98,47 @@ def append_ledger(added: DataFrame, path: str) -> None:
     added.write.mode("append").parquet(path)
 
 
+def scan_new(docs: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Scan each blob of docs(text) that ``ledger`` lacks under ``rule_version``: the rows to append to it."""
+    texts = docs.select(blob_of(F.col("text")).alias("blob"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known = ledger.where(F.col("rule_version") == rule_version).select("blob")
+    blobs = texts.groupBy("blob").agg(F.count("*").alias("n"))
+    # Blobs that need care: those seen before, and those of several rows, of which one is scanned
+    again = cut(blobs.where("n > 1").select("blob").unionByName(blobs.join(known, "blob", "left_semi").select("blob")).distinct(), "again")
+    near, alone = split_by(texts, again, "blob")
+    once = near.join(known, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
+    return cut(alone.unionByName(once).mapInPandas(_scan, f"blob binary, spans {_SPANS}").withColumn("rule_version", F.lit(rule_version)), "scanned")
+
+
+def scan_blobs(docs: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION, keys: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """Scan docs(text, and the columns ``keys`` that name a row, as doc_id or path and version) against ``ledger``.
+
+    Returns (findings, added): (keys, blob, spans) for every row of docs, and the rows to append to the ledger.
+    A null text is an empty one.  Repeated rows and null keys are kept; equal texts are scanned once, and texts in
+    the ledger not at all.  Repeated rows of the ledger count once.  An empty table scans nothing.  Other columns
+    are ignored.
+    """
+    added = scan_new(docs, ledger, rule_version)
+    known = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
+    # Few blobs have findings; the rest needn't be joined
+    some = known.unionByName(added.where(F.size("spans") > 0).select("blob", "spans")).dropDuplicates(["blob"])
+    rows = docs.select(*keys, blob_of(F.col("text")).alias("blob"))
+    findings = rows.join(some, "blob", "left").select(*keys, "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+    return findings, added
+
+
 def listed(spans, kinds: list[str] | None = None) -> F.Column:
     """kind:start:end of spans, of the given kinds, joined by commas."""
     chosen = F.filter(spans, lambda s: s["kind"].isin(kinds)) if kinds else spans
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_digest(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of docs(doc_id, text)."""
-    found, _ = scan_blobs(docs, ledger)
+def secret_digest(docs: DataFrame, ledger: str) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of docs(doc_id, text).
+
+    ``ledger``: the path of the ledger, which is read first and gets what this run scans."""
+    found, added = scan_blobs(docs, read_ledger(docs.sparkSession, ledger))
+    append_ledger(added, ledger)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *(count(k) for k in BASE), F.sha2(listed(F.col("spans"), list(BASE)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
@@ -120,16 +155,20 @@ def _redacted(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def redact_secrets(docs: DataFrame) -> DataFrame:
+def redact_secrets(docs: DataFrame, ledger: str) -> DataFrame:
     """docs, with every span that the scan finds in its texts replaced by ``<secret>`` and n_chars counted anew.
 
-    Rows without findings are as they were, null texts included.  Overlapping spans give one mark.
+    Rows without findings are as they were, null texts included.  Overlapping spans give one mark.  Repeated rows and
+    all other columns stay.  ``ledger``: see ``secret_digest``.
     """
-    _, added = scan_blobs(docs)
-    found = cut(added.where(F.size("spans") > 0).select("blob", "spans"), "findings")
-    marked = docs.withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    near, clean = split_by(marked, found, "blob")
-    near = near.join(found, "blob", "left")
-    hit = near.where("spans is not null").withColumn("text", F.pandas_udf(_redacted, StringType())("text", "spans"))
+    known = read_ledger(docs.sparkSession, ledger)
+    added = scan_new(docs, known)
+    append_ledger(added, ledger)
+    blob, spans = fresh(docs, "_blob"), fresh(docs, "_spans")
+    found = known.where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).unionByName(added.where(F.size("spans") > 0)).dropDuplicates(["blob"])
+    found = cut(found.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), "findings")
+    near, clean = split_by(docs.withColumn(blob, blob_of(F.col("text"))), found, blob)
+    near = near.join(found, blob, "left")
+    hit = near.where(F.col(spans).isNotNull()).withColumn("text", F.pandas_udf(_redacted, StringType())("text", spans))
     hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else hit
-    return clean.select(docs.columns).unionByName(near.where("spans is null").select(docs.columns)).unionByName(hit.select(docs.columns))
+    return clean.select(docs.columns).unionByName(near.where(F.col(spans).isNull()).select(docs.columns)).unionByName(hit.select(docs.columns))

@@ -13,13 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Keys sampled for each range, to find the ranges' limits.
 SAMPLED_KEYS = 32
-#: Rows of a range aimed at.
-RANGE_ROWS = 200_000
 
 
 def url_parts(url) -> tuple[F.Column, F.Column]:
@@ -103,11 +101,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     # One URL may be a third of all rows: a hash of the page tells its rows apart
     urls = urls.withColumn("tie", F.xxhash64("page_id", "path"))
     spark = pages.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pages.count() // RANGE_ROWS)
+    # As many ranges as the session deals shuffled rows to; a range is sorted with spilling and streamed
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sample = urls.select("key", "tie").orderBy(F.xxhash64("tie", F.lit(17)), "tie", "key").limit(SAMPLED_KEYS * parts)
-    found = sorted((r.key, r.tie) for r in sample.collect())  # SAMPLED_KEYS a range at most
-    size = max(1, len(found) // parts)
-    limits = found[size::size]
+    ranked = sample.select("key", "tie", F.row_number().over(Window.orderBy("key", "tie")).alias("at"), F.count("*").over(Window.partitionBy()).alias("n"))  # SAMPLED_KEYS * parts rows at most
+    size = F.greatest(F.lit(1), F.floor(F.col("n") / parts))
+    limits = sorted((r.key, r.tie) for r in ranked.where((F.col("at") > 1) & ((F.col("at") - 1) % size == 0)).select("key", "tie").collect())  # one a range
     kind = pages.schema["page_id"].dataType
     opened = rules.where("host is not null and action is not null").select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action")
     opened = opened.select(F.lit(0).cast("byte").alias("kind"), canonical_key(F.col("host")).alias("key"), F.lit(0).cast("long").alias("tie"), F.lit(None).cast("string").alias("page_id"), "host", "path", "action")

@@ -2,20 +2,22 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and returns what it
 keeps; all but the last return the columns of documents.  Between stages the rows are written as Parquet and
-read again.  A decision names documents by doc_id: a row whose doc_id is null is judged by its text in the
-toxicity and secret stages, and kept by the other two.
+read again.  Every row is judged for itself, by its text: null and repeated doc_ids make no difference, and of
+rows with equal texts one stays.  A null text has no words: it isn't toxic, no copy and without benchmark passages
+or secrets, and has no tokens.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import byte_bpe_round_trip
 from tidemark.llm.decontaminate import benchmark_overlap
 from tidemark.llm.jaccard import ngram_jaccard_classes
-from tidemark.llm.secrets import redact_secrets
-from tidemark.llm.shared import cut, without
+from tidemark.llm.secrets import ledger_path, redact_secrets
+from tidemark.llm.shared import cut, fresh, numbered, without
 from tidemark.llm.toxicity import without_toxic
 
 
@@ -25,20 +27,26 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each class of five-word shingles of similarity 0.8 or more."""
-    classes = ngram_jaccard_classes(docs, words=5, percent=80)
-    return without(docs, cut(classes.where("doc_id <> component_id").select("doc_id"), "copies"), "doc_id")
+    """One document of each class of five-word shingles of similarity 0.8 or more."""
+    row = fresh(docs, "_row")
+    rows = numbered(docs, row)
+    classes = ngram_jaccard_classes(rows.select(F.col(row).alias("doc_id"), "text"), words=5, percent=80)
+    copies = cut(classes.where("doc_id <> component_id").select(F.col("doc_id").alias(row)), "copies")
+    return without(rows, copies, row).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    overlap = benchmark_overlap(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, cut(overlap.where("contaminated").select("doc_id"), "leaks"), "doc_id")
+    row = fresh(docs, "_row")
+    rows = numbered(docs, row)
+    overlap = benchmark_overlap(rows.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = cut(overlap.where("contaminated").select(F.col("doc_id").alias(row)), "leaks")
+    return without(rows, leaks, row).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts masked."""
-    return redact_secrets(docs)
+    return redact_secrets(docs, ledger_path(spark, sf_dir))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def near_copies(seed, groups=12, size=9, spread=8):
 
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (2, 60)])
 def test_classes_equal_brute_force(make, k, percent, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 4)  # many tiles
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 64)  # many tiles
     rows = near_copies(k) + ODD
     got = [(-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in ngram_jaccard_classes(make(rows), k, percent).collect()]
     assert sorted(got) == classes(rows, k, percent)
@@ -70,23 +70,47 @@ def test_no_rows(make):
     assert benchmark_overlap(make([]), make([(1, "a b")], "item_id")).collect() == []
 
 
-def test_similar_sets_share_a_signature():
-    """Random pairs at the threshold, sizes 6 to 400, hold a signature in common."""
-    rng = np.random.default_rng(4)
-    for _ in range(400):
-        n = int(rng.integers(6, 400))
-        allowed = 15 * 2 * n // 185
+@pytest.mark.parametrize("percent", [60, 80, 85])
+def test_similar_sets_share_a_signature(percent):
+    """Random pairs at the threshold, sizes 1 to 400, hold a signature in common."""
+    rng = np.random.default_rng(percent)
+    tried = 0
+    for _ in range(600):
+        n = int(rng.integers(1, 400))
+        allowed = (100 - percent) * 2 * n // (100 + percent)
         x = rng.integers(0, 2**63, n, dtype=np.uint64)
         y = np.concatenate([x[: n - allowed // 2], rng.integers(0, 2**63, allowed - allowed // 2, dtype=np.uint64)])
         same, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
-        if 100 * same < 85 * union:
+        if 100 * same < percent * union or same == union:
             continue
+        tried += 1
         sizes = np.array([len(x), len(y)])
         doc, value = np.repeat([0, 1], sizes), np.concatenate([np.sort(x), np.sort(y)])
-        at, sig = jaccard.signatures(doc, value, sizes, 85)
+        at, sig = jaccard.signatures(doc, value, sizes, percent)
         assert set(sig[at == 0].tolist()) & set(sig[at == 1].tolist())
         sketch = jaccard.sketches(value, sizes)
         assert jaccard.apart(*sketch) <= len(np.setxor1d(x, y))
+    assert tried > 200
+
+
+def test_signatures_are_the_enumerated_subsets():
+    """n1 * C(n2, k2) for each band, each the content of n2 - k2 parts of one partition: a change of one element
+    changes those of its partition whose choice has its part, and no others."""
+    from math import comb
+
+    rng = np.random.default_rng(1)
+    for n in (30, 110, 130, 400):
+        value = np.sort(rng.integers(0, 2**63, n, dtype=np.uint64))
+        low, k, n1, n2, k2 = [b for b in jaccard.bands(85, 1000) if b[0] <= n][-1]
+        other = [b for b in jaccard.bands(85, 1000) if b[0] <= n * 100 // 85][-1]
+        assert k2 >= 1 and n2 - k2 >= 2 and n1 - k // (k2 + 1) >= 1
+        at, sig = jaccard.signatures(np.zeros(n, np.int64), value, np.array([n]), 85)
+        want = n1 * comb(n2, k2) + (other[2] * comb(other[3], other[4]) if other != (low, k, n1, n2, k2) else 0)
+        assert 0.9 * want < len(sig) <= 1.05 * want
+        _, less = jaccard.signatures(np.zeros(n - 1, np.int64), value[1:], np.array([n - 1]), 85)
+        if [b for b in jaccard.bands(85, 1000) if b[0] <= (n - 1) * 100 // 85][-1] == other and low <= n - 1:
+            changed = comb(n2 - 1, k2) + (comb(other[3] - 1, other[4]) if other != (low, k, n1, n2, k2) else 0)
+            assert len({*sig.tolist()} - {*less.tolist()}) == changed
 
 
 def test_components(spark):

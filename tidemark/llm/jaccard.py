@@ -1,22 +1,29 @@
 """N-gram Jaccard join by PartEnum signatures (Arasu, Ganti, Kaushik 2006).
 
-Sets are put into bands of about equal size.  In a band whose largest set has r elements, two sets of
-similarity >= t differ in at most k = floor(2 r (1 - t) / (1 + t)) elements.  Elements are hashed into k + m
-partitions, so any such pair agrees on at least m whole partitions, and each partition's content is one
-signature.  Empty partitions are no signatures, unless a set has at least m of them: a set with fewer
-empty partitions agrees with every partner on one that isn't empty.  So no link can be missed.
-
-Each signature's documents are paired with one pivot; of these pairs each document's nearest is compared
-first.  Documents that are joined by such pairs, near or not, form a cluster, so that any two that share a
-signature are in one cluster.  Where a cluster's documents still belong to several components, the pairs
-across these are compared, tile by tile: clusters are cut into blocks, and a tile holds two of them.  Pairs
-inside one component need no comparison.  A parity sketch of a few bits an element bounds how far two
-sets differ from below, and rules out most pairs before their sets are fetched.
+Sets are put into bands of about equal size.  In a band whose largest set has r elements, two sets of similarity
+>= t differ in at most k = floor(2 r (1 - t) / (1 + t)) elements.  Elements are hashed into n1 partitions, each
+divided into n2 parts.  Such a pair differs in at most k2 elements of at least g = n1 - floor(k / (k2 + 1)) of the
+partitions, and there agrees on all but k2 of the parts.  So every set has a signature for each partition and each
+choice of n2 - k2 of its parts, n1 * C(n2, k2) in all: a hash of what the set has in them; and the pair shares one.
+
+A choice without elements would be shared by strangers, so it is no signature.  Sets that have such choices in g
+partitions or more might lose a partner by that, and are hashed once more, by other partitions; at most RESEEDS
+times, and in the last their choices without elements count too.  Of a pair, the one that needs fewer turns
+guarantees a signature that holds elements, in a turn that both have.  So no link can be missed.
+
+Each signature's documents are paired with one pivot; of these pairs each document's nearest is compared first.
+Where the documents of a signature then still belong to several components, its pairs across these are compared,
+tile by tile: they are cut into blocks, and a tile holds two of them.  Pairs inside one component need no
+comparison.  A parity sketch of a few bits an element bounds how far two sets differ from below, and rules out
+most pairs before their sets are fetched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -24,21 +31,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.shared import components, cut
+from tidemark.llm.shared import components, cut, small_batches
 
-_SEED, _EMPTY = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
+_SEED = np.uint64(0xD1B54A32D192ED03)
 #: Widest ratio of sizes within a band.  Wider bands put fewer sets in two bands but ask for more signatures.
-BAND_RATIO = 1.5
+BAND_RATIO = 1.4
+#: Elements that a signature of a band's smallest set holds on average, aimed at.
+HELD = 3.5
+#: Turns with other partitions, at most.
+RESEEDS = 6
 #: Rows of a broadcast filter on hashed ids, at most.
 FILTER_BUCKETS = 1 << 20
-#: Documents of a block, about; a tile holds two blocks of a cluster.
-BLOCK_ROWS = 8192
+#: Bytes of the sketches of a block, about; a tile holds two blocks.
+BLOCK_BYTES = 1 << 21
 #: Buckets of a sketch for each element, at least.  More tell closer pairs apart.
 SKETCH_BITS = 4
+#: Rows of one fingerprint are dealt to so many tasks.
+COPY_DEALS = 64
 
 
-def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per band: its smallest size, k, and number of partitions; up to the band that holds ``largest``.
+@lru_cache(maxsize=None)
+def scheme(low: int, k: int) -> tuple[int, int, int]:
+    """(n1, n2, k2) for sets of at least ``low`` elements that differ in at most k: the fewest signatures that
+    hold HELD elements or more; if there are none, of those up to twice the fewest the ones that hold most."""
+    options = []
+    for k2 in range(1, min(k, 3) + 1):
+        n1 = k // (k2 + 1) + (2 if k > k2 else 1)
+        options += [(n1 * comb(n2, k2), -low * (n2 - k2) / (n2 * n1), (n1, n2, k2)) for n2 in range(k2 + 2, k2 + 5)]
+    enough = [x for x in options if -x[1] >= HELD]
+    return min(enough)[2] if enough else min((x for x in options if x[0] <= 2 * min(options)[0]), key=lambda x: x[1])[2]
+
+
+def bands(percent: int, largest: int) -> list[tuple[int, int, int, int, int]]:
+    """Per band: its smallest size, k, n1, n2 and k2; up to the band that holds ``largest``.
 
     Bands of k = 0 can only link equal sets, which are joined by fingerprint; they are left out.
     """
@@ -47,11 +72,11 @@ def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         high = max(low, int(low * BAND_RATIO), low * 100 // percent)
         k = (100 - percent) * 2 * high // (100 + percent)
         if k:
-            out.append((low, k, k + (2 if k < 16 else 3)))
+            out.append((low, k, *scheme(low, k)))
             low = high + 1
         else:
             low += 1
-    return tuple(np.array(x, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+    return out
 
 
 def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,35 +101,33 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
 
 
 def signatures(doc: np.ndarray, value: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """PartEnum signatures of a block of sets: (set index, signature)."""
-    low, ks, parts = bands(percent, int(sizes.max(initial=0)) * 100 // percent)
-    if not len(low) or not len(doc):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    own = np.searchsorted(low, sizes, "right") - 1
-    up = np.searchsorted(low, sizes * 100 // percent, "right") - 1
-    outs = []
+    """PartEnum signatures of a block of sets, elements sorted by set: (set index, signature)."""
+    found = bands(percent, int(sizes.max(initial=0)) * 100 // percent)
+    outs: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    low, ends = np.array([x[0] for x in found], np.int64), np.cumsum(sizes)
+    own, up = np.searchsorted(low, sizes, "right") - 1, np.searchsorted(low, sizes * 100 // percent, "right") - 1
     for band in (own, np.where(up > own, up, -1)):
-        mine = band[doc] >= 0
-        if not mine.any():
-            continue
-        d, v = doc[mine], value[mine]
-        b = band[d]
-        spread = K.mix(v ^ _SEED)
-        part = (((spread >> np.uint64(32)) * parts[b].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        width = int(parts[b].max())
-        key = d * width + part
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        total = np.add.reduceat(spread[order] * K._GOLDEN, begin)
-        count = np.diff(np.append(begin, len(key))).astype(np.uint64)
-        d, part = key[begin] // width, key[begin] % width
-        place = K.mix((band[d] * (1 << 40) + part).astype(np.uint64))
-        outs.append((d, K.mix(total + count * _SEED + place)))
-        filled = np.bincount(d, minlength=len(sizes))
-        for i in np.flatnonzero((band >= 0) & (sizes > 0) & (parts[band] - filled >= (parts - ks)[band])):
-            missing = np.setdiff1d(np.arange(parts[band[i]]), part[d == i])
-            outs.append((np.full(len(missing), i), K.mix(K.mix((band[i] * (1 << 40) + missing).astype(np.uint64)) ^ _EMPTY)))
+        for b in np.unique(band[(band >= 0) & (sizes > 0)]).tolist():
+            _, k, n1, n2, k2 = found[b]
+            sets = np.flatnonzero((band == b) & (sizes > 0))
+            for turn in range(RESEEDS):
+                n = sizes[sets]
+                at = np.repeat(ends[sets] - np.cumsum(n), n) + np.arange(n.sum())
+                spread = K.mix(value[at] ^ np.uint64(int(_SEED) * (turn + 1) % (1 << 64)))
+                slot = np.repeat(np.arange(len(sets)), n) * (n1 * n2) + ((spread >> np.uint64(32)) * np.uint64(n1 * n2) >> np.uint64(32)).astype(np.int64)
+                sums = np.zeros(len(sets) * n1 * n2, np.uint64)
+                np.add.at(sums, slot, spread * K._GOLDEN)
+                sums, held = sums.reshape(-1, n1, n2), np.bincount(slot, minlength=len(sums)).reshape(-1, n1, n2)
+                sparse = ((held > 0).sum(2) <= k2).sum(1) >= n1 - k // (k2 + 1)
+                last = turn == RESEEDS - 1
+                for c, left_out in enumerate(combinations(range(n2), k2)):
+                    total, count = sums.sum(2) - sums[:, :, left_out].sum(2), held.sum(2) - held[:, :, left_out].sum(2)
+                    place = K.mix(np.arange(n1, dtype=np.uint64) + np.uint64(((b * RESEEDS + turn) * 64 + c) << 32))
+                    keep = (count > 0) | (sparse[:, None] & last)
+                    outs.append((sets[np.nonzero(keep)[0]], K.mix(total + count.astype(np.uint64) * _SEED + place)[keep]))
+                sets = sets[sparse]
+                if not len(sets):
+                    break
     return np.concatenate([x for x, _ in outs]), np.concatenate([x for _, x in outs])
 
 
@@ -167,8 +190,8 @@ def _emit(words: int, percent: int):
 
 
 def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by kind, sig, n, doc_id.  Kind 0: every document with the first of its equal sets.
-    Kind 1: every further document of a signature, with the signature's first."""
+    """Rows sorted by sig, kind, n, doc_id.  Kind 0: every document with the first of the equal sets
+    that were dealt to the task.    Kind 1: every further document of a signature, with the signature's first."""
     last = None
     for batch in batches:
         kind, sig, size, ids = (batch[c].to_numpy() for c in ("kind", "sig", "n", "doc_id"))
@@ -197,24 +220,9 @@ def _sets(words: int):
     return run
 
 
-def _banded(percent: int):
-    """Each row in the band of its size; again in the next one, marked ``up``, if a partner may be there."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n = batch["n"].to_numpy(np.int64)
-            low = bands(percent, int(n.max(initial=0)) * 100 // percent)[0]
-            own, up = np.searchsorted(low, n, "right") - 1, np.searchsorted(low, n * 100 // percent, "right") - 1
-            batch = batch[["cluster", "node", "label", "n", "sketch"]]
-            yield batch.assign(band=own, up=False)
-            yield batch.assign(band=up, up=True)[up > own]
-
-    return run
-
-
 def _tile_pairs(tile: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of a tile that are of different labels, not both from the band below, and not ruled out."""
-    node, label, n, up, block = (tile[c].to_numpy() for c in ("node", "label", "n", "up", "block"))
+    """Pairs of a tile that are of different labels and not ruled out."""
+    node, label, n, block = (tile[c].to_numpy() for c in ("node", "label", "n", "block"))
     n = n.astype(np.int64)
     width = min(map(len, tile["sketch"]))
     folded = np.zeros((len(tile), width), np.uint8)
@@ -224,7 +232,7 @@ def _tile_pairs(tile: pd.DataFrame, percent: int) -> pd.DataFrame:
     same_block = tile["one"].iat[0] == tile["two"].iat[0]
     out = []
     for i in np.flatnonzero(block == tile["one"].iat[0]):
-        fits = (label != label[i]) & ~(up & up[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        fits = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
         fits &= (node > node[i]) if same_block else (block != block[i])
         at = np.flatnonzero(fits)
         far = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
@@ -241,7 +249,7 @@ def _across(percent: int):
         held = None
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch])
-            key = held[["cluster", "band", "one", "two"]].to_numpy()
+            key = held[["bucket", "one", "two"]].to_numpy()
             edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             for a, z in zip(np.append(0, edge), edge):
                 yield _tile_pairs(held.iloc[a:z], percent)
@@ -275,17 +283,24 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) ->
     nothing.  A null doc_id has a null component.  Repeated rows are returned as often as given; rows of one
     doc_id with different texts count as one node.  An empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id is not null")
-    rows = known.mapInPandas(_emit(words, percent), "kind byte, sig long, n int, doc_id long, sketch binary").repartition("sig").sortWithinPartitions("kind", "sig", "n", "doc_id")
+    rows = known.mapInPandas(_emit(words, percent), "kind byte, sig long, n int, doc_id long, sketch binary")
+    deal = F.when(F.col("kind") == 0, F.pmod(F.xxhash64("doc_id"), F.lit(COPY_DEALS))).otherwise(0)
+    rows = rows.repartition("sig", deal).sortWithinPartitions("sig", "kind", "n", "doc_id")
     rows = cut(rows.mapInPandas(_gather, "kind byte, sig long, pivot long, doc_id long, n int, sketch binary"), "buckets")
-    members = rows.where("kind = 0").select("doc_id", F.col("pivot").alias("rep"), F.col("n").cast("long").alias("n_shingles"))
-    copies = members.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    shapes = rows.where("kind = 0 and doc_id = pivot").select("doc_id", "n", "sketch")
-
-    def to_rep(frame: DataFrame, column: str) -> DataFrame:
+    # Equal sets: the first of each deal, and of these the first
+    sets = rows.where("kind = 0")
+    leads = sets.where("doc_id = pivot and n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+    moved = cut(sets.where("doc_id = pivot and n > 0").join(leads, ["sig", "n"]).where("doc_id <> rep").groupBy(F.col("doc_id").alias("pivot")).agg(F.min("rep").alias("rep")), "moved")
+    members = sets.join(moved, "pivot", "left").select("doc_id", F.coalesce("rep", "pivot").alias("rep"), F.col("n").cast("long").alias("n_shingles"))
+    copies = cut(members.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep")), "copies")
+    shapes = sets.where("doc_id = pivot").select("doc_id", "n", "sketch")
+
+    def to_rep(frame: DataFrame, column: str, out: str) -> DataFrame:
         known_rep = copies.select(F.col("doc_id").alias(column), F.col("rep").alias("_rep"))
-        return frame.join(known_rep, column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
+        return frame.join(known_rep, column, "left").withColumn(out, F.coalesce("_rep", column)).drop("_rep")
 
     def likely(pairs: DataFrame) -> DataFrame:
         one, two = shapes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), shapes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
@@ -293,30 +308,39 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) ->
         one, two = shapes.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), shapes.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
         return pairs.join(one, "a").join(two, "b").mapInPandas(_near(percent), "a long, b long, far long").groupBy("a", "b").agg(F.min("far").alias("far"))
 
-    met = rows.where("kind = 1").select("sig", F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    first = to_rep(to_rep(met.select("a", "b").distinct(), "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    stars = cut(first, "stars")
-    first = cut(likely(stars), "pairs")
+    met = rows.where("kind = 1").select("sig", F.col("pivot").alias("p"), F.col("doc_id").alias("q"))
+    stars = cut(to_rep(to_rep(met.select("p", "q").distinct(), "p", "pr"), "q", "qr").where("pr <> qr"), "stars")
+    first = cut(likely(stars.select(F.least("pr", "qr").alias("a"), F.greatest("pr", "qr").alias("b")).distinct()), "pairs")
     ends = first.select("a", "b", "far", F.explode(F.array("a", "b")).alias("node"))
     nearest = ends.groupBy("node").agg(F.min(F.struct("far", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
     tried = cut(nearest, "tried")
     edges = cut(_linked(known, tried, words, percent), "edges")
     label = cut(components(edges), "labels")
 
-    inside = components(stars).withColumnRenamed("component", "cluster").join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    inside = cut(inside, "clusters")
-    split = inside.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster")
-    rows = inside.join(split, "cluster", "left_semi").join(shapes.withColumnRenamed("doc_id", "node"), "node")
-    banded = cut(rows.mapInPandas(_banded(percent), "cluster long, node long, label long, n int, sketch binary, band long, up boolean"), "banded")
-    blocks = banded.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    dealt = banded.join(blocks, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    tile = ["cluster", "band", "one", "two"]
-    across = dealt.repartition(*tile).sortWithinPartitions(*tile, "node").mapInPandas(_across(percent), "a long, b long").distinct()
-    across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not across.isEmpty():
-        label = components(edges.unionByName(cut(_linked(known, across, words, percent), "edges")))
+    def labelled(frame: DataFrame, column: str, out: str) -> DataFrame:
+        known_label = label.select(F.col("node").alias(column), F.col("component").alias("_label"))
+        return frame.join(known_label, column, "left").withColumn(out, F.coalesce("_label", column)).drop("_label")
+
+    # Signatures whose documents are still in several components: a pivot and another document are
+    odd = cut(labelled(labelled(stars, "pr", "pl"), "qr", "ql").where("pl <> ql").select("p", "q"), "odd")
+    split = cut(met.join(odd, ["p", "q"], "left_semi").select("sig").distinct(), "split")
+    if not split.isEmpty():
+        there = met.join(split, "sig", "left_semi")
+        seats = there.select("sig", F.col("q").alias("node")).unionByName(there.select("sig", F.col("p").alias("node")).distinct())
+        seats = cut(to_rep(seats, "node", "rep").select("sig", F.col("rep").alias("node")).distinct(), "seats")
+        # Signatures of the same documents are one bucket
+        same = seats.groupBy("sig").agg(F.xxhash64(F.sum(F.xxhash64("node").cast("decimal(38,0)")), F.count("*")).alias("bucket"))
+        rows = labelled(seats.join(same, "sig").select("bucket", "node").distinct(), "node", "label").join(shapes.withColumnRenamed("doc_id", "node").dropDuplicates(["node"]), "node")
+        rows = cut(rows.select("bucket", "node", "label", "n", "sketch"), "rows")
+        blocks = rows.groupBy("bucket").agg(F.ceil(F.sum(F.length("sketch")) / BLOCK_BYTES).alias("blocks"))
+        dealt = rows.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        dealt = dealt.withColumn("other", other).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+        tile = ["bucket", "one", "two"]
+        across = dealt.repartition(*tile).sortWithinPartitions(*tile, "node").mapInPandas(_across(percent), "a long, b long").distinct()
+        across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not across.isEmpty():
+            label = components(edges.unionByName(cut(_linked(known, across, words, percent), "edges")))
     out = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     nameless = docs.where("doc_id is null").mapInPandas(_counts(words), "doc_id long, n_shingles long, component_id long")
     return out.unionByName(nameless)

@@ -27,7 +27,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
@@ -46,6 +46,8 @@ FILTER_BUCKETS = 1 << 20
 BLOCK_BYTES = 1 << 21
 #: Buckets of a sketch for each element, at least.  More tell closer pairs apart.
 SKETCH_BITS = 4
+#: Rows of a batch of short rows; batches of texts are of the same size in that job.
+SHORT_ROWS = 4000
 #: Rows of one fingerprint are dealt to so many tasks.
 COPY_DEALS = 64
 
@@ -55,8 +57,9 @@ def scheme(low: int, k: int) -> tuple[int, int, int]:
     """(n1, n2, k2) for sets of at least ``low`` elements that differ in at most k: the fewest signatures that
     hold HELD elements or more; if there are none, of those up to twice the fewest the ones that hold most."""
     options = []
+    # The larger a set, the more of its partitions happen to hold next to nothing; the spare ones are for these
     for k2 in range(1, min(k, 3) + 1):
-        n1 = k // (k2 + 1) + (2 if k > k2 else 1)
+        n1 = k // (k2 + 1) + (2 + k // 64 if k > k2 else 1)
         options += [(n1 * comb(n2, k2), -low * (n2 - k2) / (n2 * n1), (n1, n2, k2)) for n2 in range(k2 + 2, k2 + 5)]
     enough = [x for x in options if -x[1] >= HELD]
     return min(enough)[2] if enough else min((x for x in options if x[0] <= 2 * min(options)[0]), key=lambda x: x[1])[2]
@@ -189,26 +192,6 @@ def _emit(words: int, percent: int):
     return run
 
 
-def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by sig, kind, n, doc_id.  Kind 0: every document with the first of the equal sets
-    that were dealt to the task.    Kind 1: every further document of a signature, with the signature's first."""
-    last = None
-    for batch in batches:
-        kind, sig, size, ids = (batch[c].to_numpy() for c in ("kind", "sig", "n", "doc_id"))
-        if not len(sig):
-            continue
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (kind[1:] != kind[:-1]) | (size[1:] != size[:-1])
-        if last is not None and last[:3] == (kind[0], sig[0], size[0]):
-            fresh[0] = False
-        fresh |= (kind == 0) & (size == 0)
-        lead = np.maximum.accumulate(np.where(fresh, np.arange(len(sig)), -1))
-        pivot = np.where(lead >= 0, ids[np.maximum(lead, 0)], last[3] if last is not None else 0)
-        last = (kind[-1], sig[-1], size[-1], pivot[-1])
-        keep = (kind == 0) | (~fresh & (pivot != ids))
-        yield pd.DataFrame({"kind": kind[keep], "sig": sig[keep], "pivot": pivot[keep], "doc_id": ids[keep], "n": size[keep], "sketch": batch["sketch"][keep]})
-
-
 def _sets(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -288,8 +271,11 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) ->
     known = docs.where("doc_id is not null")
     rows = known.mapInPandas(_emit(words, percent), "kind byte, sig long, n int, doc_id long, sketch binary")
     deal = F.when(F.col("kind") == 0, F.pmod(F.xxhash64("doc_id"), F.lit(COPY_DEALS))).otherwise(0)
-    rows = rows.repartition("sig", deal).sortWithinPartitions("sig", "kind", "n", "doc_id")
-    rows = cut(rows.mapInPandas(_gather, "kind byte, sig long, pivot long, doc_id long, n int, sketch binary"), "buckets")
+    # Kind 0: every document with the first of the equal sets that are dealt together; sets without elements alone.
+    # Kind 1: every further document of a signature with the signature's first, its pivot
+    by = Window.partitionBy("sig", "deal", "kind", "n").orderBy("doc_id")
+    pivot = F.when(F.expr("kind = 0 and n = 0"), F.col("doc_id")).otherwise(F.first("doc_id").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = cut(rows.withColumn("deal", deal).withColumn("pivot", pivot).where("kind = 0 or pivot <> doc_id").drop("deal"), "buckets", SHORT_ROWS)
     # Equal sets: the first of each deal, and of these the first
     sets = rows.where("kind = 0")
     leads = sets.where("doc_id = pivot and n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -323,13 +309,14 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) ->
 
     # Signatures whose documents are still in several components: a pivot and another document are
     odd = cut(labelled(labelled(stars, "pr", "pl"), "qr", "ql").where("pl <> ql").select("p", "q"), "odd")
+    across = cut(labelled(labelled(first.select("a", "b"), "a", "al"), "b", "bl").where("al <> bl").select("a", "b"), "across")
     split = cut(met.join(odd, ["p", "q"], "left_semi").select("sig").distinct(), "split")
     if not split.isEmpty():
         there = met.join(split, "sig", "left_semi")
         seats = there.select("sig", F.col("q").alias("node")).unionByName(there.select("sig", F.col("p").alias("node")).distinct())
         seats = cut(to_rep(seats, "node", "rep").select("sig", F.col("rep").alias("node")).distinct(), "seats")
-        # Signatures of the same documents are one bucket
-        same = seats.groupBy("sig").agg(F.xxhash64(F.sum(F.xxhash64("node").cast("decimal(38,0)")), F.count("*")).alias("bucket"))
+        # Signatures of the same documents are one bucket; two documents are a pair of which the sketches were compared
+        same = seats.groupBy("sig").agg(F.xxhash64(F.sum(F.xxhash64("node").cast("decimal(38,0)")), F.count("*")).alias("bucket"), F.count("*").alias("c")).where("c > 2").drop("c")
         rows = labelled(seats.join(same, "sig").select("bucket", "node").distinct(), "node", "label").join(shapes.withColumnRenamed("doc_id", "node").dropDuplicates(["node"]), "node")
         rows = cut(rows.select("bucket", "node", "label", "n", "sketch"), "rows")
         blocks = rows.groupBy("bucket").agg(F.ceil(F.sum(F.length("sketch")) / BLOCK_BYTES).alias("blocks"))
@@ -337,10 +324,11 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) ->
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         dealt = dealt.withColumn("other", other).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
         tile = ["bucket", "one", "two"]
-        across = dealt.repartition(*tile).sortWithinPartitions(*tile, "node").mapInPandas(_across(percent), "a long, b long").distinct()
-        across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not across.isEmpty():
-            label = components(edges.unionByName(cut(_linked(known, across, words, percent), "edges")))
+        found = dealt.repartition(*tile).sortWithinPartitions(*tile, "node").mapInPandas(_across(percent), "a long, b long")
+        across = cut(across.unionByName(found).distinct(), "across", SHORT_ROWS)
+    across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not across.isEmpty():
+        label = components(edges.unionByName(cut(_linked(known, across, words, percent), "edges")))
     out = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     nameless = docs.where("doc_id is null").mapInPandas(_counts(words), "doc_id long, n_shingles long, component_id long")
     return out.unionByName(nameless)

@@ -29,19 +29,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def cut(frame: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder and read again: computed once, and safe when executors are lost."""
+def cut(frame: DataFrame, name: str, batch: int = BATCH_ROWS) -> DataFrame:
+    """The same rows, written to the shared folder and read again: computed once, and safe when executors are lost.
+
+    ``batch``: rows of a batch that goes to a Python worker meanwhile; more suit short rows."""
     spark = frame.sparkSession
-    small_batches(spark)
-    frame.write.parquet(path := new_path(spark, name))
+    small_batches(spark, batch)
+    try:
+        frame.write.parquet(path := new_path(spark, name))
+    finally:
+        small_batches(spark)
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to BATCH_ROWS rows, unless they are smaller already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Sets the session's Arrow batches to so many rows: the default of 10,000 whole texts is much for a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
 def fresh(frame: DataFrame, name: str) -> str:

@@ -240,7 +240,7 @@ def test_gradients():
     mask[4:, 2] = 0
     x, y = x * mask, rng.integers(0, 2, 5)
     loss = lambda: (lambda s: np.sum(np.log1p(np.exp(s)) - y * s))(toxicity.forward(net, x @ net["Wf"] + net["bf"], x @ net["Wb"] + net["bb"], mask))
-    _, grad = toxicity.gradients(net, x, mask, lambda s: toxicity._sigmoid(s) - y)
+    _, grad, dx = toxicity.gradients(net, x, mask, lambda s: toxicity._sigmoid(s) - y)
     for k in net:
         i = tuple(rng.integers(0, n) for n in net[k].shape)
         net[k][i] += 1e-6
@@ -249,13 +249,41 @@ def test_gradients():
         down = loss()
         net[k][i] += 1e-6
         assert abs((up - down) / 2e-6 - grad[k][i]) < 1e-5
-
-
-def test_toxicity_on_held_out_labels():
-    train, test = labelled("toxic", 4000)
-    model = toxicity.ToxicityModel().fit([x[0] for x in train], [x[1] for x in train])
+    for _ in range(20):
+        i = tuple(rng.integers(0, n) for n in x.shape)
+        x[i] += 1e-6
+        up = loss()
+        x[i] -= 2e-6
+        down = loss()
+        x[i] += 1e-6
+        assert abs((up - down) / 2e-6 - dx[i]) < 1e-5
+
+
+def test_gradients_of_the_tables():
+    rng = np.random.default_rng(1)
+    own, index, run = np.array([3, 5, 3]), np.array([0, 0, 1, 2, 2]), np.array([7, 1, 7, 2, 2])
+    words, runs, kept = rng.normal(size=(8, toxicity.WIDTH)), rng.normal(size=(8, toxicity.WIDTH)), np.array([[1.0], [0.0], [1.0]])
+    slope, lookup = rng.normal(size=(3, toxicity.INPUTS)), toxicity.Lookup(own, index, run)
+    x = lookup.inputs(words, runs, kept)
+    assert np.allclose(x[0], [*words[3], *((runs[7] + runs[1]) / 2)]) and np.allclose(x[1], [*np.zeros(toxicity.WIDTH), *runs[7]])
+    for name, table in (("words", words), ("runs", runs)):
+        rows, got = lookup.back(slope, kept)[name]
+        for row, g in zip(rows, got):
+            for i in range(toxicity.WIDTH):
+                table[row, i] += 1e-6
+                assert abs(((lookup.inputs(words, runs, kept) - x) * slope).sum() / 1e-6 - g[i]) < 1e-5
+                table[row, i] -= 1e-6
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Trained with the operator's own bounds; equal to scoring whole texts one by one."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    _, test = labelled("toxic", 0)
     y, p = np.array([x[1] for x in test]), model.scorer()([x[0] for x in test])
-    assert (p[y == 1] >= 0.5).mean() > 0.85 and (p[y == 0] >= 0.5).mean() < 0.02
+    assert (p[y == 1] >= 0.5).mean() > 0.9 and (p[y == 0] >= 0.5).mean() < 0.02
+    score = model.scorer()
+    assert np.allclose(p[:50], [score([x[0]])[0] for x in test[:50]], atol=1e-5)
 
 
 def test_toxicity_rows(make, spark):
@@ -265,6 +293,21 @@ def test_toxicity_rows(make, spark):
     for r in got:
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
     assert {r.score for r in toxicity.toxicity_scores(make(ODD), labels.where("false")).collect()} == {0.0}
+    assert toxicity.toxicity_scores(make([]), labels).collect() == []
+
+
+def test_toxic_rows_go(make, spark):
+    rows = [(i, f"you are a {'total moron' if i % 2 else 'kind person'} number{i}") for i in range(60)] + ODD + [(7, "a total moron")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    frame = make(rows).withColumn("_score", F.lit("mine")).withColumn("SCORE_", F.lit(5))
+    scores = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(make(rows[:60]), labels).collect()}
+    assert sum(scores[i] == i % 2 for i in range(60)) > 55
+    kept = toxicity.without_toxic(frame, labels)
+    assert kept.columns == frame.columns and toxicity.without_toxic(frame.limit(0), labels).collect() == []
+    got = [r.asDict() for r in kept.collect()]
+    assert all(r["_score"] == "mine" and r["SCORE_"] == 5 and r["blob"] == 2 and r["score"] == 3 for r in got)
+    # ids 0 to 9 have texts of both lists
+    assert {r["doc_id"] for r in got if r["doc_id"] is not None and r["doc_id"] > 9} == {i for i in range(10, 60) if not scores[i]}
 
 
 def test_every_word_is_in_a_window():

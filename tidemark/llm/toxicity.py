@@ -1,9 +1,11 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, over character and word inputs.
 
-Inputs of a word are smoothed log-odds of label 1, fitted on the training texts, of the word itself and of
-its character n-grams (its first 4 to 6 bytes, and all runs of 4 bytes); a training text's own counts are
-left out of its inputs.  The network is trained in numpy by back-propagation through time.  A text is
-scored by its highest window: windows of WINDOW words begin every STRIDE words, so neighbours overlap.
+A word's input is an embedding of the word itself and the mean of embeddings of its character runs (its first 4 to
+6 bytes, and all runs of 4 bytes), from hashed tables.  Both tables and the network are trained in numpy by
+back-propagation, through time for the network: first the tables alone, with a linear score of each word and a
+smooth maximum over a text, then tables and network together on the windows of each text that score highest.
+A text is scored by its highest window: windows of WINDOW words begin every STRIDE words, so that any WINDOW -
+STRIDE consecutive words are in one of them.
 """
 
 from __future__ import annotations
@@ -19,50 +21,65 @@ from tidemark.llm import kernels as K
 from tidemark.llm.samples import held_out, labelled_sample
 from tidemark.llm.shared import fresh, small_batches, through
 
-WINDOW, STRIDE, HIDDEN, INPUTS = 32, 24, 8, 4
+WINDOW, STRIDE, HIDDEN = 32, 16, 8
+#: Values of an embedding, and rows of the tables of words and of character runs, as powers of two.
+WIDTH, WORD_BITS, RUN_BITS = 8, 18, 17
+INPUTS = 2 * WIDTH
 #: Labelled rows for training, of each label at most, by hash order; and their characters in all.
 TRAIN_ROWS, TRAIN_CHARS = 1200, 5_000_000
 #: Windows of a training text that may become its highest.
 CANDIDATES = 4
-RARE = 2.0
-MEMO = 1 << 17
+#: Rounds over the training texts: of the tables alone, and with the network.
+WARM_ROUNDS, ROUNDS = 8, 10
+#: Share of words whose own embedding is left out in a training step, so that their characters learn too.
+DROPPED = 0.3
+#: Step sizes, and the share by which what is moved shrinks at each step.
+WARM_RATE, RATE, DECAY = 0.02, 0.005, 1e-3
+#: Label 1, where it is rarer, counts up to so many times as much.
+RARE = 1.5
+#: Words that a worker remembers before it starts anew, and windows that it scores at once.
+MEMO, SCORED = 1 << 15, 512
 _KINDS = {"word": np.uint64(0x51), "head": np.uint64(0x52), "inner": np.uint64(0x53)}
 
 
-def grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word index, feature column 0 to 2, hash) of the words' inputs: the word, its heads, its runs of 4 bytes."""
+def runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the word table for each word, word index and row of the run table for each character run)."""
     spans, n = K.SpanHash(data), end - start
-    index, column, value = [np.arange(len(start))], [np.zeros(len(start), np.int8)], [K.mix(spans(start, end) ^ _KINDS["word"])]
+    index, value = [], []
     for size in (4, 5, 6):
         has = np.flatnonzero(n >= size)
         index.append(has)
-        column.append(np.ones(len(has), np.int8))
         value.append(K.mix(spans(start[has], start[has] + size) ^ _KINDS["head"]))
-    runs = np.maximum(n - 3, 0)
-    word = np.repeat(np.arange(len(start)), runs)
-    at = start[word] + np.arange(len(word)) - np.repeat(np.cumsum(runs) - runs, runs)
+    count = np.maximum(n - 3, 1)
+    word = np.repeat(np.arange(len(start)), count)
+    at = start[word] + np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
     index.append(word)
-    column.append(np.full(len(word), 2, np.int8))
-    value.append(K.mix(spans(at, at + 4) ^ _KINDS["inner"]))
-    return np.concatenate(index), np.concatenate(column), np.concatenate(value)
-
-
-def log_odds(p, n, total_p: int, total_n: int) -> np.ndarray:
-    odds = np.log((p + 0.5) / (total_p + 1)) - np.log((n + 0.5) / (total_n + 1))
-    return (odds * (p + n) / (p + n + 3.0) / 3.0).astype(np.float32)
-
-
-def word_inputs(index: np.ndarray, column: np.ndarray, odds: np.ndarray, words: int) -> np.ndarray:
-    """Per word: odds of the word, highest of its heads, highest and mean of its runs."""
-    out = np.zeros((words, INPUTS), np.float32)
-    out[index[column == 0], 0] = odds[column == 0]
-    for c in (1, 2):
-        mine = column == c
-        if mine.any():
-            np.maximum.at(out[:, c], index[mine], odds[mine])
-    mine = column == 2
-    out[:, 3] = np.bincount(index[mine], odds[mine], words) / np.maximum(1, np.bincount(index[mine], minlength=words))
-    return out
+    value.append(K.mix(spans(at, np.minimum(at + 4, end[word])) ^ _KINDS["inner"]))
+    own = K.mix(spans(start, end) ^ _KINDS["word"]) >> np.uint64(64 - WORD_BITS)
+    return own.astype(np.int64), np.concatenate(index), (np.concatenate(value) >> np.uint64(64 - RUN_BITS)).astype(np.int64)
+
+
+class Lookup:
+    """The inputs of a block's distinct words, and the way back from their gradients to the tables."""
+
+    def __init__(self, own: np.ndarray, index: np.ndarray, run: np.ndarray):
+        order = np.argsort(index, kind="stable")
+        self.own, self.run, self.index = own, run[order], index[order]
+        self.begin = np.searchsorted(self.index, np.arange(len(own)))
+        self.share = (1 / np.bincount(self.index, minlength=len(own)))[:, None]
+
+    def inputs(self, words: np.ndarray, runs: np.ndarray, kept: np.ndarray | float = 1.0) -> np.ndarray:
+        if not len(self.own):
+            return np.zeros((0, INPUTS), words.dtype)
+        return np.concatenate([words[self.own] * kept, np.add.reduceat(runs[self.run], self.begin) * self.share.astype(runs.dtype)], 1)
+
+    def back(self, slope: np.ndarray, kept: np.ndarray | float) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """(rows, gradients) of both tables, from the gradients of the inputs."""
+        out = {}
+        for name, row, part in (("words", self.own, slope[:, :WIDTH] * kept), ("runs", self.run, (slope[:, WIDTH:] * self.share)[self.index])):
+            rows, at = np.unique(row, return_inverse=True)
+            out[name] = rows, np.stack([np.bincount(at, part[:, i], len(rows)) for i in range(WIDTH)], 1)
+        return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -73,7 +90,7 @@ def new_network(seed: int = 7) -> dict[str, np.ndarray]:
     draw = np.random.default_rng(seed)
     out = {}
     for way in "fb":
-        out["W" + way] = draw.normal(0, 0.5, (INPUTS, 3 * HIDDEN))
+        out["W" + way] = draw.normal(0, 0.25, (INPUTS, 3 * HIDDEN))
         out["b" + way] = np.zeros(3 * HIDDEN)
         out["U" + way] = draw.normal(0, 0.3, (HIDDEN, 3 * HIDDEN))
     return out | {"A": draw.normal(0, 0.3, (2 * HIDDEN, HIDDEN)), "a": np.zeros(HIDDEN), "v": draw.normal(0, 0.5, HIDDEN), "w": draw.normal(0, 0.3, 2 * HIDDEN), "o": np.zeros(1)}
@@ -127,10 +144,11 @@ def _gru_back(net, way, x, mask, kept, dh_out, grad):
         dnext = dh * (1 - zm) + drh * r + dg[t][:, : 2 * HIDDEN] @ U[:, : 2 * HIDDEN].T
     grad["W" + way] += np.einsum("tni,tng->ig", x, dg)
     grad["b" + way] += dg.sum((0, 1))
+    return dg @ net["W" + way].T
 
 
 def gradients(net, x, mask, dlogit_of):
-    """(logits, gradients); dlogit_of maps logits to the loss's derivative by them.  x: (steps, windows, inputs)."""
+    """(logits, gradients, those of x); dlogit_of maps logits to the loss's derivative by them.  x: (steps, windows, inputs)."""
     kept: dict = {}
     logits = forward(net, x @ net["Wf"] + net["bf"], x @ net["Wb"] + net["bb"], mask, kept)
     d = dlogit_of(logits)
@@ -144,9 +162,9 @@ def gradients(net, x, mask, dlogit_of):
     ds = de[..., None] * net["v"] * (1 - kept["s"] ** 2)
     grad["A"], grad["a"] = np.einsum("tnh,tnk->hk", kept["h"], ds), ds.sum((0, 1))
     dh = dh + ds @ net["A"].T
-    _gru_back(net, "f", x, mask, kept["f"], dh[..., :HIDDEN], grad)
-    _gru_back(net, "b", x[::-1], mask[::-1], kept["b"], dh[::-1][..., HIDDEN:], grad)
-    return logits, grad
+    dx = _gru_back(net, "f", x, mask, kept["f"], dh[..., :HIDDEN], grad)
+    dx = dx + _gru_back(net, "b", x[::-1], mask[::-1], kept["b"], dh[::-1][..., HIDDEN:], grad)[::-1]
+    return logits, grad, dx
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,67 +181,118 @@ def _steps(first: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return np.where(mask, index, 0), mask[..., None].astype(np.float32)
 
 
+class Adam:
+    """Steps of the parameters by their gradients; of a table only the rows that have any are moved."""
+
+    def __init__(self, values: dict[str, np.ndarray]):
+        self.values, self.moments, self.step = values, {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in values.items()}, 0
+
+    def move(self, slopes: dict, rate: float, decay: float) -> None:
+        self.step += 1
+        for k, g in slopes.items():
+            at, g = g if isinstance(g, tuple) else (slice(None), g)
+            m, v, x = (array[at] for array in (*self.moments[k], self.values[k]))
+            m, v = m + 0.1 * (g - m), v + 0.01 * (g * g - v)
+            self.moments[k][0][at], self.moments[k][1][at] = m, v
+            self.values[k][at] = x - rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-8) - decay * x
+
+
 class ToxicityModel:
-    """Fitted tables of log-odds and the trained network; small, and sent to the tasks whole."""
+    """The trained tables and network; small, and sent to the tasks whole."""
 
     def __init__(self):
         self.prior, self.net, self.shift = 0.0, None, 0.0
-        self.keys, self.odds = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        self.words, self.runs = np.zeros((1 << WORD_BITS, WIDTH), np.float32), np.zeros((1 << RUN_BITS, WIDTH), np.float32)
 
-    def fit(self, texts: list[str | None], labels: list[int], epochs: int = 30) -> ToxicityModel:
+    def fit(self, texts: list[str | None], labels: list[int]) -> ToxicityModel:
         y = np.array(labels, np.int64)
         self.prior = float(y.mean()) if len(y) else 0.0
         if len({*labels}) < 2:
             return self
-        per_text, pairs = [], []
+        # Distinct words of all texts; the words of each text by their index among these
+        keys, spans, words, counts = [], [], [], []
         for a, z in K.blocks(texts):
-            words = K.Words(texts[a:z], K.ALNUM, True)
-            _, one, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
-            index, column, value = grams(words.data, words.start[one], words.end[one])
-            per_text.append((a, words.first, place, index, column, value, len(one)))
-            order = np.argsort(index, kind="stable")
-            reach = np.searchsorted(index[order], np.arange(len(one) + 1))
-            seen = np.unique(np.stack([words.doc, place]), axis=1)  # (text, distinct word)
-            size = np.diff(reach)[seen[1]]
-            pick = order[np.repeat(reach[seen[1]], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-            doc, gram = np.repeat(seen[0] + a, size), value[pick]
-            sort = np.lexsort((gram, doc))
-            fresh = np.concatenate([[True], (doc[sort][1:] != doc[sort][:-1]) | (gram[sort][1:] != gram[sort][:-1])]) if len(sort) else np.zeros(0, bool)
-            pairs.append((doc[sort][fresh], gram[sort][fresh]))
-        doc, gram = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
-        keys, place = np.unique(gram, return_inverse=True)
-        p, n = np.bincount(place, y[doc], len(keys)), np.bincount(place, 1 - y[doc], len(keys))
-        total_p, total_n = int(y.sum()), int((1 - y).sum())
-        strong = np.abs(log_odds(p, n, total_p, total_n)) > 0.1
-        self.keys, self.odds = keys[strong], log_odds(p, n, total_p, total_n)[strong]
-        without = [log_odds(np.maximum(p - 1, 0), n, total_p - 1, total_n), log_odds(p, np.maximum(n - 1, 0), total_p, total_n - 1)]
-        xs, masks, owners = [], [], []
-        for a, first, place, index, column, value, distinct in per_text:
-            known = np.searchsorted(keys, value)
-            inputs = {label: word_inputs(index, column, without[1 - label][known], distinct) for label in (0, 1)}
-            text, at = windows(np.diff(first))
-            steps, mask = _steps(first, text, at)
-            x = np.where((y[a + text] == 1)[None, :, None], inputs[1][place[steps]], inputs[0][place[steps]]) * mask
-            rank = -(x[..., :3].sum(2).max(0) + 0.1 * x[..., :3].sum((0, 2)))
-            order = np.lexsort((rank, text))
-            nth = np.arange(len(order)) - np.searchsorted(text[order], text[order])
-            chosen = order[nth < CANDIDATES]
-            xs.append(x[:, chosen]), masks.append(mask[:, chosen]), owners.append(text[chosen] + a)
-        x, mask, owner = np.concatenate(xs, 1).astype(np.float64), np.concatenate(masks, 1).astype(np.float64), np.concatenate(owners)
-        self._train(x, mask, owner, y, epochs)
+            block = K.Words(texts[a:z], K.ALNUM, True)
+            distinct, one, place = K.distinct(block.hashes())
+            keys.append(distinct), spans.append(runs(block.data, block.start[one], block.end[one]))
+            words.append(distinct[place]), counts.append(block.counts())
+        known, first = np.unique(np.concatenate(keys), return_index=True)
+        owner = np.concatenate([np.full(len(k), i) for i, k in enumerate(keys)])[first]
+        place = first - np.concatenate([[0], np.cumsum([len(k) for k in keys])])[owner]
+        own, index, run = np.zeros(len(known), np.int64), [], []
+        for i, (o, x, r) in enumerate(spans):
+            mine = np.flatnonzero(owner == i)
+            own[mine] = o[place[mine]]
+            back = np.full(len(o), -1)
+            back[place[mine]] = mine
+            keep = back[x] >= 0
+            index.append(back[x[keep]]), run.append(r[keep])
+        self.lookup = own, np.concatenate(index), np.concatenate(run)
+        order = np.argsort(self.lookup[1], kind="stable")
+        self.lookup = own, self.lookup[1][order], self.lookup[2][order]
+        self.reach = np.searchsorted(self.lookup[1], np.arange(len(known) + 1))
+        word = np.searchsorted(known, np.concatenate(words))
+        count = np.concatenate(counts)
+        draw = np.random.default_rng(11)
+        self.words, self.runs = draw.normal(0, 0.05, self.words.shape), draw.normal(0, 0.05, self.runs.shape)
+        score = self._warm(word, count, y, draw)
+        text, at = windows(count)
+        edges = np.concatenate([[0], np.cumsum(count)])
+        steps, mask = _steps(edges, text, at)
+        of_word = np.where(mask[..., 0] > 0, score[word[steps]], -9.0)
+        order = np.lexsort((-of_word.max(0) - 0.1 * np.where(mask[..., 0] > 0, of_word, 0).sum(0), text))
+        chosen = order[np.arange(len(order)) - np.searchsorted(text[order], text[order]) < CANDIDATES]
+        self._train(word[steps[:, chosen]], mask[:, chosen].astype(np.float64), text[chosen], y, draw)
+        del self.lookup, self.reach, self.common
         return self
 
-    def _train(self, x, mask, owner, y, epochs: int) -> None:
+    def _some(self, word: np.ndarray) -> tuple[np.ndarray, Lookup, np.ndarray]:
+        """(places of the words among their distinct ones, the lookup of these, which have an embedding of their own)."""
+        distinct, place = np.unique(word, return_inverse=True)
+        own, _, run = self.lookup
+        n = self.reach[distinct + 1] - self.reach[distinct]
+        at = np.repeat(self.reach[distinct] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return place.reshape(word.shape), Lookup(own[distinct], np.repeat(np.arange(len(distinct)), n), run[at]), self.common[distinct][:, None].astype(np.float64)
+
+    def _warm(self, word: np.ndarray, count: np.ndarray, y: np.ndarray, draw) -> np.ndarray:
+        """Trains the tables with a linear score of words; returns the score of each."""
+        edges = np.concatenate([[0], np.cumsum(count)])
+        each = [np.unique(word[a:z]) for a, z in zip(edges, edges[1:])]
+        # a word of one text alone has only its characters, as unseen words do
+        self.common = np.bincount(np.concatenate(each), minlength=len(self.lookup[0])) > 1
+        head = {"words": self.words, "runs": self.runs, "u": draw.normal(0, 0.5, INPUTS), "c": np.zeros(1)}
+        adam, texts = Adam(head), np.flatnonzero(count > 0)
+        weight = np.where(y == 1, np.clip((y == 0).sum() / max(1, y.sum()), 1, RARE), 1.0)
+        for turn in range(WARM_ROUNDS):
+            for part in np.array_split(draw.permutation(texts), max(1, len(texts) // 64)):
+                n = np.array([len(each[i]) for i in part])
+                begin = np.cumsum(n) - n
+                place, lookup, common = self._some(np.concatenate([each[i] for i in part]))
+                kept = common * (draw.random(common.shape) >= DROPPED)
+                x = lookup.inputs(self.words, self.runs, kept)
+                s = (x @ head["u"])[place]
+                top = np.repeat(np.maximum.reduceat(s, begin), n)
+                e = np.exp(s - top)
+                total = np.add.reduceat(e, begin)
+                logit = np.log(total) + top[begin] - np.log(n) + head["c"][0]
+                d = weight[part] * (_sigmoid(logit) - y[part]) / len(part)
+                ds = np.bincount(place, np.repeat(d / total, n) * e, len(lookup.own))
+                adam.move(lookup.back(ds[:, None] * head["u"], kept) | {"u": x.T @ ds, "c": np.array([d.sum()])}, WARM_RATE, DECAY)
+        out = np.zeros(len(self.lookup[0]))
+        for part in np.array_split(np.arange(len(out)), max(1, len(out) // 65536)):
+            _, lookup, common = self._some(part)
+            out[part] = lookup.inputs(self.words, self.runs, common) @ head["u"]
+        return out
+
+    def _train(self, word, mask, owner, y, draw) -> None:
         self.net = new_network()
-        moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.net.items()}
-        texts, step, draw = np.unique(owner), 0, np.random.default_rng(11)
+        values = {**self.net, "words": self.words, "runs": self.runs}
+        adam, texts = Adam(values), np.unique(owner)
         begin = np.searchsorted(owner, texts)
         final = np.full(len(texts), -9.0)
-        # the rarer label 1 counts up to RARE times as much
         weight = np.where(y[texts] == 1, np.clip((y[texts] == 0).sum() / max(1, y[texts].sum()), 1, RARE), 1.0)
-        for epoch in range(epochs):
-            order = draw.permutation(len(texts))
-            for part in np.array_split(order, max(1, len(order) // 128)):
+        for turn in range(ROUNDS):
+            for part in np.array_split(draw.permutation(len(texts)), max(1, len(texts) // 64)):
                 size = np.append(begin, len(owner))[part + 1] - begin[part]
                 at = np.concatenate([np.arange(b, b + s) for b, s in zip(begin[part], size)])
                 edge = np.cumsum(size) - size
@@ -236,14 +305,13 @@ class ToxicityModel:
                         d[top] = weight[t] * (_sigmoid(logits[top]) - y[texts[t]]) / len(part)
                     return d
 
-                _, grad = gradients(self.net, x[:, at], mask[:, at], slope)
-                step += 1
-                rate = 0.02 * (1 - 0.8 * epoch / epochs)
-                for k, g in grad.items():
-                    m, v = moment[k]
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    self.net[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) + 1e-5 * self.net[k]
+                place, lookup, common = self._some(word[:, at])
+                kept = common * (draw.random(common.shape) >= DROPPED)
+                x = lookup.inputs(self.words, self.runs, kept)[place] * mask[:, at]
+                _, slopes, dx = gradients(self.net, x, mask[:, at], slope)
+                dx *= mask[:, at]
+                flat = np.stack([np.bincount(place.ravel(), dx[..., i].ravel(), len(lookup.own)) for i in range(INPUTS)], 1)
+                adam.move(slopes | lookup.back(flat, kept), RATE * (1 - 0.8 * turn / ROUNDS), DECAY)
         # 0.5 becomes the threshold of least weighted training error
         order = np.argsort(final)
         clean = float((y[texts] == 0).sum())
@@ -252,6 +320,8 @@ class ToxicityModel:
         ends = np.concatenate([[final[order[0]] - 2], final[order], [final[order[-1]] + 2]])
         middle = best[len(best) // 2]
         self.shift = float(np.clip((ends[middle] + ends[middle + 1]) / 2, -3, 3))
+        # rows that no window moved say nothing
+        self.words, self.runs = (np.where(adam.moments[k][1] > 0, values[k], 0).astype(np.float32) for k in ("words", "runs"))
         self.net = {k: v.astype(np.float32) for k, v in self.net.items()}
 
     def scorer(self) -> Scorer:
@@ -272,10 +342,7 @@ class Scorer:
         new = [j for j, key in enumerate(listed) if key not in self.slots]
         if new:
             model, have = self.model, len(self.slots)
-            index, column, value = grams(words.data, words.start[one[new]], words.end[one[new]])
-            at = np.minimum(np.searchsorted(model.keys, value), max(0, len(model.keys) - 1))
-            odds = np.where(model.keys[at] == value, model.odds[at], 0).astype(np.float32) if len(model.keys) else np.zeros(len(value), np.float32)
-            x = word_inputs(index, column, odds, len(new))
+            x = Lookup(*runs(words.data, words.start[one[new]], words.end[one[new]])).inputs(model.words, model.runs)
             if have + len(new) > len(self.table):
                 self.table = np.resize(self.table, (have + len(new) + (have + len(new)) // 4, 6 * HIDDEN))
             self.table[have : have + len(new)] = np.concatenate([x @ model.net["Wf"] + model.net["bf"], x @ model.net["Wb"] + model.net["bb"]], 1)
@@ -292,10 +359,10 @@ class Scorer:
         slots = self._slots(words)
         text, at = windows(words.counts())
         best = np.full(len(texts), -np.inf)
-        for a in range(0, len(text), 2048):
-            steps, mask = _steps(words.first, text[a : a + 2048], at[a : a + 2048])
+        for a in range(0, len(text), SCORED):
+            steps, mask = _steps(words.first, text[a : a + SCORED], at[a : a + SCORED])
             gates = self.table[slots[steps]]
-            np.maximum.at(best, text[a : a + 2048], forward(self.model.net, gates[..., : 3 * HIDDEN], gates[..., 3 * HIDDEN :], mask))
+            np.maximum.at(best, text[a : a + SCORED], forward(self.model.net, gates[..., : 3 * HIDDEN], gates[..., 3 * HIDDEN :], mask))
         return np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best - self.model.shift, -30, 30))), out)
 
 

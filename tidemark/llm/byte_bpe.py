@@ -35,7 +35,7 @@ STRETCH = 256
 #: The longest look-ahead of the pattern, in characters: boundaries that near to a chunk's end aren't trusted.
 LOOK_AHEAD = 4
 #: Pieces that a worker remembers before it starts anew, and the longest of them.
-MEMO, MEMO_LONGEST = 1 << 18, 64
+MEMO, MEMO_LONGEST = 1 << 16, 32
 _encodings: dict[tuple[str, str], tiktoken.Encoding] = {}
 
 

@@ -38,6 +38,7 @@ ANY = 0
 _PLACED = frozenset("blockquote div ol p section ul".split())
 _HOLDERS = frozenset("article div main section".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)", re.S)
+_REST = re.compile(r"<!--.*|<[!?/][^>]*>?", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.S)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
@@ -65,73 +66,87 @@ class Node:
         named = tag not in ("html", "body") and not self.root and any(x.lower() in _NOISE_NAME for x in _NAME.findall(names))
         self.noise = tag in _NOISE_TAG or role in _NOISE_ROLE or hidden or named
 
-    def close(self, tags: frozenset | set, within: frozenset) -> Node:
-        """The parent of the nearest open element of ``tags``, unless one of ``within`` is nearer; else this one."""
-        node = self
-        while node is not None and node.tag not in within:
-            if node.tag in tags:
-                return node.parent or node
-            node = node.parent
-        return self
+
+class _Open:
+    """The open elements.  Where each tag is open is kept at hand, so that no end tag walks over all of them."""
+
+    def __init__(self, top: Node):
+        self.stack, self.places = [top], {top.tag: [0]}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def nearest(self, tags: frozenset) -> int:
+        return max((self.places[x][-1] for x in tags if self.places.get(x)), default=-1)
+
+    def close(self, tags: frozenset, within: frozenset) -> None:
+        """Closes the nearest open element of ``tags``, and all inside it, unless one of ``within`` is nearer."""
+        at = self.nearest(tags)
+        if at > max(0, self.nearest(within)):
+            for node in self.stack[at:]:
+                self.places[node.tag].pop()
+            del self.stack[at:]
+
+
+_IN_ARTICLE, _P = frozenset({"article"}), frozenset({"p"})
+_OVER_P = frozenset({"article", "div", "section", "td", "th", "li", "blockquote", "body"})
+_OVER_ITEMS = frozenset({"ul", "ol", "table", "dl", "select", "article"})
+_ITEMS = {x: frozenset(same) for same in (("li",), ("tr",), ("td", "th"), ("dt", "dd"), ("option",)) for x in same}
 
 
 def parse(page: str) -> Node:
-    """The page's elements as a tree; unclosed and stray tags are put right as browsers mostly do."""
-    top = at = Node("#page", "", None)
-    done, size = 0, len(page)
+    """The page's elements as a tree; unclosed and stray tags are put right as browsers mostly do.  Takes time in
+    proportion to the page."""
+    top = Node("#page", "", None)
+    opened = _Open(top)
+    done, size, last = 0, len(page), page.rfind(">")
     while done < size:
-        m = _TOKEN.search(page, done)
+        at = page.find("<", done)
+        # no tag ends beyond the last >, so only comments are looked for there
+        m = None if at < 0 else _TOKEN.search(page, at) if at < last else _REST.search(page, at)
         if m is None:
-            at.inside.append(page[done:])
+            opened.stack[-1].inside.append(page[done:])
             break
         if m.start() > done:
-            at.inside.append(page[done : m.start()])
+            opened.stack[-1].inside.append(page[done : m.start()])
         done = m.end()
+        if at >= last:
+            continue
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
         if m["end"]:
-            at = at.close({tag}, frozenset() if tag in ("html", "body", "article", "main") else frozenset({"article"}))
+            opened.close(frozenset({tag}), frozenset() if tag in ("html", "body", "article", "main") else _IN_ARTICLE)
             continue
         if tag in _CLOSES_P:
-            at = at.close({"p"}, frozenset({"article", "div", "section", "td", "th", "li", "blockquote", "body"}))
-        if tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
-            at = at.close({tag} | ({"td", "th"} if tag in ("td", "th") else {"dt", "dd"} if tag in ("dt", "dd") else set()), frozenset({"ul", "ol", "table", "dl", "select", "article"}))
-        node = Node(tag, m["attributes"], at)
-        at.inside.append(node)
+            opened.close(_P, _OVER_P)
+        if tag in _ITEMS:
+            opened.close(_ITEMS[tag], _OVER_ITEMS)
+        node = Node(tag, m["attributes"], opened.stack[-1])
+        opened.stack[-1].inside.append(node)
         if tag in _RAW:
-            end = re.compile(f"</{tag}[^>]*>", re.I).search(page, done)
+            end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, done)
             done = end.end() if end else size
         elif tag not in _VOID and not (m["attributes"] or "").endswith("/"):
-            at = node
+            opened.push(node)
     return top
 
 
-def _roots(node: Node, out: list[Node]) -> list[Node]:
+def _roots(top: Node) -> list[Node]:
     """Outermost article or main elements outside noise; a main element stands back for articles inside it."""
-    stack = [node]
+    found: list[tuple[Node, list[Node]]] = []
+    stack: list[tuple[Node, list[Node] | None]] = [(top, None)]
     while stack:
-        here = stack.pop()
-        for child in reversed(here.inside):
-            if isinstance(child, Node) and not child.noise:
-                stack.append(child)
-        if here.root:
-            inner = []
-            if here.tag != "article":
-                for child in here.inside:
-                    if isinstance(child, Node) and not child.noise:
-                        _roots(child, inner)
-            if not any(_inside(here, x) for x in out):
-                out.extend(x for x in inner if x.tag == "article") if any(x.tag == "article" for x in inner) else out.append(here)
-    return out
-
-
-def _inside(node: Node, other: Node) -> bool:
-    while node is not None:
-        if node is other:
-            return True
-        node = node.parent
-    return False
+        node, within = stack.pop()
+        if node.root and node.tag == "article":
+            found.append((node, [])) if within is None else within.append(node)
+            continue
+        if node.root and within is None:
+            within = []
+            found.append((node, within))
+        stack += [(x, within) for x in reversed(node.inside) if isinstance(x, Node) and not x.noise]
+    return [x for node, inner in found for x in inner or [node]]
 
 
 def main_text(page: str | None, noise: frozenset[tuple[int, int]] = frozenset()) -> str:
@@ -141,7 +156,7 @@ def main_text(page: str | None, noise: frozenset[tuple[int, int]] = frozenset())
     """
     top = parse(page or "")
     dropped = {key for key, _, _, content, _ in branches(top) if (_signed(key), ANY) in noise or (_signed(key), _signed(content)) in noise} if noise else frozenset()
-    roots = _roots(top, [])
+    roots = _roots(top)
     blocks: list[str] = []
     open_block: list[str] = []
 

@@ -319,7 +319,7 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) ->
         same = seats.groupBy("sig").agg(F.xxhash64(F.sum(F.xxhash64("node").cast("decimal(38,0)")), F.count("*")).alias("bucket"), F.count("*").alias("c")).where("c > 2").drop("c")
         rows = labelled(seats.join(same, "sig").select("bucket", "node").distinct(), "node", "label").join(shapes.withColumnRenamed("doc_id", "node").dropDuplicates(["node"]), "node")
         rows = cut(rows.select("bucket", "node", "label", "n", "sketch"), "rows")
-        blocks = rows.groupBy("bucket").agg(F.ceil(F.sum(F.length("sketch")) / BLOCK_BYTES).alias("blocks"))
+        blocks = cut(rows.groupBy("bucket").agg(F.ceil(F.sum(F.length("sketch")) / BLOCK_BYTES).alias("blocks")), "blocks")  # written, so that Spark can split a bucket in the join
         dealt = rows.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         dealt = dealt.withColumn("other", other).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))

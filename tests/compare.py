@@ -8,7 +8,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)].astype(object)
-    one = lambda v: "null" if v is None or v is pd.NaT or v != v else f"{float(v):.6f}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
+    one = lambda v: "null" if v is None or v is pd.NaT or v is pd.NA or v != v else f"{float(v):.6f}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
     return sorted(tuple(map(one, row)) for row in frame.itertuples(index=False))
 
 

@@ -1,7 +1,7 @@
 import pytest
 
 from compare import same
-from tidemark.plans import catalogue
+from tidemark.plans import catalogue, studies  # noqa: F401  (studies adds its queries to the catalogue)
 
 SF = "/root/testdata/sf0.001"
 

@@ -150,3 +150,37 @@ def test_pushdown(spark):
 
     plan = read(spark, "/root/testdata/sf0.001", "lineitem").where("l_quantity > 45").select("l_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,45.0)]" in plan and "l_tax" not in plan
+
+
+def test_preregistration_and_locked_test(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tidemark.registry import Config, locked_test, preregistered
+
+    path, result = f"file://{tmp_path}/registry", spark.range(3)
+    assert locked_test(spark, path, "final", Config(), lambda: result, "v1").count() == 3
+    with pytest.raises(ValueError):
+        locked_test(spark, path, "final", Config(), lambda: result, "v1")
+    now = datetime.now()
+    tested = spark.createDataFrame([("final", now + timedelta(days=2)), ("final", now - timedelta(days=2)), ("other", now)], "experiment string, tested_at timestamp")
+    assert sorted(r.confirmatory for r in preregistered(spark, path, tested).collect()) == [False, False, True]
+
+
+def test_listing_markers(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.listing import next_marker
+
+    pages = ["<Key>a.zip</Key><Key>b.zip</Key><IsTruncated>true</IsTruncated>", "<Key>c.zip</Key><IsTruncated>false</IsTruncated>", "<IsTruncated>true</IsTruncated>"]
+    assert [r[0] for r in spark.createDataFrame([(p,) for p in pages], "document string").select(next_marker(F.col("document"))).collect()] == ["b.zip", None, None]
+
+
+def test_normal_distribution(spark):
+    from statistics import NormalDist
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.evaluation import normal_cdf, normal_quantile
+
+    rows = spark.createDataFrame([(x / 10,) for x in range(-40, 41)], "x double").select("x", normal_cdf(F.col("x")).alias("c")).withColumn("q", normal_quantile(F.greatest("c", F.lit(0.5)))).collect()
+    assert all(abs(r.c - NormalDist().cdf(r.x)) < 1e-7 and (r.x < 0.01 or abs(r.q - r.x) < 1e-3) for r in rows)

@@ -1,6 +1,7 @@
 """Archives and streams, from files written here."""
 
 import hashlib
+import json
 import zipfile
 from datetime import datetime, timedelta
 
@@ -37,6 +38,22 @@ def root(tmp_path):
     return f"file://{tmp_path}"
 
 
+def r_bytes(zips, name):
+    return zips.where(name == "A-1m-2024-01.zip").select(F.octet_length("content")).first()[0]
+
+
+def test_broken_archives(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "empty-2024-01.zip", "w"):
+        pass
+    with zipfile.ZipFile(tmp_path / "good-2024-01.zip", "w") as out:
+        out.writestr("x.csv", "\n".join(line(i) for i in range(50)))
+    (tmp_path / "short-2024-01.zip").write_bytes((tmp_path / "good-2024-01.zip").read_bytes()[:200])
+    (tmp_path / "none-2024-01.zip").write_bytes(b"no zip")
+    found = archive.decoded(archive.archives(spark, f"file://{tmp_path}")).collect()
+    assert sorted(r.key.rpartition("/")[2].split("-")[0] for r in found if r.line_no < 0) == ["empty", "none", "short"] and all(r.error for r in found if r.line_no < 0)
+    assert sum(r.line_no >= 0 for r in found) == 50 == archive.decode(archive.archives(spark, f"file://{tmp_path}")).count()
+
+
 def test_archives(spark, root, tmp_path):
     zips = archive.archives(spark, root)
     name = F.element_at(F.split("key", "/"), -1)
@@ -52,7 +69,19 @@ def test_archives(spark, root, tmp_path):
     assert {r.status for r in manifest.collect()} == {"verified", "rejected"}
     listing = archive.objects(spark, root)
     assert archive.pending(listing, manifest).count() == 2 and archive.pending(listing, None).count() == 3
-    assert sorted(r.date for r in archive.preferred(listing).collect()) == ["2024-01", "2024-02-01"]
+    named = listing.withColumn("symbol", F.lit("A")).withColumn("dataset", F.lit("klines"))
+    assert sorted(r.date for r in archive.preferred(named).collect()) == ["2024-01", "2024-02-01"]
+    other = named.where("date = '2024-01'").unionByName(named.where("date <> '2024-01'").withColumn("symbol", F.lit("B")))
+    assert archive.preferred(other).count() == 3
+    assert [r.n for r in archive.accepted(zips).select(name.alias("n")).collect()] == ["A-1m-2024-01.zip"]
+    full = {r.n: r for r in archive.profiles(zips).withColumn("n", name).collect()}["A-1m-2024-01.zip"]
+    assert (full.rows, full.rows_expected, full.has_header, full.columns, full.sha256_ok) == (5, 31 * 1440, True, HEADER.split(","), True)
+    assert (full.first_open_time_utc, full.last_open_time_utc) == (datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 3)) and full.head[0].startswith("1704067200000,1.0") and len(full.head) == 3
+    with zipfile.ZipFile(root.removeprefix("file://") + "/a/A-1m-2024-01.zip") as z:
+        assert full.csv_bytes == len(z.read("x.csv")) and full.zip_bytes == r_bytes(zips, name)
+    assert archive.parquet_bytes(rows, f"file://{tmp_path}/probe") > 0
+    archive.write_report({"profiles": archive.profiles(zips), "manifest": manifest}, f"file://{tmp_path}/report")
+    assert sorted(x["status"] for x in map(json.loads, (r.value for r in spark.read.text(f"file://{tmp_path}/report/manifest").collect()))) == ["rejected", "rejected", "verified"]
     archive.write_normalised(archive.normalised(rows, F.lit("A")), f"file://{tmp_path}/store")
     stored = spark.read.parquet(f"file://{tmp_path}/store").where("symbol = 'A' AND year = 2024 AND month = 1")
     assert stored.count() == 7 and "ignore" not in stored.columns and stored.where("is_filler").count() == 1
@@ -87,3 +116,26 @@ def test_live_changes(spark, tmp_path):
     stream = spark.readStream.schema("symbol string, ts timestamp, price double").parquet(folder)
     got = sorted((r.confirmed_at, r.direction, r.extreme) for r in run(spark, live_changes(stream, 0.1), "changes_out"))
     assert [x[1:] for x in got] == [(-1, 100), (1, 89), (-1, 130), (1, 110)]
+
+
+def test_live_changes_are_those_of_the_table(spark, tmp_path):
+    import random
+
+    from tidemark.operators.waves import directional_changes
+
+    assert [x[1:] for x in sorted(live(spark, tmp_path, "few", [100, 108, 97], 0.1))] == [(-1, 108)]
+    rng = random.Random(3)
+    steps = [100.0]
+    for _ in range(150):
+        steps.append(round(steps[-1] * rng.uniform(0.9, 1.1), 2))
+    rows = spark.createDataFrame([("a", i, p) for i, p in enumerate(steps)], "symbol string, slot long, close double")
+    want = sorted((r.confirm_slot, r.direction, r.extreme) for r in directional_changes(rows, [0.1]).collect())
+    got = sorted((int((t - datetime(2024, 1, 1)).total_seconds()) // 1200, d, x) for t, d, x in live(spark, tmp_path, "many", steps, 0.1))
+    assert got == want and len(got) > 10
+
+
+def live(spark, tmp_path, name, steps, theta):
+    folder = f"file://{tmp_path}/{name}"
+    prices(spark, folder, steps)
+    stream = spark.readStream.schema("symbol string, ts timestamp, price double").parquet(folder)
+    return [(r.confirmed_at, r.direction, r.extreme) for r in run(spark, live_changes(stream, theta), f"changes_{name}")]

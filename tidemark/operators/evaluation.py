@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from statistics import NormalDist
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,6 +34,38 @@ def walk_forward(rows: DataFrame, first: int, train: int, test: int, folds: int,
     return rows.select("slot", fold).withColumn("part", part).where("part IS NOT NULL").groupBy("fold", "part").agg(F.count("*").alias("rows"))
 
 
+def fold_count(first: int, last: int, train: int, test: int) -> int:
+    """How many tests of ``test`` steps, the last one perhaps shorter, follow the first ``train`` steps."""
+    return max(0, -(-(last - first + 1 - train) // test))
+
+
+def trimmed(trades: DataFrame, percent: int, by: str = "gross") -> DataFrame:
+    """Trades without their best ``percent``, to see what is left without a few winners; of equal ones, those of later
+    symbols and slots go first."""
+    from tidemark.operators.stats import ordered
+
+    total = trades.agg(F.count("*").alias("_all"))  # one row
+    rows = ordered(trades, by, ["symbol", "slot"]).join(F.broadcast(total))
+    return rows.where(F.col("place") < F.col("_all") - F.floor(F.col("_all") * percent / 100)).drop("place", "_all")
+
+
+def funded(trades: DataFrame, funding: DataFrame, hold: int) -> DataFrame:
+    """trades(symbol, slot, signal, ...) with ``funding``: what longs pay and shorts get at each funding time while the
+    position is open, (slot, slot + hold]; funding(symbol, slot, rate).  Trades and rates meet by stretches of
+    ``hold`` steps."""
+    stretch = lambda c: F.floor(F.col(c) / hold)
+    left = trades.select("symbol", "slot", "signal", F.explode(F.array(stretch("slot"), stretch("slot") + 1)).alias("stretch"))
+    right = funding.select("symbol", F.col("slot").alias("at"), "rate", stretch("slot").alias("stretch"))
+    paid = left.join(right, ["symbol", "stretch"]).where(f"at > slot AND at <= slot + {hold}").groupBy("symbol", "slot").agg(F.sum(-F.col("signal") * F.col("rate")).alias("funding"))
+    return trades.join(paid, ["symbol", "slot"], "left").withColumn("funding", F.coalesce("funding", F.lit(0.0)))
+
+
+def promoted(candidates: DataFrame, seen: DataFrame, key: str, least: float = 0.0) -> DataFrame:
+    """Candidates whose out-of-sample expectancy in seen(key, expectancy) is above ``least``; no others may go on to a
+    backtest."""
+    return candidates.join(seen.where(F.col("expectancy") > least).select(key), key, "left_semi")
+
+
 def purged(train: DataFrame, test: DataFrame) -> DataFrame:
     """Training labels (symbol, slot, exit_slot) that overlap no test label of their symbol.
 
@@ -63,14 +91,18 @@ def net(gross, fee: float, slippage: float):
     return gross - 2 * (fee + slippage)
 
 
-def _deflated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    normal, euler = NormalDist(), 0.5772156649015329
-    for batch in batches:
-        out = []
-        for s, n, skew, kurt, trials, spread in zip(*(batch[c] for c in ("sharpe", "n", "skew", "excess", "trials", "spread"))):
-            lift = spread * ((1 - euler) * normal.inv_cdf(1 - 1 / trials) + euler * normal.inv_cdf(1 - 1 / (trials * 2.718281828459045)))
-            out.append(normal.cdf((s - lift) * (n - 1) ** 0.5 / (1 - skew * s + (kurt + 2) / 4 * s * s) ** 0.5))
-        yield batch.assign(deflated=out)[["strategy", "sharpe", "n", "deflated"]]
+def normal_quantile(p: Column) -> Column:
+    """The standard normal's quantile of p of at least one half, by the rational form 26.2.23 of Abramowitz and Stegun
+    (error below 0.00045)."""
+    t = F.sqrt(-2 * F.log(1 - p))
+    return t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
+
+
+def normal_cdf(x: Column) -> Column:
+    """The standard normal's distribution, by form 26.2.17 of Abramowitz and Stegun (error below 7.5e-8)."""
+    t = 1 / (1 + 0.2316419 * F.abs(x))
+    tail = F.exp(-x * x / 2) * 0.3989422804014327 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return F.when(x >= 0, 1 - tail).otherwise(tail)
 
 
 def deflated_sharpe(returns: DataFrame) -> DataFrame:
@@ -78,7 +110,11 @@ def deflated_sharpe(returns: DataFrame) -> DataFrame:
     probability that a Sharpe ratio exceeds what the best of so many trials would show by chance."""
     each = returns.groupBy("strategy").agg((F.avg("r") / F.stddev_samp("r")).alias("sharpe"), F.count("*").alias("n"), F.skewness("r").alias("skew"), F.kurtosis("r").alias("excess")).where("sharpe IS NOT NULL AND n > 2")
     whole = each.agg(F.count("*").cast("double").alias("trials"), F.stddev_samp("sharpe").alias("spread"))
-    return each.join(F.broadcast(whole)).where("trials > 1").mapInPandas(_deflated, "strategy string, sharpe double, n long, deflated double")
+    euler, trials = 0.5772156649015329, F.col("trials")
+    lift = F.col("spread") * ((1 - euler) * normal_quantile(1 - 1 / trials) + euler * normal_quantile(1 - 1 / (trials * 2.718281828459045)))
+    s = F.col("sharpe")
+    z = (s - lift) * F.sqrt(F.col("n") - 1) / F.sqrt(1 - F.col("skew") * s + (F.col("excess") + 2) / 4 * s * s)
+    return each.join(F.broadcast(whole)).where("trials > 1").select("strategy", "sharpe", "n", normal_cdf(z).alias("deflated"))  # one row
 
 
 def overfitting(blocks: DataFrame, combinations: DataFrame) -> DataFrame:

@@ -43,12 +43,14 @@ def rank_correlation(frame: DataFrame, x: str, y: str, tie: list[str]) -> DataFr
     return both.agg(F.count("*").alias("n"), F.round(F.corr("_rx", "_ry"), 9).alias("ic"))
 
 
-def merged_intervals(rows: DataFrame) -> DataFrame:
-    """(symbol, start_slot, end_slot, events) of overlapping or touching intervals; rows(symbol, t, slot, end_slot)."""
+def merged_intervals(rows: DataFrame, events=None) -> DataFrame:
+    """(symbol, start_slot, end_slot, events) of overlapping or touching intervals; rows(symbol, t, slot, end_slot).
+
+    ``events``: what is counted, rows unless given."""
     reach = accumulated(rows, "end_slot", "reach", F.max, ["slot"], inclusive=False)
     fresh = reach.withColumn("fresh", F.when(F.col("reach").isNull() | (F.col("slot") > F.col("reach")), 1).otherwise(0)).drop("reach")
     group = accumulated(fresh, "fresh", "cluster", F.sum, ["slot"])
-    return group.groupBy("symbol", "cluster").agg(F.min("slot").alias("start_slot"), F.max("end_slot").alias("end_slot"), F.count("*").alias("events")).drop("cluster")
+    return group.groupBy("symbol", "cluster").agg(F.min("slot").alias("start_slot"), F.max("end_slot").alias("end_slot"), (F.count("*") if events is None else events).alias("events")).drop("cluster")
 
 
 def block_bootstrap(blocks: DataFrame, replicates: int) -> DataFrame:

@@ -19,9 +19,9 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     low, low_at, high, high_at = 0.0, 0, 0.0, 0
     for batch in batches:
         out = []
-        for symbol, theta, slot, close in zip(batch["symbol"], batch["theta"], batch["slot"], batch["close"]):
-            if (symbol, theta) != key:
-                key, up = (symbol, theta), None
+        for symbol, scale, slot, close, theta in zip(batch["symbol"], batch["theta"], batch["slot"], batch["close"], batch["reversal"]):
+            if (symbol, scale) != key:
+                key, up = (symbol, scale), None
                 low = high = close
                 low_at = high_at = slot
                 continue
@@ -31,32 +31,35 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if close < low:
                     low, low_at = close, slot
                 if close >= low * (1 + theta):
-                    out.append((symbol, theta, 1, low_at, low, slot, close))
+                    out.append((symbol, scale, 1, low_at, low, slot, close))
                     up, extreme, at = True, close, slot
                 elif close <= high * (1 - theta):
-                    out.append((symbol, theta, -1, high_at, high, slot, close))
+                    out.append((symbol, scale, -1, high_at, high, slot, close))
                     up, extreme, at = False, close, slot
             elif up:
                 if close > extreme:
                     extreme, at = close, slot
                 elif close <= extreme * (1 - theta):
-                    out.append((symbol, theta, -1, at, extreme, slot, close))
+                    out.append((symbol, scale, -1, at, extreme, slot, close))
                     up, extreme, at = False, close, slot
             elif close < extreme:
                 extreme, at = close, slot
             elif close >= extreme * (1 + theta):
-                out.append((symbol, theta, 1, at, extreme, slot, close))
+                out.append((symbol, scale, 1, at, extreme, slot, close))
                 up, extreme, at = True, close, slot
         yield pd.DataFrame(out, columns=["symbol", "theta", "direction", "extreme_slot", "extreme", "confirm_slot", "confirm"])
 
 
-def directional_changes(bars: DataFrame, thetas: list[float]) -> DataFrame:
+def directional_changes(bars: DataFrame, thetas: list[float], unit: str | None = None) -> DataFrame:
     """(symbol, theta, direction, extreme_slot, extreme, confirm_slot, confirm): a change is confirmed at the first
     close that reverses by theta from the running extreme, and may be used from then on only.
 
-    Until the first change both extremes run; a close that would confirm both ways counts as up."""
+    ``unit``: a column of bars that scales theta at each bar, as a relative sigma known before it; where it is null
+    the bar confirms nothing.  Until the first change both extremes run; a close that would confirm both ways
+    counts as up."""
     scales = F.explode(F.array(*(F.lit(x).cast("double") for x in thetas))).alias("theta")
-    rows = bars.select("symbol", scales, "slot", F.col("close").cast("double").alias("close"))
+    rows = bars.select("symbol", scales, "slot", F.col("close").cast("double").alias("close"), (F.col(unit).cast("double") if unit else F.lit(1.0)).alias("unit"))
+    rows = rows.select("symbol", "theta", "slot", "close", (F.col("theta") * F.col("unit")).alias("reversal"))
     rows = rows.repartition("symbol", "theta").sortWithinPartitions("symbol", "theta", "slot")
     return rows.mapInPandas(_fold, "symbol string, theta double, direction int, extreme_slot long, extreme double, confirm_slot long, confirm double")
 
@@ -79,3 +82,19 @@ def pullbacks(small: DataFrame, large: DataFrame) -> DataFrame:
 
 def wave_statistics(waves: DataFrame) -> DataFrame:
     return waves.groupBy("symbol", "theta", "direction").agg(F.count("*").alias("waves"), F.round(F.avg("amplitude"), 6).alias("mean_amplitude"), F.round(F.avg("bars"), 6).alias("mean_bars"), F.max("bars").alias("longest"))
+
+
+def with_retracement(waves: DataFrame) -> DataFrame:
+    """Waves with their speed (amplitude a bar), and how much of the wave before they take back."""
+    w = Window.partitionBy("symbol", "theta").orderBy("start_slot")
+    speed = F.round(F.col("amplitude") / F.col("bars"), 9)
+    return waves.withColumn("speed", speed).withColumn("retracement", F.round(F.abs(F.col("amplitude") / F.lag("amplitude").over(w)), 6))
+
+
+def transitions(waves: DataFrame, state) -> DataFrame:
+    """(symbol, theta, before, after, waves, share): how often a wave of one state follows one of another."""
+    w = Window.partitionBy("symbol", "theta").orderBy("start_slot")
+    pairs = waves.withColumn("after", state).withColumn("before", F.lag("after").over(w)).where("before IS NOT NULL")
+    counts = pairs.groupBy("symbol", "theta", "before", "after").agg(F.count("*").alias("waves"))
+    total = F.sum("waves").over(Window.partitionBy("symbol", "theta", "before"))  # a few states
+    return counts.withColumn("share", F.round(F.col("waves") / total, 6))

@@ -86,7 +86,7 @@ def coverage_missing_first10(spark, sf_dir):
 
 
 _KEYS = """objects AS (SELECT symbol || CASE WHEN d % 5 = 0 THEN '-1m-' || strftime(day, '%Y-%m') ELSE '-1m-' || strftime(day, '%Y-%m-%d') END || CASE WHEN d % 7 = 0 THEN '.csv' ELSE '.zip' END AS key
-  FROM (SELECT DISTINCT event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS day, day(ts) AS d FROM events)), dated AS (SELECT key, regexp_extract(key, '(\\d{4}-\\d{2}(-\\d{2})?)\\.zip$', 1) AS date FROM objects) """.replace("\\\\", "\\")
+  FROM (SELECT DISTINCT event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS day, day(ts) AS d FROM events)), dated AS (SELECT key, regexp_extract(key, '([0-9]{4}-[0-9]{2}(-[0-9]{2})?)[.]zip$', 1) AS date FROM objects) """
 
 
 def objects(spark, sf_dir):
@@ -122,8 +122,8 @@ def zero_volume(spark, sf_dir):
     return dirty(spark, sf_dir).where("volume = 0").groupBy("symbol").agg(F.count("*").alias("zero"))
 
 
-@query("dup_and_mode", f"""WITH {_BARS}, c AS (SELECT symbol, n, count(*) AS k FROM bars GROUP BY ALL), m AS (SELECT symbol, min(n) AS mode_n FROM c QUALIFY true AND k = max(k) OVER (PARTITION BY symbol) GROUP BY symbol, k, n)
-SELECT symbol, min(n) AS mode_n, (SELECT count(*) - count(DISTINCT t) FROM bars b WHERE b.symbol = x.symbol) AS duplicates FROM (SELECT symbol, n, k, max(k) OVER (PARTITION BY symbol) AS top FROM c) x WHERE k = top GROUP BY symbol""".replace(", m AS (SELECT symbol, min(n) AS mode_n FROM c QUALIFY true AND k = max(k) OVER (PARTITION BY symbol) GROUP BY symbol, k, n)", ""))
+@query("dup_and_mode", f"""WITH {_BARS}, c AS (SELECT symbol, n, count(*) AS k FROM bars GROUP BY ALL)
+SELECT symbol, min(n) AS mode_n, (SELECT count(*) - count(DISTINCT t) FROM bars b WHERE b.symbol = x.symbol) AS duplicates FROM (SELECT symbol, n, k, max(k) OVER (PARTITION BY symbol) AS top FROM c) x WHERE k = top GROUP BY symbol""")
 def dup_and_mode(spark, sf_dir):
     return bars(spark, sf_dir).groupBy("symbol").agg(F.mode("n", True).alias("mode_n"), (F.count("*") - F.count_distinct("t")).alias("duplicates"))
 
@@ -368,8 +368,8 @@ def two_way_table(spark, sf_dir):
 
 
 @query("block_bootstrap", f"""WITH {_BARS}, {_RETURNS}, blocks AS (SELECT slot // 24 - min(slot // 24) OVER () AS block, s, n FROM (SELECT slot // 24 * 24 AS slot, sum(ret) AS s, count(*) AS n FROM returns WHERE ret IS NOT NULL GROUP BY ALL)),
-m AS (SELECT count(*) AS m FROM blocks), d AS (SELECT rep, (1103515245::BIGINT * rep + 12345::BIGINT * i * i + 6700417::BIGINT * (rep + 1) * i + 97) % 2147483647 % m AS block FROM m, range(50) r(rep), range(m) x(i))
-SELECT rep::INTEGER AS rep, round(sum(s) / sum(n), 6) AS mean FROM d JOIN blocks USING (block) GROUP BY rep""".replace("range(m) x(i)", "LATERAL (SELECT unnest(range(m)) AS i) x"))
+m AS (SELECT count(*) AS m FROM blocks), d AS (SELECT rep, (1103515245::BIGINT * rep + 12345::BIGINT * i * i + 6700417::BIGINT * (rep + 1) * i + 97) % 2147483647 % m AS block FROM m, range(50) r(rep), LATERAL (SELECT unnest(range(m)) AS i) x)
+SELECT rep::INTEGER AS rep, round(sum(s) / sum(n), 6) AS mean FROM d JOIN blocks USING (block) GROUP BY rep""")
 def block_bootstrap(spark, sf_dir):
     day = F.floor(F.col("slot") / 24)
     sums = settle(returns(spark, sf_dir).where("ret IS NOT NULL").groupBy(day.alias("day")).agg(F.sum("ret").alias("s"), F.count("*").alias("n")), "blocks")
@@ -439,7 +439,7 @@ def _trades(spark, sf_dir, delay: int = 0):
     return evaluation.trades(pointintime.breakout(every, 12).where("signal <> 0"), every, 4, delay)
 
 
-_TRADES = "trades AS (SELECT s.symbol, s.slot, d.delay, s.signal, s.signal * (l.open / e.open - 1) AS gross FROM signals s, (VALUES (0), (1)) d(delay) JOIN bars e ON e.symbol = s.symbol AND e.slot = s.slot + 1 + d.delay JOIN bars l ON l.symbol = s.symbol AND l.slot = s.slot + 5 + d.delay WHERE s.signal <> 0)".replace("signals s, (VALUES (0), (1)) d(delay) JOIN", "signals s CROSS JOIN (VALUES (0), (1)) d(delay) JOIN")
+_TRADES = "trades AS (SELECT s.symbol, s.slot, d.delay, s.signal, s.signal * (l.open / e.open - 1) AS gross FROM signals s CROSS JOIN (VALUES (0), (1)) d(delay) JOIN bars e ON e.symbol = s.symbol AND e.slot = s.slot + 1 + d.delay JOIN bars l ON l.symbol = s.symbol AND l.slot = s.slot + 5 + d.delay WHERE s.signal <> 0)"
 
 
 @query("trade_pnl", f"WITH {_BREAKOUT}, {_TRADES} SELECT symbol, count(*) AS trades, round(sum(gross - 0.0012), 6) AS net, round(avg(CASE WHEN gross > 0.0012 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hit_rate FROM trades WHERE delay = 0 GROUP BY symbol")
@@ -456,9 +456,18 @@ def robustness(spark, sf_dir):
     return sums.join(F.broadcast(costs)).select("delay", "fee", "slip", "trades", F.round(F.col("g") - F.col("trades") * 2 * (0.0005 * F.col("fee") + 0.0001 * F.col("slip")), 6).alias("net"))
 
 
-@query("deflated_sharpe")
+_QUANTILE = "(sqrt(-2 * ln({0})) - (2.515517 + 0.802853 * sqrt(-2 * ln({0})) + 0.010328 * (-2 * ln({0}))) / (1 + 1.432788 * sqrt(-2 * ln({0})) + 0.189269 * (-2 * ln({0})) + 0.001308 * pow(-2 * ln({0}), 1.5)))"
+
+
+@query("deflated_sharpe", f"""WITH {_BARS}, {_RETURNS}, x AS (SELECT symbol || '-' || (slot % 24) AS strategy, ret AS r, avg(ret) OVER (PARTITION BY symbol, slot % 24) AS m FROM returns WHERE ret IS NOT NULL),
+e AS (SELECT strategy, avg(r) / stddev_samp(r) AS sharpe, count(*) AS n, avg(pow(r - m, 3)) / pow(avg(pow(r - m, 2)), 1.5) AS skew, avg(pow(r - m, 4)) / pow(avg(pow(r - m, 2)), 2) AS kurt FROM x GROUP BY strategy HAVING count(*) > 2),
+w AS (SELECT count(*)::DOUBLE AS trials, stddev_samp(sharpe) AS spread FROM e WHERE sharpe IS NOT NULL), l AS (SELECT trials, spread * ((1 - 0.5772156649015329) * {_QUANTILE.format('1 / trials')} + 0.5772156649015329 * {_QUANTILE.format('1 / (trials * 2.718281828459045)')}) AS lift FROM w),
+z AS (SELECT strategy, sharpe, n, (sharpe - lift) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) AS z FROM e, l WHERE trials > 1 AND sharpe IS NOT NULL), t AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z),
+p AS (SELECT *, exp(-z * z / 2) * 0.3989422804014327 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS tail FROM t)
+SELECT strategy, round(sharpe, 6) AS sharpe, n, round(CASE WHEN z >= 0 THEN 1 - tail ELSE tail END, 6) AS deflated FROM p""")
 def deflated_sharpe(spark, sf_dir):
-    return evaluation.deflated_sharpe(returns(spark, sf_dir).where("ret IS NOT NULL").select(F.concat_ws("-", "symbol", (F.col("slot") % 24).cast("string")).alias("strategy"), F.col("ret").alias("r")))
+    rows = evaluation.deflated_sharpe(returns(spark, sf_dir).where("ret IS NOT NULL").select(F.concat_ws("-", "symbol", (F.col("slot") % 24).cast("string")).alias("strategy"), F.col("ret").alias("r")))
+    return rows.withColumns({c: F.round(c, 6) for c in ("sharpe", "deflated")})
 
 
 @query("pbo", f"""WITH {_BARS}, {_RETURNS}, b AS (SELECT symbol || '-' || (slot % 6) AS strategy, ((slot - lo) * 6 // (hi - lo + 1))::INTEGER AS block, sum(ret) AS s, count(*) AS n FROM returns, (SELECT min(slot) AS lo, max(slot) AS hi FROM returns WHERE ret IS NOT NULL) WHERE ret IS NOT NULL GROUP BY ALL),
@@ -475,7 +484,10 @@ def pbo(spark, sf_dir):
     return evaluation.overfitting(settle(blocks, "blocks"), spark.createDataFrame(chosen, "combination int, block int"))
 
 
-@query("spa", None)
+@query("spa", f"""WITH {_BARS}, {_RETURNS}, d AS (SELECT symbol, slot // 24 AS day, sum(ret) AS s, count(*) AS n FROM returns WHERE ret IS NOT NULL GROUP BY ALL), x AS (SELECT min(day) AS first, max(day) - min(day) + 1 AS m FROM d),
+r AS (SELECT rep::INTEGER AS rep, first + (1103515245::BIGINT * rep + 12345::BIGINT * i * i + 6700417::BIGINT * (rep + 1) * i + 97) % 2147483647 % m AS day FROM x, range(50) q(rep), LATERAL (SELECT unnest(range(m)) AS i) y),
+b AS (SELECT rep, symbol, sum(s) / sum(n) AS mean FROM r JOIN d USING (day) GROUP BY ALL), o AS (SELECT symbol, sum(s) / sum(n) AS own FROM d GROUP BY symbol)
+SELECT rep, round(max(mean - own), 6) AS best_excess, round(max(own), 6) AS best FROM b JOIN o USING (symbol) GROUP BY rep""")
 def spa(spark, sf_dir):
     """White's reality check: per replicate, the best strategy's resampled mean above its own mean."""
     day = F.floor(F.col("slot") / 24)

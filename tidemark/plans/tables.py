@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settle(frame: DataFrame, name: str) -> DataFrame:
-    """The same rows, written below spark.checkpoint.dir and read again; an own local folder where that is unset."""
+    """The same rows, written below spark.checkpoint.dir and read again; an own local folder where that is unset on a single machine."""
     spark = frame.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"

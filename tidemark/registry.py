@@ -22,8 +22,19 @@ class Config:
     fee: float = 0.0005
     slippage: float = 0.0001
     embargo_steps: int = 24
+    holdout_from: str | None = None
     extra: dict = field(default_factory=dict)
 
+    def inside(self, rows: DataFrame, t: str) -> DataFrame:
+        """Rows of the window, both days inclusive; a plain predicate on the column, so that scans can use it."""
+        start, end = (F.lit(x).cast("date") for x in self.window)
+        return rows.where((F.col(t) >= start.cast("timestamp_ntz")) & (F.col(t) < F.date_add(end, 1).cast("timestamp_ntz")))
+
+    def parts(self, rows: DataFrame, t: str) -> DataFrame:
+        """rows with ``part``: holdout from ``holdout_from`` on, which no study may use, and research before."""
+        late = F.lit(False) if self.holdout_from is None else F.col(t) >= F.lit(self.holdout_from).cast("date").cast("timestamp_ntz")
+        return rows.withColumn("part", F.when(late, "holdout").otherwise("research"))
+
     def digest(self) -> str:
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
 
@@ -46,3 +57,25 @@ def register(spark: SparkSession, path: str, experiment: str, config: Config, re
 def trials(spark: SparkSession, path: str) -> int:
     """How many experiments were ever registered."""
     return spark.read.schema(SCHEMA).parquet(path).count()
+
+
+def preregistered(spark: SparkSession, path: str, tested: DataFrame) -> DataFrame:
+    """tested(experiment, tested_at) with ``confirmatory``: whether the experiment was registered as such before it was
+    tested; of an experiment registered twice the first time counts."""
+    known = spark.read.schema(SCHEMA).parquet(path).where("NOT exploratory").groupBy("experiment").agg(F.min("registered_at").alias("_at"))
+    return tested.join(known, "experiment", "left").withColumn("confirmatory", F.coalesce(F.col("_at") <= F.col("tested_at"), F.lit(False))).drop("_at")
+
+
+def locked_test(spark: SparkSession, path: str, experiment: str, config: Config, run, data_version: str) -> DataFrame:
+    """The result of ``run()``, registered with its digest; refuses an experiment that was run before."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        if not spark.read.schema(SCHEMA).parquet(path).where(F.col("experiment") == experiment).isEmpty():
+            raise ValueError(f"the locked test of {experiment} was run before")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    result = run()
+    register(spark, path, experiment, config, result, data_version)
+    return result

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,19 +41,34 @@ def archives(spark: SparkSession, root: str) -> DataFrame:
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for key, content in zip(batch["key"], batch["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(archive.namelist()[0]) as member:
-                lines, start = [], 0
-                for line in io.TextIOWrapper(member, "utf-8", newline=None):
-                    lines.append(line.rstrip("\n"))
-                    if len(lines) == _LINES:
-                        yield pd.DataFrame({"key": key, "line_no": range(start, start + len(lines)), "line": lines})
-                        lines, start = [], start + len(lines)
-                yield pd.DataFrame({"key": key, "line_no": range(start, start + len(lines)), "line": lines})
+            lines, start = [], 0
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(archive.infolist()[0]) as member:
+                    for line in io.TextIOWrapper(member, "utf-8", errors="replace", newline=None):
+                        lines.append(line.rstrip("\n"))
+                        if len(lines) == _LINES:
+                            yield pd.DataFrame({"key": key, "line_no": range(start, start + len(lines)), "line": lines, "error": None})
+                            lines, start = [], start + len(lines)
+                yield pd.DataFrame({"key": key, "line_no": range(start, start + len(lines)), "line": lines, "error": None})
+            except (zipfile.BadZipFile, IndexError, EOFError, zlib.error) as e:
+                yield pd.DataFrame({"key": [key], "line_no": [-1], "line": [None], "error": [f"{type(e).__name__}: {e}"]})
+
+
+def decoded(zips: DataFrame) -> DataFrame:
+    """(key, line_no, line, error) of the first member of each archive; an archive that is empty, cut short or none at
+    all gives, after what could be read, one row of line_no -1 that says why."""
+    return zips.select("key", "content").mapInPandas(_decode, "key string, line_no long, line string, error string")
 
 
 def decode(zips: DataFrame) -> DataFrame:
-    """(key, line_no, line) of the first member of each archive; file order is data, so lines are numbered."""
-    return zips.select("key", "content").mapInPandas(_decode, "key string, line_no long, line string")
+    """(key, line_no, line) of the first member of each archive; file order is data, so lines are numbered.  Broken
+    archives give what could be read; see ``decoded``."""
+    return decoded(zips).where("line_no >= 0").drop("error")
+
+
+def accepted(zips: DataFrame) -> DataFrame:
+    """Archives that may be decoded and stored: those whose checksum was there and right."""
+    return zips.where("sha256_ok")
 
 
 def parse(lines: DataFrame, schema: str) -> DataFrame:
@@ -62,13 +78,20 @@ def parse(lines: DataFrame, schema: str) -> DataFrame:
 
 
 def file_profile(lines: DataFrame) -> DataFrame:
-    """(key, rows, has_header, first_line): the first line cut to 200 characters."""
+    """(key, rows, has_header, first_line, csv_bytes, columns, head): the first line cut to 200 characters, the header's
+    names, and the first three rows as they are written."""
     first = F.max(F.when(F.col("line_no") == 0, F.col("line")))
-    return lines.groupBy("key").agg(F.count_if(F.col("line") != "").alias("lines"), F.substring(first, 1, 200).alias("first_line"), (~first.rlike("^[0-9]")).alias("has_header")).select("key", (F.col("lines") - F.col("has_header").cast("int")).alias("rows"), "has_header", "first_line")
+    header = ~first.rlike("^[0-9]")
+    early = F.array_sort(F.collect_list(F.when(F.col("line_no") < 4, F.struct("line_no", "line"))))  # four lines
+    out = lines.groupBy("key").agg(F.count_if(F.col("line") != "").alias("lines"), first.alias("first"), header.alias("has_header"), F.sum(F.octet_length("line") + 1).alias("csv_bytes"), early.alias("early"))
+    head = F.slice(F.filter("early", lambda x: ~F.col("has_header") | (x["line_no"] > 0)), 1, 3)
+    return out.select("key", (F.col("lines") - F.col("has_header").cast("int")).alias("rows"), "has_header", F.substring("first", 1, 200).alias("first_line"), "csv_bytes",
+                      F.when(F.col("has_header"), F.split("first", ",")).alias("columns"), F.transform(head, lambda x: x["line"]).alias("head"))
 
 
 def kline_profile(rows: DataFrame) -> DataFrame:
-    """One row an archive: unit, duplicates, disorder, gaps, missing minutes and price checks, in file order.
+    """One row an archive: unit, rows expected of its month, first and last time, duplicates, disorder, gaps, missing
+    minutes and price checks, in file order.
 
     A file is one month of one symbol at most, so a window over one file is bounded."""
     from pyspark.sql import Window
@@ -77,13 +100,36 @@ def kline_profile(rows: DataFrame) -> DataFrame:
     unit = epoch_unit(F.first("open_time").over(first))
     timed = rows.withColumn("unit", unit).withColumn("step", F.when(F.col("unit") == "us", STEP_MS * 1000).otherwise(STEP_MS)).withColumn("diff", F.col("open_time") - F.lag("open_time").over(first))
     price = [F.col(c) for c in ("open", "high", "low", "close")]
+    utc = lambda c: F.when(F.first("unit") == "us", F.timestamp_micros(c)).otherwise(F.timestamp_millis(c)).cast("timestamp_ntz")
+    month = F.to_date(F.substring(date_of(F.first("key")), 1, 7), "yyyy-MM")
     return timed.groupBy("key", "unit").agg(
-        F.count("*").alias("rows"), (F.count("*") - F.count_distinct("open_time")).alias("duplicates"), F.count_if(F.col("diff") <= 0).alias("non_monotonic"), F.count_if(F.col("diff") > F.col("step")).alias("gaps"),
+        F.count("*").alias("rows"), (F.dayofmonth(F.last_day(month)) * 1440).cast("long").alias("rows_expected"), utc(F.min_by("open_time", "line_no")).alias("first_open_time_utc"), utc(F.max_by("open_time", "line_no")).alias("last_open_time_utc"),
+        (F.count("*") - F.count_distinct("open_time")).alias("duplicates"), F.count_if(F.col("diff") <= 0).alias("non_monotonic"), F.count_if(F.col("diff") > F.col("step")).alias("gaps"),
         F.coalesce(F.sum(F.when(F.col("diff") > F.col("step"), F.floor(F.col("diff") / F.col("step")) - 1)), F.lit(0)).alias("missing_minutes"), F.mode(F.col("close_time") - F.col("open_time"), True).alias("span_mode"),
         F.count_if(ohlc_violation(*price)).alias("ohlc_violations"), F.sum(negative_cells(*price, F.col("volume"))).alias("negative_values"), F.count_if(F.col("volume") == 0).alias("zero_volume"),
     )
 
 
+def profiles(zips: DataFrame, schema: str = KLINES) -> DataFrame:
+    """The whole profile of each archive: checksum and sizes, header and head, and what ``kline_profile`` counts."""
+    lines = decode(zips)
+    meta = zips.select("key", "sha256_ok", F.octet_length("content").cast("long").alias("zip_bytes"))
+    return meta.join(file_profile(lines), "key", "left").join(kline_profile(parse(lines, schema)).drop("rows"), "key", "left")
+
+
+def parquet_bytes(rows: DataFrame, path: str) -> int:
+    """Bytes of rows as zstd Parquet at ``path``, without an ``ignore`` column."""
+    rows.drop("ignore").write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    files = rows.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+def write_report(records: dict[str, DataFrame], path: str) -> None:
+    """Reports as JSON lines, one folder for each name; timestamps as text, non-ASCII characters as they are."""
+    for name, frame in records.items():
+        frame.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(f"{path}/{name}")
+
+
 def normalised(rows: DataFrame, symbol) -> DataFrame:
     """Rows as stored: UTC times, filler flag, no ``ignore`` column, partition columns."""
     at = F.when(F.col("open_time") > 10**14, F.timestamp_micros("open_time")).otherwise(F.timestamp_millis("open_time"))
@@ -106,6 +152,8 @@ def manifest_rows(zips: DataFrame) -> DataFrame:
 
 
 def preferred(listing: DataFrame) -> DataFrame:
-    """Monthly objects, and daily ones of months without one; listing(key, date) of one symbol and dataset."""
-    months = listing.where(F.length("date") == 7).select(F.col("date").alias("_month")).distinct()
-    return listing.join(months, (F.length("date") == 10) & (F.substring("date", 1, 7) == F.col("_month")), "left_anti")
+    """Monthly objects, and daily ones of months that their symbol and dataset have no monthly object of;
+    listing(symbol, dataset, date, ...)."""
+    months = listing.where(F.length("date") == 7).select(F.col("symbol").alias("_symbol"), F.col("dataset").alias("_dataset"), F.col("date").alias("_month")).distinct()
+    same = (F.col("symbol") == F.col("_symbol")) & (F.col("dataset") == F.col("_dataset")) & (F.substring("date", 1, 7) == F.col("_month"))
+    return listing.join(months, (F.length("date") == 10) & same, "left_anti")

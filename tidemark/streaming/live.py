@@ -22,28 +22,34 @@ def live_bars(events: DataFrame, width: str = "1 hour", late: str = "10 minutes"
 
 def _changes(theta: float):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        up, extreme, at = state.get if state.exists else (0, None, None)
-        out = []
-        rows = pd.concat(list(batches)).sort_values("ts")
-        for ts, price in zip(rows["ts"], rows["price"]):
-            if extreme is None:
-                up, extreme, at = 0, price, ts
-            elif up >= 0 and price <= extreme * (1 - theta):
-                out.append((key[0], -1, at, extreme, ts, price))
-                up, extreme, at = -1, price, ts
-            elif up <= 0 and price >= extreme * (1 + theta):
-                out.append((key[0], 1, at, extreme, ts, price))
-                up, extreme, at = 1, price, ts
-            elif up and (price - extreme) * up > 0:
-                extreme, at = price, ts
-        state.update((up, extreme, at))
-        yield pd.DataFrame(out, columns=["symbol", "direction", "extreme_at", "extreme", "confirmed_at", "price"])
+        up, high, high_at, low, low_at = state.get if state.exists else (0, None, None, None, None)
+        for batch in batches:
+            out, rows = [], batch.sort_values("ts", kind="stable")
+            for ts, price in zip(rows["ts"], rows["price"]):
+                if high is None:
+                    high, high_at, low, low_at = price, ts, price, ts
+                    continue
+                if up >= 0 and price > high:
+                    high, high_at = price, ts
+                if up <= 0 and price < low:
+                    low, low_at = price, ts
+                if up <= 0 and low_at != ts and price >= low * (1 + theta):
+                    out.append((key[0], 1, low_at, low, ts, price))
+                elif up >= 0 and high_at != ts and price <= high * (1 - theta):
+                    out.append((key[0], -1, high_at, high, ts, price))
+                else:
+                    continue
+                up, high, high_at, low, low_at = out[-1][1], price, ts, price, ts
+            yield pd.DataFrame(out, columns=["symbol", "direction", "extreme_at", "extreme", "confirmed_at", "price"])
+        state.update((up, high, high_at, low, low_at))
 
     return step
 
 
 def live_changes(prices: DataFrame, theta: float) -> DataFrame:
-    """Directional changes of a stream (symbol, ts, price) that arrives in order of time, sent when confirmed.
+    """Directional changes of a stream (symbol, ts, price) that arrives in order of time, sent when confirmed; the same
+    ones as ``waves.directional_changes`` finds in the whole table.
 
-    The state of a symbol is its direction and running extreme; until the first change it is its first price."""
-    return prices.groupBy("symbol").applyInPandasWithState(_changes(theta), CHANGE, "up int, extreme double, at timestamp", "append", GroupStateTimeout.NoTimeout)
+    The state of a symbol is its direction and running extremes; until the first change both of them run."""
+    kept = "up int, high double, high_at timestamp, low double, low_at timestamp"
+    return prices.groupBy("symbol").applyInPandasWithState(_changes(theta), CHANGE, kept, "append", GroupStateTimeout.NoTimeout)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import comb, exp
 
 import numpy as np
 import pandas as pd
@@ -35,9 +35,9 @@ from tidemark.llm.shared import components, cut, small_batches
 
 _SEED = np.uint64(0xD1B54A32D192ED03)
 #: Widest ratio of sizes within a band.  Wider bands put fewer sets in two bands but ask for more signatures.
-BAND_RATIO = 1.4
+BAND_RATIO = 1.3
 #: Elements that a signature of a band's smallest set holds on average, aimed at.
-HELD = 3.5
+HELD = 2.5
 #: Turns with other partitions, at most.
 RESEEDS = 6
 #: Rows of a broadcast filter on hashed ids, at most.
@@ -52,17 +52,31 @@ SHORT_ROWS = 4000
 COPY_DEALS = 64
 
 
+def _sparse_share(low: int, n1: int, n2: int, k2: int, g: int) -> float:
+    """About the share of sets of ``low`` elements of which g partitions or more have elements in k2 parts at most.
+
+    Elements fall like rain: a part is empty with probability e, and the number of such partitions is Poisson."""
+    e = exp(-low / (n1 * n2))
+    mean = n1 * sum(comb(n2, j) * e**j * (1 - e) ** (n2 - j) for j in range(n2 - k2, n2 + 1))
+    below = term = exp(-mean)
+    for i in range(1, g):
+        term *= mean / i
+        below += term
+    return max(0.0, 1 - below)
+
+
 @lru_cache(maxsize=None)
 def scheme(low: int, k: int) -> tuple[int, int, int]:
-    """(n1, n2, k2) for sets of at least ``low`` elements that differ in at most k: the fewest signatures that
-    hold HELD elements or more; if there are none, of those up to twice the fewest the ones that hold most."""
+    """(n1, n2, k2) for sets of at least ``low`` elements that differ in at most k: the fewest signatures, in all turns
+    that the sets may be expected to take, that hold HELD elements or more; or if there are none, the fewest."""
     options = []
-    # The larger a set, the more of its partitions happen to hold next to nothing; the spare ones are for these
     for k2 in range(1, min(k, 3) + 1):
-        n1 = k // (k2 + 1) + (2 + k // 64 if k > k2 else 1)
-        options += [(n1 * comb(n2, k2), -low * (n2 - k2) / (n2 * n1), (n1, n2, k2)) for n2 in range(k2 + 2, k2 + 5)]
-    enough = [x for x in options if -x[1] >= HELD]
-    return min(enough)[2] if enough else min((x for x in options if x[0] <= 2 * min(options)[0]), key=lambda x: x[1])[2]
+        for n2 in range(k2 + 2, k2 + 5):
+            for g in range(1, 2 + k // 2 if k > k2 else 2):
+                n1 = k // (k2 + 1) + g
+                turns = 1 / max(1e-3, 1 - _sparse_share(low, n1, n2, k2, g))
+                options.append((low * (n2 - k2) / (n2 * n1) < HELD, n1 * comb(n2, k2) * turns, (n1, n2, k2)))
+    return min(options)[2]
 
 
 def bands(percent: int, largest: int) -> list[tuple[int, int, int, int, int]]:

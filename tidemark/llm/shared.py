@@ -55,9 +55,13 @@ def fresh(frame: DataFrame, name: str) -> str:
     return name
 
 
-def numbered(frame: DataFrame, name: str) -> DataFrame:
-    """The same rows with a column ``name`` that tells each from all others, written so that it stays as it is."""
-    return cut(frame.withColumn(name, F.monotonically_increasing_id()), "numbered")
+def numbered(frame: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """(the same rows, the name of a column that tells each from all others): ``key`` where it does, and else a new
+    column, written so that it stays as it is."""
+    if frame.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNull() | (F.col("n") > 1)).isEmpty():
+        return frame, key
+    name = fresh(frame, "_row")
+    return cut(frame.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def through(frame: DataFrame, function, key: str, schema: str) -> DataFrame:

@@ -134,6 +134,33 @@ def test_roots():
     assert text("<div role=article>a<nav><article>n</article></nav></div><main>b") == "a\nb"
 
 
+def test_importance_equals_brute_force(make, spark):
+    """Entropies of merged pages, counted page by page."""
+    import math
+
+    rng = random.Random(8)
+    pages = [f"<body><div class=top><a href=/{rng.randrange(3)}>Home</a> {rng.choice('abc')}</div><div>{' '.join(rng.choices('xyz', k=3))}<p>own {i}</p></div></body>" for i in range(30)]
+    found = [html_extract.branches(html_extract.parse(p)) for p in pages]
+    whole = {(key, style, features, rest) for one in found for key, _, style, features, rest in one}
+    want = {}
+    for key in {x[0] for x in whole}:
+        mine = [x for x in whole if x[0] == key]
+        m = len(mine)
+        measure = lambda lists: 1 - sum(c * math.log(c) for c in (sum(v in x for x in lists) for v in {v for x in lists for v in x})) / (sum(map(len, lists)) * math.log(m)) if m > 1 else 1.0  # noqa: B023, E731
+        want[html_extract._signed(key)] = (m, round(max(measure([{x[1]} for x in mine]), measure([x[2] for x in mine])), 9))
+    rows = [(html_extract._signed(key), False, 0, html_extract._signed(style)) for key, style, features, rest in whole] + [(html_extract._signed(key), False, 1, html_extract._signed(v)) for key, style, features, rest in whole for v in features]
+    variants = spark.createDataFrame(rows, "key long, inside boolean, kind int, hash long").withColumn("host", F.lit("h")).groupBy("host", "key", "inside", "kind", "hash").agg(F.count("*").alias("c"))
+    assert {r.key: (r.pages, round(r.importance, 9)) for r in html_extract.importance(variants).collect()} == want and len(want) >= 3
+
+
+def test_a_menu_that_differs_a_little_is_removed(make):
+    rng = random.Random(5)
+    menu = lambda: "".join(f"<a href=/{x}>{x}</a> " for x in ["news", "sports", "weather", "markets", "arts", rng.choice("abcdefghij")])
+    pages = [(i, f"<body><div class=top>{menu()}</div><div class=story>Lead: <p>text {i} of {i * 7}</p></div></body>") for i in range(12)]
+    frame = make(pages, "page_id", "html").withColumn("url", F.lit("http://a.b/c"))
+    assert sorted((r.page_id, r.text) for r in html_extract.extract_articles(frame).collect()) == [(i, f"text {i} of {i * 7}") for i in range(12)]
+
+
 def test_site_tree_removes_what_repeats(make):
     pages = [(i, f"<body><div class=top>Every page says this</div><div class=story><p>text {i} of {i * 7}</p></div></body>") for i in range(12)]
     frame = make(pages, "page_id", "html").withColumn("url", F.lit("http://a.b/c"))

@@ -1,14 +1,16 @@
 """HTML extraction with a site style tree (after Yi, Liu and Li 2003).
 
-The pages of a host are merged: branches of the same tags and attributes, on the same path, are one node of the
-host's tree, at every level.  Paths begin at the page, and anew at an article or main element, so that layouts
-and ids around articles don't matter inside them.  A node's presentation importance is the entropy of its
-children's styles over the pages, its content importance that of its contents, both divided by the most that so
-many pages could have.  Branches where both are low repeat from page to page and are removed; inside an article
-only from pages whose content there is itself a repeated one.
-
-Copies are told from boilerplate first.  Inside articles, pages on which all but the branch has the same longest
-run of text count once for it, so copies and near copies of one article aren't evidence; outside, equal pages do.
+The pages of a host are merged: elements of the same tags and attributes, on the same path, are one node of the
+host's tree, at every level.  Paths begin at the page, and anew at an article or main element, so that layouts and
+ids around articles don't matter inside them.  A text belongs to its nearest element that is a node; a node's content
+features are its texts, link targets and image sources.  A feature's importance is one less the entropy of the pages
+that have it there, a node's content importance the mean of its features', and its presentation importance the entropy
+of its children's styles, each in parts of the most that so many pages could have.  Texts of nodes where both are low
+repeat from page to page and are removed; inside an article only from pages all of whose features there repeat.  A
+branch is gone when all of its nodes are.
+
+Copies are told from boilerplate first.  Inside articles, pages on which all but the node has the same longest run of
+text count once for it, so copies and near copies of one article aren't evidence; outside, equal pages do.
 
 Entropy alone can't tell menus, adverts and footers that change with each page from text.  So branches whose
 tags, roles or class names say what they are have no importance, and the page's own article or main element
@@ -31,7 +33,7 @@ from tidemark.llm.url_filters import url_parts
 
 #: A node seen on fewer pages is never judged by its entropy; below LEAST_IMPORTANCE it is noise.
 LEAST_PAGES, LEAST_IMPORTANCE = 4, 0.3
-#: Stands for any content of a node.
+#: Stands for any feature of a node.
 ANY = 0
 #: Inside articles: elements that are also judged by their place among siblings of one style, from either end;
 #: and those directly in which inline elements are judged too, unless they hold running text of their own.
@@ -54,13 +56,14 @@ class Node:
     """One element: its style, what is inside in order (texts and elements), its parent; and, once placed, the
     key of its path and the keys of the tree's nodes that it is judged by."""
 
-    __slots__ = ("tag", "style", "inside", "parent", "noise", "root", "key", "judged")
+    __slots__ = ("tag", "style", "inside", "parent", "noise", "root", "key", "judged", "target")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         found = {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
         names, role = f"{found.get('class', '')} {found.get('id', '')}", found.get("role", "").lower()
         self.tag, self.inside, self.parent, self.key, self.judged = tag, [], parent, 0, ()
         self.style = tag + "".join(f".{x}" for x in sorted(found.get("class", "").split())) + (f"#{found['id']}" if found.get("id") else "")
+        self.target = found.get("href") or found.get("src") or ""
         self.root = tag in ("article", "main") or role in ("main", "article")
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         named = tag not in ("html", "body") and not self.root and any(x.lower() in _NOISE_NAME for x in _NAME.findall(names))
@@ -152,10 +155,12 @@ def _roots(top: Node) -> list[Node]:
 def main_text(page: str | None, noise: frozenset[tuple[int, int]] = frozenset()) -> str:
     """The page's article: blocks in page order, white space as one space, joined by line feeds.
 
-    noise: (key, content) of the host's nodes without importance, as signed numbers.
+    noise: (key, feature) of the host's nodes without importance, as signed numbers; see ``site_noise``.
     """
     top = parse(page or "")
-    dropped = {key for key, _, _, content, _ in branches(top) if (_signed(key), ANY) in noise or (_signed(key), _signed(content)) in noise} if noise else frozenset()
+    dropped = frozenset()
+    if noise:
+        dropped = {key for key, _, _, features, _ in branches(top) if (_signed(key), ANY) in noise or features and all((_signed(key), _signed(x)) in noise for x in features)}
     roots = _roots(top)
     blocks: list[str] = []
     open_block: list[str] = []
@@ -166,10 +171,10 @@ def main_text(page: str | None, noise: frozenset[tuple[int, int]] = frozenset())
         open_block.clear()
 
     for root in roots or [top]:
-        # (node, position inside); an explicit stack, as pages may nest deeply
-        stack: list[list] = [[root, 0]]
+        # (node, position inside, whether its texts are removed); an explicit stack, as pages may nest deeply
+        stack: list[list] = [[root, 0, False]]
         while stack:
-            node, i = stack[-1]
+            node, i, mute = stack[-1]
             if i == len(node.inside):
                 if node.tag in _BLOCK:
                     flush()
@@ -178,10 +183,9 @@ def main_text(page: str | None, noise: frozenset[tuple[int, int]] = frozenset())
             stack[-1][1] += 1
             child = node.inside[i]
             if isinstance(child, str):
-                open_block.append(child)
+                open_block.append(" " if mute else child)
                 continue
-            header = child.tag == "header" and not roots
-            if child.noise or header or dropped and not dropped.isdisjoint(child.judged):
+            if child.noise or child.tag == "header" and not roots:
                 if child.tag in _BLOCK:
                     flush()
                 continue
@@ -189,7 +193,7 @@ def main_text(page: str | None, noise: frozenset[tuple[int, int]] = frozenset())
                 flush()
             elif child.tag in ("br", "td", "th", "img"):
                 open_block.append(" ")
-            stack.append([child, 0])
+            stack.append([child, 0, not dropped.isdisjoint(child.judged) if child.judged and dropped else mute])
         flush()
     return "\n".join(blocks)
 
@@ -221,17 +225,17 @@ def _place(node: Node, within: int) -> None:
                 child.judged += (_hash(f"{style} {i}", node.key), _hash(f"{style} {i - len(same)}", node.key))
 
 
-def branches(top: Node) -> list[tuple[int, bool, int, int, int]]:
-    """(key, whether in an article, hash of the children's styles, hash of the content, hash of what else the page
-    has) of each of the tree's nodes that the page has with any text; elements of one node count together.
+def branches(top: Node) -> list[tuple[int, bool, int, frozenset[int], int]]:
+    """(key, whether in an article, hash of the children's styles, features, hash of what else the page has) of each of
+    the tree's nodes to which any text of the page belongs; elements of one node count together.
 
-    What else the page has is inside articles its longest run of article text elsewhere, outside its whole content.
+    What else the page has is inside articles its longest run of article text elsewhere, outside its whole text.
     """
     runs: list[tuple[int, int]] = []
+    texts: list[int] = []
     found: dict[int, list] = {}
-    whole = 0
-    # node, position inside, where it is (see _place), first run, hashes of what it holds
-    stack: list[list] = [[top, 0, 0, 0, []]]
+    # node, position inside, where it is (see _place), first run, features and whether a text is among them (of the nearest node)
+    stack: list[list] = [[top, 0, 0, 0, [[], False]]]
     _place(top, 0)
     while stack:
         node, i, within, begin, held = frame = stack[-1]
@@ -240,62 +244,79 @@ def branches(top: Node) -> list[tuple[int, bool, int, int, int]]:
             x = node.inside[i]
             if isinstance(x, str):
                 if text := " ".join(x.split()):
-                    held.append(_hash(text))
+                    held[0].append(_hash(text))
+                    held[1] = True
+                    texts.append(held[0][-1])
                     if within:
-                        runs.append((len(text), held[-1]))
+                        runs.append((len(text), held[0][-1]))
             elif not x.noise:
                 inner = 2 if x.tag == "article" and x.root else max(within, int(x.root))
                 _place(x, inner)
-                stack.append([x, 0, inner, len(runs), []])
+                own = [[], False] if x.judged else held
+                if x.target:
+                    own[0].append(_hash(x.target, 2))
+                stack.append([x, 0, inner, len(runs), own])
             continue
         stack.pop()
-        if not held:
+        if not node.judged or not held[1]:
             continue
-        content = held[0] if len(held) == 1 else _hash(" ".join(map(str, held)))
-        if stack:
-            stack[-1][4].append(content)
-        else:
-            whole = content
-        if node.judged:
-            style = _hash("|".join(y.style for y in node.inside if isinstance(y, Node) and not y.noise))
-            for key in node.judged:
-                if (seen := found.get(key)) is None:
-                    found[key] = [within > 0, begin, len(runs), style, content]
-                else:
-                    seen[1:] = min(seen[1], begin), len(runs), _hash(str(style), seen[3]), _hash(str(content), seen[4])
+        style = _hash("|".join(y.style for y in node.inside if isinstance(y, Node) and not y.noise))
+        for key in node.judged:
+            if (seen := found.get(key)) is None:
+                found[key] = [within > 0, begin, len(runs), style, set(held[0])]
+            else:
+                seen[1:4] = min(seen[1], begin), len(runs), _hash(str(style), seen[3])
+                seen[4].update(held[0])
+    whole = _hash(" ".join(map(str, texts)))
     before, after = [(0, 0)], [(0, 0)]
     for run in runs:
         before.append(max(before[-1], run))
     for run in reversed(runs):
         after.append(max(after[-1], run))
     last = len(runs)
-    return [(key, inside, style, content, max(before[begin], after[last - end])[1] if inside else whole) for key, (inside, begin, end, style, content) in found.items()]
+    return [(key, inside, style, frozenset(features), max(before[begin], after[last - end])[1] if inside else whole) for key, (inside, begin, end, style, features) in found.items()]
 
 
 def _branches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = [(host, _signed(key), inside, _signed(style), _signed(content), _signed(rest)) for host, page in zip(batch["host"], batch["html"]) for key, inside, style, content, rest in branches(parse(page or ""))]
-        yield pd.DataFrame(out, columns=["host", "key", "inside", "style", "content", "rest"])
+        out = []
+        for host, page in zip(batch["host"], batch["html"]):
+            for key, inside, style, features, rest in branches(parse(page or "")):
+                same = _signed(_hash(f"{style} {sorted(features)} {rest}"))
+                out.append((host, _signed(key), inside, 0, _signed(style), same))
+                out += [(host, _signed(key), inside, 1, _signed(x), same) for x in features]
+        yield pd.DataFrame(out, columns=["host", "key", "inside", "kind", "hash", "page"])
+
+
+def importance(variants: DataFrame) -> DataFrame:
+    """(host, key, inside, pages, importance, often) of variants(host, key, inside, kind, hash, c), the number c of
+    pages that have a children's style (kind 0) or a content feature (kind 1) at a node.
+
+    often: features that LEAST_PAGES pages or more have there."""
+    is_style, c = F.col("kind") == 0, F.col("c")
+    sums = variants.groupBy("host", "key", "inside").agg(
+        F.sum(F.when(is_style, c)).alias("pages"), F.sum(F.when(~is_style, c)).alias("features"), F.sum(F.when(is_style, c * F.log(c))).alias("s"), F.sum(F.when(~is_style, c * F.log(c))).alias("f"),
+        F.collect_list(F.when(~is_style & (c >= LEAST_PAGES), F.col("hash"))).alias("often"),
+    )
+    share = lambda total, logs: F.when(F.col("pages") > 1, 1 - F.col(logs) / (F.col(total) * F.log("pages"))).otherwise(1.0)
+    return sums.select("host", "key", "inside", "pages", F.greatest(share("pages", "s"), share("features", "f")).alias("importance"), "often")
 
 
 def site_noise(pages: DataFrame) -> DataFrame:
-    """(host, keys, contents), two arrays of one length: nodes of each host's style tree whose presentation and
-    content both hardly vary.  Outside articles a content is ANY; inside, each that LEAST_PAGES different pages have.
+    """(host, keys, features), two arrays of one length: nodes of each host's style tree whose presentation and
+    content both hardly vary.  Outside articles a feature is ANY; inside, each that LEAST_PAGES different pages have.
     """
-    seen = pages.select("host", "html").mapInPandas(_branches, "host string, key long, inside boolean, style long, content long, rest long").distinct()
-    kinds = seen.select("host", "key", "inside", F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(name).alias("hash")) for kind, name in enumerate(("style", "content"))))).alias("k"))
-    variants = kinds.groupBy("host", "key", "inside", F.col("k.kind").alias("kind"), F.col("k.hash").alias("hash")).agg(F.count("*").alias("c"))
-    often = F.collect_list(F.when(F.expr(f"inside AND kind = 1 AND c >= {LEAST_PAGES}"), F.col("hash"))).alias("often")
-    spread = variants.groupBy("host", "key", "inside", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"), often).where(F.col("m") >= LEAST_PAGES)
-    nodes = spread.groupBy("host", "key", "inside").agg(F.max(F.lit(1.0) - F.col("s") / (F.col("m") * F.log("m"))).alias("importance"), F.flatten(F.collect_list("often")).alias("often"))
-    noise = nodes.where(F.col("importance") < LEAST_IMPORTANCE).select("host", "key", F.explode(F.when(F.col("inside"), F.col("often")).otherwise(F.array(F.lit(ANY)))).alias("content"))
-    noise = noise.groupBy("host").agg(F.collect_list(F.struct("key", "content")).alias("noise"))
-    return cut(noise.select("host", F.col("noise.key").alias("keys"), F.col("noise.content").alias("contents")), "noise")
+    seen = pages.select("host", "html").mapInPandas(_branches, "host string, key long, inside boolean, kind byte, hash long, page long").distinct()
+    variants = seen.groupBy("host", "key", "inside", "kind", "hash").agg(F.count("*").alias("c"))
+    noise = importance(variants).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
+    noise = noise.select("host", "key", F.explode(F.when(F.col("inside"), F.col("often")).otherwise(F.array(F.lit(ANY)))).alias("feature"))
+    noise = noise.groupBy("host").agg(F.collect_list(F.struct("key", "feature")).alias("noise"))
+    return cut(noise.select("host", F.col("noise.key").alias("keys"), F.col("noise.feature").alias("features")), "noise")
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        noise = (frozenset(zip(keys, contents)) if keys is not None else frozenset() for keys, contents in zip(batch.pop("keys"), batch.pop("contents")))
+        noise = (frozenset(zip(keys, features)) if keys is not None else frozenset() for keys, features in zip(batch.pop("keys"), batch.pop("features")))
         texts = [main_text(*x) for x in zip(batch.pop("html"), noise)]
         yield batch.assign(text=texts)
 
@@ -310,6 +331,6 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     """
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     pages = pages.withColumn("host", url_parts(F.col("url"))[0])
-    joined = pages.join(site_noise(pages), "host", "left").select("page_id", "url", "html", "keys", "contents")
+    joined = pages.join(site_noise(pages), "host", "left").select("page_id", "url", "html", "keys", "features")
     out = through(joined, _extract, "page_id", "url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

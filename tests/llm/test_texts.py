@@ -524,11 +524,72 @@ def test_registered_queries(spark):
     from compare import same
     from tidemark.llm import queries
 
-    for name in ("op1_url_filters", "op5_benchmark_decontamination", "op9_ngram_jaccard"):
+    for name in queries.SQL:
         same(queries.QUERIES[name](spark, SF), queries.SQL[name], SF)
     assert len(queries.QUERIES) == 10
 
 
+def test_registered_texts(spark):
+    """The queries without SQL, whole tables against brute force; what a model adds, by its form."""
+    from tidemark.llm import queries
+
+    def rows(name):
+        return {r[0]: r for r in queries.QUERIES[name](spark, SF).collect()}
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    digest = lambda spans: hashlib.sha256(",".join(spans).encode()).hexdigest()
+    two, four, six, seven, eight, ten = (rows(n) for n in ("op2_quality_rules", "op4_secret_scans", "op6_toxicity", "op7_pii", "op8_byte_bpe", "op10_token_output"))
+    codec, encode, start = library(), WordTokenizer(WORDS), 0
+    assert all(set(x) == set(texts) for x in (two, four, six, seven, eight, ten))
+    for i in sorted(texts):
+        text = texts[i] or ""
+        assert tuple(two[i])[1:7] == base(text) and (not two[i].kept or not two[i].base_failed)
+        assert four[i].base_sha256 == digest(f"{KINDS[k]}:{s}:{e}" for s, k, e in found(text))
+        assert six[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= six[i].score <= 1 and six[i].predicted == (six[i].score >= 0.5)
+        assert seven[i].base_sha256 == digest(f"{k}:{s}:{e}" for s, e, k in personal(text))
+        ids = codec.encode_ordinary(text)
+        assert (eight[i].n_tokens, eight[i].ids_sha256, eight[i].decoded_sha256) == (len(ids), digest(map(str, ids)), hashlib.sha256(text.encode()).hexdigest())
+        ids = np.append(encode([text])[0], 2).astype("<u4")
+        assert (ten[i].start, ten[i].n_tokens, ten[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    pages = rows("op3_html_extraction")
+    assert set(pages) == {r.page_id for r in spark.read.parquet(f"{SF}/pages.parquet").collect()} and all(r.n_chars == len(r.text) for r in pages.values())
+
+
+def test_quality_of_no_rows(make, spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality_rules(make([]), labels).collect() == []
+
+
+def test_stages_on_odd_rows(make, spark, tmp_path):
+    """Null and repeated ids, repeated rows, very long texts, clashing names, and no rows at all."""
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, i % 2) for i in range(100, 140)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    leak = " ".join(f"bench{i}" for i in range(12))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    prose = lambda i: " ".join(f"word{i}x{j}" for j in range(30))
+    rows = [(i, f"{'moron scum' if i % 2 else 'kind friend'} {prose(i)}") for i in range(100, 140)] + [r for r in ODD if r[0] != 5]
+    rows += [(None, prose(1)), (None, prose(1)), (50, prose(2)), (51, prose(2)), (52, prose(3)), (52, f"{prose(4)} {leak}"), (53, "a token=abcdefghijklmnop b"), (53, "a token=abcdefghijklmnop b")]
+    clash = ("_row", "_score", "_bucket", "_blob", "_spans", "spans", "rid", "component_id", "n_words", "sig", "kind")
+    frame = make(rows).withColumns({c: F.lit(c) for c in clash})
+    one, two, three, four, five = (f for _, f in corpus_pipeline.STAGES)
+    for stage in (one, two, three, four):
+        out = stage(spark, frame, folder)
+        assert out.columns == frame.columns and all(r[c] == c for r in out.collect() for c in clash)
+        assert stage(spark, frame.limit(0), folder).collect() == []
+    texts = sorted(str(r.text) for r in two(spark, frame, folder).collect())
+    plain = [t for _, t in rows]
+    # every class keeps one row; texts without words are no copies of each other
+    assert sorted(set(texts)) == sorted({str(t) for t in plain}) and all(texts.count(str(t)) == 1 for t in plain if t and t.strip())
+    kept = [r.text for r in three(spark, frame, folder).collect()]
+    assert len(kept) == len(rows) - 1 and not any(t and leak in t for t in kept)
+    masked = four(spark, frame, folder).collect()
+    assert len(masked) == len(rows) and sum(r.text == "a <secret> b" for r in masked) == 2
+    assert five(spark, frame, folder).count() == len(rows) and five(spark, frame.limit(0), folder).collect() == []
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from test_pairs import classes, overlap

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import kernels as K
 from tidemark.llm.shared import cut, new_path
 
-#: A shard ends with the document that brings it to so many ids.
-SHARD_TOKENS = 1 << 26
+#: A shard ends with the document that brings it to so many ids or documents; a task holds its documents' offsets.
+SHARD_TOKENS, SHARD_DOCS = 1 << 26, 1 << 20
 #: Texts of characters below this one are cut into pieces here; others are left to the library as a whole.
 FAST_BELOW = 0x250
 #: Pieces that a worker remembers before it starts anew.
@@ -184,7 +184,7 @@ def _write(path: str, end_id: int, directory: str, width: str):
                 for doc_id, tokens in zip(ids[a:z], encode(texts[a:z])):
                     shard = shard or _Shard(directory, sequence)
                     shard.add(doc_id, np.append(tokens, end_id).astype(width))
-                    if shard.total >= SHARD_TOKENS:
+                    if shard.total >= SHARD_TOKENS or len(shard.docs) >= SHARD_DOCS:
                         yield pd.DataFrame(shard.close())
                         shard, sequence = None, sequence + 1
         if shard:

@@ -184,3 +184,13 @@ def test_normal_distribution(spark):
 
     rows = spark.createDataFrame([(x / 10,) for x in range(-40, 41)], "x double").select("x", normal_cdf(F.col("x")).alias("c")).withColumn("q", normal_quantile(F.greatest("c", F.lit(0.5)))).collect()
     assert all(abs(r.c - NormalDist().cdf(r.x)) < 1e-7 and (r.x < 0.01 or abs(r.q - r.x) < 1e-3) for r in rows)
+
+
+def test_order_of_frequent_values(spark):
+    """Places by (value, tie), with one value in most rows, nulls, and no rows."""
+    rng = random.Random(6)
+    rows = [(rng.choice([1.0] * 8 + [None, 0.5, 2.0]), i) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "v double, i long")
+    want = {i: n for n, (_, i) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])))}
+    assert {r.i: r.place for r in stats.ordered(frame, "v", ["i"]).collect()} == want
+    assert stats.ordered(frame.limit(0), "v", ["i"]).collect() == []

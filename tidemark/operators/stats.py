@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.series import accumulated
 
-#: Ranges of values into which a global order is cut; their limits are approximate quantiles.
-RANGES = 64
+#: Ranges into which a global order is cut, at least; and rows sampled for each, to find the ranges' limits.
+RANGES, SAMPLED = 64, 64
 
 
 def ordered(frame: DataFrame, value: str, tie: list[str]) -> DataFrame:
     """frame with ``place``, each row's place by (value, tie) among all rows, from 0.
 
-    Rows are numbered within ranges of values, and the ranges' bases are sums of their counts, so no task sorts
-    the whole table; rows of one value stay together."""
-    limits = frame.agg(F.percentile_approx(value, F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), 10_000).alias("limits"))
-    rows = frame.join(F.broadcast(limits)).withColumn("_range", F.size(F.filter("limits", lambda x: x < F.col(value)))).drop("limits")  # one row
-    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))  # RANGES rows
+    Rows are numbered within ranges of (value, tie), and the ranges' bases are sums of their counts, so no task sorts
+    the whole table, nor all rows of a frequent value.  Limits come from a sample by hash; there are as many ranges as
+    the session has shuffle partitions, or RANGES."""
+    ranges = max(RANGES, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = F.struct(value, *tie)
+    sample = frame.select(key.alias("_key")).orderBy(F.xxhash64("_key"), "_key").limit(SAMPLED * ranges)
+    some = sample.agg(F.array_sort(F.collect_list("_key")).alias("_some"))  # SAMPLED * ranges rows
+    limits = some.select(F.expr(f"transform(sequence(1, {ranges - 1}), i -> try_element_at(_some, cast(floor(i * size(_some) / {ranges}) as int) + 1))").alias("_limits"))
+    rows = frame.join(F.broadcast(limits)).withColumn("_range", F.size(F.filter("_limits", lambda x: x < key))).drop("_limits")  # one row
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))  # one row a range
     base = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     own = Window.partitionBy("_range").orderBy(value, *tie)
     return rows.withColumn("_at", F.row_number().over(own)).join(F.broadcast(base), "_range").withColumn("place", F.col("_base") + F.col("_at") - 1).drop("_range", "_at", "_base")

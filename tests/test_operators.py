@@ -194,3 +194,20 @@ def test_order_of_frequent_values(spark):
     want = {i: n for n, (_, i) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])))}
     assert {r.i: r.place for r in stats.ordered(frame, "v", ["i"]).collect()} == want
     assert stats.ordered(frame.limit(0), "v", ["i"]).collect() == []
+
+
+@pytest.mark.parametrize("theta", [0.01, 0.05, 0.4])
+def test_chunks_of_waves_agree_with_one_fold(spark, monkeypatch, theta):
+    """Small chunks: frequent changes, rare ones, and none at all over many chunks, which is folded in order."""
+    monkeypatch.setattr(waves, "CHUNK", 16)
+    rng, rows = random.Random(7), []
+    for symbol in ("a", "b"):
+        price = 100.0
+        for slot in range(400):
+            price = round(price * rng.uniform(0.985, 1.016), 4)
+            rows.append((symbol, slot, price))
+    frame = spark.createDataFrame(rows, "symbol string, slot long, close double")
+    want = sorted((s, *c) for s in ("a", "b") for c in waves.fold(None, *zip(*((slot, close, theta) for x, slot, close in rows if x == s)))[1])
+    got = waves.directional_changes(frame, [theta])
+    assert sorted((r.symbol, r.direction, r.extreme_slot, r.extreme, r.confirm_slot, r.confirm) for r in got.collect()) == want
+    assert waves.directional_changes(frame.limit(0), [theta]).collect() == []

@@ -1,8 +1,10 @@
 """Directional-change waves.
 
-The state after a bar (direction and running extreme) depends on all bars before, so bars are folded in order:
-each task streams the sorted bars of its (symbol, scale) pairs and holds one state.  Memory is constant;
-parallelism is symbols times scales.
+The state after a bar (direction and running extremes) depends on all bars before.  Bars are folded in chunks, all of
+them at once: each chunk guesses its entry state from the chunk before it, folded from nothing, as states soon forget
+how they began.  Chunks whose guess isn't the state that the chunk before ends in are folded again from that one,
+until all agree, which makes every state the true one.  Symbols for which that takes more than ROUNDS rounds (hardly
+any changes in many chunks) are folded in order, in one task with one state in memory.
 """
 
 from __future__ import annotations
@@ -13,41 +15,69 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    key, up, extreme, at = None, None, 0.0, 0
-    low, low_at, high, high_at = 0.0, 0, 0.0, 0
+from tidemark.operators.series import indexed
+from tidemark.plans.tables import settle
+
+#: Bars of a chunk, and rounds of folding chunks again.
+CHUNK, ROUNDS = 4096, 6
+_CHANGE = "direction int, extreme_slot long, extreme double, confirm_slot long, confirm double"
+_STATE = ("dir", "hi", "hi_at", "lo", "lo_at")
+_KINDS = dict(zip(_STATE, ("int", "double", "long", "double", "long")))
+_CHUNKS = f"symbol string, theta double, chunk long, kind int, {_CHANGE}, " + ", ".join(f"{side}_{c} {_KINDS[c]}" for side in ("entry", "exit") for c in _STATE)
+
+
+def fold(state: tuple | None, slots, closes, reversals) -> tuple[tuple | None, list[tuple]]:
+    """(state, changes) after bars in order.  A state is (direction, high, its slot, low, its slot), with None for the
+    extreme that doesn't matter; before the first bar there is none, and until the first change the direction is 0."""
+    out = []
+    for slot, close, reversal in zip(slots, closes, reversals):
+        if state is None:
+            state = (0, close, slot, close, slot)
+            continue
+        up, hi, hi_at, lo, lo_at = state
+        if up >= 0 and close > hi:
+            hi, hi_at = close, slot
+        if up <= 0 and close < lo:
+            lo, lo_at = close, slot
+        if up <= 0 and lo_at != slot and close >= lo * (1 + reversal):
+            out.append((1, lo_at, lo, slot, close))
+            state = (1, close, slot, None, None)
+        elif up >= 0 and hi_at != slot and close <= hi * (1 - reversal):
+            out.append((-1, hi_at, hi, slot, close))
+            state = (-1, None, None, close, slot)
+        else:
+            state = (up, hi, hi_at, lo, lo_at)
+    return state, out
+
+
+def _fold_chunk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Changes of one chunk, and a row of its entry and exit states; rows marked ``halo`` are of the chunk before."""
+    rows = rows.sort_values("slot", kind="stable")
+    halo, own = rows[rows["halo"]], rows[~rows["halo"]]
+    columns = [c.split()[0] for c in _CHUNKS.split(", ")]
+    if not len(own):
+        return pd.DataFrame(columns=columns)
+    bars = lambda f: (f["slot"].tolist(), f["close"].tolist(), f["reversal"].tolist())
+    entry = None
+    if own["entry_dir"].notna().iat[0]:
+        entry = tuple(None if pd.isna(x := own[f"entry_{c}"].iat[0]) else int(x) if _KINDS[c] != "double" else float(x) for c in _STATE)
+    elif len(halo):
+        entry, _ = fold(None, *bars(halo))
+    state, changes = fold(entry, *bars(own))
+    out = [(*key, 0, *change, *[None] * 10) for change in changes]
+    return pd.DataFrame([*out, (*key, 1, *[None] * 5, *(entry or [None] * 5), *state)], columns=columns).astype({c: "Int64" for c in columns if c.endswith(("_at", "_slot", "_dir")) or c == "direction"})
+
+
+def _fold_symbol(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    key, state = None, None
     for batch in batches:
         out = []
-        for symbol, scale, slot, close, theta in zip(batch["symbol"], batch["theta"], batch["slot"], batch["close"], batch["reversal"]):
-            if (symbol, scale) != key:
-                key, up = (symbol, scale), None
-                low = high = close
-                low_at = high_at = slot
-                continue
-            if up is None:
-                if close > high:
-                    high, high_at = close, slot
-                if close < low:
-                    low, low_at = close, slot
-                if close >= low * (1 + theta):
-                    out.append((symbol, scale, 1, low_at, low, slot, close))
-                    up, extreme, at = True, close, slot
-                elif close <= high * (1 - theta):
-                    out.append((symbol, scale, -1, high_at, high, slot, close))
-                    up, extreme, at = False, close, slot
-            elif up:
-                if close > extreme:
-                    extreme, at = close, slot
-                elif close <= extreme * (1 - theta):
-                    out.append((symbol, scale, -1, at, extreme, slot, close))
-                    up, extreme, at = False, close, slot
-            elif close < extreme:
-                extreme, at = close, slot
-            elif close >= extreme * (1 + theta):
-                out.append((symbol, scale, 1, at, extreme, slot, close))
-                up, extreme, at = True, close, slot
-        yield pd.DataFrame(out, columns=["symbol", "theta", "direction", "extreme_slot", "extreme", "confirm_slot", "confirm"])
+        for here, rows in batch.groupby(["symbol", "theta"], sort=False):
+            state = state if here == key else None
+            key = here
+            state, changes = fold(state, rows["slot"].tolist(), rows["close"].tolist(), rows["reversal"].tolist())
+            out += [(*here, *change) for change in changes]
+        yield pd.DataFrame(out, columns=["symbol", "theta", *(c.split()[0] for c in _CHANGE.split(", "))])
 
 
 def directional_changes(bars: DataFrame, thetas: list[float], unit: str | None = None) -> DataFrame:
@@ -57,11 +87,31 @@ def directional_changes(bars: DataFrame, thetas: list[float], unit: str | None =
     ``unit``: a column of bars that scales theta at each bar, as a relative sigma known before it; where it is null
     the bar confirms nothing.  Until the first change both extremes run; a close that would confirm both ways
     counts as up."""
+    rows = bars.select("symbol", "slot", F.col("close").cast("double").alias("close"), (F.col(unit).cast("double") if unit else F.lit(1.0)).alias("unit"), F.timestamp_seconds(F.col("slot") * 3600).alias("t"))
     scales = F.explode(F.array(*(F.lit(x).cast("double") for x in thetas))).alias("theta")
-    rows = bars.select("symbol", scales, "slot", F.col("close").cast("double").alias("close"), (F.col(unit).cast("double") if unit else F.lit(1.0)).alias("unit"))
-    rows = rows.select("symbol", "theta", "slot", "close", (F.col("theta") * F.col("unit")).alias("reversal"))
-    rows = rows.repartition("symbol", "theta").sortWithinPartitions("symbol", "theta", "slot")
-    return rows.mapInPandas(_fold, "symbol string, theta double, direction int, extreme_slot long, extreme double, confirm_slot long, confirm double")
+    rows = indexed(rows).select("symbol", "slot", "close", "unit", F.floor(F.col("idx") / CHUNK).alias("chunk"), scales)
+    rows = settle(rows.select("symbol", "theta", "chunk", "slot", "close", F.coalesce(F.col("theta") * F.col("unit"), F.lit(float("nan"))).alias("reversal")), "steps")
+    key = ["symbol", "theta", "chunk"]
+    unknown = [F.lit(None).cast(_KINDS[c]).alias(f"entry_{c}") for c in _STATE]
+    dealt = rows.withColumn("halo", F.lit(False)).unionByName(rows.withColumn("chunk", F.col("chunk") + 1).withColumn("halo", F.lit(True)))
+    found = settle(dealt.select("*", *unknown).groupBy(*key).applyInPandas(_fold_chunk, _CHUNKS), "waves")
+    for turn in range(ROUNDS + 1):
+        states = found.where("kind = 1")
+        ends = states.select("symbol", "theta", (F.col("chunk") + 1).alias("chunk"), *(F.col(f"exit_{c}").alias(f"true_{c}") for c in _STATE))
+        agree = F.lit(True)
+        for c in _STATE:
+            agree = agree & F.col(f"true_{c}").eqNullSafe(F.col(f"entry_{c}"))
+        wrong = states.join(ends, key).where(~agree).select(*key, *(F.col(f"true_{c}").alias(f"entry_{c}") for c in _STATE))
+        wrong = settle(wrong, "wrong")
+        if wrong.isEmpty():
+            return found.where("kind = 0").select("symbol", "theta", *(c.split()[0] for c in _CHANGE.split(", ")))
+        if turn < ROUNDS:
+            again = rows.join(wrong, key).withColumn("halo", F.lit(False)).groupBy(*key).applyInPandas(_fold_chunk, _CHUNKS)
+            found = settle(found.join(wrong.select(*key), key, "left_anti").unionByName(again), "waves")
+    slow = wrong.select("symbol", "theta").distinct()
+    fine = found.where("kind = 0").join(slow, ["symbol", "theta"], "left_anti").select("symbol", "theta", *(c.split()[0] for c in _CHANGE.split(", ")))
+    ordered = rows.join(slow, ["symbol", "theta"]).repartition("symbol", "theta").sortWithinPartitions("symbol", "theta", "slot")
+    return fine.unionByName(ordered.select("symbol", "theta", "slot", "close", "reversal").mapInPandas(_fold_symbol, f"symbol string, theta double, {_CHANGE}"))
 
 
 def segments(changes: DataFrame) -> DataFrame:

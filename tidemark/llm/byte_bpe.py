@@ -137,8 +137,8 @@ def _join_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def byte_bpe_encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, stretch: int = STRETCH, then=None, schema: str = "ids binary") -> DataFrame:
     """(doc_id, ids) of every row of docs(doc_id, text): token ids as little-endian unsigned 32-bit integers.
 
-    ``path``: a file of base64 tokens and ranks; each match of ``pattern``, which may not look behind, is merged by
-    itself.  Null and empty texts have no ids.  Repeated rows and null doc_ids are kept as they are; other columns are
+    ``path``: a file of base64 tokens and ranks; each match of ``pattern``, which may not look behind and not
+    ahead by more than LOOK_AHEAD characters, is merged by itself.  Null and empty texts have no ids.  Repeated rows and null doc_ids are kept as they are; other columns are
     ignored; no rows give no rows.  ``overlap`` must be over 0 and may not exceed ``chunk``.  ``then`` maps batches
     (doc_id, ids) on to ``schema`` in the workers that encode.
     """

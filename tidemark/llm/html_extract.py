@@ -85,8 +85,13 @@ class _Open:
 
     def close(self, tags: frozenset, within: frozenset) -> None:
         """Closes the nearest open element of ``tags``, and all inside it, unless one of ``within`` is nearer."""
+        top = self.stack[-1].tag
+        if top in tags and top not in within and len(self.stack) > 1:  # mostly
+            self.places[top].pop()
+            self.stack.pop()
+            return
         at = self.nearest(tags)
-        if at > max(0, self.nearest(within)):
+        if at > 0 and at > self.nearest(within):
             for node in self.stack[at:]:
                 self.places[node.tag].pop()
             del self.stack[at:]

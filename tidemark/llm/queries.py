@@ -12,6 +12,7 @@ from tidemark.llm.decontaminate import benchmark_overlap
 from tidemark.llm.html_extract import extract_articles
 from tidemark.llm.jaccard import ngram_jaccard_classes
 from tidemark.llm.pii import personal_digest
+from tidemark.llm.prefix_trie import conversation_trie
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.secrets import ledger_path, secret_digest
 from tidemark.llm.token_files import read_token_files, write_token_files
@@ -69,6 +70,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_rules": op2_quality_rules,
@@ -80,6 +85,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_token_output": op10_token_output,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL: dict[str, str] = {}
@@ -138,3 +144,30 @@ WITH RECURSIVE doc AS (
 )
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM doc LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
+
+#: CRC-32 of the digits of s.
+_CRC = """xor(list_reduce(list_transform(range(length(s)), lambda i: ascii(s[i + 1])::BIGINT), lambda a, b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(a, b)), 4294967295::BIGINT), 4294967295)"""
+
+SQL["op13_prefix_trie"] = rf"""
+WITH t AS (
+  SELECT conv_id, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL
+), whole AS (
+  SELECT conv_id, list({{'s': s, 'w': w}} ORDER BY turn NULLS FIRST, s) AS seq FROM t GROUP BY conv_id
+), crc AS (
+  SELECT conv_id, {_CRC} % 4 AS h FROM (SELECT conv_id, conv_id::VARCHAR AS s FROM whole)
+), built AS (
+  SELECT c.conv_id, list_concat(coalesce(b.seq, [])[1 : h], c.seq[h + 1 :]) AS seq FROM whole c JOIN crc USING (conv_id) LEFT JOIN whole b ON b.conv_id = c.conv_id - c.conv_id % 20
+), prefix AS (
+  SELECT conv_id, d, seq[1 : d] AS p, len(seq) = d AS ended FROM built, LATERAL (SELECT unnest(range(len(seq) + 1)) AS d)
+), node AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends FROM prefix GROUP BY p, d
+), kids AS (
+  SELECT p[1 : d - 1] AS p, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL
+), own AS (
+  SELECT node.*, coalesce(kids.n, 0) AS n_children, CASE WHEN node.d = 0 THEN 0 ELSE (n_convs - 1) * node.p[node.d].w END AS saved FROM node LEFT JOIN kids ON kids.p = node.p AND kids.d = node.d
+), below AS (
+  SELECT p[1 : a] AS p, a AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM own, LATERAL (SELECT unnest(range(d + 1)) AS a) GROUP BY ALL
+)
+SELECT own.conv_id, own.d AS depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, own.ends AS ends_sha256
+FROM own JOIN below ON below.p = own.p AND below.d = own.d LEFT JOIN node up ON up.p = own.p[1 : own.d - 1] AND up.d = own.d - 1
+"""

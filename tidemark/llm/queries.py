@@ -15,6 +15,7 @@ from tidemark.llm.pii import personal_digest
 from tidemark.llm.prefix_trie import conversation_trie
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.secrets import ledger_path, secret_digest
+from tidemark.llm.source_mix import mix_shares
 from tidemark.llm.token_files import read_token_files, write_token_files
 from tidemark.llm.toxicity import toxicity_scores
 from tidemark.llm.url_filters import judge_urls
@@ -70,6 +71,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_shares(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_token_output": op10_token_output,
+    "op12_source_mixing": op12_source_mixing,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -171,3 +177,31 @@ WITH t AS (
 SELECT own.conv_id, own.d AS depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, own.ends AS ends_sha256
 FROM own JOIN below ON below.p = own.p AND below.d = own.d LEFT JOIN node up ON up.p = own.p[1 : own.d - 1] AND up.d = own.d - 1
 """
+
+SQL["op12_source_mixing"] = r"""
+WITH sizes AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS place FROM documents
+), sums AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source
+), numbered AS (
+  SELECT source, source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS number FROM sums
+), weighted AS (
+  SELECT *, [5.0, 2.0, 1.0][number % 3 + 1]::DOUBLE AS weight, 3 * source_size AS most FROM numbered
+), stops AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(most) OVER w AS spent, sum(weight) OVER w AS before, sum(weight) OVER () AS whole FROM weighted
+  WINDOW w AS (ORDER BY most / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT arg_min(level, (most / weight, number)) FILTER (weight * level < most) AS level FROM (SELECT *, (total - coalesce(spent, 0))::DOUBLE / (whole - coalesce(before, 0)) AS level FROM stops)
+), targets AS (
+  SELECT source, number, source_size, least(coalesce(weight * level, most), most)::DOUBLE AS target FROM weighted, level
+), queue AS (
+  SELECT doc_id, s.source, number, size, source_size, target, place, sum(size) OVER (PARTITION BY number ORDER BY place, size ROWS UNBOUNDED PRECEDING)::BIGINT AS sent FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), sendings AS (
+  SELECT *, (turn * source_size + sent)::DOUBLE / target AS finish FROM queue, range(3) r(turn) WHERE size > 0
+), spent AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, number ROWS UNBOUNDED PRECEDING) AS spent, (SELECT sum(size) FROM sizes) AS budget FROM sendings
+), taken AS (
+  SELECT number, place, size, sum(size)::BIGINT AS taken FROM spent WHERE spent <= budget GROUP BY ALL
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM queue LEFT JOIN taken USING (number, place, size)
+"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import byte_bpe_round_trip
+from tidemark.llm.collocations import phrase_collocations
 from tidemark.llm.decontaminate import benchmark_overlap
 from tidemark.llm.html_extract import extract_articles
 from tidemark.llm.jaccard import ngram_jaccard_classes
@@ -71,6 +72,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_shares(table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_token_output": op10_token_output,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_source_mixing": op12_source_mixing,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -205,3 +211,29 @@ WITH sizes AS (
 )
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM queue LEFT JOIN taken USING (number, place, size)
 """
+
+SQL["op11_phrase_collocations"] = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece
+), total AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), counts AS (
+  SELECT lang, k, p, count(*) AS a FROM (SELECT lang, k, w[i : i + k - 1] AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 5) r(k))) GROUP BY ALL
+), frequent AS (
+  SELECT * FROM counts WHERE a >= 30
+), cuts AS (
+  SELECT f.lang, f.k, f.p, f.a, c AS cut, x.a AS l, y.a AS r, (2000000::HUGEINT * f.a // (x.a + y.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM frequent WHERE k > 1) f JOIN frequent x ON x.lang = f.lang AND x.p = f.p[1 : c] JOIN frequent y ON y.lang = f.lang AND y.p = f.p[c + 1 :]
+), least AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1
+), inside AS (
+  SELECT lang, p, max(a) AS most FROM (SELECT lang, p[i : i + n - 1] AS p, a FROM (SELECT *, unnest(range(1, k - n + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS n FROM frequent WHERE k > 2))) GROUP BY ALL
+), kept AS (
+  SELECT least.* FROM least LEFT JOIN inside USING (lang, p) WHERE most IS NULL OR 100 * most < 80 * a
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank, array_to_string(p, ' ') AS phrase, a, l, r, score FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -14,14 +15,18 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 
 
+@functools.cache
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset on a single machine, a new local one."""
+    """The folder of spark.checkpoint.dir; where that is unset on a single machine, a local one of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local_folder()
     return found.rstrip("/")
 
 

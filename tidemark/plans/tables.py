@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -13,15 +14,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
+
+
 def settle(frame: DataFrame, name: str) -> DataFrame:
-    """The same rows, written below spark.checkpoint.dir and read again; an own local folder where that is unset on a single machine."""
+    """The same rows, written below spark.checkpoint.dir and read again; where that is unset on a single machine, below a
+    local folder of this process."""
     spark = frame.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_folder()
     path = f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -20,10 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import BATCH_ROWS, cut, new_path, small_batches
+from tidemark.llm.shared import BATCH_ROWS, cut, new_path, small_batches, split_by
 
 #: Places of a block, about: a longer document is a block of its own.  Blocks of a batch that goes to a Python worker.
-BLOCK, BLOCK_BATCH = 1 << 18, 16
+BLOCK, BLOCK_BATCH = 1 << 19, 8
 #: Bytes of a row group of blocks: readers hold a row group at once.
 ROW_GROUP = 8 << 20
 #: Tasks among which the best phrases of one language are chosen first.
@@ -96,7 +96,9 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFra
     level = cut(counted.select(number, "lang", "phrase", F.col("phrase").alias("last"), "a", none.alias("firsts"), none.alias("rests"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("rest")), "frequent", 10_000)
     key, levels = ["lang", "phrase"], [level]
     for length in range(2, longest + 1):
-        kept = groups.join(level.select("id", *key), key).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("kept"))  # no more than a block's places
+        frequent = level.select("id", *key).withColumn("_hash", F.xxhash64(*key))
+        likely, _ = split_by(groups.withColumn("_hash", F.xxhash64(*key)), frequent, "_hash")  # most groups needn't move again
+        kept = likely.select("block", "at", *key).join(frequent.drop("_hash"), key).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("kept"))  # no more than a block's places
         rows = found.select("block", "lang", "places").join(kept.select("block", "kept.at", "kept.id"), "block").select("block", "lang", "places", F.col("at").alias("kept"), F.col("id").alias("ids"))
         found = _relation(rows.mapInPandas(_extended, "block long, lang string, first array<long>, rest array<long>, n array<long>, places binary"), "occurrences", BLOCK_BATCH)
         groups = found.select("block", F.posexplode(F.arrays_zip("first", "rest", "n")).alias("at", "g")).select("block", (F.col("at") + 1).alias("at"), "g.first", "g.rest", "g.n")

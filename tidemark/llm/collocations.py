@@ -7,7 +7,8 @@ semi-join before the next length, so that nothing else is extended.
 
 A row of a relation is a block: the places of many pieces of one language, one after another, so that neighbours meet
 inside a row and no occurrence is shuffled on its own.  What meets others in Spark are a block's distinct groups with
-their counts, at most one for each block, however often a phrase occurs.
+their counts, at most one for each block, however often a phrase occurs.  Groups that turn out to be frequent go back to
+their blocks from where they were counted.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import BATCH_ROWS, cut, new_path, small_batches, split_by
+from tidemark.llm.shared import BATCH_ROWS, cut, new_path, small_batches
 
 #: Places of a block, about: a longer document is a block of its own.  Blocks of a batch that goes to a Python worker.
 BLOCK, BLOCK_BATCH = 1 << 19, 8
@@ -81,6 +82,14 @@ def _relation(frame: DataFrame, name: str, batch: int) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def _held(groups: DataFrame, key: list[str], least: int) -> DataFrame:
+    """(block, at, *key, a, row, id): groups of blocks whose phrase is frequent, with its count and a number of its own.
+    One row of each phrase, and no other, has that number as ``row``.  A phrase has one group a block, so none is large."""
+    same = Window.partitionBy(*key)
+    often = groups.withColumn("a", F.sum("n").over(same)).where(F.col("a") >= least).drop("n")
+    return cut(often.withColumn("row", F.monotonically_increasing_id() + 1).withColumn("id", F.min("row").over(same)), "groups", 10_000)
+
+
 def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, list[DataFrame]]:
     """(words by language, frequent phrases of each length from 1 to ``longest``).
 
@@ -91,24 +100,23 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFra
     total = found.select("lang", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     groups = found.select("block", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("at", "g")).select("block", (F.col("at") + 1).alias("at"), "lang", F.col("g.words").alias("phrase"), "g.n")
     none = F.array().cast("array<bigint>")
-    number = (F.monotonically_increasing_id() + 1).alias("id")
-    counted = groups.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    level = cut(counted.select(number, "lang", "phrase", F.col("phrase").alias("last"), "a", none.alias("firsts"), none.alias("rests"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("rest")), "frequent", 10_000)
-    key, levels = ["lang", "phrase"], [level]
+    held = _held(groups, ["lang", "phrase"], least)
+    one = held.where("row = id").select("id", "lang", "phrase", F.col("phrase").alias("last"), "a", none.alias("firsts"), none.alias("rests"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("rest"))
+    levels = [cut(one, "frequent", 10_000)]
     for length in range(2, longest + 1):
-        frequent = level.select("id", *key).withColumn("_hash", F.xxhash64(*key))
-        likely, _ = split_by(groups.withColumn("_hash", F.xxhash64(*key)), frequent, "_hash")  # most groups needn't move again
-        kept = likely.select("block", "at", *key).join(frequent.drop("_hash"), key).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("kept"))  # no more than a block's places
-        rows = found.select("block", "lang", "places").join(kept.select("block", "kept.at", "kept.id"), "block").select("block", "lang", "places", F.col("at").alias("kept"), F.col("id").alias("ids"))
+        kept = held.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("kept"))  # no more than a block's places
+        rows = found.select("block", "lang", "places").join(kept.select("block", F.col("kept.at").alias("kept"), F.col("kept.id").alias("ids")), "block")
         found = _relation(rows.mapInPandas(_extended, "block long, lang string, first array<long>, rest array<long>, n array<long>, places binary"), "occurrences", BLOCK_BATCH)
         groups = found.select("block", F.posexplode(F.arrays_zip("first", "rest", "n")).alias("at", "g")).select("block", (F.col("at") + 1).alias("at"), "g.first", "g.rest", "g.n")
-        counted = groups.groupBy("first", "rest").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        one = level.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("head"), F.array_append("firsts", F.col("a")).alias("firsts"))
-        two = level.select(F.col("id").alias("rest"), "last", F.array_append("rests", F.col("a")).alias("rests"))
-        whole = F.concat_ws(" ", "head", "last").alias("phrase")
-        level = cut(counted.join(one, "first").join(two, "rest").select(number, "lang", whole, "last", "a", "firsts", "rests", "first", "rest"), "frequent", 10_000)
-        key = ["first", "rest"]
-        levels.append(level)
+        if length < longest:
+            held = _held(groups, ["first", "rest"], least)
+            counted = held.where("row = id").select("id", "first", "rest", "a")
+        else:  # nothing is extended further
+            counted = groups.groupBy("first", "rest").agg(F.sum("n").alias("a")).where(F.col("a") >= least).withColumn("id", F.lit(None).cast("long"))
+        before = levels[-1].select(F.col("id").alias("first"), "lang", F.col("phrase").alias("head"), F.array_append("firsts", F.col("a")).alias("firsts"))
+        after = levels[-1].select(F.col("id").alias("rest"), "last", F.array_append("rests", F.col("a")).alias("rests"))
+        both = counted.join(before, "first").join(after, "rest")
+        levels.append(cut(both.select("id", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "a", "firsts", "rests", "first", "rest"), "frequent", 10_000))
     return total, levels
 
 

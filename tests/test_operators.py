@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys
-from tidemark.operators import evaluation, labels, pointintime, profile, series, stats, waves
+from tidemark.operators import evaluation, labels, pointintime, profile, scan, series, stats, waves
 from tidemark.registry import Config, register, result_hash, trials
 
 
@@ -196,18 +196,50 @@ def test_order_of_frequent_values(spark):
     assert stats.ordered(frame.limit(0), "v", ["i"]).collect() == []
 
 
-@pytest.mark.parametrize("theta", [0.01, 0.05, 0.4])
-def test_chunks_of_waves_agree_with_one_fold(spark, monkeypatch, theta):
-    """Small chunks: frequent changes, rare ones, and none at all over many chunks, which is folded in order."""
-    monkeypatch.setattr(waves, "CHUNK", 16)
+@pytest.mark.parametrize(("theta", "chunk", "fan"), [(0.01, 16, 64), (0.05, 16, 2), (0.2, 8, 3), (0.4, 1, 2), (5.0, 16, 64)])
+def test_chunks_of_waves_agree_with_one_fold(spark, monkeypatch, theta, chunk, fan):
+    """Frequent changes, rare ones over many chunks, none at all; chunks of chunks; bars without a close; a scale."""
+    monkeypatch.setattr(waves, "CHUNK", chunk)
+    monkeypatch.setattr(scan, "FAN", fan)
     rng, rows = random.Random(7), []
     for symbol in ("a", "b"):
         price = 100.0
-        for slot in range(400):
-            price = round(price * rng.uniform(0.985, 1.016), 4)
-            rows.append((symbol, slot, price))
-    frame = spark.createDataFrame(rows, "symbol string, slot long, close double")
-    want = sorted((s, *c) for s in ("a", "b") for c in waves.fold(None, *zip(*((slot, close, theta) for x, slot, close in rows if x == s)))[1])
-    got = waves.directional_changes(frame, [theta])
-    assert sorted((r.symbol, r.direction, r.extreme_slot, r.extreme, r.confirm_slot, r.confirm) for r in got.collect()) == want
+        for slot in range(160):
+            price = round(price * rng.uniform(0.95, 1.052), 4)
+            rows.append((symbol, slot, None if slot % 41 == 0 else float("nan") if slot % 43 == 0 else price, rng.choice([None, 0.5, 1.0, 2.0])))
+    frame = spark.createDataFrame(rows, "symbol string, slot long, close double, unit double")
+    known = [r for r in rows if r[2] is not None and r[2] == r[2]]
+    for unit in (None, "unit"):
+        scale = lambda r: theta if unit is None else float("nan") if r[3] is None else theta * r[3]  # noqa: B023, E731
+        want = sorted((s, *c) for s in ("a", "b") for c in waves.fold(None, *zip(*((r[1], r[2], scale(r)) for r in known if r[0] == s)))[1])
+        got = waves.directional_changes(frame, [theta], unit)
+        assert sorted((r.symbol, r.direction, r.extreme_slot, r.extreme, r.confirm_slot, r.confirm) for r in got.collect()) == want
     assert waves.directional_changes(frame.limit(0), [theta]).collect() == []
+
+
+def test_step_functions_of_chunks():
+    """A chunk's function gives the end of a fold from any state, and a composed one that of both chunks, in any order of
+    composition; ties, equal closes, thresholds of nothing and of more than one included."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        n, theta = int(rng.integers(2, 120)), float(rng.choice([0, 0.004, 0.01, 0.05, 0.3, 1.2]))
+        closes = np.maximum(1.0, np.round(100 * np.exp(np.cumsum(rng.normal(0, rng.choice([0.003, 0.02]), n))), int(rng.choice([0, 2, 6]))))
+        reversals = np.full(n, theta) if rng.random() < 0.5 else theta * rng.choice([0.1, 1, 3, np.nan], n)
+        limits = sorted({0, n, *rng.integers(1, n, 3).tolist()})
+        parts = [waves._summary(("a", theta, i), pd.DataFrame({"slot": np.arange(x, y) * 2, "close": closes[x:y], "reversal": reversals[x:y]})).iloc[0] for i, (x, y) in enumerate(zip(limits, limits[1:]))]
+        functions = [waves._pieces(p.f) for p in parts]
+        left = right = None
+        for f in functions:
+            left = f if left is None else waves._compose(left, f)
+        for f in reversed(functions):
+            right = f if right is None else waves._compose(f, right)
+        for direction in (1, -1):
+            for extreme in [*closes[:5], float(closes.min()) * 0.9, float(closes.max()) * 1.1, *rng.uniform(closes.min() * 0.8, closes.max() * 1.2, 5)]:
+                extreme = float(extreme)
+                full = (1, extreme, -1, None, None) if direction > 0 else (-1, None, None, extreme, -1)
+                end, _ = waves.fold(full, (np.arange(n) * 2).tolist(), closes.tolist(), reversals.tolist())
+                want = (1, end[1], end[2]) if end[0] > 0 else (-1, end[3], end[4])
+                assert waves._after(left, (direction, extreme, -1)) == want == waves._after(right, (direction, extreme, -1))

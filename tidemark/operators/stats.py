@@ -68,6 +68,64 @@ def block_bootstrap(blocks: DataFrame, replicates: int) -> DataFrame:
     return drawn.join(blocks, "block").groupBy("rep").agg(F.round(F.sum("s") / F.sum("n"), 9).alias("mean"))
 
 
+def stationary_draws(periods: DataFrame, replicates: int, mean_block: int) -> DataFrame:
+    """(rep, block, times): how often each of the periods 0 to m - 1 is drawn by each replicate of the stationary bootstrap
+    of Politis and Romano (1994); periods is the one row (m).
+
+    Draws follow each other, modulo m, and begin anew with a chance of 1 in ``mean_block``, so that blocks have geometric
+    lengths.  Chances are digits of MD5 digests of (rep, place), the same in every run and on any engine.  A replicate is one
+    series of m periods, ordered in one task."""
+    places = periods.select("m", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    digest = F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col("i").cast("string")).cast("binary"))
+    number = lambda at: F.conv(F.substring("digest", at, 8), 16, 10).cast("long")
+    fresh = (F.col("i") == 0) | (number(9) % mean_block == 0)
+    begun = places.withColumn("digest", digest).withColumn("from", F.when(fresh, F.struct("i", (number(1) % F.col("m")).alias("start"))))
+    last = F.last("from", ignorenulls=True).over(Window.partitionBy("rep").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    block = (F.col("last.start") + F.col("i") - F.col("last.i")) % F.col("m")
+    return begun.withColumn("last", last).groupBy("rep", block.alias("block")).agg(F.count("*").alias("times"))
+
+
+def stationary_means(blocks: DataFrame, replicates: int, mean_block: int, key: str) -> DataFrame:
+    """(key, rep, mean) of blocks(key, block, s, n): means of the rows of the periods drawn, the same draws for each key.
+
+    block is 0, 1, ..., of which the last one is the same for all keys; a key may lack some."""
+    periods = blocks.agg((F.max("block") + 1).alias("m")).where("m IS NOT NULL")  # one row
+    drawn = stationary_draws(periods, replicates, mean_block).join(blocks, "block")
+    return drawn.groupBy(key, "rep").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("n"))).alias("mean"))
+
+
+def bootstrap_interval(blocks: DataFrame, replicates: int, mean_block: int, key: str, percent: int = 95) -> DataFrame:
+    """(key, mean, lower, upper): the mean of each key's rows, and the percentile interval of its bootstrap means that is to
+    hold the true one so often; replicates without a row of the key don't count."""
+    tail = (100 - percent) / 200
+    own = blocks.groupBy(key).agg((F.sum("s") / F.sum("n")).alias("mean"))
+    ends = stationary_means(blocks, replicates, mean_block, key).groupBy(key).agg(F.percentile("mean", F.lit(tail)).alias("lower"), F.percentile("mean", F.lit(1 - tail)).alias("upper"))
+    return own.join(ends, key)
+
+
+def superior_ability(blocks: DataFrame, replicates: int, mean_block: int, key: str) -> DataFrame:
+    """(strategies, periods, statistic, p_lower, p_consistent, p_upper): the test for superior predictive ability of Hansen
+    (2005), of blocks(key, block, x) with the gain of each strategy over its benchmark in each period, 0 where absent.
+
+    Mean gains are divided by their deviations over the bootstrap.  Under the null, replicates are centred at all gains
+    (upper), at those that aren't far below nothing (consistent), or at positive ones (lower); a p-value is the share of
+    replicates whose best strategy beats the one observed.  Strategies without deviation are left out."""
+    periods = blocks.agg((F.max("block") + 1).alias("m")).where("m IS NOT NULL")  # one row
+    m = F.col("m")
+    own = blocks.groupBy(key).agg(F.sum("x").alias("total")).join(F.broadcast(periods)).withColumn("gain", F.col("total") / m)
+    drawn = stationary_draws(periods, replicates, mean_block).join(blocks, "block").groupBy(key, "rep").agg(F.sum(F.col("times") * F.col("x")).alias("drawn"))
+    every = own.join(F.broadcast(periods.select(F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")))).join(drawn, [key, "rep"], "left")  # replicates are few
+    every = every.withColumn("again", F.coalesce("drawn", F.lit(0.0)) / m)
+    spread = every.groupBy(key, "gain", "m").agg(F.sqrt(m * F.avg(F.pow(F.col("again") - F.col("gain"), F.lit(2.0)))).alias("omega")).where("omega > 1e-12")
+    far = -F.col("omega") / F.sqrt(m) * F.sqrt(2 * F.log(F.log(m.cast("double"))))
+    centres = {"lower": F.greatest("gain", F.lit(0.0)), "consistent": F.when(F.col("gain") >= F.when(m > 2, far).otherwise(0.0), F.col("gain")).otherwise(0.0), "upper": F.col("gain")}
+    root = F.sqrt(m)
+    best = every.join(spread.select(key, "omega"), key).groupBy("rep").agg(*(F.greatest(F.lit(0.0), F.max(root * (F.col("again") - centre) / F.col("omega"))).alias(name) for name, centre in centres.items()))
+    seen = spread.agg(F.count("*").alias("strategies"), F.max("m").alias("periods"), F.greatest(F.lit(0.0), F.max(root * F.col("gain") / F.col("omega"))).alias("statistic"))  # one row
+    share = lambda name: F.avg(F.when(F.round(name, 9) > F.round("statistic", 9), 1.0).otherwise(0.0)).alias(f"p_{name}")
+    return best.join(F.broadcast(seen)).groupBy("strategies", "periods", "statistic").agg(*(share(name) for name in centres))
+
+
 def tail_probability(z):
     """Two-sided normal tail by a logistic approximation, as any SQL engine can compute it; within 0.0003."""
     return F.lit(2.0) / (1 + F.exp(F.lit(1.5976) * F.abs(z) + F.lit(0.07056) * F.pow(F.abs(z), F.lit(3.0))))

@@ -74,13 +74,13 @@ def test_archives(spark, root, tmp_path):
     other = named.where("date = '2024-01'").unionByName(named.where("date <> '2024-01'").withColumn("symbol", F.lit("B")))
     assert archive.preferred(other).count() == 3
     assert [r.n for r in archive.accepted(zips).select(name.alias("n")).collect()] == ["A-1m-2024-01.zip"]
-    full = {r.n: r for r in archive.profiles(zips).withColumn("n", name).collect()}["A-1m-2024-01.zip"]
+    full = {r.n: r for r in archive.profiles(archive.archived_lines(spark, root)).withColumn("n", name).collect()}["A-1m-2024-01.zip"]
     assert (full.rows, full.rows_expected, full.has_header, full.columns, full.sha256_ok) == (5, 31 * 1440, True, HEADER.split(","), True)
     assert (full.first_open_time_utc, full.last_open_time_utc) == (datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 3)) and full.head[0].startswith("1704067200000,1.0") and len(full.head) == 3
     with zipfile.ZipFile(root.removeprefix("file://") + "/a/A-1m-2024-01.zip") as z:
         assert full.csv_bytes == len(z.read("x.csv")) and full.zip_bytes == r_bytes(zips, name)
     assert archive.parquet_bytes(rows, f"file://{tmp_path}/probe") > 0
-    archive.write_report({"profiles": archive.profiles(zips), "manifest": manifest}, f"file://{tmp_path}/report")
+    archive.write_report({"profiles": archive.profiles(archive.archived_lines(spark, root)), "manifest": manifest}, f"file://{tmp_path}/report")
     assert sorted(x["status"] for x in map(json.loads, (r.value for r in spark.read.text(f"file://{tmp_path}/report/manifest").collect()))) == ["rejected", "rejected", "verified"]
     archive.write_normalised(archive.normalised(rows, F.lit("A")), f"file://{tmp_path}/store")
     stored = spark.read.parquet(f"file://{tmp_path}/store").where("symbol = 'A' AND year = 2024 AND month = 1")
@@ -88,6 +88,68 @@ def test_archives(spark, root, tmp_path):
     assert "PartitionFilters: [isnotnull(symbol" in stored._jdf.queryExecution().executedPlan().toString()
 
 
+def flaky(root, fails):
+    """A store that lists two names a page and fails so often at each request before it answers; it notes what is read."""
+    folder = root.removeprefix("file://")
+
+    class Flaky:
+        def __init__(self):
+            self.tried = {}
+
+        def _try(self, what):
+            self.tried[what] = self.tried.get(what, 0) + 1
+            if self.tried[what] <= fails:
+                raise ConnectionError(what)
+
+        def list(self, marker):
+            import os
+
+            self._try(f"list {marker}")
+            names = sorted(os.path.relpath(os.path.join(at, f), folder) for at, _, files in os.walk(folder) for f in files)
+            page = [x for x in names if marker is None or x > marker][:2]
+            return [(x, os.path.getsize(f"{folder}/{x}")) for x in page], page[-1] if page and page[-1] != names[-1] else None
+
+        def get(self, name):
+            import os
+
+            self._try(f"get {name}")
+            if not os.path.exists(f"{folder}/{name}"):
+                return None
+            with open(f"{folder}/.log", "a") as log:
+                log.write(name + "\n")
+            with open(f"{folder}/{name}", "rb") as f:
+                return f.read()
+
+    return Flaky()
+
+
+def test_a_store_that_fails_and_pages(spark, root):
+    """Every request fails twice; pages of two names are followed to the end; filters choose what is read at all."""
+    from tidemark.sources.store import source_of
+
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(source_of(flaky(root, 2), "flaky"))
+    read = lambda **options: spark.read.format("flaky").options(backoff="0,0,0,0", **options).load()
+    assert sorted(r.key for r in read(rows="names").collect()) == ["a/A-1m-2024-01-02.zip", "a/A-1m-2024-01.zip", "a/A-1m-2024-02-01.zip"]
+    few = read().where("date >= '2024-02'")
+    assert [(r.key, r.line_no, r.sha256_ok) for r in few.collect()] == [("a/A-1m-2024-02-01.zip", 0, False)]
+    with open(root.removeprefix("file://") + "/.log") as log:
+        assert {x.strip() for x in log} == {"a/A-1m-2024-02-01.zip"}
+    assert read().where("line_no = 0 AND sha256_ok").count() == 1 and read().count() == 6 + 2 + 1
+    spark.dataSource.register(source_of(flaky(root, 3), "broken"))
+    with pytest.raises(Exception, match="ConnectionError"):
+        spark.read.format("broken").options(backoff="0,0").load().collect()
+
+
+def test_monthly_and_daily_archives_as_one_series(spark, root):
+    lines = archive.archived_lines(spark, root)
+    rows = archive.parse(lines, archive.KLINES).withColumn("symbol", F.lit("A"))
+    got = archive.merged_tiers(rows, "2024-01-01", "2024-02-01").select(F.element_at(F.split("key", "/"), -1).alias("n"), "open_ts").collect()
+    # the month's four times once, none of the day inside it, and the day of the month after
+    assert sorted((r.n, r.open_ts) for r in got) == [("A-1m-2024-01.zip", datetime(2024, 1, 1, 0, m)) for m in (0, 1, 3, 4)] + [("A-1m-2024-02-01.zip", datetime(2024, 2, 1))]
+    assert archive.merged_tiers(rows, "2024-01-01", "2024-01-31").count() == 4
+
+
 def prices(spark, folder, steps):
     rows = [("a", datetime(2024, 1, 1) + timedelta(minutes=20 * i), float(p)) for i, p in enumerate(steps)]
     spark.createDataFrame(rows, "symbol string, ts timestamp, price double").coalesce(1).write.mode("append").parquet(folder)

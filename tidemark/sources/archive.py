@@ -5,9 +5,6 @@ One task decodes one archive at a time; a zip can't be split, so parallelism is
 
 from __future__ import annotations
 
-import io
-import zipfile
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,43 +12,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import date_of, epoch_unit, is_filler, negative_cells, ohlc_violation
+from tidemark.plans.tables import settle
+from tidemark.sources.store import ArchiveSource
+from tidemark.sources.store import lines_of as first_member
 
 KLINES = "open_time BIGINT, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE, close_time BIGINT, quote_volume DOUBLE, count BIGINT, taker_buy_volume DOUBLE, taker_buy_quote_volume DOUBLE, ignore STRING"
 METRICS = "create_time STRING, symbol STRING, sum_open_interest DOUBLE, sum_open_interest_value DOUBLE, count_toptrader_long_short_ratio DOUBLE, sum_toptrader_long_short_ratio DOUBLE, count_long_short_ratio DOUBLE, sum_taker_long_short_vol_ratio DOUBLE"
 FUNDING = "calc_time BIGINT, funding_interval_hours INT, last_funding_rate DOUBLE"
 STEP_MS = 60_000
-_LINES = 20_000
+
+
+def _read(spark: SparkSession, root: str, rows: str) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the source takes filters, which Spark has to allow
+    spark.dataSource.register(ArchiveSource)
+    return spark.read.format("archives").option("rows", rows).load(root)
 
 
 def objects(spark: SparkSession, root: str) -> DataFrame:
-    """(key, length, date) of all archives below ``root``, without their contents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(root)
-    return files.select(F.col("path").alias("key"), "length", date_of(F.col("path")).alias("date"))
+    """(key, length, date) of all archives below ``root``, by their names below it; nothing is read."""
+    return _read(spark, root, "names")
 
 
 def archives(spark: SparkSession, root: str) -> DataFrame:
-    """(key, content, sha256, expected, sha256_ok): a missing checksum file counts as not matching."""
-    read = lambda glob: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    zips = read("*.zip").select(F.col("path").alias("key"), "content", F.sha2("content", 256).alias("sha256"))
-    text = F.trim(F.decode("content", "utf-8"))
-    sums = read("*.CHECKSUM").select(F.regexp_replace("path", r"\.CHECKSUM$", "").alias("key"), F.split(text, r"\s+")[0].alias("expected"))
-    return zips.join(sums, "key", "left").withColumn("sha256_ok", F.col("expected").eqNullSafe(F.col("sha256")))
+    """(key, content, sha256, expected, sha256_ok): a missing checksum file counts as not matching.  An archive and its
+    checksum are read by one task."""
+    return _read(spark, root, "contents").select("key", "content", "sha256", "expected", "sha256_ok")
+
+
+def archived_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of all archives, with their archives' sizes and checksums; see ``store.ArchiveSource``."""
+    return _read(spark, root, "lines")
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for key, content in zip(batch["key"], batch["content"]):
-            lines, start = [], 0
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(archive.infolist()[0]) as member:
-                    for line in io.TextIOWrapper(member, "utf-8", errors="replace", newline=None):
-                        lines.append(line.rstrip("\n"))
-                        if len(lines) == _LINES:
-                            yield pd.DataFrame({"key": key, "line_no": range(start, start + len(lines)), "line": lines, "error": None})
-                            lines, start = [], start + len(lines)
-                yield pd.DataFrame({"key": key, "line_no": range(start, start + len(lines)), "line": lines, "error": None})
-            except (zipfile.BadZipFile, IndexError, EOFError, zlib.error) as e:
-                yield pd.DataFrame({"key": [key], "line_no": [-1], "line": [None], "error": [f"{type(e).__name__}: {e}"]})
+            for numbers, lines, error in first_member(content):
+                yield pd.DataFrame({"key": key, "line_no": numbers, "line": lines, "error": [None] * (len(lines) - 1) + [error]})
 
 
 def decoded(zips: DataFrame) -> DataFrame:
@@ -110,11 +107,24 @@ def kline_profile(rows: DataFrame) -> DataFrame:
     )
 
 
-def profiles(zips: DataFrame, schema: str = KLINES) -> DataFrame:
-    """The whole profile of each archive: checksum and sizes, header and head, and what ``kline_profile`` counts."""
-    lines = decode(zips)
-    meta = zips.select("key", "sha256_ok", F.octet_length("content").cast("long").alias("zip_bytes"))
-    return meta.join(file_profile(lines), "key", "left").join(kline_profile(parse(lines, schema)).drop("rows"), "key", "left")
+def profiles(lines: DataFrame, schema: str = KLINES) -> DataFrame:
+    """The whole profile of each archive of ``archived_lines``: checksum and sizes, header and head, and what
+    ``kline_profile`` counts.  Archives are decoded once: the two profiles and the checksum are taken from written lines."""
+    lines = settle(lines, "lines")
+    meta = lines.groupBy("key").agg(F.first("sha256_ok").alias("sha256_ok"), F.first("zip_bytes").alias("zip_bytes"), F.max("error").alias("error"))
+    good = lines.where("line_no >= 0").select("key", "line_no", "line")
+    return meta.join(file_profile(good), "key", "left").join(kline_profile(parse(good, schema)).drop("rows"), "key", "left")
+
+
+def merged_tiers(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """One series of rows(symbol, key, open_time, ...) of monthly and daily archives: the months', and the days' of months
+    that a symbol has none of, from the day ``start`` to the end of the day ``end``, of each time once."""
+    dated = rows.withColumn("date", date_of(F.col("key"))).withColumn("dataset", F.lit("klines"))
+    chosen = preferred(dated.select("symbol", "dataset", "date").distinct()).select("symbol", "date")
+    kept = dated.join(chosen, ["symbol", "date"], "left_semi").drop("dataset")
+    at = F.when(F.col("open_time") > 10**14, F.timestamp_micros("open_time")).otherwise(F.timestamp_millis("open_time")).cast("timestamp_ntz")
+    inside = kept.withColumn("open_ts", at).where((F.col("open_ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("open_ts") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz")))
+    return inside.dropDuplicates(["symbol", "open_ts"]).drop("date")
 
 
 def parquet_bytes(rows: DataFrame, path: str) -> int:

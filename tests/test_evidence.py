@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import positions, scan, series, stats
+from tidemark.operators import evaluation, models, positions, scan, series, stats
 
 
 def greedy(trades):
@@ -85,3 +85,41 @@ def test_superior_ability_by_hand(spark):
         assert got[f"p_{name}"] == pytest.approx((best > statistic + 1e-9).mean())
     assert got.p_lower <= got.p_consistent <= got.p_upper
     assert stats.superior_ability(spark.createDataFrame([], "key string, block long, x double"), 10, 4, "key").collect() == []
+
+
+def test_logistic_regressions_of_folds(spark):
+    """Every fold's coefficients are those of Newton's method in numpy; a fold without rows has none, nulls don't count."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (600, 3))
+    y = (rng.random(600) < 1 / (1 + np.exp(-(0.3 + x @ [1.0, -2.0, 0.0])))).astype(int)
+    fold = rng.integers(0, 3, 600) * 2
+    rows = [(int(f), *map(float, v), int(u)) for f, v, u in zip(fold, x, y)]
+    frame = spark.createDataFrame([*rows, (0, None, 1.0, 1.0, 1), (0, 1.0, 1.0, 1.0, None)], "fold int, a double, b double, c double, up int").repartition(5)
+    got = dict(models.logistic(frame, ["a", "b", "c"], "up", 6, 0.5))
+    assert sorted(got) == [0, 2, 4]
+    for f, beta in got.items():
+        z, u, want = np.column_stack([np.ones((fold == f).sum()), x[fold == f]]), y[fold == f], np.zeros(4)
+        penalty = np.diag([0, 0.5, 0.5, 0.5])
+        for _ in range(6):
+            p = 1 / (1 + np.exp(-z @ want))
+            want = want + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (u - p) - penalty @ want)
+        assert beta == pytest.approx(want.tolist(), abs=1e-9)
+    scored = models.with_probability(frame.dropna(), {0: got[0]}, ["a", "b", "c"])
+    assert scored.count() == (fold == 0).sum() and scored.select(F.avg(models.log_loss(F.col("up"), F.col("p")))).first()[0] < 0.6
+    assert models.logistic(frame.limit(0), ["a"], "up") == []
+
+
+def test_folds_keep_labels_out_of_their_tests(spark):
+    """The last training label ends more than the embargo before the test begins; each row is tested once at most."""
+    dealt = evaluation.fold_samples(spark.range(500).select(F.col("id").alias("slot")), 0, 100, 40, 10, 4, 12)
+    for r in dealt.groupBy("fold").agg(F.max(F.expr("IF(part = 'train', slot, null)")).alias("train"), F.min(F.expr("IF(part = 'test', slot, null)")).alias("test"), F.count_if(F.col("part") == "train").alias("n")).collect():
+        assert (r.test, r.train, r.n) == (100 + 40 * r.fold, r.test - 17, r.test - 16)
+    assert dealt.where("part = 'test'").count() == dealt.where("part = 'test'").select("slot").distinct().count() == 400
+    assert evaluation.fold_samples(spark.range(5).select(F.col("id").alias("slot")), 0, 100, 40, 0, 4, 12).count() == 0
+
+
+def test_boosted_trees_find_what_lines_cannot(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(a), float(b), int(a * b > 0), "train" if i < 300 else "test") for i, (a, b) in enumerate(rng.normal(0, 1, (500, 2)))]
+    scored = models.boosted(spark.createDataFrame(rows, "a double, b double, up int, split string"), ["a", "b"], "up")
+    assert scored.where("split = 'test'").select(F.avg(F.expr("int((p >= 0.5) = (up = 1))"))).first()[0] > 0.9

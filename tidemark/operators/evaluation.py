@@ -34,6 +34,17 @@ def walk_forward(rows: DataFrame, first: int, train: int, test: int, folds: int,
     return rows.select("slot", fold).withColumn("part", part).where("part IS NOT NULL").groupBy("fold", "part").agg(F.count("*").alias("rows"))
 
 
+def fold_samples(rows: DataFrame, first: int, train: int, test: int, folds: int, purge: int, embargo: int) -> DataFrame:
+    """rows(slot, ...) with ``fold`` and ``part``: each row once for each fold that tests it or may train on it.
+
+    Training expands from ``first``; rows whose labels of ``purge`` steps end within ``embargo`` steps before the test, or
+    later, don't train.  Nothing is shuffled: rows are multiplied where they are read."""
+    fold = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))) if folds else F.explode(F.array().cast("array<int>"))
+    start = F.lit(first + train) + F.col("fold") * test
+    part = F.when((F.col("slot") >= start) & (F.col("slot") < start + test), "test").when((F.col("slot") >= first) & (F.col("slot") + purge + embargo < start), "train")
+    return rows.withColumn("fold", fold).withColumn("part", part).where("part IS NOT NULL")
+
+
 def fold_count(first: int, last: int, train: int, test: int) -> int:
     """How many tests of ``test`` steps, the last one perhaps shorter, follow the first ``train`` steps."""
     return max(0, -(-(last - first + 1 - train) // test))

@@ -498,15 +498,3 @@ def spa(spark, sf_dir):
     means = drawn.join(sums, "day").groupBy("rep", "symbol").agg((F.sum("s") / F.sum("n")).alias("mean"))
     own = sums.groupBy("symbol").agg((F.sum("s") / F.sum("n")).alias("own"))
     return means.join(own, "symbol").groupBy("rep").agg(F.round(F.max(F.col("mean") - F.col("own")), 6).alias("best_excess"), F.round(F.max("own"), 6).alias("best"))
-
-
-@query("model_baseline")
-def model_baseline(spark, sf_dir):
-    """Logistic regression of the sign of the return four hours on, by split."""
-    from tidemark.operators.models import fitted
-
-    every = bars(spark, sf_dir)
-    rows = pointintime.features(every).join(labels.forward_return(every, 4), ["symbol", "slot"]).where("ret IS NOT NULL")
-    rows = evaluation.with_split(rows).withColumn("up", (F.col("ret") > 0).cast("int"))
-    scored = fitted(settle(rows, "samples"), list(pointintime.FEATURES), "up")
-    return scored.groupBy("split").agg(F.count("*").alias("rows"), F.round(F.avg(((F.col("p") >= 0.5) == (F.col("up") == 1)).cast("double")), 4).alias("accuracy"))

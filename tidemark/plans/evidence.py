@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import positions, stats
-from tidemark.plans.catalogue import _BARRIERS, _BARS, _BREAKOUT, _RETURNS, _TRADES, _trades, barriers, query, returns
+from tidemark.operators import evaluation, labels, models, pointintime, positions, stats
+from tidemark.plans.catalogue import _BARRIERS, _BARS, _BREAKOUT, _RETURNS, _TRADES, _SPLIT, _trades, bars, barriers, query, returns
 from tidemark.plans.tables import settle
 
 # Positions
@@ -69,3 +69,60 @@ def superior_ability(spark, sf_dir):
     rows = daily(spark, sf_dir, F.concat_ws("-", "symbol", (F.col("slot") % 6).cast("string")))
     out = stats.superior_ability(rows.select("key", "block", (F.col("s") - 0.02 * F.col("n")).alias("x")), REPLICATES, MEAN_BLOCK, "key")
     return out.withColumn("statistic", F.round("statistic", 6))
+
+
+# Models
+
+INPUTS, ITERATIONS, RIDGE = ["rise", "share"], 4, 1.0
+_SAMPLES = f"""{_BARS}, {_RETURNS}, x AS (SELECT symbol, slot, least(greatest(round(close / lag(close, 6) OVER w - 1, 9), -1), 1) AS rise, round(volume / sum(volume) OVER (w ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 9) AS share FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot)),
+samples AS (SELECT x.symbol, x.slot, rise, share, (ret > 0)::INTEGER AS up FROM x JOIN returns r USING (symbol, slot) WHERE ret IS NOT NULL AND rise IS NOT NULL AND share IS NOT NULL)"""
+
+
+def _newton(iterations):
+    """SQL of the same steps for a constant and two inputs; ``fit`` holds the coefficients, of the rows of ``train``."""
+    out = "b0 AS (SELECT DISTINCT fold, 0.0::DOUBLE AS c0, 0.0::DOUBLE AS c1, 0.0::DOUBLE AS c2 FROM train)"
+    for k in range(iterations):
+        out += f""", p{k} AS (SELECT t.fold, up, rise AS x, share AS y, c0, c1, c2, 1 / (1 + exp(-(c0 + c1 * rise + c2 * share))) AS p FROM train t JOIN b{k} ON b{k}.fold = t.fold),
+s{k} AS (SELECT fold, c0, c1, c2, sum(up - p) AS u, sum((up - p) * x) - {RIDGE} * c1 AS v, sum((up - p) * y) - {RIDGE} * c2 AS w, sum(p * (1 - p)) AS a, sum(p * (1 - p) * x) AS b, sum(p * (1 - p) * y) AS c,
+  sum(p * (1 - p) * x * x) + {RIDGE} AS d, sum(p * (1 - p) * x * y) AS e, sum(p * (1 - p) * y * y) + {RIDGE} AS f FROM p{k} GROUP BY fold, c0, c1, c2),
+b{k + 1} AS (SELECT fold, c0 + ((d * f - e * e) * u + (c * e - b * f) * v + (b * e - c * d) * w) / (a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d)) AS c0,
+  c1 + ((c * e - b * f) * u + (a * f - c * c) * v + (b * c - a * e) * w) / (a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d)) AS c1,
+  c2 + ((b * e - c * d) * u + (b * c - a * e) * v + (a * d - b * b) * w) / (a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d)) AS c2 FROM s{k})"""
+    return out + f", fit AS (SELECT * FROM b{iterations})"
+
+
+def samples(spark, sf_dir):
+    """What is known at a bar's close, and whether the close four steps on is higher."""
+    every = bars(spark, sf_dir)
+    known = pointintime.features(every).select("symbol", "slot", F.least(F.greatest("momentum_6", F.lit(-1.0)), F.lit(1.0)).alias("rise"), F.col("volume_share_24").alias("share"))
+    rows = known.join(labels.forward_return(every, 4), ["symbol", "slot"]).where("ret IS NOT NULL AND rise IS NOT NULL AND share IS NOT NULL")
+    return settle(rows.select("symbol", "slot", "rise", "share", (F.col("ret") > 0).cast("int").alias("up")), "samples")
+
+
+@query("walk_forward_model", f"""WITH {_SAMPLES}, span AS (SELECT min(slot) AS lo, max(slot) AS hi FROM samples), k AS (SELECT fold::INTEGER AS fold, lo + 240 + fold * 72 AS start, s.* FROM samples s, span, LATERAL (SELECT unnest(range(greatest(0, (hi - lo + 1 - 240 + 71) // 72))) AS fold) r),
+train AS (SELECT * FROM k WHERE slot + 4 + 24 < start), {_newton(ITERATIONS)}, t AS (SELECT k.*, c0, c1, c2, greatest(least(1 / (1 + exp(-(c0 + c1 * rise + c2 * share))), 1 - 1e-12), 1e-12) AS p FROM k JOIN fit USING (fold) WHERE slot >= start AND slot < start + 72)
+SELECT fold, count(*) AS rows, round(c0, 6) AS c0, round(c1, 6) AS c1, round(c2, 6) AS c2, round(avg(CASE WHEN (p >= 0.5) = (up = 1) THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy, round(avg(-(up * ln(p) + (1 - up) * ln(1 - p))), 6) AS log_loss FROM t GROUP BY fold, t.c0, t.c1, t.c2""")
+def walk_forward_model(spark, sf_dir):
+    """A logistic regression fitted anew before each test of 72 steps, on all rows before, purged and with an embargo of a day."""
+    rows = samples(spark, sf_dir)
+    first, last = rows.agg(F.min("slot"), F.max("slot")).first()
+    folds = 0 if first is None else evaluation.fold_count(first, last, 240, 72)
+    dealt = evaluation.fold_samples(rows, first or 0, 240, 72, folds, 4, 24)
+    fits = dict(models.logistic(dealt.where("part = 'train'"), INPUTS, "up", ITERATIONS, RIDGE))
+    tested = models.with_probability(dealt.where("part = 'test'"), fits, INPUTS)
+    right = F.when((F.col("p") >= 0.5) == (F.col("up") == 1), 1.0).otherwise(0.0)
+    out = tested.groupBy("fold").agg(F.count("*").alias("rows"), F.round(F.avg(right), 6).alias("accuracy"), F.round(F.avg(models.log_loss(F.col("up"), F.col("p"))), 6).alias("log_loss"))
+    table = spark.createDataFrame([(fold, *(round(x, 6) for x in beta)) for fold, beta in fits.items()], "fold int, c0 double, c1 double, c2 double")
+    return out.join(F.broadcast(table), "fold")  # a row a fold
+
+
+@query("model_baseline", f"""WITH {_SAMPLES}, span AS (SELECT min(slot) AS lo, max(slot) AS hi FROM samples), k AS (SELECT 0 AS fold, {_SPLIT.format('slot')} AS split, s.* FROM samples s, span WHERE {_SPLIT.format('slot')} = {_SPLIT.format('(slot + 28)')}),
+train AS (SELECT * FROM k WHERE split = 'train'), {_newton(ITERATIONS)}, t AS (SELECT k.*, greatest(least(1 / (1 + exp(-(c0 + c1 * rise + c2 * share))), 1 - 1e-12), 1e-12) AS p FROM k JOIN fit USING (fold))
+SELECT split, count(*) AS rows, round(avg(CASE WHEN (p >= 0.5) = (up = 1) THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy, round(avg(-(up * ln(p) + (1 - up) * ln(1 - p))), 6) AS log_loss FROM t GROUP BY split""")
+def model_baseline(spark, sf_dir):
+    """Logistic regression of the sign of the return four hours on, by split; labels end a day before the next split."""
+    rows = evaluation.embargoed(samples(spark, sf_dir), 28).withColumn("fold", F.lit(0))
+    fits = dict(models.logistic(rows.where("split = 'train'"), INPUTS, "up", ITERATIONS, RIDGE))
+    scored = models.with_probability(rows, fits, INPUTS)
+    right = F.when((F.col("p") >= 0.5) == (F.col("up") == 1), 1.0).otherwise(0.0)
+    return scored.groupBy("split").agg(F.count("*").alias("rows"), F.round(F.avg(right), 6).alias("accuracy"), F.round(F.avg(models.log_loss(F.col("up"), F.col("p"))), 6).alias("log_loss"))

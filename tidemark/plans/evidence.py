@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluation, labels, models, pointintime, positions, stats
+from tidemark.operators import evaluation, features, labels, models, pointintime, positions, stats
 from tidemark.plans.catalogue import _BARRIERS, _BARS, _BREAKOUT, _RETURNS, _TRADES, _SPLIT, _trades, bars, barriers, query, returns
 from tidemark.plans.tables import settle
 
@@ -126,3 +126,30 @@ def model_baseline(spark, sf_dir):
     scored = models.with_probability(rows, fits, INPUTS)
     right = F.when((F.col("p") >= 0.5) == (F.col("up") == 1), 1.0).otherwise(0.0)
     return scored.groupBy("split").agg(F.count("*").alias("rows"), F.round(F.avg(right), 6).alias("accuracy"), F.round(F.avg(models.log_loss(F.col("up"), F.col("p"))), 6).alias("log_loss"))
+
+
+# Features
+
+_RECURSIVE = {"ema_6": ("close", "2.0 / 7"), "ema_12": ("close", "2.0 / 13"), "ema_26": ("close", "2.0 / 27"), "atr_14": ("tr", "1.0 / 14"), "gain_14": ("gain", "1.0 / 14"), "loss_14": ("loss", "1.0 / 14")}
+_FRAMED = ", ".join(
+    f"""round(close / lag(close, {n}) OVER w - 1, 9) AS momentum_{n}, round(avg(close) OVER f{n}, 6) AS mean_{n}, round(stddev_samp(close) OVER f{n}, 6) AS deviation_{n}, round(max(high) OVER f{n} - min(low) OVER f{n}, 6) AS range_{n},
+  round(CASE WHEN max(high) OVER f{n} > min(low) OVER f{n} THEN (close - min(low) OVER f{n}) / (max(high) OVER f{n} - min(low) OVER f{n}) END, 6) AS place_{n}, round(volume / sum(volume) OVER f{n}, 9) AS volume_share_{n},
+  sum(n) OVER f{n}::BIGINT AS events_{n}, sum(CASE WHEN close > open THEN 1 ELSE 0 END) OVER f{n}::BIGINT AS rises_{n}"""
+    for n in features.LENGTHS
+)
+_FRAMES = ", ".join(f"f{n} AS (PARTITION BY symbol ORDER BY slot ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in features.LENGTHS)
+
+
+_LATE = ("gain", "loss")  # inputs that a first bar lacks
+_STEPS = ", ".join(f"CASE WHEN s.i = 2 THEN s.{x} ELSE r.{name} + ({a}) * (s.{x} - r.{name}) END" if x in _LATE else f"r.{name} + ({a}) * (s.{x} - r.{name})" for name, (x, a) in _RECURSIVE.items())
+_ROUNDED = ", ".join(f"round(CASE WHEN r.i > 1 THEN {name} END, 6) AS {name}" if x in _LATE else f"round({name}, 6) AS {name}" for name, (x, _) in _RECURSIVE.items())
+_INPUTS = """s AS (SELECT symbol, slot, close, row_number() OVER w AS i, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS tr,
+  greatest(close - lag(close) OVER w, 0) AS gain, greatest(lag(close) OVER w - close, 0) AS loss FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot))"""
+
+
+@query("feature_matrix", f"""WITH RECURSIVE {_BARS}, {_INPUTS}, r AS (SELECT symbol, slot, i, {', '.join(f'{x}::DOUBLE AS {name}' for name, (x, _) in _RECURSIVE.items())} FROM s WHERE i = 1
+  UNION ALL SELECT s.symbol, s.slot, s.i, {_STEPS} FROM r JOIN s ON s.symbol = r.symbol AND s.i = r.i + 1), framed AS (SELECT symbol, slot, {_FRAMED} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY slot), {_FRAMES})
+SELECT framed.*, slot + 1 AS known_at, {_ROUNDED} FROM framed JOIN r USING (symbol, slot)""")
+def feature_matrix(spark, sf_dir):
+    """38 features, six of them recursive, of every bar, with the time from which they may be used."""
+    return features.feature_table(bars(spark, sf_dir))

@@ -123,3 +123,25 @@ def test_boosted_trees_find_what_lines_cannot(spark):
     rows = [(float(a), float(b), int(a * b > 0), "train" if i < 300 else "test") for i, (a, b) in enumerate(rng.normal(0, 1, (500, 2)))]
     scored = models.boosted(spark.createDataFrame(rows, "a double, b double, up int, split string"), ["a", "b"], "up")
     assert scored.where("split = 'test'").select(F.avg(F.expr("int((p >= 0.5) = (up = 1))"))).first()[0] > 0.9
+
+
+@pytest.mark.parametrize(("count", "batch"), [(2, 256), (6, 2), (8, 3)])
+def test_overfitting_of_all_halves(spark, count, batch):
+    """Absent blocks, strategies without rows on one side, equal means, batches of few strategies."""
+    from itertools import combinations
+
+    rng = random.Random(count)
+    rows = [(f"s{k}", b, float(rng.randint(-3, 3)), rng.randint(1, 3)) for k in range(9) for b in range(count) if k not in (3, 4) or b < count // 2 or rng.random() < 0.3]
+    want = []
+    for half in combinations(range(count), count // 2):
+        means = []
+        for k in range(9):
+            total = {side: [sum(r[c] for r in rows if r[0] == f"s{k}" and (r[1] in half) == side) for c in (2, 3)] for side in (True, False)}
+            if total[True][1] and total[False][1]:
+                means.append((f"s{k}", *(round(total[side][0] / total[side][1], 9) for side in (True, False))))
+        best = min(means, key=lambda m: (-m[1], m[0]))[0]
+        place = [m[0] for m in sorted(means, key=lambda m: (m[2], m[0]))].index(best) + 1
+        want.append((sum(1 << b for b in half), best, place, len(means)))
+    frame = spark.createDataFrame(rows, "strategy string, block int, s double, n long").repartition(3)
+    assert sorted(map(tuple, evaluation.overfitting(frame, count, batch).collect())) == sorted(want)
+    assert evaluation.overfitting(frame.limit(0), count).collect() == []

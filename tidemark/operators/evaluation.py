@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.tables import settle
+
 
 def split(slot, lo, hi):
     """train, validation or test: the first 60, next 20 and last 20 percent of the span of slots."""
@@ -128,18 +134,79 @@ def deflated_sharpe(returns: DataFrame) -> DataFrame:
     return each.join(F.broadcast(whole)).where("trials > 1").select("strategy", "sharpe", "n", normal_cdf(z).alias("deflated"))  # one row
 
 
-def overfitting(blocks: DataFrame, combinations: DataFrame) -> DataFrame:
-    """(combination, best, place, of): the strategy best on the chosen blocks, and its place by mean return on the
-    others, 1 the worst; blocks(strategy, block, s, n), combinations(combination, block).
-
-    The share of combinations whose place is in the lower half is the probability of overfitting (CSCV)."""
-    from pyspark.sql import Window
-
-    chosen = combinations.withColumn("inside", F.lit(True))
-    every = combinations.select("combination").distinct()
-    dealt = blocks.join(F.broadcast(every)).join(F.broadcast(chosen), ["combination", "block"], "left")  # few combinations of few blocks
-    mean = lambda keep: F.round(F.sum(F.when(keep, F.col("s"))) / F.sum(F.when(keep, F.col("n"))), 12)
-    each = dealt.groupBy("combination", "strategy").agg(mean(F.col("inside").isNotNull()).alias("seen"), mean(F.col("inside").isNull()).alias("unseen")).where("seen IS NOT NULL AND unseen IS NOT NULL")
-    w = Window.partitionBy("combination")
-    placed = each.withColumn("place", F.row_number().over(w.orderBy("unseen", "strategy"))).withColumn("of", F.count("*").over(w)).withColumn("first", F.row_number().over(w.orderBy(F.desc("seen"), "strategy")))
-    return placed.where("first = 1").select("combination", F.col("strategy").alias("best"), "place", "of")
+def half_masks(blocks: int) -> np.ndarray:
+    """All choices of half of the blocks, as bit masks in order; 12,870 of 16 blocks."""
+    masks = np.arange(1 << blocks)
+    return masks[np.bitwise_count(masks) == blocks // 2]
+
+
+def _half_means(sums: np.ndarray, counts: np.ndarray, masks: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(means on the chosen blocks, means on the others) of strategies by masks; NaN without rows.
+
+    The sum over a mask is one over its low bits and one over its high bits, from tables of all subsets of either."""
+
+    def by_mask(values: np.ndarray) -> np.ndarray:
+        low = blocks // 2
+        tables = []
+        for part in (values[:, :low], values[:, low:]):
+            table = np.zeros((len(values), 1))
+            for i in range(part.shape[1]):
+                table = np.concatenate([table, table + part[:, i : i + 1]], axis=1)
+            tables.append(table)
+        return tables[0][:, masks & ((1 << low) - 1)] + tables[1][:, masks >> low]
+
+    s, n = by_mask(sums), by_mask(counts)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        seen = np.where(n > 0, s / n, np.nan)
+        rest = counts.sum(1, keepdims=True) - n
+        unseen = np.where(rest > 0, (sums.sum(1, keepdims=True) - s) / rest, np.nan)
+    missing = np.isnan(seen) | np.isnan(unseen)
+    return np.where(missing, np.nan, np.round(seen, 9)), np.where(missing, np.nan, np.round(unseen, 9))
+
+
+def overfitting(blocks: DataFrame, count: int, batch: int = 256) -> DataFrame:
+    """(mask, best, place, of) for each choice of half of ``count`` blocks, at most 16: the strategy best on the chosen
+    ones, and its place by mean return on the others, 1 the worst, among as many strategies as have rows on both sides.
+    blocks(strategy, block, s, n) has sums and counts; of equal means the first strategy by name is better.
+
+    The share of masks whose place is in the lower half is the probability of overfitting (CSCV).  A strategy is one row of
+    sums.  Batches of them give their best for each mask, and then how many of them lie below the best of all; what is
+    grouped is one row for each batch and mask, and the best ones that are broadcast are as many as there are masks."""
+    if count % 2 or count > 16:
+        raise ValueError("the number of blocks must be even, and 16 at most")
+    masks = half_masks(count)
+    at = lambda column: F.array(*(F.coalesce(F.sum(F.when(F.col("block") == i, F.col(column))), F.lit(0)).cast("double") for i in range(count)))
+    rows = settle(blocks.groupBy("strategy").agg(at("s").alias("s"), at("n").alias("n")), "strategies")
+
+    def means(part: pd.DataFrame):
+        for i in range(0, len(part), batch):
+            some = part.iloc[i : i + batch].sort_values("strategy")
+            yield some["strategy"].to_numpy(), *_half_means(np.stack(some["s"]), np.stack(some["n"]), masks, count)
+
+    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for names, seen, unseen in means(part):
+                top = np.where(np.isnan(seen), -np.inf, seen).argmax(0)  # the first of equal ones
+                here = np.arange(len(masks))
+                found = pd.DataFrame({"mask": masks, "seen": seen[top, here], "strategy": names[top], "unseen": unseen[top, here], "of": (~np.isnan(seen)).sum(0)})
+                yield found[found["of"] > 0]
+
+    order = F.struct((-F.col("seen")).alias("seen"), "strategy", "unseen")
+    tops = rows.mapInPandas(best, "mask long, seen double, strategy string, unseen double, of long").groupBy("mask").agg(F.min(order).alias("b"), F.sum("of").alias("of"))
+    tops = settle(tops.select("mask", F.col("b.strategy").alias("best"), F.col("b.unseen").alias("unseen"), "of"), "best")
+    every = tops.agg(F.collect_list(F.struct("mask", "best", "unseen")).alias("tops"))  # as many as masks
+
+    def below(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if not len(part):
+                continue
+            known = {x["mask"]: x for x in part["tops"].iat[0]}
+            mine = np.array([mask in known for mask in masks])
+            limit = np.array([known[m]["unseen"] if m in known else np.nan for m in masks])
+            name = np.array([known[m]["best"] if m in known else "" for m in masks], dtype=object)
+            for names, _, unseen in means(part):
+                less = (unseen < limit) | (unseen == limit) & (names[:, None] < name[None, :])
+                yield pd.DataFrame({"mask": masks[mine], "below": less.sum(0)[mine]})
+
+    counts = rows.join(F.broadcast(every)).mapInPandas(below, "mask long, below long").groupBy("mask").agg(F.sum("below").alias("below"))
+    return tops.join(counts, "mask").select("mask", "best", (F.col("below") + 1).alias("place"), "of")

@@ -476,12 +476,18 @@ e AS (SELECT k.combination, strategy, round(sum(s) FILTER (c.block IS NOT NULL)
 p AS (SELECT *, row_number() OVER (PARTITION BY combination ORDER BY unseen, strategy) AS place, count(*) OVER (PARTITION BY combination) AS "of", row_number() OVER (PARTITION BY combination ORDER BY seen DESC, strategy) AS top FROM e WHERE seen IS NOT NULL AND unseen IS NOT NULL)
 SELECT combination::INTEGER AS combination, strategy AS best, place, "of" FROM p WHERE top = 1""")
 def pbo(spark, sf_dir):
+    out = evaluation.overfitting(strategy_blocks(spark, sf_dir, 6), 6)
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(5)), lambda i: F.getbit("mask", i) == 1)  # three of six
+    code = F.aggregate(chosen, F.lit(0), lambda a, i: a * 6 + i)
+    return out.select(code.alias("combination"), "best", F.col("place").cast("int").alias("place"), "of")
+
+
+def strategy_blocks(spark, sf_dir, count):
+    """(strategy, block, s, n): forward returns of each symbol and hour of six, in blocks of equal time."""
     rows = settle(returns(spark, sf_dir).where("ret IS NOT NULL"), "returns")
     span = rows.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
-    block = F.floor((F.col("slot") - F.col("lo")) * 6 / (F.col("hi") - F.col("lo") + 1)).cast("int")
-    blocks = rows.join(F.broadcast(span)).groupBy(F.concat_ws("-", "symbol", (F.col("slot") % 6).cast("string")).alias("strategy"), block.alias("block")).agg(F.sum("ret").alias("s"), F.count("*").alias("n"))
-    chosen = [(x * 36 + y * 6 + z, b) for x in range(6) for y in range(x + 1, 6) for z in range(y + 1, 6) for b in (x, y, z)]
-    return evaluation.overfitting(settle(blocks, "blocks"), spark.createDataFrame(chosen, "combination int, block int"))
+    block = F.floor((F.col("slot") - F.col("lo")) * count / (F.col("hi") - F.col("lo") + 1)).cast("int")
+    return rows.join(F.broadcast(span)).groupBy(F.concat_ws("-", "symbol", (F.col("slot") % 6).cast("string")).alias("strategy"), block.alias("block")).agg(F.sum("ret").alias("s"), F.count("*").alias("n"))  # one row
 
 
 @query("spa", f"""WITH {_BARS}, {_RETURNS}, d AS (SELECT symbol, slot // 24 AS day, sum(ret) AS s, count(*) AS n FROM returns WHERE ret IS NOT NULL GROUP BY ALL), x AS (SELECT min(day) AS first, max(day) - min(day) + 1 AS m FROM d),

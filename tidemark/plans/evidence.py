@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation, features, labels, models, pointintime, positions, stats
-from tidemark.plans.catalogue import _BARRIERS, _BARS, _BREAKOUT, _RETURNS, _TRADES, _SPLIT, _trades, bars, barriers, query, returns
+from tidemark.plans.catalogue import _BARRIERS, _BARS, _BREAKOUT, _RETURNS, _TRADES, _SPLIT, _trades, bars, barriers, query, returns, strategy_blocks
 from tidemark.plans.tables import settle
 
 # Positions
@@ -153,3 +153,17 @@ SELECT framed.*, slot + 1 AS known_at, {_ROUNDED} FROM framed JOIN r USING (symb
 def feature_matrix(spark, sf_dir):
     """38 features, six of them recursive, of every bar, with the time from which they may be used."""
     return features.feature_table(bars(spark, sf_dir))
+
+
+# Overfitting
+
+
+@query("pbo_16", f"""WITH {_BARS}, {_RETURNS}, b AS (SELECT symbol || '-' || (slot % 6) AS strategy, ((slot - lo) * 16 // (hi - lo + 1))::INTEGER AS block, sum(ret) AS s, count(*) AS n FROM returns, (SELECT min(slot) AS lo, max(slot) AS hi FROM returns WHERE ret IS NOT NULL) WHERE ret IS NOT NULL GROUP BY ALL),
+m AS (SELECT mask FROM range(65536) r(mask) WHERE bit_count(mask) = 8),
+e AS (SELECT mask, strategy, round(sum(s) FILTER ((mask >> block) & 1 = 1) / sum(n) FILTER ((mask >> block) & 1 = 1), 9) AS seen, round(sum(s) FILTER ((mask >> block) & 1 = 0) / sum(n) FILTER ((mask >> block) & 1 = 0), 9) AS unseen FROM b CROSS JOIN m GROUP BY ALL),
+p AS (SELECT mask, row_number() OVER (PARTITION BY mask ORDER BY unseen, strategy) AS place, count(*) OVER (PARTITION BY mask) AS total, row_number() OVER (PARTITION BY mask ORDER BY seen DESC, strategy) AS top FROM e WHERE seen IS NOT NULL AND unseen IS NOT NULL)
+SELECT total AS strategies, count(*) AS masks, round(avg(place), 2) AS mean_place, round(count(*) FILTER (place * 2 <= total) / count(*), 3) AS probability FROM p WHERE top = 1 GROUP BY total""")
+def pbo_16(spark, sf_dir):
+    """The probability of overfitting over all 12,870 halves of 16 blocks."""
+    out = evaluation.overfitting(strategy_blocks(spark, sf_dir, 16), 16)
+    return out.groupBy(F.col("of").alias("strategies")).agg(F.count("*").alias("masks"), F.round(F.avg("place"), 2).alias("mean_place"), F.round(F.avg(F.when(F.col("place") * 2 <= F.col("of"), 1.0).otherwise(0.0)), 3).alias("probability"))

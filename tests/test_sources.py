@@ -180,6 +180,24 @@ def test_live_changes(spark, tmp_path):
     assert [x[1:] for x in got] == [(-1, 100), (1, 89), (-1, 130), (1, 110)]
 
 
+def test_late_prices_are_an_error(spark, tmp_path):
+    """A micro-batch in any order is put in order; one that reaches behind an earlier one stops the stream."""
+    folder = f"file://{tmp_path}/in"
+    at = lambda *minutes: [("a", datetime(2024, 1, 1) + timedelta(minutes=m), 100.0 + m) for m in minutes]
+    write = lambda rows: spark.createDataFrame(rows, "symbol string, ts timestamp, price double").coalesce(1).write.mode("append").parquet(folder)
+    write(at(30, 0, 10))
+    stream = spark.readStream.schema("symbol string, ts timestamp, price double").parquet(folder)
+    q = live_changes(stream, 0.05).writeStream.format("memory").queryName("late").outputMode("append").start()
+    try:
+        q.processAllAvailable()
+        assert [(r.direction, r.extreme) for r in spark.table("late").collect()] == [(1, 100.0)]
+        write(at(20))
+        with pytest.raises(Exception, match="came after"):
+            q.processAllAvailable()
+    finally:
+        q.stop()
+
+
 def test_live_changes_are_those_of_the_table(spark, tmp_path):
     import random
 

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 CHUNK, STRETCH_DAYS = 4096, 7
 
 
-def indexed(frame: DataFrame, key: str = "symbol", t: str = "t", tie: list[str] | None = None) -> DataFrame:
-    """frame with ``idx``, the row's place within its key by (t, tie), from 0."""
-    day = F.floor(F.unix_seconds(F.col(t).cast("timestamp")) / (86_400 * STRETCH_DAYS)).alias("_stretch")
-    rows = frame.withColumn("_stretch", day)
+def indexed(frame: DataFrame, key: str = "symbol", t: str = "t", tie: list[str] | None = None, stretch: Column | None = None) -> DataFrame:
+    """frame with ``idx``, the row's place within its key by (t, tie), from 0.
+
+    ``stretch``: the stretch of a row, which mustn't fall as (t, tie) rises; weeks of t unless given."""
+    weeks = F.floor(F.unix_seconds(F.col(t).cast("timestamp")) / (86_400 * STRETCH_DAYS)) if stretch is None else stretch
+    rows = frame.withColumn("_stretch", weeks)
     counts = rows.groupBy(key, "_stretch").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
     base = counts.select(key, "_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -42,10 +44,10 @@ def own(rows: DataFrame) -> DataFrame:
     return rows.where("NOT _halo").drop("_halo", "_chunk", "idx")
 
 
-def windowed(frame: DataFrame, columns, before: int, after: int = 0, key: str = "symbol", t: str = "t") -> DataFrame:
+def windowed(frame: DataFrame, columns, before: int, after: int = 0, key: str = "symbol", t: str = "t", stretch: Column | None = None) -> DataFrame:
     """frame with further columns, each a function of the ordered window, of frames of ``before`` rows at most
     before the current one and ``after`` rows behind it."""
-    dealt, window = chunked(indexed(frame, key, t), before, after, key)
+    dealt, window = chunked(indexed(frame, key, t, stretch=stretch), before, after, key)
     return own(dealt.withColumns({name: make(window) for name, make in columns.items()}))
 
 

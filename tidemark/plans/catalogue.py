@@ -249,11 +249,12 @@ def feature_table(spark, sf_dir):
     return pointintime.features(bars(spark, sf_dir)).select("symbol", "slot", *pointintime.FEATURES)
 
 
-@query("truncation_check", f"WITH {_BARS} SELECT symbol, slot FROM bars WHERE false")
+@query("truncation_check", f"WITH {_BARS}, m AS (SELECT (min(slot) + max(slot)) // 2 AS m FROM bars) SELECT symbol, max(slot) FILTER (slot <= m) AS slot FROM bars, m GROUP BY symbol HAVING max(slot) > any_value(m) AND min(slot) <= any_value(m)")
 def truncation_check(spark, sf_dir):
+    """Rows of the earlier half that change once the later one is known: each symbol's last, as one feature looks a bar ahead."""
     every = bars(spark, sf_dir)
     middle = every.agg(F.floor((F.min("slot") + F.max("slot")) / 2).alias("m")).first()["m"]
-    return pointintime.truncation_failures(every, middle)
+    return pointintime.truncation_failures(every, middle, {**pointintime.FEATURES, "next_close": (1, lambda w: F.lead("close").over(w))})
 
 
 THETAS = [0.3, 0.6, 0.9]

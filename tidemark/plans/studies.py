@@ -121,9 +121,8 @@ def files(spark, sf_dir):
     from tidemark.operators.series import indexed
 
     rows = read(spark, sf_dir, "events").select("event_type", F.date_format("ts", "yyyy-MM").alias("month"), F.unix_millis(F.col("ts").cast("timestamp")).alias("open_time"), "value", "event_id")
-    # file order, numbered like any ordered rows of few keys: 97 stretches, and the ids within them
-    order = rows.withColumn("name", F.concat_ws("/", "event_type", "month")).withColumn("at", F.timestamp_seconds((F.col("event_id") % 97) * 86_400 * 7))
-    return indexed(order, "name", "at", ["event_id"]).select(F.col("event_type").alias("symbol"), "month", "open_time", "value", F.col("idx").alias("line_no"))
+    order = rows.withColumn("name", F.concat_ws("/", "event_type", "month")).withColumn("at", F.col("event_id") % 97)
+    return indexed(order, "name", "at", ["event_id"], F.struct("at", F.floor(F.col("event_id") / 100_000).alias("ids"))).select(F.col("event_type").alias("symbol"), "month", "open_time", "value", F.col("idx").alias("line_no"))
 
 
 @query("file_profiles", f"""WITH {_FILES}, d AS (SELECT *, open_time - lag(open_time) OVER (PARTITION BY symbol, month ORDER BY line_no) AS diff FROM files)
@@ -131,7 +130,7 @@ SELECT symbol, month, count(*) AS rows, day(last_day(strptime(month || '-01', '%
   make_timestamp(arg_min(open_time, line_no) * 1000) AS first_open_time_utc, make_timestamp(arg_max(open_time, line_no) * 1000) AS last_open_time_utc, count(*) - count(DISTINCT open_time) AS duplicates, count(*) FILTER (diff <= 0) AS non_monotonic,
   count(*) FILTER (diff > 60000) AS gaps, coalesce(sum(diff // 60000 - 1) FILTER (diff > 60000), 0)::BIGINT AS missing_minutes FROM d GROUP BY symbol, month""")
 def file_profiles(spark, sf_dir):
-    steps = windowed(files(spark, sf_dir).withColumn("name", F.concat_ws("/", "symbol", "month")).withColumn("at", F.timestamp_seconds("line_no")), {"diff": lambda w: F.col("open_time") - F.lag("open_time").over(w)}, 1, key="name", t="at")
+    steps = windowed(files(spark, sf_dir).withColumn("name", F.concat_ws("/", "symbol", "month")), {"diff": lambda w: F.col("open_time") - F.lag("open_time").over(w)}, 1, key="name", t="line_no", stretch=F.floor(F.col("line_no") / 100_000))
     unit = keys.epoch_unit(F.min_by("open_time", "line_no"))
     at = lambda c: F.timestamp_millis(c).cast("timestamp_ntz")
     return steps.groupBy("symbol", "month").agg(

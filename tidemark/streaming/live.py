@@ -22,9 +22,12 @@ def live_bars(events: DataFrame, width: str = "1 hour", late: str = "10 minutes"
 
 def _changes(theta: float):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        up, high, high_at, low, low_at = state.get if state.exists else (0, None, None, None, None)
-        for batch in batches:
-            out, rows = [], batch.sort_values("ts", kind="stable")
+        up, high, high_at, low, low_at, last = state.get if state.exists else (0, None, None, None, None, None)
+        rows, out = pd.concat(list(batches)).sort_values("ts", kind="stable"), []  # a symbol's part of one micro-batch
+        if len(rows):
+            if last is not None and rows["ts"].iat[0] < last:
+                raise ValueError(f"a price of {key[0]} at {rows['ts'].iat[0]} came after one at {last}")
+            last = rows["ts"].iat[-1]
             for ts, price in zip(rows["ts"], rows["price"]):
                 if high is None:
                     high, high_at, low, low_at = price, ts, price, ts
@@ -40,16 +43,18 @@ def _changes(theta: float):
                 else:
                     continue
                 up, high, high_at, low, low_at = out[-1][1], price, ts, price, ts
-            yield pd.DataFrame(out, columns=["symbol", "direction", "extreme_at", "extreme", "confirmed_at", "price"])
-        state.update((up, high, high_at, low, low_at))
+        yield pd.DataFrame(out, columns=["symbol", "direction", "extreme_at", "extreme", "confirmed_at", "price"])
+        state.update((up, high, high_at, low, low_at, last))
 
     return step
 
 
 def live_changes(prices: DataFrame, theta: float) -> DataFrame:
-    """Directional changes of a stream (symbol, ts, price) that arrives in order of time, sent when confirmed; the same
-    ones as ``waves.directional_changes`` finds in the whole table.
+    """Directional changes of a stream (symbol, ts, price), sent when confirmed; the same ones as
+    ``waves.directional_changes`` finds in the whole table.
 
-    The state of a symbol is its direction and running extremes; until the first change both of them run."""
-    kept = "up int, high double, high_at timestamp, low double, low_at timestamp"
+    The state of a symbol is its direction and running extremes; until the first change both of them run.  A micro-batch
+    is put in order of time; a price from before an earlier micro-batch's last one is an error, as changes already sent may
+    depend on it."""
+    kept = "up int, high double, high_at timestamp, low double, low_at timestamp, last timestamp"
     return prices.groupBy("symbol").applyInPandasWithState(_changes(theta), CHANGE, kept, "append", GroupStateTimeout.NoTimeout)

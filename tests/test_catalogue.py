@@ -1,7 +1,7 @@
 import pytest
 
 from compare import same
-from tidemark.plans import catalogue, evidence, studies  # noqa: F401  (the others add their queries to the catalogue)
+from tidemark.plans import archives, catalogue, evidence, studies  # noqa: F401  (the others add their queries to the catalogue)
 
 SF = "/root/testdata/sf0.001"
 

@@ -19,15 +19,18 @@ def _local_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="tidemark-")
 
 
-def settle(frame: DataFrame, name: str) -> DataFrame:
-    """The same rows, written below spark.checkpoint.dir and read again; where that is unset on a single machine, below a
-    local folder of this process."""
-    spark = frame.sparkSession
+def settled_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset on a single machine, a local folder of this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _local_folder()
-    path = f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def settle(frame: DataFrame, name: str) -> DataFrame:
+    """The same rows, written below ``settled_root`` and read again."""
+    path = f"{settled_root(frame.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -5,6 +5,9 @@ One task decodes one archive at a time; a zip can't be split, so parallelism is
 
 from __future__ import annotations
 
+import hashlib
+import io
+import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,12 +16,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import date_of, epoch_unit, is_filler, negative_cells, ohlc_violation
 from tidemark.plans.tables import settle
-from tidemark.sources.store import ArchiveSource
+from tidemark.sources.store import ArchiveSource, FileStore
 from tidemark.sources.store import lines_of as first_member
 
 KLINES = "open_time BIGINT, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE, close_time BIGINT, quote_volume DOUBLE, count BIGINT, taker_buy_volume DOUBLE, taker_buy_quote_volume DOUBLE, ignore STRING"
 METRICS = "create_time STRING, symbol STRING, sum_open_interest DOUBLE, sum_open_interest_value DOUBLE, count_toptrader_long_short_ratio DOUBLE, sum_toptrader_long_short_ratio DOUBLE, count_long_short_ratio DOUBLE, sum_taker_long_short_vol_ratio DOUBLE"
 FUNDING = "calc_time BIGINT, funding_interval_hours INT, last_funding_rate DOUBLE"
+#: The header that some archives of bars begin with.
+HEADER = ",".join(c.split()[0] for c in KLINES.split(", "))
 STEP_MS = 60_000
 
 
@@ -63,6 +68,28 @@ def decode(zips: DataFrame) -> DataFrame:
     return decoded(zips).where("line_no >= 0").drop("error")
 
 
+def write_archives(lines: DataFrame, root: str) -> DataFrame:
+    """(key, bytes, sha256) of the archives written below ``root``, one for each key of lines(key, line_no, line, checksum):
+    the lines in order, and beside them their checksum, or the one given; an empty one is left out.
+
+    A task writes whole archives, each a month of one symbol at most; equal lines give equal bytes, so that an archive that
+    is written again after a lost executor is the same."""
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows, out = rows.sort_values("line_no"), io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            member = zipfile.ZipInfo(key[0].rpartition("/")[2].removesuffix(".zip") + ".csv")  # its time is a fixed one
+            archive.writestr(member, "\n".join(rows["line"]) + "\n", zipfile.ZIP_DEFLATED)
+        content, given, store = out.getvalue(), rows["checksum"].iloc[0], FileStore(root)
+        sha = hashlib.sha256(content).hexdigest()
+        store.put(key[0], content)
+        if given != "":
+            store.put(key[0] + ".CHECKSUM", f"{given or sha}  {key[0].rpartition('/')[2]}\n".encode())
+        return pd.DataFrame([(key[0], len(content), sha)], columns=["key", "bytes", "sha256"])
+
+    return settle(lines.select("key", "line_no", "line", "checksum").groupBy("key").applyInPandas(one, "key string, bytes long, sha256 string"), "written")
+
+
 def accepted(zips: DataFrame) -> DataFrame:
     """Archives that may be decoded and stored: those whose checksum was there and right."""
     return zips.where("sha256_ok")

@@ -62,6 +62,13 @@ class FileStore:
         found = system.get_file_info(fs.FileSelector(base, recursive=True))
         return sorted((f.path[len(base) :].lstrip("/"), f.size) for f in found if f.is_file), None
 
+    def put(self, name: str, content: bytes) -> None:
+        system, base = self._open()
+        path = f"{base.rstrip('/')}/{name}"
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(path) as stream:
+            stream.write(content)
+
     def get(self, name: str) -> bytes | None:
         system, base = self._open()
         try:

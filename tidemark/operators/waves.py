@@ -30,6 +30,7 @@ _CHANGE = "direction int, extreme_slot long, extreme double, confirm_slot long,
 _NAMES = [c.split()[0] for c in _CHANGE.split(", ")]
 _PARTS = "symbol string, theta double, chunk long, high double, high_at long, low double, low_at long, f array<double>, first_down array<double>, first_up array<double>"
 _STATE = "direction int, extreme double, at long"
+_EXTREMES = ["entry_high", "entry_high_at", "entry_low", "entry_low_at"]
 
 
 def fold(state: tuple | None, slots, closes, reversals) -> tuple[tuple | None, list[tuple]]:
@@ -172,7 +173,7 @@ def _begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Chunks that would hold a symbol's first change, with the state in which they then end."""
     for batch in batches:
         out = []
-        for symbol, theta, chunk, high, low, *firsts in batch[["symbol", "theta", "chunk", "entry_high", "entry_low", "first_up", "first_down"]].itertuples(index=False):
+        for symbol, theta, chunk, high, high_at, low, low_at, *firsts in batch[["symbol", "theta", "chunk", *_EXTREMES, "first_up", "first_down"]].itertuples(index=False):
             best = None
             for extreme, flat in zip((-low, high), firsts):  # a bar that reverses both counts as up
                 for bound, bar, *state in np.reshape(flat, (-1, 5)):
@@ -180,8 +181,8 @@ def _begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         best = min(best or (math.inf,), (bar, *state), key=lambda x: x[0])
                         break
             if best:
-                out.append((symbol, theta, chunk, int(best[1]), best[2], int(best[3])))
-        yield pd.DataFrame(out, columns=["symbol", "theta", "chunk", *(c.split()[0] for c in _STATE.split(", "))])
+                out.append((symbol, theta, chunk, int(best[1]), best[2], int(best[3]), high, high_at, low, low_at))
+        yield pd.DataFrame(out, columns=["symbol", "theta", "chunk", *(c.split()[0] for c in _STATE.split(", ")), *_EXTREMES]).astype({"entry_high_at": "Int64", "entry_low_at": "Int64"})
 
 
 def _pieces(flat) -> tuple[list[tuple], list[tuple]]:
@@ -260,9 +261,10 @@ def directional_changes(bars: DataFrame, thetas: list[float], unit: str | None =
     parts = settle(rows.groupBy(*key).applyInPandas(_summary, _PARTS), "chunks")
     before = Window.partitionBy("symbol", "theta").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row a chunk
     high, low = F.max(F.struct("high", (-F.col("high_at")).alias("at"))).over(before), F.min(F.struct("low", "low_at")).over(before)
-    extremes = parts.select(*key, high.alias("h"), low.alias("l")).select(*key, F.coalesce("h.high", F.lit(-math.inf)).alias("entry_high"), (-F.col("h.at")).alias("entry_high_at"), F.coalesce("l.low", F.lit(math.inf)).alias("entry_low"), F.col("l.low_at").alias("entry_low_at"))
-    begun = parts.select(*key, "first_up", "first_down").join(extremes, key).mapInPandas(_begin, f"symbol string, theta double, chunk long, {_STATE}")
-    state = F.struct(F.col("chunk").alias("begin"), F.col("direction").cast("double").alias("d"), F.col("extreme").alias("x"), F.col("at").cast("double").alias("s"))
+    known = parts.withColumn("h", high).withColumn("l", low)
+    extremes = {"entry_high": F.coalesce("h.high", F.lit(-math.inf)), "entry_high_at": -F.col("h.at"), "entry_low": F.coalesce("l.low", F.lit(math.inf)), "entry_low_at": F.col("l.low_at")}
+    begun = known.withColumns(extremes).select(*key, "first_up", "first_down", *extremes).mapInPandas(_begin, f"symbol string, theta double, chunk long, {_STATE}, entry_high double, entry_high_at long, entry_low double, entry_low_at long")
+    state = F.struct(F.col("chunk").alias("begin"), F.col("direction").cast("double").alias("d"), F.col("extreme").alias("x"), F.col("at").cast("double").alias("s"), *extremes)
     starts = settle(begun.groupBy("symbol", "theta").agg(F.min_by(state, "chunk").alias("b")).select("symbol", "theta", "b.*"), "starts")
     piece = [F.lit(-math.inf), F.col("d"), F.col("x"), F.col("s")]
     function = F.when(F.col("chunk") == F.col("begin"), F.array(F.lit(1.0), *piece, *piece)).otherwise(F.col("f")).alias("f")
@@ -272,9 +274,8 @@ def directional_changes(bars: DataFrame, thetas: list[float], unit: str | None =
     up = F.col("state")[0] > 0
     extreme, at = F.col("state")[1], F.col("state")[2].cast("long")
     inside = entries.select("symbol", "theta", F.col("place").alias("chunk"), F.col("state")[0].cast("int").alias("dir"), F.when(up, extreme).alias("hi"), F.when(up, at).alias("hi_at"), F.when(~up, extreme).alias("lo"), F.when(~up, at).alias("lo_at"))
-    first = extremes.join(starts, ["symbol", "theta"]).where("chunk = begin")
-    some = F.when(F.col("chunk") > 0, F.lit(0)).alias("dir")
-    first = first.select(*key, some, F.col("entry_high").alias("hi"), F.col("entry_high_at").alias("hi_at"), F.col("entry_low").alias("lo"), F.col("entry_low_at").alias("lo_at"))
+    some = F.when(F.col("begin") > 0, F.lit(0)).alias("dir")
+    first = starts.select("symbol", "theta", F.col("begin").alias("chunk"), some, F.col("entry_high").alias("hi"), F.col("entry_high_at").alias("hi_at"), F.col("entry_low").alias("lo"), F.col("entry_low_at").alias("lo_at"))
     found = rows.join(inside.unionByName(first), key).groupBy(*key).applyInPandas(_fold_chunk, f"symbol string, theta double, {_CHANGE}")
     return settle(found, "changes")
 

@@ -526,7 +526,7 @@ def test_registered_queries(spark):
 
     for name in queries.SQL:
         same(queries.QUERIES[name](spark, SF), queries.SQL[name], SF)
-    assert len(queries.QUERIES) == 10
+    assert len(queries.QUERIES) == 13
 
 
 def test_registered_texts(spark):

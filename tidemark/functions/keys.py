@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: the date before an archive's ending.
+DATE = r"([0-9]{4}-[0-9]{2}(?:-[0-9]{2})?)\.zip$"
+
+
 def date_of(key: Column) -> Column:
     """The date before ``.zip`` (YYYY-MM or YYYY-MM-DD); empty where there is none."""
-    return F.regexp_extract(key, r"(\d{4}-\d{2}(?:-\d{2})?)\.zip$", 1)
+    return F.regexp_extract(key, DATE, 1)
 
 
 def in_window(date: Column, start: str, end: str) -> Column:

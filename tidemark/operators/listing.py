@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import date_of, in_window
 
-# The datasets and the prefixes of their objects.
+# The markers of a listing document, the datasets and the prefixes of their objects.
+KEY, TRUNCATED = "<Key>([^<]+)</Key>", "<IsTruncated>true</IsTruncated>"
 DATASETS = {
     "klines_1m_monthly": ("data/futures/um/monthly/klines/%s/1m/", "1m"),
     "klines_1m_daily": ("data/futures/um/daily/klines/%s/1m/", "1m"),
@@ -31,14 +32,14 @@ def object_key(prefix: Column, symbol: Column, kind: Column, date: Column) -> Co
 
 def listed_keys(pages: DataFrame) -> DataFrame:
     """pages(..., document) as (..., key): the archives that listing documents name, checksum files left out."""
-    found = pages.withColumn("key", F.explode(F.regexp_extract_all("document", F.lit("<Key>([^<]+)</Key>"), F.lit(1)))).drop("document")
+    found = pages.withColumn("key", F.explode(F.regexp_extract_all("document", F.lit(KEY), F.lit(1)))).drop("document")
     return found.where(F.col("key").endswith(".zip"))
 
 
 def next_marker(document: Column) -> Column:
     """Where a listing goes on: the last name of a truncated document; null for the last document or one without names."""
-    names = F.regexp_extract_all(document, F.lit("<Key>([^<]+)</Key>"), F.lit(1))
-    return F.when(F.contains(document, F.lit("<IsTruncated>true</IsTruncated>")) & (F.size(names) > 0), F.element_at(names, -1))
+    names = F.regexp_extract_all(document, F.lit(KEY), F.lit(1))
+    return F.when(F.contains(document, F.lit(TRUNCATED)) & (F.size(names) > 0), F.element_at(names, -1))
 
 
 def default_dates(today: Column, days: int) -> dict[str, Column]:

@@ -19,6 +19,7 @@ from tidemark.plans.tables import settle
 from tidemark.sources.store import ArchiveSource, FileStore
 from tidemark.sources.store import lines_of as first_member
 
+# The columns of archived files, in their order.
 KLINES = "open_time BIGINT, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE, close_time BIGINT, quote_volume DOUBLE, count BIGINT, taker_buy_volume DOUBLE, taker_buy_quote_volume DOUBLE, ignore STRING"
 METRICS = "create_time STRING, symbol STRING, sum_open_interest DOUBLE, sum_open_interest_value DOUBLE, count_toptrader_long_short_ratio DOUBLE, sum_toptrader_long_short_ratio DOUBLE, count_long_short_ratio DOUBLE, sum_taker_long_short_vol_ratio DOUBLE"
 FUNDING = "calc_time BIGINT, funding_interval_hours INT, last_funding_rate DOUBLE"

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
+from tidemark.functions.keys import DATE
+
 _ARCHIVE = "key string, date string, zip_bytes long, sha256 string, expected string, sha256_ok boolean"
 #: Columns by the option ``rows``.
 SCHEMAS = {
@@ -31,9 +33,8 @@ SCHEMAS = {
     "contents": _ARCHIVE + ", content binary",
     "names": "key string, length long, date string",
 }
-# Seconds between attempts, and the date in an archive's name.
+# Fixed value: seconds between attempts.
 BACKOFF = (2, 4, 8, 16)
-DATE = re.compile(r"([0-9]{4}-[0-9]{2}(?:-[0-9]{2})?)\.zip$")
 #: Lines of a batch, and bytes of archives of a partition, about; an archive isn't split.
 LINES, PARTITION_BYTES = 20_000, 32 << 20
 
@@ -153,7 +154,7 @@ class ArchiveReader(DataSourceReader):
 
 
 def _date(name: str) -> str:
-    found = DATE.search(name)
+    found = re.search(DATE, name)
     return found[1] if found else ""
 
 

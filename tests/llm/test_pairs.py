@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from cases import ODD
 from tidemark.llm import decontaminate, jaccard
 from tidemark.llm.decontaminate import benchmark_overlap
 from tidemark.llm.jaccard import ngram_jaccard_classes
-from tidemark.llm.shared import components, without
+from tidemark.llm.shared import components, cut, settled, shared_dir, without
 
 def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
@@ -57,14 +58,61 @@ def near_copies(seed, groups=12, size=9, spread=8):
     return out
 
 
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (2, 60)])
-def test_classes_equal_brute_force(make, k, percent, monkeypatch):
+def tables(spark):
+    return {p for p in (Path(shared_dir(spark).removeprefix("file://")) / "tidemark").glob("*-*")}
+
+
+@pytest.mark.parametrize(("k", "percent", "held"), [(4, 85, 1), (5, 80, 1 << 18), (2, 60, 500)])
+def test_classes_equal_brute_force(make, k, percent, held, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 64)  # many tiles
+    monkeypatch.setattr(jaccard, "HELD_SIGNATURES", held)
     rows = near_copies(k) + ODD
     got = [(-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in ngram_jaccard_classes(make(rows), k, percent).collect()]
     assert sorted(got) == classes(rows, k, percent)
 
 
+def test_template_with_few_links(make, spark):
+    """A passage that all share, before texts of their own: nearly alike, so that they share signatures, but few link."""
+    rng = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"o{rng.randrange(10_000)}" for _ in range(15))) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 60, 3)]
+    got = [tuple(r) for r in ngram_jaccard_classes(make(rows)).collect()]
+    assert sorted(got) == classes(rows, 5, 80)
+    assert len({c for _, _, c in got}) == 150
+
+
+def test_tiles_hold_each_pair_of_labels_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 64)
+    rng = random.Random(5)
+    rows = [(b, b * 1000 + i, 7 if rng.random() < 0.6 else rng.randrange(20), 10, bytes(8)) for b, size in enumerate([3, 8, 9, 60, 200]) for i in range(size)]
+    rows += [(9, 9000 + i, 1, 10, bytes(8)) for i in range(30)]
+    found = {}
+    for r in jaccard._tiled(spark.createDataFrame(rows, "bucket long, node long, label long, n int, sketch binary")).collect():
+        found.setdefault((r.bucket, r.one, r.two), []).append((r.block, r.node, r.label))
+    met = []
+    for (bucket, one, two), held in found.items():
+        both = [(x, y) for x in held for y in held if x[1] < y[1] and {x[0], y[0]} == {one, two} and x[2] != y[2]]
+        met += [(bucket, x[1], y[1]) for x, y in both]
+    want = [(b, x, y) for b, x, lx, *_ in rows for b2, y, ly, *_ in rows if b == b2 and x < y and lx != ly]
+    assert sorted(met) == sorted(want)
+    common = max({lab: sum(r[0] == 4 and r[2] == lab for r in rows) for lab in range(20)}.items(), key=lambda x: x[1])[0]
+    assert all(len({x[2] for x in held}) > 1 or held[0][2] != common for (b, *_), held in found.items() if b == 4)
+    assert all(b != 9 for b, *_ in found)  # one label: no tile
+
+
+def test_settled_leaves_its_result_alone(make, spark):
+    before = tables(spark)
+    out = settled(spark, "kept", lambda: cut(settled(spark, "inner", lambda: cut(make([(1, "a"), (2, None)]), "one")), "two"))
+    assert sorted(r.doc_id for r in out.collect()) == [1, 2]
+    assert [p.name.split("-")[0] for p in tables(spark) - before] == ["kept"]
+    with pytest.raises(ZeroDivisionError):
+        settled(spark, "kept", lambda: cut(make([(1, "a")]), "one").limit(1 // 0))
+    ngram_jaccard_classes(make(near_copies(1, groups=2)))
+    assert sorted(p.name.split("-")[0] for p in tables(spark) - before) == ["classes", "kept"]
+    assert cut(make([]), "outside").count() == 0
+
+
 def test_no_rows(make):
     assert ngram_jaccard_classes(make([])).collect() == []
     assert benchmark_overlap(make([]), make([(1, "a b")], "item_id")).collect() == []

@@ -11,11 +11,13 @@ partitions or more might lose a partner by that, and are hashed once more, by ot
 times, and in the last their choices without elements count too.  Of a pair, the one that needs fewer turns
 guarantees a signature that holds elements, in a turn that both have.  So no link can be missed.
 
-Each signature's documents are paired with one pivot; of these pairs each document's nearest is compared first.
-Where the documents of a signature then still belong to several components, its pairs across these are compared,
-tile by tile: they are cut into blocks, and a tile holds two of them.  Pairs inside one component need no
-comparison.  A parity sketch of a few bits an element bounds how far two sets differ from below, and rules out
-most pairs before their sets are fetched.
+Each signature's documents are paired with one pivot, those that are read together first with one of them; of these
+pairs each document's nearest is compared first.  Where the documents of a signature then still belong to several
+components, its pairs across these are compared.  Signatures with the same first document mostly have the same
+others, too, so their documents are one bucket, in which a document is once.  A bucket is compared tile by tile: it is
+cut into blocks, and a tile holds two of them.  Pairs inside one component need no comparison, so a bucket's largest
+component has blocks of its own, which meet those of the others alone.  A parity sketch of a few bits an element bounds how
+far two sets differ from below, and rules out most pairs before their sets are fetched.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.shared import components, cut, small_batches
+from tidemark.llm.shared import components, cut, settled, small_batches
 
 _SEED = np.uint64(0xD1B54A32D192ED03)
 #: Widest ratio of sizes within a band.  Wider bands put fewer sets in two bands but ask for more signatures.
@@ -50,6 +52,8 @@ SKETCH_BITS = 4
 SHORT_ROWS = 4000
 #: Rows of one fingerprint are dealt to so many tasks.
 COPY_DEALS = 64
+#: Signatures that a worker looks through together for documents that share one.
+HELD_SIGNATURES = 1 << 18
 
 
 def _sparse_share(low: int, n1: int, n2: int, k2: int, g: int) -> float:
@@ -183,8 +187,23 @@ def _near(percent: int):
     return run
 
 
+def _shared(ids: list[np.ndarray], sigs: list[np.ndarray]) -> pd.DataFrame:
+    """Kind 1: each signature's first document here.  Kind 2: its further ones, with that as their pivot."""
+    doc, sig = np.concatenate(ids), np.concatenate(sigs)
+    order = np.argsort(sig, kind="stable")
+    fresh = np.ones(len(sig), bool)
+    fresh[1:] = sig[order][1:] != sig[order][:-1]
+    pivot, first = np.empty(len(doc), np.int64), np.empty(len(doc), bool)
+    pivot[order] = doc[order][fresh][np.cumsum(fresh) - 1]
+    first[order] = fresh
+    kind = np.where(first, 1, 2).astype(np.int8)
+    rows = pd.DataFrame({"kind": kind, "sig": sig.view(np.int64), "n": np.zeros(len(sig), np.int32), "doc_id": doc, "pivot": pd.arrays.IntegerArray(pivot, first), "sketch": None})
+    return rows[first | (pivot != doc)]
+
+
 def _emit(words: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
         for batch in batches:
             texts, ids = batch["text"].tolist(), batch["doc_id"].to_numpy(np.int64)
             seen: set[tuple[int, int]] = set()
@@ -194,14 +213,20 @@ def _emit(words: int, percent: int):
                 begin = np.concatenate([[0], np.cumsum(sizes)])
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(value), dtype=np.uint64)])
                 prints = K.mix(sums[begin[1:]] - sums[begin[:-1]] + sizes.astype(np.uint64) * K._GOLDEN)
-                yield pd.DataFrame({"kind": np.zeros(z - a, np.int8), "sig": prints.view(np.int64), "n": sizes.astype(np.int32), "doc_id": here, "sketch": sketches(value, sizes)})
+                yield pd.DataFrame({"kind": np.zeros(z - a, np.int8), "sig": prints.view(np.int64), "n": sizes.astype(np.int32), "doc_id": here, "pivot": pd.array([None] * (z - a), "Int64"), "sketch": sketches(value, sizes)})
                 # equal sets of one batch send their signatures once
                 first = np.ones(z - a, bool)
                 for i, key in enumerate(zip(prints.tolist(), sizes.tolist())):
                     first[i] = key not in seen
                     seen.add(key)
                 at, sig = signatures(doc[first[doc]], value[first[doc]], np.where(first, sizes, 0), percent)
-                yield pd.DataFrame({"kind": np.ones(len(at), np.int8), "sig": sig.view(np.int64), "n": np.zeros(len(at), np.int32), "doc_id": here[at], "sketch": None})
+                held[0].append(here[at])
+                held[1].append(sig)
+                if sum(map(len, held[1])) >= HELD_SIGNATURES:
+                    yield _shared(*held)
+                    held = ([], [])
+        if held[0]:
+            yield _shared(*held)
 
     return run
 
@@ -271,6 +296,29 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     return pairs.join(one, "a").join(two, "b").select("a", "b", shared.alias("same"), both.alias("both")).where(F.lit(100) * F.col("same") >= F.lit(percent) * (F.col("both") - F.col("same"))).select("a", "b").distinct()
 
 
+def _tiled(rows: DataFrame) -> DataFrame:
+    """rows(bucket, node, label, n, sketch) with their block, once for each tile (bucket, one, two) that they are in.
+
+    Labels fill blocks 0 to rest - 1 of a bucket, but the most frequent one has blocks of its own behind them; no tile
+    holds two of these.  A bucket of one block's size is one block, and one of a single label has no tile.
+    """
+    size = rows.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum(F.length("sketch")).alias("held"))
+    largest = F.max(F.struct("c", "label", "held")).alias("largest")
+    size = size.groupBy("bucket").agg(largest, F.sum("held").alias("held"), F.count("*").alias("labels")).where("labels > 1")
+    alone = F.col("held") <= BLOCK_BYTES
+    parts = lambda held: F.ceil(held / BLOCK_BYTES).cast("long")
+    size = size.select("bucket", F.col("largest.label").alias("main"), F.when(alone, 1).otherwise(parts(F.col("held") - F.col("largest.held"))).alias("rest"), F.when(alone, 0).otherwise(parts(F.col("largest.held"))).alias("own"))
+    size = cut(size, "blocks")  # written, so that Spark can split a bucket in the join
+    apart_from = (F.col("own") > 0) & (F.col("label") == F.col("main"))
+    block = F.when(apart_from, F.col("rest") + F.pmod(F.xxhash64("node"), F.greatest(F.col("own"), F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest")))
+    dealt = rows.join(size, "bucket").withColumn("block", block)
+    last = F.when(apart_from, F.col("rest")).otherwise(F.col("rest") + F.col("own")) - 1
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    dealt = dealt.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    tile = ["bucket", "one", "two"]
+    return dealt.select(*tile, "block", "node", "label", "n", "sketch").repartition(*tile).sortWithinPartitions(*tile, "node")
+
+
 def ngram_jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text).
 
@@ -279,16 +327,22 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) ->
     component_id is the smallest doc_id reachable.  Null or blank texts have 0 shingles and link with
     nothing.  A null doc_id has a null component.  Repeated rows are returned as often as given; rows of one
     doc_id with different texts count as one node.  An empty table gives no rows; other columns are ignored.
+
+    The result is a written table; all other tables written on the way are deleted.
     """
+    return settled(docs.sparkSession, "classes", lambda: _classes(docs, words, percent))
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id is not null")
-    rows = known.mapInPandas(_emit(words, percent), "kind byte, sig long, n int, doc_id long, sketch binary")
-    deal = F.when(F.col("kind") == 0, F.pmod(F.xxhash64("doc_id"), F.lit(COPY_DEALS))).otherwise(0)
+    rows = known.mapInPandas(_emit(words, percent), "kind byte, sig long, n int, doc_id long, pivot long, sketch binary")
+    deal = F.when(F.col("kind") != 1, F.pmod(F.xxhash64("doc_id"), F.lit(COPY_DEALS))).otherwise(0)
     # Kind 0: every document with the first of the equal sets that are dealt together; sets without elements alone.
-    # Kind 1: every further document of a signature with the signature's first, its pivot
+    # Kind 1: every further document of a signature with the signature's first, its pivot.  Kind 2 has one already
     by = Window.partitionBy("sig", "deal", "kind", "n").orderBy("doc_id")
-    pivot = F.when(F.expr("kind = 0 and n = 0"), F.col("doc_id")).otherwise(F.first("doc_id").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    pivot = F.when(F.expr("kind = 0 and n = 0"), F.col("doc_id")).when(F.col("kind") == 2, F.col("pivot")).otherwise(F.first("doc_id").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rows = cut(rows.withColumn("deal", deal).withColumn("pivot", pivot).where("kind = 0 or pivot <> doc_id").drop("deal"), "buckets", SHORT_ROWS)
     # Equal sets: the first of each deal, and of these the first
     sets = rows.where("kind = 0")
@@ -308,20 +362,20 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) ->
         one, two = shapes.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), shapes.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
         return pairs.join(one, "a").join(two, "b").mapInPandas(_near(percent), "a long, b long, far long").groupBy("a", "b").agg(F.min("far").alias("far"))
 
-    met = rows.where("kind = 1").select("sig", F.col("pivot").alias("p"), F.col("doc_id").alias("q"))
+    met = rows.where("kind > 0").select("sig", F.col("pivot").alias("p"), F.col("doc_id").alias("q"))
     stars = cut(to_rep(to_rep(met.select("p", "q").distinct(), "p", "pr"), "q", "qr").where("pr <> qr"), "stars")
     first = cut(likely(stars.select(F.least("pr", "qr").alias("a"), F.greatest("pr", "qr").alias("b")).distinct()), "pairs")
     ends = first.select("a", "b", "far", F.explode(F.array("a", "b")).alias("node"))
     nearest = ends.groupBy("node").agg(F.min(F.struct("far", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
     tried = cut(nearest, "tried")
     edges = cut(_linked(known, tried, words, percent), "edges")
-    label = cut(components(edges), "labels")
+    label = settled(docs.sparkSession, "labels", lambda: components(edges))
 
     def labelled(frame: DataFrame, column: str, out: str) -> DataFrame:
         known_label = label.select(F.col("node").alias(column), F.col("component").alias("_label"))
         return frame.join(known_label, column, "left").withColumn(out, F.coalesce("_label", column)).drop("_label")
 
-    # Signatures whose documents are still in several components: a pivot and another document are
+    # Signatures whose documents are still in several components: a pivot and another document are, as pivots are linked
     odd = cut(labelled(labelled(stars, "pr", "pl"), "qr", "ql").where("pl <> ql").select("p", "q"), "odd")
     across = cut(labelled(labelled(first.select("a", "b"), "a", "al"), "b", "bl").where("al <> bl").select("a", "b"), "across")
     split = cut(met.join(odd, ["p", "q"], "left_semi").select("sig").distinct(), "split")
@@ -329,16 +383,11 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) ->
         there = met.join(split, "sig", "left_semi")
         seats = there.select("sig", F.col("q").alias("node")).unionByName(there.select("sig", F.col("p").alias("node")).distinct())
         seats = cut(to_rep(seats, "node", "rep").select("sig", F.col("rep").alias("node")).distinct(), "seats")
-        # Signatures of the same documents are one bucket; two documents are a pair of which the sketches were compared
-        same = seats.groupBy("sig").agg(F.xxhash64(F.sum(F.xxhash64("node").cast("decimal(38,0)")), F.count("*")).alias("bucket"), F.count("*").alias("c")).where("c > 2").drop("c")
-        rows = labelled(seats.join(same, "sig").select("bucket", "node").distinct(), "node", "label").join(shapes.withColumnRenamed("doc_id", "node").dropDuplicates(["node"]), "node")
+        # Two documents are a pair of which the sketches were compared
+        heads = seats.groupBy("sig").agg(F.min("node").alias("bucket"), F.count("*").alias("c")).where("c > 2").drop("c")
+        rows = labelled(seats.join(heads, "sig").select("bucket", "node").distinct(), "node", "label").join(shapes.withColumnRenamed("doc_id", "node").dropDuplicates(["node"]), "node")
         rows = cut(rows.select("bucket", "node", "label", "n", "sketch"), "rows")
-        blocks = cut(rows.groupBy("bucket").agg(F.ceil(F.sum(F.length("sketch")) / BLOCK_BYTES).alias("blocks")), "blocks")  # written, so that Spark can split a bucket in the join
-        dealt = rows.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-        dealt = dealt.withColumn("other", other).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-        tile = ["bucket", "one", "two"]
-        found = dealt.repartition(*tile).sortWithinPartitions(*tile, "node").mapInPandas(_across(percent), "a long, b long")
+        found = _tiled(rows).mapInPandas(_across(percent), "a long, b long")
         across = cut(across.unionByName(found).distinct(), "across", SHORT_ROWS)
     across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
     if not across.isEmpty():

@@ -6,6 +6,8 @@ import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the tables cut so far by the innermost ``settled`` that runs.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
@@ -41,12 +47,34 @@ def cut(frame: DataFrame, name: str, batch: int = BATCH_ROWS) -> DataFrame:
     spark = frame.sparkSession
     small_batches(spark, batch)
     try:
-        frame.write.parquet(path := new_path(spark, name))
+        path = new_path(spark, name)
+        if (passing := _passing.get()) is not None:
+            passing.append(path)
+        frame.write.parquet(path)
     finally:
         small_batches(spark)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame], batch: int = BATCH_ROWS) -> DataFrame:
+    """The rows of make(), cut; tables that make() has cut on the way are deleted then, and also if it fails.
+
+    make() must not hand out a frame that reads them in another way than by what it returns."""
+    own: list[str] = []
+    before = _passing.set(own)
+    try:
+        frame = make()
+        _passing.reset(before)
+        before = None
+        return cut(frame, name, batch)
+    finally:
+        if before:
+            _passing.reset(before)
+        for path in own:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Sets the session's Arrow batches to so many rows: the default of 10,000 whole texts is much for a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

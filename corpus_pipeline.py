@@ -17,7 +17,7 @@ from tidemark.llm.byte_bpe import byte_bpe_round_trip
 from tidemark.llm.decontaminate import benchmark_overlap
 from tidemark.llm.jaccard import ngram_jaccard_classes
 from tidemark.llm.secrets import ledger_path, redact_secrets
-from tidemark.llm.shared import cut, numbered, without
+from tidemark.llm.shared import cut, numbered, settled, without
 from tidemark.llm.toxicity import without_toxic
 
 
@@ -29,16 +29,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of five-word shingles of similarity 0.8 or more."""
     rows, row = numbered(docs, "doc_id")
-    classes = ngram_jaccard_classes(rows.select(F.col(row).alias("doc_id"), "text"), words=5, percent=80)
-    copies = cut(classes.where("doc_id <> component_id").select(F.col("doc_id").alias(row)), "copies")
+    texts = rows.select(F.col(row).alias("doc_id"), "text")
+    copies = settled(spark, "copies", lambda: ngram_jaccard_classes(texts, words=5, percent=80).where("doc_id <> component_id").select(F.col("doc_id").alias(row)))
     return without(rows, copies, row).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     rows, row = numbered(docs, "doc_id")
-    overlap = benchmark_overlap(rows.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = cut(overlap.where("contaminated").select(F.col("doc_id").alias(row)), "leaks")
+    texts, items = rows.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = settled(spark, "leaks", lambda: benchmark_overlap(texts, items).where("contaminated").select(F.col("doc_id").alias(row)))
     return without(rows, leaks, row).select(docs.columns)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from pathlib import Path
 
 import numpy as np
@@ -82,6 +83,35 @@ def test_template_with_few_links(make, spark):
     assert len({c for _, _, c in got}) == 150
 
 
+def test_large_group_of_near_copies_takes_few_comparisons(make, monkeypatch):
+    """In several components after the nearest pairs: not all pairs of these are compared, and no link is lost."""
+    rng, rows, compared = random.Random(11), [], []
+    base = [f"w{i}" for i in range(90)]
+    for i in range(160):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(90)] = f"v{i} {rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    linked = jaccard._linked
+    monkeypatch.setattr(jaccard, "_linked", lambda docs, pairs, *a: (compared.append(pairs.count()), linked(docs, pairs, *a))[1])
+    got = [tuple(r) for r in ngram_jaccard_classes(make(rows), 5, 60).collect()]
+    assert sorted(got) == classes(rows, 5, 60)
+    assert sum(compared) < 12 * len(rows)
+
+
+def test_shuffle_files_go_once_a_table_is_written(make, spark):
+    here = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in here.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    made = cut(make([(i, "a") for i in range(100)]).groupBy("doc_id").count(), "counts")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and made.count() == 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
 def test_tiles_hold_each_pair_of_labels_once(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 64)
     rng = random.Random(5)

@@ -17,7 +17,9 @@ components, its pairs across these are compared.  Signatures with the same first
 others, too, so their documents are one bucket, in which a document is once.  A bucket is compared tile by tile: it is
 cut into blocks, and a tile holds two of them.  Pairs inside one component need no comparison, so a bucket's largest
 component has blocks of its own, which meet those of the others alone.  A parity sketch of a few bits an element bounds how
-far two sets differ from below, and rules out most pairs before their sets are fetched.
+far two sets differ from below, and rules out most pairs before their sets are fetched.  Of those that it doesn't rule out
+a round compares each document's nearest, and those of each two components; what then still is in several components is
+looked through again, with more of the pairs, until none is left.  So a large group of near copies takes few comparisons.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.shared import components, cut, settled, small_batches
+from tidemark.llm.shared import components, cut, settled, small_batches, without
 
 _SEED = np.uint64(0xD1B54A32D192ED03)
 #: Widest ratio of sizes within a band.  Wider bands put fewer sets in two bands but ask for more signatures.
@@ -52,6 +54,10 @@ SKETCH_BITS = 4
 SHORT_ROWS = 4000
 #: Rows of one fingerprint are dealt to so many tasks.
 COPY_DEALS = 64
+#: Passes over the texts, each with its share of the signatures, so that so much less is in the shuffle at once.
+PASSES = 2
+#: Pairs of a tile that a round compares, of each document and of each two components, and the factor from round to round.
+NEAREST, SPREAD = 4, 8
 #: Signatures that a worker looks through together for documents that share one.
 HELD_SIGNATURES = 1 << 18
 
@@ -187,8 +193,28 @@ def _near(percent: int):
     return run
 
 
+def _prints(value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A fingerprint of each set."""
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(value), dtype=np.uint64)])
+    return K.mix(sums[begin[1:]] - sums[begin[:-1]] + sizes.astype(np.uint64) * K._GOLDEN)
+
+
+def _shapes(words: int):
+    """Each document's fingerprint, size and sketch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, ids = batch["text"].tolist(), batch["doc_id"].to_numpy(np.int64)
+            for a, z in K.blocks(texts):
+                _, value, sizes = shingle_sets(texts[a:z], words)
+                yield pd.DataFrame({"sig": _prints(value, sizes).view(np.int64), "n": sizes.astype(np.int32), "doc_id": ids[a:z], "sketch": sketches(value, sizes)})
+
+    return run
+
+
 def _shared(ids: list[np.ndarray], sigs: list[np.ndarray]) -> pd.DataFrame:
-    """Kind 1: each signature's first document here.  Kind 2: its further ones, with that as their pivot."""
+    """Each signature's first document here, without a pivot, and its further ones, with that as their pivot."""
     doc, sig = np.concatenate(ids), np.concatenate(sigs)
     order = np.argsort(sig, kind="stable")
     fresh = np.ones(len(sig), bool)
@@ -196,12 +222,13 @@ def _shared(ids: list[np.ndarray], sigs: list[np.ndarray]) -> pd.DataFrame:
     pivot, first = np.empty(len(doc), np.int64), np.empty(len(doc), bool)
     pivot[order] = doc[order][fresh][np.cumsum(fresh) - 1]
     first[order] = fresh
-    kind = np.where(first, 1, 2).astype(np.int8)
-    rows = pd.DataFrame({"kind": kind, "sig": sig.view(np.int64), "n": np.zeros(len(sig), np.int32), "doc_id": doc, "pivot": pd.arrays.IntegerArray(pivot, first), "sketch": None})
+    rows = pd.DataFrame({"sig": sig.view(np.int64), "doc_id": doc, "pivot": pd.arrays.IntegerArray(pivot, first)})
     return rows[first | (pivot != doc)]
 
 
-def _emit(words: int, percent: int):
+def _signed(words: int, percent: int, part: int):
+    """The signatures of one of PASSES passes."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
         for batch in batches:
@@ -209,19 +236,15 @@ def _emit(words: int, percent: int):
             seen: set[tuple[int, int]] = set()
             for a, z in K.blocks(texts):
                 doc, value, sizes = shingle_sets(texts[a:z], words)
-                here = ids[a:z]
-                begin = np.concatenate([[0], np.cumsum(sizes)])
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(value), dtype=np.uint64)])
-                prints = K.mix(sums[begin[1:]] - sums[begin[:-1]] + sizes.astype(np.uint64) * K._GOLDEN)
-                yield pd.DataFrame({"kind": np.zeros(z - a, np.int8), "sig": prints.view(np.int64), "n": sizes.astype(np.int32), "doc_id": here, "pivot": pd.array([None] * (z - a), "Int64"), "sketch": sketches(value, sizes)})
                 # equal sets of one batch send their signatures once
                 first = np.ones(z - a, bool)
-                for i, key in enumerate(zip(prints.tolist(), sizes.tolist())):
+                for i, key in enumerate(zip(_prints(value, sizes).tolist(), sizes.tolist())):
                     first[i] = key not in seen
                     seen.add(key)
                 at, sig = signatures(doc[first[doc]], value[first[doc]], np.where(first, sizes, 0), percent)
-                held[0].append(here[at])
-                held[1].append(sig)
+                mine = sig % np.uint64(PASSES) == part
+                held[0].append(ids[a:z][at[mine]])
+                held[1].append(sig[mine])
                 if sum(map(len, held[1])) >= HELD_SIGNATURES:
                     yield _shared(*held)
                     held = ([], [])
@@ -242,8 +265,9 @@ def _sets(words: int):
     return run
 
 
-def _tile_pairs(tile: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of a tile that are of different labels and not ruled out."""
+def _tile_pairs(tile: pd.DataFrame, percent: int, nearest: int) -> pd.DataFrame:
+    """Pairs of a tile that are of different labels and not ruled out: of each document and of each two labels the
+    ``nearest`` by sketch, or so.  ``again`` is the tile's bucket if there are more."""
     node, label, n, block = (tile[c].to_numpy() for c in ("node", "label", "n", "block"))
     n = n.astype(np.int64)
     width = min(map(len, tile["sketch"]))
@@ -252,19 +276,38 @@ def _tile_pairs(tile: pd.DataFrame, percent: int) -> pd.DataFrame:
         folded[i] = np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, width), 0)
     bits = folded.view(np.uint64)
     same_block = tile["one"].iat[0] == tile["two"].iat[0]
-    out = []
+    out, more = [np.zeros((3, 0), np.int64)], False
+    least, best = np.full(len(tile), np.iinfo(np.int64).max), np.full(len(tile), -1)  # each document's nearest before
     for i in np.flatnonzero(block == tile["one"].iat[0]):
         fits = (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
         fits &= (node > node[i]) if same_block else (block != block[i])
         at = np.flatnonzero(fits)
         far = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
-        at = at[far <= (100 - percent) * (n[at] + n[i]) // (100 + percent)]
-        out.append(np.stack([np.minimum(node[at], node[i]), np.maximum(node[at], node[i])]))
-    pairs = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-    return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
-
-
-def _across(percent: int):
+        fits = far <= (100 - percent) * (n[at] + n[i]) // (100 + percent)
+        at, far = at[fits], far[fits]
+        closer = far < least[at]
+        least[at[closer]], best[at[closer]] = far[closer], i
+        if len(at) > nearest:
+            few = np.argsort(far, kind="stable")[:nearest]
+            at, far, more = at[few], far[few], True
+        out.append(np.stack([np.full(len(at), i), at, far]))
+    met = np.flatnonzero(best >= 0)
+    one, two, far = np.concatenate([*out, np.stack([best[met], met, least[met]])], 1)
+    once = np.unique(one * len(tile) + two, return_index=True)[1]
+    one, two, far = one[once], two[once], far[once]
+    low, high = np.minimum(label[one], label[two]), np.maximum(label[one], label[two])
+    order = np.lexsort((far, high, low))
+    one, two, low, high = one[order], two[order], low[order], high[order]
+    begins = np.ones(len(one), bool)
+    begins[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    rank = np.arange(len(one)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+    few = rank < nearest
+    again = tile["bucket"].iat[0] if more or not few.all() else None
+    one, two = node[one[few]], node[two[few]]
+    return pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "again": pd.array([again] * len(one), "Int64")})
+
+
+def _across(percent: int, nearest: int):
     """Rows sorted by tile; one tile, of about two blocks, is held at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,10 +317,10 @@ def _across(percent: int):
             key = held[["bucket", "one", "two"]].to_numpy()
             edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             for a, z in zip(np.append(0, edge), edge):
-                yield _tile_pairs(held.iloc[a:z], percent)
+                yield _tile_pairs(held.iloc[a:z], percent, nearest)
             held = held.iloc[edge[-1] :] if len(edge) else held
         if held is not None and len(held):
-            yield _tile_pairs(held, percent)
+            yield _tile_pairs(held, percent, nearest)
 
     return run
 
@@ -337,20 +380,30 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id is not null")
-    rows = known.mapInPandas(_emit(words, percent), "kind byte, sig long, n int, doc_id long, pivot long, sketch binary")
-    deal = F.when(F.col("kind") != 1, F.pmod(F.xxhash64("doc_id"), F.lit(COPY_DEALS))).otherwise(0)
-    # Kind 0: every document with the first of the equal sets that are dealt together; sets without elements alone.
-    # Kind 1: every further document of a signature with the signature's first, its pivot.  Kind 2 has one already
-    by = Window.partitionBy("sig", "deal", "kind", "n").orderBy("doc_id")
-    pivot = F.when(F.expr("kind = 0 and n = 0"), F.col("doc_id")).when(F.col("kind") == 2, F.col("pivot")).otherwise(F.first("doc_id").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = cut(rows.withColumn("deal", deal).withColumn("pivot", pivot).where("kind = 0 or pivot <> doc_id").drop("deal"), "buckets", SHORT_ROWS)
+    # Every document with the first of the equal sets that are dealt together; sets without elements alone
+    deal = F.pmod(F.xxhash64("doc_id"), F.lit(COPY_DEALS))
+    by = Window.partitionBy("sig", "n", "deal").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sets = known.mapInPandas(_shapes(words), "sig long, n int, doc_id long, sketch binary").withColumn("deal", deal)
+    sets = cut(sets.withColumn("pivot", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.first("doc_id").over(by))).drop("deal"), "shapes")
     # Equal sets: the first of each deal, and of these the first
-    sets = rows.where("kind = 0")
     leads = sets.where("doc_id = pivot and n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
     moved = cut(sets.where("doc_id = pivot and n > 0").join(leads, ["sig", "n"]).where("doc_id <> rep").groupBy(F.col("doc_id").alias("pivot")).agg(F.min("rep").alias("rep")), "moved")
     members = sets.join(moved, "pivot", "left").select("doc_id", F.coalesce("rep", "pivot").alias("rep"), F.col("n").cast("long").alias("n_shingles"))
     copies = cut(members.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep")), "copies")
     shapes = sets.where("doc_id = pivot").select("doc_id", "n", "sketch")
+    # Of equal sets, that of the smallest id has the signatures; ids that have no such set are spared
+    signing = sets.where("doc_id = pivot and n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    spared = cut(sets.select("doc_id").distinct().join(signing, "doc_id", "left_anti"), "spared")
+    texts = without(known, spared, "doc_id")
+    # Every further document of a signature with the signature's first, its pivot, unless it has one already
+    deal = F.when(F.col("pivot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id"), F.lit(COPY_DEALS)))
+    by = Window.partitionBy("sig", "deal").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = None
+    for part in range(PASSES):  # the shuffle files of a pass go before the next
+        rows = texts.mapInPandas(_signed(words, percent, part), "sig long, doc_id long, pivot long").withColumn("deal", deal)
+        rows = rows.select("sig", F.coalesce("pivot", F.first("doc_id").over(by)).alias("p"), F.col("doc_id").alias("q")).where("p <> q")
+        rows = cut(rows, "buckets", SHORT_ROWS)
+        met = rows if met is None else met.unionByName(rows)
 
     def to_rep(frame: DataFrame, column: str, out: str) -> DataFrame:
         known_rep = copies.select(F.col("doc_id").alias(column), F.col("rep").alias("_rep"))
@@ -362,7 +415,6 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         one, two = shapes.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), shapes.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
         return pairs.join(one, "a").join(two, "b").mapInPandas(_near(percent), "a long, b long, far long").groupBy("a", "b").agg(F.min("far").alias("far"))
 
-    met = rows.where("kind > 0").select("sig", F.col("pivot").alias("p"), F.col("doc_id").alias("q"))
     stars = cut(to_rep(to_rep(met.select("p", "q").distinct(), "p", "pr"), "q", "qr").where("pr <> qr"), "stars")
     first = cut(likely(stars.select(F.least("pr", "qr").alias("a"), F.greatest("pr", "qr").alias("b")).distinct()), "pairs")
     ends = first.select("a", "b", "far", F.explode(F.array("a", "b")).alias("node"))
@@ -378,6 +430,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # Signatures whose documents are still in several components: a pivot and another document are, as pivots are linked
     odd = cut(labelled(labelled(stars, "pr", "pl"), "qr", "ql").where("pl <> ql").select("p", "q"), "odd")
     across = cut(labelled(labelled(first.select("a", "b"), "a", "al"), "b", "bl").where("al <> bl").select("a", "b"), "across")
+    rows = None
     split = cut(met.join(odd, ["p", "q"], "left_semi").select("sig").distinct(), "split")
     if not split.isEmpty():
         there = met.join(split, "sig", "left_semi")
@@ -387,11 +440,24 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         heads = seats.groupBy("sig").agg(F.min("node").alias("bucket"), F.count("*").alias("c")).where("c > 2").drop("c")
         rows = labelled(seats.join(heads, "sig").select("bucket", "node").distinct(), "node", "label").join(shapes.withColumnRenamed("doc_id", "node").dropDuplicates(["node"]), "node")
         rows = cut(rows.select("bucket", "node", "label", "n", "sketch"), "rows")
-        found = _tiled(rows).mapInPandas(_across(percent), "a long, b long")
-        across = cut(across.unionByName(found).distinct(), "across", SHORT_ROWS)
-    across = cut(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not across.isEmpty():
-        label = components(edges.unionByName(cut(_linked(known, across, words, percent), "edges")))
+    limit = NEAREST
+    while True:
+        again = None
+        if rows is not None:
+            found = cut(_tiled(rows).mapInPandas(_across(percent, limit), "a long, b long, again long"), "found", SHORT_ROWS)
+            pairs, again = found.select("a", "b"), found.where("again is not null").select(F.col("again").alias("bucket")).distinct()
+            across = pairs if across is None else across.unionByName(pairs)
+        fresh = cut(across.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not fresh.isEmpty():
+            tried, linked = tried.unionByName(fresh), cut(_linked(known, fresh, words, percent), "edges")
+            if not linked.isEmpty():
+                edges = edges.unionByName(linked)
+                label = settled(docs.sparkSession, "labels", lambda: components(edges))
+        if again is None or again.isEmpty():
+            break
+        # Pairs that haven't been compared, where documents belong to several components still
+        rows = cut(labelled(rows.drop("label").join(again, "bucket", "left_semi"), "node", "label").select("bucket", "node", "label", "n", "sketch"), "rows")
+        across, limit = None, limit * SPREAD
     out = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     nameless = docs.where("doc_id is null").mapInPandas(_counts(words), "doc_id long, n_shingles long, component_id long")
     return out.unionByName(nameless)

@@ -6,7 +6,8 @@ import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +37,33 @@ def shared_dir(spark: SparkSession) -> str:
 _passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
+#: Spark keeps shuffle files until the driver happens to collect its garbage; with this they go when a write has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile are deleted once it is written; then the setting is as it was."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, True)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(frame: DataFrame, name: str, batch: int = BATCH_ROWS) -> DataFrame:
     """The same rows, written to the shared folder and read again: computed once, and safe when executors are lost.
 
@@ -50,7 +74,8 @@ def cut(frame: DataFrame, name: str, batch: int = BATCH_ROWS) -> DataFrame:
         path = new_path(spark, name)
         if (passing := _passing.get()) is not None:
             passing.append(path)
-        frame.write.parquet(path)
+        with tidy_shuffles(spark):
+            frame.write.parquet(path)
     finally:
         small_batches(spark)
     return spark.read.schema(frame.schema).parquet(path)
@@ -71,8 +96,7 @@ def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame], batch
         if before:
             _passing.reset(before)
         for path in own:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete(spark, path)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

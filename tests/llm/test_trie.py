@@ -60,5 +60,17 @@ def test_parents_with_many_children_and_few(spark, monkeypatch):
     assert trie(spark, rows) == brute([r[:4] for r in rows])
 
 
+def test_plan_does_not_grow_with_the_rounds(spark, monkeypatch):
+    """A plan in which each round has scans of its own takes the driver's memory."""
+    monkeypatch.setattr(prefix_trie, "STRIP", 2)
+    plans = []
+    for turns in (4, 12):
+        rows = [(20 * c, d, "u", f"{c % 2} {d}", 0, "x") for c in range(4) for d in range(turns)]
+        frame = conversation_trie(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pos int, k1 string"))
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString().count("Relation"))
+        assert sorted(map(tuple, frame.collect()), key=str) == brute([r[:4] for r in rows])
+    assert plans[0] == plans[1]
+
+
 def test_no_conversations(spark):
     assert trie(spark, []) == [] == trie(spark, [(None, 1, "a", "b", 0, "x")])

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, new_path
+from tidemark.llm.shared import cut, new_path, tidy_shuffles
 
 #: Turns of a strip; numbers of a stretch of turns or ids, which bounds what is sorted or gathered at once.
 STRIP, STRETCH = 32, 4096
@@ -75,7 +75,8 @@ def _strips(turns: DataFrame) -> DataFrame:
     w = Window.partitionBy("conv_id", "strip").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     step = F.struct("pos", F.bit_xor("x1").over(w).alias("k1"), F.bit_xor("x2").over(w).alias("k2"), "words")
     strips = rows.select("conv_id", "strip", "length", step.alias("step")).groupBy("conv_id", "strip").agg(F.first("length").alias("length"), F.array_sort(F.collect_list("step")).alias("path"))  # STRIP turns
-    strips.write.partitionBy("strip").parquet(path := new_path(spark, "strips"))
+    with tidy_shuffles(spark):
+        strips.write.partitionBy("strip").parquet(path := new_path(spark, "strips"))
     found = spark.read.schema(strips.schema).parquet(path)
     before = Window.partitionBy("conv_id").orderBy("strip").rowsBetween(Window.unboundedPreceding, -1)  # one row a strip
     last = found.select("conv_id", "strip", F.element_at("path", -1).alias("end"))
@@ -85,7 +86,8 @@ def _strips(turns: DataFrame) -> DataFrame:
     root = F.lit(0).cast("long")
     near = found.where("strip = 0").select("conv_id", "strip", "length", F.struct(root.alias("k1"), root.alias("k2")).alias("base"), "path")
     columns = ["conv_id", "strip", "length", "base", "path"]
-    far.unionByName(near).select(columns).write.partitionBy("strip").parquet(path := new_path(spark, "paths"))
+    with tidy_shuffles(spark):
+        far.unionByName(near).select(columns).write.partitionBy("strip").parquet(path := new_path(spark, "paths"))
     return spark.read.schema("conv_id bigint, length bigint, base struct<k1:bigint,k2:bigint>, path array<struct<pos:bigint,k1:bigint,k2:bigint,words:bigint>>, strip bigint").parquet(path)
 
 
@@ -136,22 +138,21 @@ def prefix_trie(turns: DataFrame, lengths: DataFrame) -> DataFrame:
     if deepest is None:
         return _result(endings.select("k1", "k2", F.col("k1").alias("p1"), F.col("k2").alias("p2"), "depth", "conv_id", *(F.col("n").alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")), "ends"))
     zero = F.lit(0).cast("long")
-    found, survivors = [], None
+    path, survivors = new_path(spark := turns.sparkSession, "nodes"), None
     for strip in range(max(0, (deepest - 1) // STRIP), -1, -1):
         inside = F.greatest(F.floor((F.col("depth") - 1) / STRIP), F.lit(0)) == strip
         pending = endings.where(inside).select("k1", "k2", "depth", "n", "conv_id", zero.alias("children"), zero.alias("leaves"), zero.alias("saved"), "ends")
         if survivors is not None:  # newly ended conversations meet the nodes from below
             pending = pending.unionByName(survivors).groupBy("k1", "k2", "depth").agg(*(F.sum(c).alias(c) for c in ("n", "children", "leaves", "saved")), F.min("conv_id").alias("conv_id"), F.max("ends").alias("ends"))
-        nodes = cut(_peeled(pending, paths.where(F.col("strip") == strip), strip), "nodes")
-        found.append(nodes)
+        nodes = _peeled(pending, paths.where(F.col("strip") == strip), strip)
+        with tidy_shuffles(spark):
+            nodes.write.parquet(f"{path}/strip={strip}")
+        nodes = spark.read.schema(nodes.schema).parquet(f"{path}/strip={strip}")
         if strip:
             top = nodes.where(F.col("depth") == strip * STRIP + 1)
             survivors = top.groupBy(F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(F.sum("n_convs").alias("n"), F.min("conv_id").alias("conv_id"), F.count("*").alias("children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
             survivors = survivors.withColumn("depth", F.lit(strip * STRIP).cast("long")).withColumn("ends", F.lit(None).cast("string"))
-    every = found[0]
-    for nodes in found[1:]:
-        every = every.unionByName(nodes)
-    return _result(every)
+    return _result(spark.read.schema(nodes.schema).parquet(path))  # one table, so that the plan doesn't grow with the rounds
 
 
 def _peeled(pending: DataFrame, paths: DataFrame, strip: int) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import random
 import re
+from pathlib import Path
 
 import pytest
 
 from tidemark.llm import collocations
 from tidemark.llm.collocations import phrase_collocations
+from tidemark.llm.shared import shared_dir
 
 
 def brute(rows, longest=4, least=30, percent=80, top=2000):
@@ -50,6 +52,15 @@ def test_collocations_are_those_of_brute_force(spark, monkeypatch, block, option
     assert sorted(map(tuple, phrase_collocations(frame, **options).collect())) == brute(rows, **options)
 
 
+def test_relations_and_groups_are_deleted(spark):
+    def tables():
+        return {p for p in (Path(shared_dir(spark).removeprefix("file://")) / "tidemark").glob("*-*")}
+
+    before, rows = tables(), [("en", "a b c d e")] * 40
+    assert sorted(map(tuple, phrase_collocations(spark.createDataFrame(rows, "lang string, text string")).collect())) == brute(rows)
+    assert {p.name.split("-")[0] for p in tables() - before} == {"totals", "frequent"}
+
+
 def test_no_texts(spark):
     assert phrase_collocations(spark.createDataFrame([], "lang string, text string")).collect() == []
     assert phrase_collocations(spark.createDataFrame([(None, None), ("en", " . ")], "lang string, text string")).collect() == []

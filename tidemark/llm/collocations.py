@@ -13,7 +13,7 @@ their blocks from where they were counted.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,12 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import BATCH_ROWS, cut, new_path, small_batches
+from tidemark.llm.shared import BATCH_ROWS, cut, delete, new_path, small_batches, tidy_shuffles
 
 #: Places of a block, about: a longer document is a block of its own.  Blocks of a batch that goes to a Python worker.
 BLOCK, BLOCK_BATCH = 1 << 19, 8
 #: Bytes of a row group of blocks: readers hold a row group at once.
 ROW_GROUP = 8 << 20
+#: Passes in which groups are counted, each with its share of the phrases, so that so much less is in the shuffle at once.
+PASSES = 2
 #: Tasks among which the best phrases of one language are chosen first.
 SALTS = 64
 _END = b"\xff"  # no byte of UTF-8
@@ -71,52 +73,77 @@ def _extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"block": [block], "lang": [lang], "first": [distinct[pair // len(distinct)]], "rest": [distinct[pair % len(distinct)]], "n": [n], "places": [following.tobytes()]})
 
 
-def _relation(frame: DataFrame, name: str, batch: int) -> DataFrame:
-    """A relation of occurrences, written in small row groups and read again."""
+def _relation(frame: DataFrame, name: str, batch: int) -> tuple[DataFrame, str]:
+    """A relation of occurrences, written in small row groups and read again; and its path."""
     spark = frame.sparkSession
     small_batches(spark, batch)
     try:
-        frame.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path := new_path(spark, name))
+        with tidy_shuffles(spark):
+            frame.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path := new_path(spark, name))
     finally:
         small_batches(spark)
-    return spark.read.schema(frame.schema).parquet(path)
+    return spark.read.schema(frame.schema).parquet(path), path
 
 
-def _held(groups: DataFrame, key: list[str], least: int) -> DataFrame:
+def _in_passes(groups: DataFrame, key: list[str], name: str, make: Callable[[DataFrame, int], DataFrame]) -> tuple[DataFrame, str]:
+    """make(those groups whose key is of a pass, the pass) of all passes, written one after another; and its path."""
+    spark, path = groups.sparkSession, new_path(groups.sparkSession, name)
+    for part in range(PASSES):
+        made = make(groups.where(F.pmod(F.xxhash64(*key), F.lit(PASSES)) == part), part)
+        with tidy_shuffles(spark):
+            made.write.mode("append").parquet(path)
+    return spark.read.schema(made.schema).parquet(path), path
+
+
+def _held(groups: DataFrame, key: list[str], least: int) -> tuple[DataFrame, str]:
     """(block, at, *key, a, row, id): groups of blocks whose phrase is frequent, with its count and a number of its own.
     One row of each phrase, and no other, has that number as ``row``.  A phrase has one group a block, so none is large."""
     same = Window.partitionBy(*key)
-    often = groups.withColumn("a", F.sum("n").over(same)).where(F.col("a") >= least).drop("n")
-    return cut(often.withColumn("row", F.monotonically_increasing_id() + 1).withColumn("id", F.min("row").over(same)), "groups", 10_000)
+
+    def often(own: DataFrame, part: int) -> DataFrame:
+        found = own.withColumn("a", F.sum("n").over(same)).where(F.col("a") >= least).drop("n")
+        return found.withColumn("row", F.monotonically_increasing_id() * PASSES + part + 1).withColumn("id", F.min("row").over(same))
+
+    return _in_passes(groups, key, "groups", often)
 
 
 def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, list[DataFrame]]:
     """(words by language, frequent phrases of each length from 1 to ``longest``).
 
     The first is (lang, n); phrases are (id, lang, phrase, last, a, firsts, rests, first, rest): ids of the phrases without
-    the last and without the first word, and the counts of all shorter phrases that it begins and ends with."""
+    the last and without the first word, and the counts of all shorter phrases that it begins and ends with.  Relations
+    and groups are deleted as soon as those of the next length are written."""
+    spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    found = _relation(texts.mapInPandas(_words, "block long, lang string, words array<string>, n array<long>, places binary"), "words", BATCH_ROWS)
+    found, relation = _relation(texts.mapInPandas(_words, "block long, lang string, words array<string>, n array<long>, places binary"), "words", BATCH_ROWS)
     total = found.select("lang", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    total = cut(total, "totals")
     groups = found.select("block", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("at", "g")).select("block", (F.col("at") + 1).alias("at"), "lang", F.col("g.words").alias("phrase"), "g.n")
     none = F.array().cast("array<bigint>")
-    held = _held(groups, ["lang", "phrase"], least)
+    held, spare = _held(groups, ["lang", "phrase"], least)
     one = held.where("row = id").select("id", "lang", "phrase", F.col("phrase").alias("last"), "a", none.alias("firsts"), none.alias("rests"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("rest"))
     levels = [cut(one, "frequent", 10_000)]
     for length in range(2, longest + 1):
         kept = held.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("kept"))  # no more than a block's places
         rows = found.select("block", "lang", "places").join(kept.select("block", F.col("kept.at").alias("kept"), F.col("kept.id").alias("ids")), "block")
-        found = _relation(rows.mapInPandas(_extended, "block long, lang string, first array<long>, rest array<long>, n array<long>, places binary"), "occurrences", BLOCK_BATCH)
+        old = [relation, spare]
+        found, relation = _relation(rows.mapInPandas(_extended, "block long, lang string, first array<long>, rest array<long>, n array<long>, places binary"), "occurrences", BLOCK_BATCH)
+        for path in old:
+            delete(spark, path)
         groups = found.select("block", F.posexplode(F.arrays_zip("first", "rest", "n")).alias("at", "g")).select("block", (F.col("at") + 1).alias("at"), "g.first", "g.rest", "g.n")
         if length < longest:
-            held = _held(groups, ["first", "rest"], least)
+            held, spare = _held(groups, ["first", "rest"], least)
             counted = held.where("row = id").select("id", "first", "rest", "a")
         else:  # nothing is extended further
-            counted = groups.groupBy("first", "rest").agg(F.sum("n").alias("a")).where(F.col("a") >= least).withColumn("id", F.lit(None).cast("long"))
+            sums = lambda own, _: own.groupBy("first", "rest").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+            counted, spare = _in_passes(groups, ["first", "rest"], "counts", sums)
+            counted = counted.withColumn("id", F.lit(None).cast("long"))
         before = levels[-1].select(F.col("id").alias("first"), "lang", F.col("phrase").alias("head"), F.array_append("firsts", F.col("a")).alias("firsts"))
         after = levels[-1].select(F.col("id").alias("rest"), "last", F.array_append("rests", F.col("a")).alias("rests"))
         both = counted.join(before, "first").join(after, "rest")
         levels.append(cut(both.select("id", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "a", "firsts", "rests", "first", "rest"), "frequent", 10_000))
+    for path in (relation, spare):
+        delete(spark, path)
     return total, levels
 
 

@@ -64,3 +64,21 @@ def test_relations_and_groups_are_deleted(spark):
 def test_no_texts(spark):
     assert phrase_collocations(spark.createDataFrame([], "lang string, text string")).collect() == []
     assert phrase_collocations(spark.createDataFrame([(None, None), ("en", " . ")], "lang string, text string")).collect() == []
+
+
+def test_relations_of_two_lengths_are_never_there_whole(spark, monkeypatch):
+    """A part of a relation goes before the next part of the next length is written."""
+    root, seen, remove = Path(shared_dir(spark).removeprefix("file://")) / "tidemark", [], collocations.delete
+    before = set(root.glob("*-*"))
+
+    def noting(spark, path):
+        seen.append(sorted((p.parent.name.split("-")[0], p.name) for p in root.glob("*-*/part=*") if p.parent not in before))
+        remove(spark, path)
+
+    monkeypatch.setattr(collocations, "delete", noting)
+    rows = [(lang, "w a b c d e. " * 3) for lang in ("de", "en", "fr", "xx") for _ in range(10)]  # a block of each in a task
+    frame = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    assert sorted(map(tuple, phrase_collocations(frame, least=5).collect())) == brute(rows, least=5)
+    parts = [f"part={p}" for p in range(collocations.PASSES)]
+    assert seen[: collocations.PASSES] == [[("occurrences", q) for q in parts[: n + 1]] + [("words", q) for q in parts[n:]] for n in range(collocations.PASSES)]
+

@@ -9,6 +9,9 @@ A row of a relation is a block: the places of many pieces of one language, one a
 inside a row and no occurrence is shuffled on its own.  What meets others in Spark are a block's distinct groups with
 their counts, at most one for each block, however often a phrase occurs.  Groups that turn out to be frequent go back to
 their blocks from where they were counted.
+
+Blocks are dealt to parts of the relation.  The next length is made one part after another, and a part goes as soon as
+that of the next length is written, so that two relations, or all that moves between them, are never on disk whole.
 """
 
 from __future__ import annotations
@@ -18,19 +21,24 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import BATCH_ROWS, cut, delete, new_path, small_batches, tidy_shuffles
+from tidemark.llm.shared import BATCH_ROWS, cut, delete, new_path, setting, small_batches, tidy_shuffles
 
 #: Places of a block, about: a longer document is a block of its own.  Blocks of a batch that goes to a Python worker.
 BLOCK, BLOCK_BATCH = 1 << 19, 8
 #: Bytes of a row group of blocks: readers hold a row group at once.
 ROW_GROUP = 8 << 20
-#: Passes in which groups are counted, each with its share of the phrases, so that so much less is in the shuffle at once.
-PASSES = 2
+#: Passes in which groups are counted, each with its share of the phrases, and in which relations are extended, each with
+#: its share of the blocks, so that so much less is in the shuffle at once.
+PASSES = 3
+#: Blocks are sorted by part before they are written, unless as many writers may be open at once.
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 #: Tasks among which the best phrases of one language are chosen first.
 SALTS = 64
+WORDS = "block long, lang string, words array<string>, n array<long>, places binary"
+OCCURRENCES = "block long, lang string, first array<long>, rest array<long>, n array<long>, places binary"
 _END = b"\xff"  # no byte of UTF-8
 _LOWER = bytes(0xFF if chr(b) in ".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -73,16 +81,34 @@ def _extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"block": [block], "lang": [lang], "first": [distinct[pair // len(distinct)]], "rest": [distinct[pair % len(distinct)]], "n": [n], "places": [following.tobytes()]})
 
 
-def _relation(frame: DataFrame, name: str, batch: int) -> tuple[DataFrame, str]:
-    """A relation of occurrences, written in small row groups and read again; and its path."""
-    spark = frame.sparkSession
+def _write(blocks: DataFrame, path: str, batch: int) -> None:
+    """Blocks of a relation, added to it by part, in small row groups."""
+    spark = blocks.sparkSession
     small_batches(spark, batch)
     try:
-        with tidy_shuffles(spark):
-            frame.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path := new_path(spark, name))
+        with tidy_shuffles(spark), setting(spark, _WRITERS, PASSES):
+            dealt = blocks.withColumn("part", F.pmod("block", F.lit(PASSES)).cast("int"))
+            dealt.write.mode("append").partitionBy("part").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         small_batches(spark)
-    return spark.read.schema(frame.schema).parquet(path), path
+
+
+def _read(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, part int").parquet(path)
+
+
+def _extend(found: DataFrame, relation: str, held: DataFrame) -> tuple[DataFrame, str]:
+    """The relation of the next length, from the groups that are held; and its path.  The relation before is deleted by parts."""
+    spark, path = found.sparkSession, new_path(found.sparkSession, "occurrences")
+    for part in range(PASSES):
+        own = held.where(F.pmod("block", F.lit(PASSES)) == part)
+        kept = own.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("kept"))  # no more than a block's places
+        kept = kept.select("block", F.col("kept.at").alias("kept"), F.col("kept.id").alias("ids"))
+        rows = found.where(F.col("part") == part).select("block", "lang", "places").join(kept, "block")
+        _write(rows.mapInPandas(_extended, OCCURRENCES), path, BLOCK_BATCH)
+        delete(spark, f"{relation}/part={part}")
+    delete(spark, relation)
+    return _read(spark, OCCURRENCES, path), path
 
 
 def _in_passes(groups: DataFrame, key: list[str], name: str, make: Callable[[DataFrame, int], DataFrame]) -> tuple[DataFrame, str]:
@@ -111,11 +137,12 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFra
     """(words by language, frequent phrases of each length from 1 to ``longest``).
 
     The first is (lang, n); phrases are (id, lang, phrase, last, a, firsts, rests, first, rest): ids of the phrases without
-    the last and without the first word, and the counts of all shorter phrases that it begins and ends with.  Relations
-    and groups are deleted as soon as those of the next length are written."""
+    the last and without the first word, and the counts of all shorter phrases that it begins and ends with.  Groups
+    are deleted as soon as the relation of the next length is written, and a relation's parts one by one before."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    found, relation = _relation(texts.mapInPandas(_words, "block long, lang string, words array<string>, n array<long>, places binary"), "words", BATCH_ROWS)
+    _write(texts.mapInPandas(_words, WORDS), relation := new_path(spark, "words"), BATCH_ROWS)
+    found = _read(spark, WORDS, relation)
     total = found.select("lang", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     total = cut(total, "totals")
     groups = found.select("block", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("at", "g")).select("block", (F.col("at") + 1).alias("at"), "lang", F.col("g.words").alias("phrase"), "g.n")
@@ -124,12 +151,8 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFra
     one = held.where("row = id").select("id", "lang", "phrase", F.col("phrase").alias("last"), "a", none.alias("firsts"), none.alias("rests"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("rest"))
     levels = [cut(one, "frequent", 10_000)]
     for length in range(2, longest + 1):
-        kept = held.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("kept"))  # no more than a block's places
-        rows = found.select("block", "lang", "places").join(kept.select("block", F.col("kept.at").alias("kept"), F.col("kept.id").alias("ids")), "block")
-        old = [relation, spare]
-        found, relation = _relation(rows.mapInPandas(_extended, "block long, lang string, first array<long>, rest array<long>, n array<long>, places binary"), "occurrences", BLOCK_BATCH)
-        for path in old:
-            delete(spark, path)
+        found, relation = _extend(found, relation, held)
+        delete(spark, spare)
         groups = found.select("block", F.posexplode(F.arrays_zip("first", "rest", "n")).alias("at", "g")).select("block", (F.col("at") + 1).alias("at"), "g.first", "g.rest", "g.n")
         if length < longest:
             held, spare = _held(groups, ["first", "rest"], least)

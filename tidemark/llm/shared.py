@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,17 +46,22 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is written meanwhile are deleted once it is written; then the setting is as it was."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, True)
+def setting(spark: SparkSession, key: str, value: object) -> Iterator[None]:
+    """A setting of the session meanwhile; then it is as it was."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_CLEANUP)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(_CLEANUP, before)
+            spark.conf.set(key, before)
+
+
+def tidy_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """Shuffle files of what is written meanwhile are deleted once it is written."""
+    return setting(spark, _CLEANUP, True)
 
 
 def delete(spark: SparkSession, path: str) -> None:

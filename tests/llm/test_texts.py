@@ -13,7 +13,7 @@ import pytest
 from cases import ODD
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_extract, quality, secrets, token_files, toxicity
+from tidemark.llm import html_extract, quality, secrets, shared, token_files, toxicity
 from tidemark.llm.byte_bpe import boundaries, byte_bpe_decode, byte_bpe_encode, byte_bpe_round_trip
 from tidemark.llm.pii import personal_digest, personal_spans
 from tidemark.llm.quality import quality_rules
@@ -257,6 +257,23 @@ def test_queries_keep_their_ledger(make, spark, ledger):
     assert spark.read.parquet(ledger).count() == blobs
 
 
+def test_no_ledger_starts_no_python_rows(spark, ledger):
+    none = secrets.read_ledger(spark, ledger)
+    assert none.dtypes == spark.createDataFrame([], secrets.LEDGER).dtypes and none.isEmpty()
+    # createDataFrame([]) is an RDD of Python rows, for which every executor starts a daemon and workers beside those of mapInPandas
+    assert "ExistingRDD" not in none._jdf.queryExecution().executedPlan().toString()
+
+
+def test_workers_give_back_what_arrow_holds(monkeypatch):
+    said = []
+    monkeypatch.setattr(shared.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: said.append("released")})())
+    batches = shared.lean(lambda xs: (said.append(x) or 2 * x for x in xs))(iter([1, 2]))
+    assert list(batches) == [2, 4] and said == [1, 2, "released"]
+    with pytest.raises(ZeroDivisionError):
+        list(shared.lean(lambda xs: (1 // x for x in xs))(iter([1, 0])))
+    assert said == [1, 2, "released", "released"]
+
+
 def test_paths_and_versions(spark, ledger):
     rows = [("a.txt", 1, SECRETS[0]), ("a.txt", 2, "clean"), ("b.txt", 1, SECRETS[0]), (None, 3, None)]
     found, added = secrets.scan_blobs(spark.createDataFrame(rows, "path string, version int, text string"), secrets.read_ledger(spark, ledger), keys=("path", "version"))

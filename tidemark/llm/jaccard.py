@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.shared import components, cut, settled, small_batches, without
+from tidemark.llm.shared import components, cut, lean, settled, small_batches, without
 
 _SEED = np.uint64(0xD1B54A32D192ED03)
 #: Widest ratio of sizes within a band.  Wider bands put fewer sets in two bands but ask for more signatures.
@@ -54,6 +54,9 @@ SKETCH_BITS = 4
 SHORT_ROWS = 4000
 #: Rows of one fingerprint are dealt to so many tasks.
 COPY_DEALS = 64
+#: A pass deals its signatures to so many times the session's shuffle partitions: they are several times the texts, and
+#: what a task fetches and sorts is held in its executor.
+FINER = 2
 #: Passes over the texts, each with its share of the signatures, so that so much less is in the shuffle at once.
 PASSES = 2
 #: Pairs of a tile that a round compares, of each document and of each two components, and the factor from round to round.
@@ -331,7 +334,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Data
     # A first semi-join by hash bucket, of at most FILTER_BUCKETS rows, keeps most other texts out of the shuffle
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BUCKETS)).cast("int").alias("bucket")
     near = docs.withColumn("bucket", bucket).join(F.broadcast(ids.select(bucket).distinct()), "bucket", "left_semi")
-    sets = cut(near.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInPandas(_sets(words), "doc_id long, items array<long>"), "sets")
+    sets = cut(near.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInPandas(lean(_sets(words)), "doc_id long, items array<long>"), "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     shared = F.size(F.array_intersect("x", "y")).cast("long")
@@ -383,7 +386,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # Every document with the first of the equal sets that are dealt together; sets without elements alone
     deal = F.pmod(F.xxhash64("doc_id"), F.lit(COPY_DEALS))
     by = Window.partitionBy("sig", "n", "deal").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sets = known.mapInPandas(_shapes(words), "sig long, n int, doc_id long, sketch binary").withColumn("deal", deal)
+    sets = known.mapInPandas(lean(_shapes(words)), "sig long, n int, doc_id long, sketch binary").withColumn("deal", deal)
     sets = cut(sets.withColumn("pivot", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.first("doc_id").over(by))).drop("deal"), "shapes")
     # Equal sets: the first of each deal, and of these the first
     leads = sets.where("doc_id = pivot and n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -400,7 +403,8 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     by = Window.partitionBy("sig", "deal").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = None
     for part in range(PASSES):  # the shuffle files of a pass go before the next
-        rows = texts.mapInPandas(_signed(words, percent, part), "sig long, doc_id long, pivot long").withColumn("deal", deal)
+        rows = texts.mapInPandas(lean(_signed(words, percent, part)), "sig long, doc_id long, pivot long").withColumn("deal", deal)
+        rows = rows.repartition(FINER * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sig", "deal")
         rows = rows.select("sig", F.coalesce("pivot", F.first("doc_id").over(by)).alias("p"), F.col("doc_id").alias("q")).where("p <> q")
         rows = cut(rows, "buckets", SHORT_ROWS)
         met = rows if met is None else met.unionByName(rows)
@@ -413,7 +417,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         one, two = shapes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), shapes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
         pairs = pairs.join(one, "a").join(two, "b").where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
         one, two = shapes.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), shapes.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"))
-        return pairs.join(one, "a").join(two, "b").mapInPandas(_near(percent), "a long, b long, far long").groupBy("a", "b").agg(F.min("far").alias("far"))
+        return pairs.join(one, "a").join(two, "b").mapInPandas(lean(_near(percent)), "a long, b long, far long").groupBy("a", "b").agg(F.min("far").alias("far"))
 
     stars = cut(to_rep(to_rep(met.select("p", "q").distinct(), "p", "pr"), "q", "qr").where("pr <> qr"), "stars")
     first = cut(likely(stars.select(F.least("pr", "qr").alias("a"), F.greatest("pr", "qr").alias("b")).distinct()), "pairs")
@@ -444,7 +448,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     while True:
         again = None
         if rows is not None:
-            found = cut(_tiled(rows).mapInPandas(_across(percent, limit), "a long, b long, again long"), "found", SHORT_ROWS)
+            found = cut(_tiled(rows).mapInPandas(lean(_across(percent, limit)), "a long, b long, again long"), "found", SHORT_ROWS)
             pairs, again = found.select("a", "b"), found.where("again is not null").select(F.col("again").alias("bucket")).distinct()
             across = pairs if across is None else across.unionByName(pairs)
         fresh = cut(across.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -459,7 +463,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         rows = cut(labelled(rows.drop("label").join(again, "bucket", "left_semi"), "node", "label").select("bucket", "node", "label", "n", "sketch"), "rows")
         across, limit = None, limit * SPREAD
     out = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    nameless = docs.where("doc_id is null").mapInPandas(_counts(words), "doc_id long, n_shingles long, component_id long")
+    nameless = docs.where("doc_id is null").mapInPandas(lean(_counts(words)), "doc_id long, n_shingles long, component_id long")
     return out.unionByName(nameless)
 
 

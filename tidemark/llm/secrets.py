@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidemark.llm.shared import cut, fresh, shared_dir, split_by
+from tidemark.llm.shared import cut, fresh, lean, shared_dir, split_by
 
 # The base kinds, in the order in which they are listed.
 BASE = {
@@ -90,7 +90,9 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], LEDGER)
+        # Not createDataFrame: rows from Python, even none, start a second daemon with workers in every executor
+        none = F.lit(None)
+        return spark.range(1).where("false").select(none.cast("binary").alias("blob"), none.cast(_SPANS).alias("spans"), none.cast("string").alias("rule_version"))
 
 
 def append_ledger(added: DataFrame, path: str) -> None:
@@ -107,7 +109,7 @@ def scan_new(docs: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSIO
     again = cut(blobs.where("n > 1").select("blob").unionByName(blobs.join(known, "blob", "left_semi").select("blob")).distinct(), "again")
     near, alone = split_by(texts, again, "blob")
     once = near.join(known, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
-    return cut(alone.unionByName(once).mapInPandas(_scan, f"blob binary, spans {_SPANS}").withColumn("rule_version", F.lit(rule_version)), "scanned")
+    return cut(alone.unionByName(once).mapInPandas(lean(_scan), f"blob binary, spans {_SPANS}").withColumn("rule_version", F.lit(rule_version)), "scanned")
 
 
 def scan_blobs(docs: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION, keys: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import AbstractContextManager, contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,11 +127,25 @@ def numbered(frame: DataFrame, key: str) -> tuple[DataFrame, str]:
     return cut(frame.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
+def lean(function):
+    """``function``, which maps batches; what Arrow's pool keeps of them goes back to the system once a task has ended.
+
+    Workers are used again, so a worker would hold that through all jobs that follow."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def through(frame: DataFrame, function, key: str, schema: str) -> DataFrame:
-    """mapInPandas, with the column ``key`` carried as text: beside nulls, pandas would make integers floats."""
+    """mapInPandas by ``lean``, with the column ``key`` carried as text: beside nulls, pandas would make integers floats."""
     small_batches(frame.sparkSession)
     kind = frame.schema[key].dataType
-    return frame.withColumn(key, F.col(key).cast("string")).mapInPandas(function, f"{key} string, {schema}").withColumn(key, F.col(key).cast(kind))
+    return frame.withColumn(key, F.col(key).cast("string")).mapInPandas(lean(function), f"{key} string, {schema}").withColumn(key, F.col(key).cast(kind))
 
 
 #: Rows of a broadcast filter on hashed keys, at most.

@@ -264,14 +264,15 @@ def test_no_ledger_starts_no_python_rows(spark, ledger):
     assert "ExistingRDD" not in none._jdf.queryExecution().executedPlan().toString()
 
 
-def test_workers_give_back_what_arrow_holds(monkeypatch):
+def test_workers_give_back_what_a_task_held(monkeypatch):
     said = []
     monkeypatch.setattr(shared.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: said.append("released")})())
+    monkeypatch.setattr(shared.ctypes, "CDLL", lambda _: type("Libc", (), {"malloc_trim": lambda self, _: said.append("trimmed")})())
     batches = shared.lean(lambda xs: (said.append(x) or 2 * x for x in xs))(iter([1, 2]))
-    assert list(batches) == [2, 4] and said == [1, 2, "released"]
+    assert list(batches) == [2, 4] and said == [1, 2, "released", "trimmed"]
     with pytest.raises(ZeroDivisionError):
         list(shared.lean(lambda xs: (1 // x for x in xs))(iter([1, 0])))
-    assert said == [1, 2, "released", "released"]
+    assert said == [1, 2, "released", "trimmed", "released", "trimmed"]
 
 
 def test_paths_and_versions(spark, ledger):

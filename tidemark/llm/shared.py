@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import re
 import tempfile
@@ -128,7 +129,8 @@ def numbered(frame: DataFrame, key: str) -> tuple[DataFrame, str]:
 
 
 def lean(function):
-    """``function``, which maps batches; what Arrow's pool keeps of them goes back to the system once a task has ended.
+    """``function``, which maps batches; what Arrow's pool and the C library keep of them goes back to the system once a
+    task has ended.
 
     Workers are used again, so a worker would hold that through all jobs that follow."""
 
@@ -137,6 +139,8 @@ def lean(function):
             yield from function(batches)
         finally:
             pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
 
     return run
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
 from tidemark.llm.samples import held_out, labelled_sample
-from tidemark.llm.shared import fresh, small_batches, through
+from tidemark.llm.shared import fresh, lean, small_batches, through
 
 WINDOW, STRIDE, HIDDEN = 32, 16, 8
 #: Values of an embedding, and rows of the tables of words and of character runs, as powers of two.
@@ -406,10 +406,13 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = model.value.scorer()
-        for texts in series:
-            listed = texts.tolist()
-            yield pd.Series([x for a, z in K.blocks(listed) for x in scorer(listed[a:z])], dtype=float)
+        def scores(series):
+            scorer = model.value.scorer()
+            for texts in series:
+                listed = texts.tolist()
+                yield pd.Series([x for a, z in K.blocks(listed) for x in scorer(listed[a:z])], dtype=float)
+
+        return lean(scores)(series)
 
     name = fresh(docs, "_score")
     return docs.withColumn(name, score(F.col("text").cast("string"))).where(F.col(name) < 0.5).select(docs.columns)
